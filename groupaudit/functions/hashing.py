@@ -72,27 +72,35 @@ def short_sha256(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
-def order_free_digest(df: DataFrame, digest: str, by: Sequence[str] = (), prefix: int = 2) -> DataFrame:
-    """SHA-256 over the *sorted* digests, in two levels so no task sees a whole group.
+FAN_IN = 65_536  # digests one task may have to hash together
 
-    Rows are bucketed by the leading hex digits of a digest, each bucket hashes its
-    sorted members, and the group hashes its (at most 16**prefix) bucket digests.
+
+def order_free_digest(df: DataFrame, digest: str, by: Sequence[str] = ()) -> DataFrame:
+    """SHA-256 over the *sorted* digests as a tree, so no task sees a whole group.
+
+    Leaves are buckets of the leading hex digits of a digest; every level up drops two
+    digits and hashes at most 256 children.  The depth follows the number of digests.
     """
     by = list(by)
-    d = df.select(*by, F.col(digest).alias("_d")).withColumn("_b", F.substring("_d", 1, prefix))
-    # equal digests collapse before the per-bucket sort, so copies of one digest cannot pile up
-    d = d.groupBy(*by, "_b", "_d").agg(F.count("*").alias("_n"))
-    inner = d.groupBy(*by, "_b").agg(
-        F.sha2(
-            F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "_d", "_n"))), "\n"), 256
-        ).alias("_h"),
-        F.sum("_n").alias("_rows"),
+    # equal digests collapse first, so copies of one digest cannot pile up in a bucket
+    d = df.groupBy(*by, F.col(digest).alias("_d")).agg(F.count("*").alias("_n"))
+    prefix, n = 2, df.agg(F.approx_count_distinct(digest)).first()[0]
+    while n / 16**prefix > FAN_IN:
+        prefix += 2
+    level = (
+        d.groupBy(*by, F.substring("_d", 1, prefix).alias("_b"))
+        .agg(F.sort_array(F.collect_list(F.concat_ws(":", "_d", "_n"))).alias("_m"), F.sum("_n").alias("_rows"))
     )
-    return inner.groupBy(*by).agg(
-        F.sha2(
-            F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "_b", "_h"))), "\n"), 256
-        ).alias("fingerprint"),
-        F.sum("_rows").alias("n_rows"),
+    while prefix >= 2:
+        prefix -= 2
+        child = level.select(
+            *by, "_b", F.concat_ws(":", "_b", F.sha2(F.array_join("_m", "\n"), 256)).alias("_c"), "_rows"
+        )
+        level = child.groupBy(*by, F.substring("_b", 1, prefix).alias("_b")).agg(
+            F.sort_array(F.collect_list("_c")).alias("_m"), F.sum("_rows").alias("_rows")
+        )
+    return level.select(
+        *by, F.sha2(F.array_join("_m", "\n"), 256).alias("fingerprint"), F.col("_rows").alias("n_rows")
     )
 
 
@@ -106,3 +114,31 @@ def order_free_digest_sql(source: str, digest: str, by: Sequence[str] = (), pref
           FROM (SELECT {keys}substr({digest}, 1, {prefix}) AS _b, {digest} AS _d, count(*) AS _n
                 FROM {source} GROUP BY ALL) GROUP BY {keys}_b)
     {group}"""
+
+
+def ordered_digest(df: DataFrame, *, order: str, line: str, block: int) -> DataFrame:
+    """SHA-256 of lines in row order as a tree of blocks of an integer order key.
+
+    Each level hashes at most ``block`` children; the depth follows the largest key.
+    """
+    top = df.agg(F.max(order)).first()[0] or 0
+    level = df.select(F.col(order).alias("_o"), F.col(line).alias("_h"))
+    n_blocks = None
+    while True:
+        level = (
+            level.groupBy(F.floor(F.col("_o") / block).alias("_b"))
+            .agg(F.sort_array(F.collect_list(F.struct("_o", "_h"))).alias("_m"))
+            .select(F.col("_b").alias("_o"), F.sha2(F.array_join(F.col("_m._h"), "\n"), 256).alias("_h"))
+        )
+        if n_blocks is None:
+            n_blocks = level.agg(F.count("*")).scalar()
+        top //= block
+        if top < block:
+            break
+    return level.agg(
+        F.sha2(
+            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_o", "_h"))), lambda s: s["_h"]), "\n"),
+            256,
+        ).alias("fingerprint"),
+        n_blocks.alias("n_blocks"),
+    )

@@ -1,7 +1,11 @@
 """All registered queries; importing the modules fills the registry."""
 
 from groupaudit.plans import (  # noqa: F401
+    q_joins,
     q_metrics,
+    q_profile,
+    q_projections,
+    q_sources,
 )
 from groupaudit.plans.registry import QUERIES
 
