@@ -6,6 +6,7 @@ from groupaudit.plans import (  # noqa: F401
     q_profile,
     q_projections,
     q_sources,
+    q_splits,
 )
 from groupaudit.plans.registry import QUERIES
 
