@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,8 +97,19 @@ def crosstab(df: DataFrame, *, cls: str | Column, fields: Sequence[str], top: in
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
-def value_at_rank(df: DataFrame, *, by: Sequence[str], value: str, bounds: Sequence[float] | None = None) -> DataFrame:
-    """Upper median ``sorted[n // 2]`` per group, sorting only the bucket that holds it."""
+def value_at_rank(
+    df: DataFrame,
+    *,
+    by: Sequence[str],
+    value: str,
+    rank: Callable[[Column], Column] = lambda n: F.floor(n / 2),
+    out: str = "upper_median",
+    bounds: Sequence[float] | None = None,
+) -> DataFrame:
+    """``sorted(values)[rank(n)]`` per group, sorting only the bucket that holds it.
+
+    The default rank is the upper median.  Equal values collapse to counts first.
+    """
     by = list(by)
     bounds = quantile_bounds(df, value) if bounds is None else bounds
     counts = (
@@ -108,26 +119,27 @@ def value_at_rank(df: DataFrame, *, by: Sequence[str], value: str, bounds: Seque
         .withColumn("_b", bucket_of(F.col(value), bounds))
     )
     totals = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_bn"))
-    whole = Window.partitionBy(*by)
-    upto = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    part = by or [F.lit(0)]
+    whole = Window.partitionBy(*part)
+    upto = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     hit = (
         totals.select(
             *by,
             "_b",
             "_bn",
             F.coalesce(F.sum("_bn").over(upto), F.lit(0)).alias("_before"),
-            F.floor(F.sum("_bn").over(whole) / 2).alias("_k"),
+            rank(F.sum("_bn").over(whole)).alias("_k"),
         )
         .where((F.col("_before") <= F.col("_k")) & (F.col("_k") < F.col("_before") + F.col("_bn")))
         .drop("_bn")
     )
-    inside = Window.partitionBy(*by).orderBy(value)
+    inside = Window.partitionBy(*part).orderBy(value)
     return (
         counts.join(hit, [*by, "_b"])
         .withColumn("_cum", F.col("_before") + F.sum("_n").over(inside))
         .where(F.col("_cum") > F.col("_k"))
         .groupBy(*by)
-        .agg(F.min(value).alias("upper_median"))
+        .agg(F.min(value).alias(out))
     )
 
 

@@ -121,13 +121,12 @@ def disjointness_evidence(
     cells = assigned.groupBy("repeat", "fold", group).agg(F.count("*").alias("_n"), proxy.alias("_proxy"))
     per_group = cells.groupBy("repeat", group).agg(F.count("*").alias("_folds"))
     cells = cells.join(per_group, ["repeat", group])
+    shared_key = F.when(F.col("_folds") > 1, F.col(group).cast("string"))
     test = cells.groupBy("repeat", "fold").agg(
         F.count("*").alias("n_test_groups"),
         F.sum("_n").alias("n_test_rows"),
         F.count_if(F.col("_folds") > 1).alias("n_overlap"),
-        F.array_join(
-            F.slice(F.sort_array(F.array_compact(F.array(F.min(F.when(F.col("_folds") > 1, F.col(group).cast("string"))), F.max(F.when(F.col("_folds") > 1, F.col(group).cast("string")))))), 1, 2), ","
-        ).alias("examples"),
+        F.concat_ws(",", F.min(shared_key), F.max(shared_key)).alias("examples"),
         F.bool_or("_proxy").alias("_proxy"),
     )
     totals = per_group.groupBy("repeat").agg(F.count("*").alias("_g"))

@@ -1,6 +1,7 @@
 """All registered queries; importing the modules fills the registry."""
 
 from groupaudit.plans import (  # noqa: F401
+    q_audits,
     q_joins,
     q_metrics,
     q_profile,
