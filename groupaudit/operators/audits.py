@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from groupaudit.functions.hashing import hash_key, order_free_digest, short_sha256
 from groupaudit.functions.scalars import is_finite
-from groupaudit.operators.profile import value_at_rank
+from groupaudit.operators.ranks import values_at_ranks
 
 
 def verdict(violations: DataFrame, check: str, example: str | Column, fail: str = "FAIL") -> DataFrame:
@@ -216,9 +216,10 @@ def loader_contract(
     entry = lambda: F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("_f")
     tr = train.select(entry()).select("_f.*")
     ev = evaluation.select(entry()).select("_f.*").groupBy("feature").agg(F.min("v").alias("_min"), F.max("v").alias("_max"))
-    p1 = value_at_rank(tr, by=["feature"], value="v", rank=lambda n: F.floor(n * 0.01), out="_p1")
-    p99 = value_at_rank(tr, by=["feature"], value="v", rank=lambda n: F.floor(n * 0.99), out="_p99")
-    out = ev.join(p1, "feature").join(p99, "feature").where(
+    edges = values_at_ranks(
+        tr, by=["feature"], value="v", ranks={"_p1": lambda n: F.floor(n * 0.01), "_p99": lambda n: F.floor(n * 0.99)}
+    )
+    out = ev.join(edges, "feature").where(
         (F.col("_min") < F.col("_p1") - delta) | (F.col("_max") > F.col("_p99") + delta)
     )
     rows.append(verdict(out, "value_range", "feature"))

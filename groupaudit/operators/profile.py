@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groupaudit.functions.scalars import non_blank, number_or_null, or_missing
 from groupaudit.operators.metrics import ratio, roc_auc
-from groupaudit.operators.ranks import bucket_of, quantile_bounds
+from groupaudit.operators.ranks import values_at_ranks
 
 
 def per_group(df: DataFrame, group: str, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -97,59 +97,14 @@ def crosstab(df: DataFrame, *, cls: str | Column, fields: Sequence[str], top: in
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
-def value_at_rank(
-    df: DataFrame,
-    *,
-    by: Sequence[str],
-    value: str,
-    rank: Callable[[Column], Column] = lambda n: F.floor(n / 2),
-    out: str = "upper_median",
-    bounds: Sequence[float] | None = None,
-) -> DataFrame:
-    """``sorted(values)[rank(n)]`` per group, sorting only the bucket that holds it.
-
-    The default rank is the upper median.  Equal values collapse to counts first.
-    """
-    by = list(by)
-    bounds = quantile_bounds(df, value) if bounds is None else bounds
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, value)
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_b", bucket_of(F.col(value), bounds))
-    )
-    totals = counts.groupBy(*by, "_b").agg(F.sum("_n").alias("_bn"))
-    part = by or [F.lit(0)]
-    whole = Window.partitionBy(*part)
-    upto = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    hit = (
-        totals.select(
-            *by,
-            "_b",
-            "_bn",
-            F.coalesce(F.sum("_bn").over(upto), F.lit(0)).alias("_before"),
-            rank(F.sum("_bn").over(whole)).alias("_k"),
-        )
-        .where((F.col("_before") <= F.col("_k")) & (F.col("_k") < F.col("_before") + F.col("_bn")))
-        .drop("_bn")
-    )
-    inside = Window.partitionBy(*part).orderBy(value)
-    return (
-        counts.join(hit, [*by, "_b"])
-        .withColumn("_cum", F.col("_before") + F.sum("_n").over(inside))
-        .where(F.col("_cum") > F.col("_k"))
-        .groupBy(*by)
-        .agg(F.min(value).alias(out))
-    )
-
-
 def numeric_profile(df: DataFrame, *, cls: str, value: str) -> DataFrame:
     """n, mean (2 decimals), upper median, min and max per class."""
     d = df.select(cls, number_or_null(value).alias("_v")).where("_v IS NOT NULL")
     stats = d.groupBy(cls).agg(
         F.count("*").alias("n"), F.round(F.avg("_v"), 2).alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max")
     )
-    return stats.join(value_at_rank(d, by=[cls], value="_v"), cls)
+    median = values_at_ranks(d, by=[cls], value="_v", ranks={"upper_median": lambda n: F.floor(n / 2)})
+    return stats.join(median.drop("n"), cls)
 
 
 def coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from groupaudit.plans import (  # noqa: F401
     q_audits,
+    q_governance,
+    q_inference,
     q_joins,
     q_metrics,
     q_profile,
     q_projections,
+    q_signals,
     q_sources,
     q_splits,
 )
