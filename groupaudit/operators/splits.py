@@ -221,15 +221,27 @@ def random_split_leak(units: DataFrame, *, group: str, unit: str, trials: int, n
     )
 
 
-def nested_samples(groups: DataFrame, *, group: str, sizes: Sequence[int], repeats: int = 1, seed: int = 0) -> DataFrame:
-    """(repeat, n_train, group): nested training subsets, each a hash-order head of the next."""
+def _repeat_ranks(groups: DataFrame, *, group: str, repeats: int, seed: int) -> DataFrame:
     g = groups.select(group).withColumn("repeat", _repeats(repeats))
     g = g.withColumn("_h", F.md5(F.concat_ws("|", (F.col("repeat") + seed).cast("string"), group).cast("binary")))
-    ranked = hash_rank(g, part=["repeat"], key="_h", out="_rn")
+    return hash_rank(g, part=["repeat"], key="_h", out="_rn")
+
+
+def nested_samples(groups: DataFrame, *, group: str, sizes: Sequence[int], repeats: int = 1, seed: int = 0) -> DataFrame:
+    """(repeat, n_train, group): nested training subsets, each a hash-order head of the next."""
+    ranked = _repeat_ranks(groups, group=group, repeats=repeats, seed=seed)
     wanted = F.filter(F.array(*[F.lit(int(n)) for n in sizes]), lambda n: n >= F.col("_rn"))
     return ranked.select("repeat", group, F.explode(wanted).alias("n_train"))
 
 
+def nested_ranks(groups: DataFrame, *, group: str, repeats: int = 1, seed: int = 0) -> DataFrame:
+    """(group, ranks): the same orders as one short array of ranks per group."""
+    ranked = _repeat_ranks(groups, group=group, repeats=repeats, seed=seed)
+    return ranked.groupBy(group).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("repeat", "_rn"))), lambda s: s["_rn"]).alias("ranks")
+    )
+
+
 def controlled_overlap(
     units: DataFrame,
     *,

@@ -6,6 +6,7 @@ from groupaudit.plans import (  # noqa: F401
     q_inference,
     q_joins,
     q_metrics,
+    q_models,
     q_profile,
     q_projections,
     q_signals,

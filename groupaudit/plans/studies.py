@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groupaudit.operators import designs as ds
 from groupaudit.operators import inference as inf
 from groupaudit.operators import metrics as m
+from groupaudit.operators import models as mod
 from groupaudit.operators import resampling as rs
+from groupaudit.operators import splits as sp
+from groupaudit.operators import subspace as sub
+from groupaudit.operators.ranks import running_before
+from groupaudit.session import materialise
 
 
 def margins(long: DataFrame, weights: DataFrame, *, n_repeats: int) -> DataFrame:
@@ -37,3 +43,262 @@ def margins(long: DataFrame, weights: DataFrame, *, n_repeats: int) -> DataFrame
     return out.withColumn("bar", F.lit(bar_name)).withColumn(
         "verdict", inf.clearance(F.col("unit_lo"), F.col("group_lo"), feasible)
     )
+
+
+# --- studies that fit models ---------------------------------------------------------------
+
+
+def auc_per_repeat(predictions: DataFrame) -> DataFrame:
+    return m.roc_auc(predictions, score="p", label="y", by=["head", "repeat"])
+
+
+def grouped_auc(units: DataFrame, *, unit: str, group: str, views, repeats: int, n_folds: int, seed: int = 0, **fit) -> DataFrame:
+    """(head, repeat, auc) under size-balanced group folds."""
+    folds = sp.balanced_folds(units, group=group, n_folds=n_folds, repeats=repeats, seed=seed)
+    oof = mod.out_of_fold(units, folds, unit=unit, group=group, views=views, n_folds=n_folds, repeats=repeats, **fit)
+    return auc_per_repeat(oof)
+
+
+def metadata_baseline(sessions: DataFrame, *, group: str, label: str, age: str, sex: str) -> DataFrame:
+    """The no-model confound bar: counts, class means, raw covariate AUCs and leakage exposure."""
+    d = sessions.where(F.col(age).isNotNull()).withColumn("female", (F.col(sex) == "F").cast("int"))
+    base = d.agg(
+        F.count("*").alias("n_sessions"),
+        F.sum(label).cast("bigint").alias("n_pathological"),
+        F.sum(1 - F.col(label)).cast("bigint").alias("n_healthy"),
+        F.avg(F.when(F.col(label) == 0, F.col(age))).alias("mean_age_healthy"),
+        F.avg(F.when(F.col(label) == 1, F.col(age))).alias("mean_age_pathological"),
+    )
+    per = d.groupBy(group).agg(F.count("*").alias("_n"))
+    spread = per.agg(F.count("*").alias("g"), F.count_if(F.col("_n") > 1).alias("multi"), F.max("_n").alias("top"))
+    covariates = F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).cast("double").alias("v")) for k, c in (("age", age), ("sex", "female"))])
+    auc = m.roc_auc(d.select(label, F.explode(covariates).alias("_c")).select(label, "_c.*"), score="v", label=label, by=["k"])
+    one = lambda k: auc.where(F.col("k") == k).select("auc").scalar()
+    return base.select(
+        "*",
+        spread.select("g").scalar().alias("n_speakers"),
+        spread.select("multi").scalar().alias("speakers_with_multiple_sessions"),
+        spread.select("top").scalar().alias("max_sessions_per_speaker"),
+        one("age").alias("auc_age_only"),
+        one("sex").alias("auc_sex_only"),
+    )
+
+
+def scaler_scope(units: DataFrame, *, unit: str, group: str, views, repeats: int, n_folds: int, seed: int = 0) -> DataFrame:
+    """Leaky minus clean scaling on identical folds: mean delta, CI and the +-0.01 flag."""
+    folds = sp.balanced_folds(units, group=group, n_folds=n_folds, repeats=repeats, seed=seed)
+    arms = {}
+    for name, leak in (("leak", True), ("clean", False)):
+        oof = mod.out_of_fold(
+            units, folds, unit=unit, group=group, views=views, n_folds=n_folds, repeats=repeats, whole_table=leak
+        )
+        arms[name] = auc_per_repeat(oof).select("head", "repeat", F.col("auc").alias(name))
+    both = materialise(arms["leak"].join(arms["clean"], ["head", "repeat"]).withColumn("delta", F.col("leak") - F.col("clean")))
+    ci = rs.bootstrap_mean(both, study="head", order="repeat", value="delta")
+    means = both.groupBy("head").agg(F.avg("leak").alias("auc_fit_on_all"), F.avg("clean").alias("auc_fit_per_fold"))
+    return means.join(ci.drop("excludes_zero"), "head").withColumn("within", (F.col("lo") > -0.01) & (F.col("hi") < 0.01))
+
+
+def shortcut_probe(units: DataFrame, *, unit: str, group: str, views, repeats: int, n_folds: int, floor: float = 0.60) -> DataFrame:
+    """Mean AUC with CI of content-free features; a shortcut that predicts the wrong way still counts."""
+    auc = materialise(grouped_auc(units, unit=unit, group=group, views=views, repeats=repeats, n_folds=n_folds))
+    ci = rs.bootstrap_mean(auc, study="head", order="repeat", value="auc").withColumnRenamed("mean", "auc")
+    return ci.drop("excludes_zero").select("*", *m.directionless("auc", floor))
+
+
+def matched_comparison(
+    units: DataFrame, arms: dict[str, DataFrame], *, unit: str, group: str, age: str, sex: str, tol: int, seeds: int, n_folds: int
+) -> DataFrame:
+    """Representations on one demographically matched subset per seed, the age-only check first.
+
+    An arm that does not cover every matched unit is reported as skipped, not trimmed to fit.
+    """
+    people = units.groupBy(group).agg(
+        F.bround(F.avg("y"), 0).cast("int").alias("y"), F.min(age).alias(age), F.min(sex).alias(sex)
+    )
+    out = None
+    for s in range(seeds):
+        pairs = ds.caliper_match(people, group=group, label="y", age=age, exact=sex, tol=tol, seed=s)
+        chosen = pairs.select(F.explode(F.array("control", "case")).alias(group))
+        rows = materialise(units.join(chosen, group, "left_semi"))
+        gap = ds.match_report(pairs).select("n_pairs", "age_gap").first()
+        n_rows = rows.count()
+        tables = {"age_only": rows.withColumn("x", F.array(F.col(age).cast("double")))}
+        tables.update({k: rows.drop("x").join(a.select(unit, "x"), unit) for k, a in arms.items()})
+        for name, t in tables.items():
+            if t.count() != n_rows:
+                auc, status = None, "SKIPPED: rows without a partner"
+            else:
+                auc = grouped_auc(t, unit=unit, group=group, views=[mod.View(name)], repeats=1, n_folds=n_folds, seed=s)
+                auc, status = auc.first()["auc"], "RUN"
+            row = [(s, name, int(gap["n_pairs"]), float(gap["age_gap"]), n_rows, auc, status)]
+            line = units.sparkSession.createDataFrame(
+                row, "seed int, arm string, n_pairs long, age_gap double, n_units long, auc double, status string"
+            )
+            out = line if out is None else out.unionByName(line)
+    return out
+
+
+def transfer(units: DataFrame, *, unit: str, group: str, corpus: str, n_folds: int = 3) -> DataFrame:
+    """AUC and ECE within and across corpora, each direction fitted on one corpus and scored on the other."""
+    names = [r[0] for r in units.select(corpus).distinct().orderBy(corpus).collect()]
+    if len(names) != 2:
+        raise ValueError("transfer needs exactly two corpora")
+    code = (F.col(corpus) == names[1]).cast("int")
+    data = materialise(units.withColumn("codes", F.array(code)))
+    # model (fold f) trains on the other corpus and scores corpus f
+    across = mod.predict(data, mod.fit_logistic(data, mod.specs([mod.View("across")], 1, 2)), unit=unit, group=group)
+    parts = [across.withColumn("target", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("fold") + 1))]
+    for n in names:
+        own = units.where(F.col(corpus) == n)
+        folds = sp.stratified_folds(own, group=group, label="y", n_folds=n_folds)
+        oof = mod.out_of_fold(own, folds, unit=unit, group=group, views=[mod.View("within")], n_folds=n_folds, repeats=1)
+        parts.append(oof.withColumn("target", F.lit(n)))
+    p = parts[0]
+    for q in parts[1:]:
+        p = p.unionByName(q)
+    p = materialise(p)
+    auc = m.roc_auc(p, score="p", label="y", by=["head", "target"])
+    bins = m.equal_mass_bins(p, score="p", label="y", unit="unit_id", by=["head", "target"])
+    return auc.join(m.ece_from_bins(bins, ["head", "target"]).drop("n"), ["head", "target"])
+
+
+def learning_curve(units: DataFrame, *, unit: str, group: str, views: dict, sizes, n_folds: int, repeats: int, seed: int = 0) -> DataFrame:
+    """AUC per (view, n_train groups) from nested samples: the heads of one hash order per repeat."""
+    people = units.select(group).distinct()
+    ranks = sp.nested_ranks(people, group=group, repeats=repeats, seed=seed)
+    folds = sp.stratified_folds(units, group=group, label="y", n_folds=n_folds, repeats=repeats, seed=seed)
+    data = materialise(mod.attach_codes(units, folds, group=group).join(ranks, group))
+    every = [mod.View(f"{name}|{n}", cols, max_rank=n) for name, cols in views.items() for n in sizes]
+    fits = mod.fit_logistic(data, mod.specs(every, repeats, n_folds))
+    p = materialise(mod.predict(data, fits, unit=unit, group=group))
+    auc = auc_per_repeat(p).groupBy("head").agg(F.avg("auc").alias("auc"))
+    cut = F.split("head", r"\|")
+    return auc.select(F.get(cut, F.lit(0)).alias("view"), F.get(cut, F.lit(1)).cast("int").alias("n_train"), "auc")
+
+
+def crossover(curve: DataFrame, *, a: str, b: str) -> DataFrame:
+    """Smallest n_train at which the leader changes from the size before."""
+    pick = lambda v: F.max(F.when(F.col("view") == v, F.col("auc")))
+    wide = curve.groupBy("n_train").agg((pick(a) - pick(b)).alias("gap"))
+    prev = running_before(wide, order="n_train", tie="n_train", last={"before": "gap"})
+    return prev.agg(F.min(F.when(F.signum("gap") != F.signum("before"), F.col("n_train"))).alias("crossover_n"))
+
+
+def overlap_sweep(units: DataFrame, *, unit: str, group: str, rhos, seed: int = 0) -> DataFrame:
+    """AUC on the fixed test side as rho of its groups also enter training of constant size."""
+    sides = sp.controlled_overlap(units, group=group, unit=unit, rhos=rhos, seed=seed)
+    code = F.when(F.col("side") == "test", 0).when(F.col("side") == "train", 1).otherwise(-1)
+    codes = sides.groupBy(unit).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rho", code.alias("c")))), lambda s: s["c"]).alias("codes")
+    )
+    data = materialise(units.join(codes, unit))
+    fits = mod.fit_logistic(data, [mod.Spec(mod.View("overlap"), i, 0) for i in range(len(rhos))])
+    auc = auc_per_repeat(mod.predict(data, fits, unit=unit, group=group))
+    table = F.element_at(F.array(*[F.lit(float(r)) for r in sorted(rhos)]), F.col("repeat") + 1)
+    n_train = {i: f.n_train for i, f in enumerate(fits)}
+    return auc.select(
+        table.alias("rho"),
+        F.element_at(F.array(*[F.lit(n_train[i]) for i in range(len(rhos))]), F.col("repeat") + 1).alias("n_train_rows"),
+        "n_pos",
+        "n_neg",
+        "auc",
+    )
+
+
+def shuffle_test(units: DataFrame, *, unit: str, group: str, repeats: int, n_folds: int, seed: int = 0, within=()) -> DataFrame:
+    """Real AUC against the AUC under permuted group labels, with a PASS / WEAK / FAIL verdict."""
+    folds = sp.balanced_folds(units, group=group, n_folds=n_folds, repeats=1, seed=seed)
+    people = units.groupBy(group, *within).agg(F.min("y").alias("y"))
+    run = lambda t, name: auc_per_repeat(
+        mod.out_of_fold(t, folds, unit=unit, group=group, views=[mod.View(name)], n_folds=n_folds, repeats=1)
+    ).select("auc")
+    real = run(units, "real").first()["auc"]
+    out = None
+    for s in range(repeats):
+        moved = sp.shuffle_group_labels(people, group=group, label="y", seed=seed + 10 * s, within=list(within))
+        shuffled = units.drop("y").join(moved.select(group, F.col("y_shuffled").alias("y")), group)
+        row = run(shuffled, "shuffled").select(F.lit(real).alias("real"), F.col("auc").alias("shuffled"))
+        out = row if out is None else out.unionByName(row)
+    return inf.shuffle_verdict(out.withColumn("mode", F.lit("within" if within else "hard")), by=["mode"])
+
+
+def subspace_ablation(
+    units: DataFrame, *, unit: str, group: str, ranks, repeats: int, n_folds: int, seed: int = 0
+) -> DataFrame:
+    """AUC after removing the identity subspace and two variance controls, per rank.
+
+    Scatter matrices of all repeats come from two scans; every (repeat, rank, arm) model is
+    fitted by the same Newton scans.
+    """
+    people = units.select(group).distinct()
+    for r in range(repeats):
+        people = sp.holdout(people, group=group, seed=10_000 + seed + r, exact=True).withColumnRenamed("is_train", f"t{r}")
+    keep = [f"t{r}" for r in range(repeats)]
+    people = materialise(people)
+    rows = materialise(units.join(people, group))
+    means = sub.group_means(rows, group=group, extra=keep)
+    between, total = sub.scatter(means, keep=keep), sub.scatter(rows, keep=keep)
+    models, info = [mod.Spec(mod.View("full"), r, f) for r in range(repeats) for f in range(n_folds)], []
+    for r in range(repeats):
+        cov = total[r][2]
+        directions, _ = sub.top_directions(between[r][2], max(ranks))
+        principal, spectrum = sub.top_directions(cov, max(ranks))
+        for k in ranks:
+            share = sub.variance_share(directions[:, :k], cov)
+            matched, matched_share = sub.variance_matched(cov, k, share)
+            top_share = float(spectrum[:k].sum() / spectrum.sum())
+            for arm, basis, v in (
+                ("speaker", directions[:, :k], share),
+                ("pca_topk", principal[:, :k], top_share),
+                ("var_matched", matched, matched_share),
+            ):
+                view = mod.View(f"{arm}|{k}", basis=basis)
+                models += [mod.Spec(view, r, f) for f in range(n_folds)]
+                info.append((r, arm, k, v))
+    folds = sp.balanced_folds(units, group=group, n_folds=n_folds, repeats=repeats, seed=seed)
+    data = materialise(mod.attach_codes(units, folds, group=group))
+    preds = materialise(mod.predict(data, mod.fit_logistic(data, models), unit=unit, group=group))
+    auc = auc_per_repeat(preds)
+    cut = F.split("head", r"\|")
+    arms = auc.where("head <> 'full'").select(
+        "repeat", F.get(cut, F.lit(0)).alias("arm"), F.get(cut, F.lit(1)).cast("int").alias("k"), "auc"
+    )
+    shares = units.sparkSession.createDataFrame(info, "repeat int, arm string, k int, share double")
+    pick = lambda a, c: F.max(F.when(F.col("arm") == a, F.col(c)))
+    wide = materialise(
+        arms.join(shares, ["repeat", "arm", "k"]).groupBy("k", "repeat").agg(
+            *[pick(a, "auc").alias(a) for a in ("speaker", "pca_topk", "var_matched")],
+            *[pick(a, "share").alias(f"share_{a}") for a in ("speaker", "pca_topk", "var_matched")],
+        )
+    )
+    full = auc.where("head = 'full'").agg(F.avg("auc")).first()[0]
+    out = wide.groupBy("k").agg(
+        F.lit(full).alias("auc_full"),
+        *[F.avg(c).alias(f"auc_{c}_removed") for c in ("speaker", "pca_topk", "var_matched")],
+        *[F.avg(f"share_{c}").alias(f"variance_{c}") for c in ("speaker", "pca_topk", "var_matched")],
+    )
+    for c in ("pca_topk", "var_matched"):
+        d = wide.select("k", "repeat", (F.col(c) - F.col("speaker")).alias("d"))
+        ci = rs.bootstrap_mean(d, study="k", order="repeat", value="d").select(
+            "k", *[F.col(x).alias(f"d_{c}_{x}") for x in ("mean", "lo", "hi", "excludes_zero")]
+        )
+        out = out.join(ci, "k")
+    return out
+
+
+def benchmark(
+    units: DataFrame, covariates: DataFrame, *, unit: str, group: str, n_folds: int, repeats: int, n_boot: int, seed: int = 0
+) -> DataFrame:
+    """Learned features against the confound battery on identical folds, with margins and verdicts.
+
+    The pooled prediction table is the one materialisation; all later numbers are queries on it.
+    """
+    folds = materialise(sp.stratified_folds(units, group=group, label="y", n_folds=n_folds, repeats=repeats, seed=seed))
+    fit = dict(unit=unit, group=group, n_folds=n_folds, repeats=repeats)
+    audio = mod.out_of_fold(units, folds, views=[mod.View("logreg")], **fit).withColumn("kind", F.lit("audio"))
+    conf = mod.out_of_fold(covariates, folds, views=mod.confound_views(), **fit).withColumn("kind", F.lit("confound"))
+    pooled = inf.pooled_repeats(audio.unionByName(conf), keys=["kind", "head", "unit_id", "group_id", "y"])
+    long = materialise(pooled.withColumnRenamed("p", "s"))
+    weights = rs.cluster_weights(long.select("group_id").distinct(), group="group_id", n_boot=n_boot, seed=seed + 777)
+    return margins(long, weights, n_repeats=repeats)
