@@ -55,4 +55,4 @@ def sum_arrays(df: DataFrame, accumulate: Callable[[pd.DataFrame, Partial], None
     if int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) > SLOTS:
         parts = parts.groupBy("key", "slot").applyInPandas(_add_blobs, schema)
     whole = parts.groupBy("key").applyInPandas(_add_blobs, schema)
-    return {row["key"]: np.frombuffer(row["blob"], "<f8").copy() for row in whole.select("key", "blob").toLocalIterator()}
+    return {row["key"]: np.frombuffer(row["blob"], "<f8").copy() for row in whole.select("key", "blob").collect()}

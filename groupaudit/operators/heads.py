@@ -1,13 +1,15 @@
-"""Classifier heads from pyspark.ml for wide features, calibration, and identity probes."""
+"""Classifier heads from pyspark.ml, calibration inputs, and identity probes.
+
+The linear SVM head lives with the batched linear models."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (
     GBTClassifier,
-    LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
 )
@@ -21,10 +23,9 @@ from groupaudit.operators.inference import rank_average, top_members
 from groupaudit.operators.metrics import roc_auc
 from groupaudit.session import materialise
 
-# Hyper-parameters of the four heads.
+# Hyper-parameters of the heads.
 HEADS: dict[str, Callable[[int, int, int], Estimator]] = {
     "logreg": lambda d, n, seed: LogisticRegression(maxIter=500, regParam=1.0 / n, standardization=False),
-    "linsvm": lambda d, n, seed: LinearSVC(maxIter=200, regParam=1.0 / (0.1 * n), standardization=False),
     "mlp": lambda d, n, seed: MultilayerPerceptronClassifier(layers=[d, 256, 2], maxIter=100, seed=seed),
     "gbt": lambda d, n, seed: GBTClassifier(maxIter=200, stepSize=0.1, seed=seed),
 }
@@ -37,6 +38,9 @@ def make_head(name: str, d: int, n_train: int, seed: int) -> Estimator:
     return est.setFeaturesCol("features").setLabelCol("label")
 
 
+ROWS_PER_TASK = 20_000  # below this an iterative fit spends its time on task overhead
+
+
 def _prepare(df: DataFrame) -> DataFrame:
     return df.withColumn("raw", array_to_vector("x")).withColumn("label", F.col("y").cast("double"))
 
@@ -47,63 +51,41 @@ def scaled(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
     return model.transform(train), model.transform(test)
 
 
-def fit_predict(
-    name: str, train: DataFrame, test: DataFrame, *, group: str, seed: int = 0, inner: DataFrame | None = None
-) -> DataFrame:
-    """Test rows with ``p``; the SVM is Platt-calibrated on group-disjoint inner folds of the training rows."""
+def fit_predict(name: str, train: DataFrame, test: DataFrame, *, seed: int = 0) -> DataFrame:
+    """Test rows with ``p``: scaled on the training side, fitted there only."""
     tr, te = scaled(_prepare(train), _prepare(test))
-    row = tr.select(F.size("x").alias("d")).first()
-    n = tr.count()
-    if name != "linsvm":
-        model = make_head(name, row["d"], n, seed).fit(tr)
-        out = model.transform(te).withColumn("p", F.get(vector_to_array("probability"), F.lit(1)))
-        return out.select(*test.columns, "p")
-    return _calibrated_svm(tr, te, test.columns, row["d"], n, group, seed, inner)
-
-
-def _calibrated_svm(tr, te, columns, d, n, group, seed, inner) -> DataFrame:
-    """One SVM per inner fold, a sigmoid fitted on its held-out margin, copies averaged."""
-    if inner is None:
-        raise ValueError("the SVM head needs inner folds (group, inner_fold)")
-    data = tr.join(inner.select(group, "inner_fold"), group)
-    folds = [r[0] for r in inner.select("inner_fold").distinct().orderBy("inner_fold").collect()]
-    scored = te
-    for f in folds:
-        svm = make_head("linsvm", d, n, seed).fit(data.where(F.col("inner_fold") != f))
-        margin = lambda df: svm.transform(df).withColumn(
-            "margin", array_to_vector(F.array(F.get(vector_to_array("rawPrediction"), F.lit(1))))
-        )
-        held = margin(data.where(F.col("inner_fold") == f)).select("margin", "label")
-        platt = LogisticRegression(maxIter=100, featuresCol="margin", labelCol="label").fit(held)
-        b0, b1 = float(platt.intercept), float(platt.coefficients[0])
-        scored = margin(scored).withColumn(
-            f"_p{f}", 1 / (1 + F.exp(-(b0 + b1 * F.get(vector_to_array("margin"), F.lit(0)))))
-        ).drop("margin", "rawPrediction", "prediction")
-    mean = sum((F.col(f"_p{f}") for f in folds[1:]), F.col(f"_p{folds[0]}")) / len(folds)
-    return scored.withColumn("p", mean).select(*columns, "p")
+    n, d = tr.agg(F.count("*"), F.first(F.size("x"))).first()
+    data = tr.select("features", "label").coalesce(n // ROWS_PER_TASK + 1).persist()
+    model = make_head(name, d, n, seed).fit(data)
+    data.unpersist()
+    return model.transform(te).select(*test.columns, F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
 
 
 def heads_out_of_fold(
-    units: DataFrame, folds: DataFrame, *, unit: str, group: str, heads: list[str], inner: DataFrame | None = None, seed: int = 0
+    units: DataFrame, folds: DataFrame, *, unit: str, group: str, heads: list[str], seed: int = 0, parallelism: int = 4
 ) -> DataFrame:
     """(head, repeat, fold, unit_id, group_id, y, p) of pyspark.ml heads.
 
-    The driver loops over (repeat, fold, head) only; every fit and transform is distributed.
+    The driver iterates over (repeat, fold, head) only, a few fits at a time; every fit and
+    transform is distributed.
     """
     data = materialise(units.join(folds.select("repeat", group, "fold"), group))
     cells = [tuple(r) for r in data.select("repeat", "fold").distinct().orderBy("repeat", "fold").collect()]
-    out = None
-    for rep, f in cells:
+
+    def cell(job: tuple[int, int, str]) -> DataFrame:
+        rep, f, h = job
         rows = data.where(F.col("repeat") == rep)
         train, test = rows.where(F.col("fold") != f), rows.where(F.col("fold") == f)
-        mine = None if inner is None else inner.where((F.col("repeat") == rep) & (F.col("outer_fold") == f))
-        for h in heads:
-            p = fit_predict(h, train, test, group=group, seed=seed + rep, inner=mine)
-            p = p.select(
-                F.lit(h).alias("head"), "repeat", "fold", F.col(unit).cast("string").alias("unit_id"),
-                F.col(group).cast("string").alias("group_id"), "y", "p",
-            )
-            out = p if out is None else out.unionByName(p)
+        return fit_predict(h, train, test, seed=seed + rep).select(
+            F.lit(h).alias("head"), "repeat", "fold", F.col(unit).cast("string").alias("unit_id"),
+            F.col(group).cast("string").alias("group_id"), "y", "p",
+        )
+
+    with ThreadPool(parallelism) as pool:
+        parts = pool.map(cell, [(rep, f, h) for rep, f in cells for h in heads])
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return materialise(out)
 
 

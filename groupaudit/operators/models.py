@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groupaudit.operators.arraysum import Partial, add_to, matrix, sum_arrays
-from groupaudit.session import materialise
+from groupaudit.session import materialise, spread
 
 
 @dataclass(frozen=True)
@@ -39,6 +39,7 @@ class Spec:
     view: View
     design: int
     fold: int
+    own: bool = False  # train on the rows with this very code (a calibration slice)
 
 
 @dataclass
@@ -66,7 +67,7 @@ def specs(views: Sequence[View], designs: int, folds: int) -> list[Spec]:
 
 def _train_mask(codes: np.ndarray, ranks: np.ndarray | None, s: Spec) -> np.ndarray:
     c = codes[:, s.design]
-    mask = (c != s.fold) & (c >= 0)
+    mask = c == s.fold if s.own else (c != s.fold) & (c >= 0)
     if s.view.max_rank is not None:
         mask &= ranks[:, s.design] <= s.view.max_rank
     return mask
@@ -116,21 +117,39 @@ def _standard(v: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(z)), z])
 
 
-def fit_logistic(
+def _logistic(eta: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Loss per row with its first and second derivative in eta."""
+    p = 1.0 / (1.0 + np.exp(-eta))
+    return np.logaddexp(0.0, eta) - y * eta, p - y, p * (1 - p)
+
+
+def _squared_hinge(eta: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    s = 2 * y - 1
+    gap = np.maximum(0.0, 1 - s * eta)
+    return gap * gap, -2 * s * gap, 2.0 * (gap > 0)
+
+
+LOSSES = {"logistic": _logistic, "squared_hinge": _squared_hinge}
+
+
+def fit_linear(
     df: DataFrame,
     models: Sequence[Spec],
     *,
+    loss: str = "logistic",
     l2: float = 1.0,
     scale: bool = True,
     intercept: bool = True,
+    penalise_intercept: bool = False,
     whole_table: bool = False,
     tol: float = 1e-8,
     max_iter: int = 50,
 ) -> list[Fit]:
-    """Newton's method on sum of log losses + l2/2 |w|^2 (free intercept), all models per scan.
+    """Newton's method on sum of losses + l2/2 |w|^2, all models per scan.
 
-    With l2 = 1 this is the objective of the usual C = 1 logistic regression.  Steps are halved
-    for a model whose objective went up.  Meant for d up to a few hundred.
+    With the logistic loss, l2 = 1 and a free intercept this is the usual C = 1 logistic
+    regression.  Steps are halved for a model whose objective went up.  Meant for d up to a few
+    hundred: one scan adds up a d x d matrix per model.
     """
     first = train_statistics(df, models, whole_table=whole_table)
     missing = [s for i, s in enumerate(models) if i not in first or first[i][2] == 0]
@@ -139,6 +158,7 @@ def fit_logistic(
     stats = {
         i: (m if scale else np.zeros_like(m), s if scale else np.ones_like(s), n, k) for i, (m, s, n, k) in first.items()
     }
+    per_row = LOSSES[loss]
     beta = {i: np.zeros(len(stats[i][0]) + 1) for i in stats}
     step = {i: np.zeros_like(b) for i, b in beta.items()}
     best = {i: np.inf for i in beta}
@@ -157,29 +177,27 @@ def fit_logistic(
                 z = _standard(s.view.apply(x[m]), stats[i][0], stats[i][1])
                 if not intercept:
                     z[:, 0] = 0.0
-                eta, yy, ww = z @ b, y[m], w[m]
-                p = 1.0 / (1.0 + np.exp(-eta))
-                loss = float((ww * (np.logaddexp(0.0, eta) - yy * eta)).sum())
-                grad = z.T @ (ww * (p - yy))
-                hess = (z * (ww * p * (1 - p))[:, None]).T @ z
-                add_to(acc, i, np.concatenate([[loss, (ww * yy).sum(), ww.sum()], grad, hess.ravel()]))
+                yy, ww = y[m], w[m]
+                value, slope, curve = per_row(z @ b, yy)
+                grad = z.T @ (ww * slope)
+                hess = (z * (ww * curve)[:, None]).T @ z
+                add_to(acc, i, np.concatenate([[ww @ value, ww @ yy, ww.sum()], grad, hess.ravel()]))
 
         for i, a in sum_arrays(df, newton).items():
             b, d = trial[i], len(trial[i])
             if a[1] <= 0 or a[1] >= a[2]:
                 raise ValueError(f"one training class for {models[i]}")
             reg = np.full(d, l2)
-            reg[0] = 0.0 if intercept else 1.0
-            loss = a[0] + 0.5 * float(reg @ (b * b))
+            if not penalise_intercept:
+                reg[0] = 0.0 if intercept else 1.0
+            value = a[0] + 0.5 * float(reg @ (b * b))
             iters[i] += 1
-            if not np.isfinite(loss) or loss > best[i] + 1e-9 * max(1.0, abs(best[i])):
+            if not np.isfinite(value) or value > best[i] + 1e-9 * max(1.0, abs(best[i])):
                 step[i] = step[i] / 2
-                if np.abs(step[i]).max() < tol:
-                    active.discard(i)
-                continue
-            beta[i], best[i] = b, loss
-            grad, hess = a[3 : 3 + d] + reg * b, a[3 + d :].reshape(d, d) + np.diag(reg)
-            step[i] = -np.linalg.lstsq(hess, grad, rcond=None)[0]
+            else:
+                beta[i], best[i] = b, value
+                grad, hess = a[3 : 3 + d] + reg * b, a[3 + d :].reshape(d, d) + np.diag(reg)
+                step[i] = -np.linalg.lstsq(hess, grad, rcond=None)[0]
             if np.abs(step[i]).max() < tol:
                 active.discard(i)
         if not active:
@@ -187,22 +205,40 @@ def fit_logistic(
     return [Fit(s, stats[i][0], stats[i][1], beta[i], stats[i][2], stats[i][3], iters[i]) for i, s in enumerate(models)]
 
 
+def sigmoid(eta: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-eta))
+
+
 PREDICTIONS = "head string, repeat int, fold int, unit_id string, group_id string, y int, p double"
 
 
-def predict(df: DataFrame, fits: Sequence[Fit], *, unit: str, group: str, own_fold: bool = True) -> DataFrame:
-    """Long prediction table; each model scores the rows of its own fold (or every row)."""
+def predict(
+    df: DataFrame,
+    fits: Sequence[Fit],
+    *,
+    unit: str,
+    group: str,
+    code: int | None = None,
+    platt: Sequence[tuple[float, float]] | None = None,
+    margin: bool = False,
+) -> DataFrame:
+    """Long prediction table: each model scores the rows of its own fold, or those with ``code``.
+
+    ``p`` is the logistic of the margin, of ``b0 + b1 * margin`` with ``platt`` pairs, or the bare margin.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
             x, y, codes, _, _ = _batch(pdf)
-            for f in fits:
-                m = codes[:, f.spec.design] == f.spec.fold if own_fold else np.ones(len(pdf), bool)
+            for i, f in enumerate(fits):
+                m = codes[:, f.spec.design] == (f.spec.fold if code is None else code)
                 if not m.any():
                     continue
                 eta = _standard(f.spec.view.apply(x[m]), f.mean, f.scale) @ f.beta
+                if platt is not None:
+                    eta = platt[i][0] + platt[i][1] * eta
                 yield pd.DataFrame(
                     {
                         "head": f.spec.view.name,
@@ -211,7 +247,7 @@ def predict(df: DataFrame, fits: Sequence[Fit], *, unit: str, group: str, own_fo
                         "unit_id": pdf["_unit"].to_numpy()[m],
                         "group_id": pdf["_group"].to_numpy()[m],
                         "y": y[m].astype(int),
-                        "p": 1.0 / (1.0 + np.exp(-eta)),
+                        "p": eta if margin else sigmoid(eta),
                     }
                 )
 
@@ -234,10 +270,13 @@ def out_of_fold(
     """Gate, scale on train, fit and score every (view, repeat, fold); the result is materialised once."""
     from groupaudit.operators.splits import require_disjoint
 
-    checked = units.select(group, *([provenance] if provenance else [])).join(folds.select(group, "repeat", "fold"), group)
-    require_disjoint(checked, group=group, provenance=provenance)
-    data = materialise(attach_codes(units, folds, group=group))
-    fits = fit_logistic(data, specs(views, repeats, n_folds), **fit_args)
+    folds = materialise(folds.select(group, "repeat", "fold"))
+    # units get their fold through the group key, so the gate on the group table covers them
+    require_disjoint(folds, group=group)
+    if provenance and not units.where(F.col(provenance) != "participant").isEmpty():
+        raise ValueError("group ids are recording proxies: no group-disjoint claim is possible")
+    data = spread(attach_codes(units, folds, group=group))
+    fits = fit_linear(data, specs(views, repeats, n_folds), **fit_args)
     return materialise(predict(data, fits, unit=unit, group=group))
 
 
@@ -266,6 +305,32 @@ def confound_views(names: Sequence[str] = tuple(CONFOUND_SETS)) -> list[View]:
     return [View(f"confound::{n}", CONFOUND_SETS[n]) for n in names]
 
 
+def svm_platt(
+    units: DataFrame, inner: DataFrame, *, unit: str, group: str, n_outer: int, n_inner: int, c: float = 0.1
+) -> DataFrame:
+    """Linear SVM (squared hinge) with sigmoid calibration on group-disjoint inner folds.
+
+    ``inner`` has (outer_fold, group, inner_fold) for training groups.  Every (outer, inner) copy
+    is fitted at once, calibrated on its held-out inner fold and averaged on the outer test rows.
+    """
+    designs = inner.select(F.col("outer_fold").alias("repeat"), group, F.col("inner_fold").alias("fold"))
+    people = units.select(group).distinct().withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(n_outer - 1))))
+    # a group without an inner fold is on the outer test side
+    codes = people.join(designs, ["repeat", group], "left").withColumn("fold", F.coalesce("fold", F.lit(-1)))
+    data = materialise(attach_codes(units, codes, group=group))
+    fits = fit_linear(
+        data, specs([View("linsvm")], n_outer, n_inner), loss="squared_hinge", l2=1.0 / c, penalise_intercept=True
+    )
+    held = predict(data, fits, unit=unit, group=group, margin=True)
+    slices = held.select("y", F.array("p").alias("x"), F.array(F.col("repeat") * n_inner + F.col("fold")).alias("codes"))
+    every = range(n_outer * n_inner)
+    sig = fit_linear(
+        materialise(slices), [Spec(View("platt"), 0, k, own=True) for k in every], l2=1e-6, scale=False
+    )
+    out = predict(data, fits, unit=unit, group=group, code=-1, platt=[tuple(s.beta) for s in sig])
+    return out.groupBy("head", F.col("repeat").alias("fold"), "unit_id", "group_id", "y").agg(F.avg("p").alias("p"))
+
+
 # --- residualisation ------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,8 +15,9 @@ def quantile_bounds(df: DataFrame, column: str, n_buckets: int = 64) -> list[flo
     The edges steer load balance only; results are exact for any edges.
     """
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    edges = df.approxQuantile(column, probs, 0.25 / n_buckets)
-    return sorted(set(edges))
+    sketch = F.percentile_approx(F.col(column).cast("double"), probs, 8 * n_buckets)
+    edges = df.agg(sketch.alias("q")).first()["q"]
+    return sorted({e for e in edges or [] if not math.isnan(e)})
 
 
 def bucket_of(score: Column, bounds: Sequence[float]) -> Column:

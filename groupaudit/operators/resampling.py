@@ -100,11 +100,11 @@ def paired_deltas(
     by = list(by)
     if bounds is None:
         bounds = quantile_bounds(df.select(_sides(a, b)).select("_x.s"), "s")
-    d = _collapsed(df, group, label, [a, b], by).join(weights, group)
-    long = d.select(*by, "b", label, (F.col("w") * F.col("_c")).alias("_w"), _sides(a, b)).select(
-        *by, "b", label, "_w", "_x.side", "_x.s"
-    )
-    auc = roc_auc(long, score="s", label=label, by=[*by, "b", "side"], weight="_w", bounds=bounds)
+    # the sides share the draw, not the rows: each collapses to its own distinct scores first
+    long = df.select(*by, group, label, _sides(a, b)).select(*by, group, label, "_x.*")
+    d = _collapsed(long, group, label, ["s"], [*by, "side"]).join(weights, group)
+    d = d.withColumn("_w", F.col("w") * F.col("_c"))
+    auc = roc_auc(d, score="s", label=label, by=[*by, "b", "side"], weight="_w", bounds=bounds)
     return auc.groupBy(*by, "b").agg((_side_auc("a") - _side_auc("b")).alias("metric"))
 
 

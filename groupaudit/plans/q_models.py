@@ -72,7 +72,7 @@ def m02b(spark, d):
     """All (repeat, fold) probes of one covariate set from shared Newton scans: their coefficients."""
     units = confound_units(spark, d)
     data = materialise(mod.attach_codes(units.drop("age", "sex"), folds(spark, d), group="speaker_id"))
-    fits = mod.fit_logistic(data, mod.specs([mod.View("age_sex", (0, 1))], 3, 5))
+    fits = mod.fit_linear(data, mod.specs([mod.View("age_sex", (0, 1))], 3, 5))
     rows = [(f.spec.design, f.spec.fold, f.n_train, f.n_imputed, *map(float, np.round(f.beta, 6))) for f in fits]
     return spark.createDataFrame(rows, "repeat int, fold int, n_train long, n_imputed long, b0 double, b_age double, b_sex double")
 
@@ -134,11 +134,13 @@ def m01(spark, d):
     return st.auc_per_repeat(oof).join(n, ["head", "repeat"]).select("head", "repeat", "n_predictions", "n_units", r("auc"))
 
 
-def _heads(spark, d, names, n_folds, inner=False):
+def _heads(spark, d, names, n_folds):
     u = vectors(spark, d)
     f = sp.stratified_folds(u, group="speaker_id", label="y", n_folds=n_folds)
-    inn = sp.inner_folds(f, group="speaker_id", outer=n_folds) if inner else None
-    oof = hd.heads_out_of_fold(u, f, heads=names, inner=inn, **KEYS)
+    return _head_auc(hd.heads_out_of_fold(u, f, heads=names, **KEYS))
+
+
+def _head_auc(oof):
     return m.roc_auc(oof, score="p", label="y", by=["head"]).select("head", "n_pos", "n_neg", r("auc"))
 
 
@@ -149,7 +151,10 @@ def m02(spark, d):
 
 @query("m03_svm_platt")
 def m03(spark, d):
-    return _heads(spark, d, ["linsvm"], 2, inner=True)
+    u = vectors(spark, d)
+    f = sp.stratified_folds(u, group="speaker_id", label="y", n_folds=5)
+    inner = sp.inner_folds(f, group="speaker_id", outer=5)
+    return _head_auc(materialise(mod.svm_platt(u, inner, n_outer=5, n_inner=3, **KEYS)))
 
 
 @query("m04_mlp_head")
@@ -178,13 +183,13 @@ def m10(spark, d):
     data = materialise(slices)
     # fold 2 is the test side, fold 1 the inner slice, fold 0 fits the score itself
     base = materialise(data.withColumn("codes", F.array(F.when(F.get("codes", F.lit(0)) == 0, 1).otherwise(0))))
-    fit = mod.fit_logistic(base, [mod.Spec(mod.View("raw"), 0, 0)])
+    fit = mod.fit_linear(base, [mod.Spec(mod.View("raw"), 0, 0)])
     scored = mod.predict(base, fit, **KEYS).join(f.select(F.col("speaker_id").alias("group_id"), F.col("fold").alias("part")), "group_id")
     scored = materialise(scored.select("unit_id", "group_id", "y", "p", "part"))
     out = scored.where("part = 2").select(F.lit("none").alias("calibrator"), "unit_id", "y", "p")
     for name, cols in hd.calibration_features().items():
         t = scored.select("unit_id", "group_id", "y", F.array(*cols).alias("x"), F.array(F.when(F.col("part") == 2, 0).otherwise(1)).alias("codes"))
-        cal = mod.fit_logistic(materialise(t), [mod.Spec(mod.View(name), 0, 0)], l2=1e-6, scale=False, intercept=name != "temperature")
+        cal = mod.fit_linear(materialise(t), [mod.Spec(mod.View(name), 0, 0)], l2=1e-6, scale=False, intercept=name != "temperature")
         p = mod.predict(t, cal, unit="unit_id", group="group_id")
         out = out.unionByName(p.select(F.lit(name).alias("calibrator"), "unit_id", "y", "p"))
     iso = hd.isotonic(scored.where("part = 1"), scored.where("part = 2"))
@@ -387,7 +392,7 @@ def w07(spark, d):
     every = f.select("speaker_id").distinct().withColumn("repeat", F.explode(F.array(*[F.lit(i) for i in range(3)])))
     codes = every.join(by_outer, ["repeat", "speaker_id"], "left").withColumn("fold", F.coalesce("fold", F.lit(-1)))
     data = materialise(mod.attach_codes(u, codes, group="speaker_id"))
-    inner_oof = mod.predict(data, mod.fit_logistic(data, mod.specs(views, 3, 3)), **KEYS)
+    inner_oof = mod.predict(data, mod.fit_linear(data, mod.specs(views, 3, 3)), **KEYS)
     auc = m.roc_auc(inner_oof, score="p", label="y", by=["repeat", "head"]).select(
         F.lit(0).alias("repeat"), F.col("repeat").alias("fold"), "head", "auc"
     )

@@ -147,7 +147,7 @@ def transfer(units: DataFrame, *, unit: str, group: str, corpus: str, n_folds: i
     code = (F.col(corpus) == names[1]).cast("int")
     data = materialise(units.withColumn("codes", F.array(code)))
     # model (fold f) trains on the other corpus and scores corpus f
-    across = mod.predict(data, mod.fit_logistic(data, mod.specs([mod.View("across")], 1, 2)), unit=unit, group=group)
+    across = mod.predict(data, mod.fit_linear(data, mod.specs([mod.View("across")], 1, 2)), unit=unit, group=group)
     parts = [across.withColumn("target", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("fold") + 1))]
     for n in names:
         own = units.where(F.col(corpus) == n)
@@ -170,7 +170,7 @@ def learning_curve(units: DataFrame, *, unit: str, group: str, views: dict, size
     folds = sp.stratified_folds(units, group=group, label="y", n_folds=n_folds, repeats=repeats, seed=seed)
     data = materialise(mod.attach_codes(units, folds, group=group).join(ranks, group))
     every = [mod.View(f"{name}|{n}", cols, max_rank=n) for name, cols in views.items() for n in sizes]
-    fits = mod.fit_logistic(data, mod.specs(every, repeats, n_folds))
+    fits = mod.fit_linear(data, mod.specs(every, repeats, n_folds))
     p = materialise(mod.predict(data, fits, unit=unit, group=group))
     auc = auc_per_repeat(p).groupBy("head").agg(F.avg("auc").alias("auc"))
     cut = F.split("head", r"\|")
@@ -193,7 +193,7 @@ def overlap_sweep(units: DataFrame, *, unit: str, group: str, rhos, seed: int =
         F.transform(F.array_sort(F.collect_list(F.struct("rho", code.alias("c")))), lambda s: s["c"]).alias("codes")
     )
     data = materialise(units.join(codes, unit))
-    fits = mod.fit_logistic(data, [mod.Spec(mod.View("overlap"), i, 0) for i in range(len(rhos))])
+    fits = mod.fit_linear(data, [mod.Spec(mod.View("overlap"), i, 0) for i in range(len(rhos))])
     auc = auc_per_repeat(mod.predict(data, fits, unit=unit, group=group))
     table = F.element_at(F.array(*[F.lit(float(r)) for r in sorted(rhos)]), F.col("repeat") + 1)
     n_train = {i: f.n_train for i, f in enumerate(fits)}
@@ -258,7 +258,7 @@ def subspace_ablation(
                 info.append((r, arm, k, v))
     folds = sp.balanced_folds(units, group=group, n_folds=n_folds, repeats=repeats, seed=seed)
     data = materialise(mod.attach_codes(units, folds, group=group))
-    preds = materialise(mod.predict(data, mod.fit_logistic(data, models), unit=unit, group=group))
+    preds = materialise(mod.predict(data, mod.fit_linear(data, models), unit=unit, group=group))
     auc = auc_per_repeat(preds)
     cut = F.split("head", r"\|")
     arms = auc.where("head <> 'full'").select(

@@ -57,6 +57,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Materialise for repeated compute-heavy scans: a small table still occupies every core."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    done = materialise(df)
+    if done.rdd.getNumPartitions() >= cores:
+        return done
+    return materialise(done.repartition(cores))
+
+
 def through_parquet(df: DataFrame, name: str) -> DataFrame:
     """Write once below the shared folder and scan it back with column pruning."""
     spark = df.sparkSession
