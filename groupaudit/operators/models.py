@@ -3,7 +3,8 @@
 A unit carries its feature array ``x`` (NaN = missing), label ``y`` and an array ``codes`` with
 one partition code per design (for repeated folds: its fold in every repeat).  Model (view,
 design, fold) trains on rows with another non-negative code and predicts the rows with its own.
-All models advance together: one scan per Newton step, whatever their number.
+All models advance together: one scan per Newton step, whatever their number.  An optional array
+``ys`` gives every design its own label (permuted labels, for instance) in place of ``y``.
 """
 
 from __future__ import annotations
@@ -77,7 +78,11 @@ def _batch(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     codes = np.array(pdf["codes"].tolist(), dtype=np.int64)
     ranks = np.array(pdf["ranks"].tolist(), dtype=np.int64) if "ranks" in pdf else None
     w = pdf["w"].to_numpy(float) if "w" in pdf else np.ones(len(pdf))
-    return matrix(pdf["x"]), pdf["y"].to_numpy(float), codes, ranks, w
+    if "ys" in pdf:
+        y = matrix(pdf["ys"])
+    else:
+        y = np.broadcast_to(pdf["y"].to_numpy(float)[:, None], codes.shape)
+    return matrix(pdf["x"]), y, codes, ranks, w
 
 
 def train_statistics(
@@ -177,7 +182,7 @@ def fit_linear(
                 z = _standard(s.view.apply(x[m]), stats[i][0], stats[i][1])
                 if not intercept:
                     z[:, 0] = 0.0
-                yy, ww = y[m], w[m]
+                yy, ww = y[m, s.design], w[m]
                 value, slope, curve = per_row(z @ b, yy)
                 grad = z.T @ (ww * slope)
                 hess = (z * (ww * curve)[:, None]).T @ z
@@ -246,12 +251,13 @@ def predict(
                         "fold": f.spec.fold,
                         "unit_id": pdf["_unit"].to_numpy()[m],
                         "group_id": pdf["_group"].to_numpy()[m],
-                        "y": y[m].astype(int),
+                        "y": y[m, f.spec.design].astype(int),
                         "p": eta if margin else sigmoid(eta),
                     }
                 )
 
-    d = df.select("x", "y", "codes", F.col(unit).cast("string").alias("_unit"), F.col(group).cast("string").alias("_group"))
+    extra = ["ys"] if "ys" in df.columns else []
+    d = df.select("x", "y", "codes", *extra, F.col(unit).cast("string").alias("_unit"), F.col(group).cast("string").alias("_group"))
     return d.mapInPandas(run, PREDICTIONS)
 
 
@@ -317,7 +323,7 @@ def svm_platt(
     people = units.select(group).distinct().withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(n_outer - 1))))
     # a group without an inner fold is on the outer test side
     codes = people.join(designs, ["repeat", group], "left").withColumn("fold", F.coalesce("fold", F.lit(-1)))
-    data = materialise(attach_codes(units, codes, group=group))
+    data = spread(attach_codes(units, codes, group=group))
     fits = fit_linear(
         data, specs([View("linsvm")], n_outer, n_inner), loss="squared_hinge", l2=1.0 / c, penalise_intercept=True
     )

@@ -77,11 +77,11 @@ def m02b(spark, d):
     return spark.createDataFrame(rows, "repeat int, fold int, n_train long, n_imputed long, b0 double, b_age double, b_sex double")
 
 
-def confound_oof(spark, d):
+def confound_oof(spark, d, names=tuple(mod.CONFOUND_SETS), repeats=3):
     units = confound_units(spark, d).drop("age", "sex")
-    return mod.out_of_fold(
-        units, folds(spark, d), unit="session_id", group="speaker_id", views=mod.confound_views(), n_folds=5, repeats=3
-    )
+    f = sp.stratified_folds(fx.sessions(spark, d), group="speaker_id", label="y", repeats=repeats, seed=7)
+    views = mod.confound_views(names)
+    return mod.out_of_fold(units, f, unit="session_id", group="speaker_id", views=views, n_folds=5, repeats=repeats)
 
 
 @query("m06_confound_battery")
@@ -217,7 +217,7 @@ def m11(spark, d):
 @query("m12_inverse_propensity")
 def m12(spark, d):
     """AUC of a score before and after weighting rows by inverse class propensity on covariates."""
-    oof = confound_oof(spark, d).where("head = 'confound::age_sex' AND repeat = 0")
+    oof = confound_oof(spark, d, ["age_sex"], repeats=1)
     w = mod.propensity_weights(oof).select(F.col("unit_id").cast("bigint").alias("session_id"), "y", "w")
     s = fx.sessions(spark, d).select("session_id", F.col("duration").alias("s")).join(w, "session_id")
     parts = [

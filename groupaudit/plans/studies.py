@@ -13,7 +13,7 @@ from groupaudit.operators import resampling as rs
 from groupaudit.operators import splits as sp
 from groupaudit.operators import subspace as sub
 from groupaudit.operators.ranks import running_before
-from groupaudit.session import materialise
+from groupaudit.session import materialise, spread
 
 
 def margins(long: DataFrame, weights: DataFrame, *, n_repeats: int) -> DataFrame:
@@ -112,31 +112,54 @@ def matched_comparison(
     """Representations on one demographically matched subset per seed, the age-only check first.
 
     An arm that does not cover every matched unit is reported as skipped, not trimmed to fit.
+    Seeds are designs of one table (unmatched rows carry code -1), so all arms and seeds share scans.
     """
-    people = units.groupBy(group).agg(
-        F.bround(F.avg("y"), 0).cast("int").alias("y"), F.min(age).alias(age), F.min(sex).alias(sex)
+    people = materialise(
+        units.groupBy(group).agg(F.bround(F.avg("y"), 0).cast("int").alias("y"), F.min(age).alias(age), F.min(sex).alias(sex))
     )
-    out = None
+    reports, folds = None, None
     for s in range(seeds):
         pairs = ds.caliper_match(people, group=group, label="y", age=age, exact=sex, tol=tol, seed=s)
         chosen = pairs.select(F.explode(F.array("control", "case")).alias(group))
-        rows = materialise(units.join(chosen, group, "left_semi"))
-        gap = ds.match_report(pairs).select("n_pairs", "age_gap").first()
-        n_rows = rows.count()
-        tables = {"age_only": rows.withColumn("x", F.array(F.col(age).cast("double")))}
-        tables.update({k: rows.drop("x").join(a.select(unit, "x"), unit) for k, a in arms.items()})
-        for name, t in tables.items():
-            if t.count() != n_rows:
-                auc, status = None, "SKIPPED: rows without a partner"
-            else:
-                auc = grouped_auc(t, unit=unit, group=group, views=[mod.View(name)], repeats=1, n_folds=n_folds, seed=s)
-                auc, status = auc.first()["auc"], "RUN"
-            row = [(s, name, int(gap["n_pairs"]), float(gap["age_gap"]), n_rows, auc, status)]
-            line = units.sparkSession.createDataFrame(
-                row, "seed int, arm string, n_pairs long, age_gap double, n_units long, auc double, status string"
-            )
-            out = line if out is None else out.unionByName(line)
-    return out
+        f = sp.balanced_folds(units.join(chosen, group, "left_semi"), group=group, n_folds=n_folds, seed=s)
+        f = f.select(group, F.lit(s).alias("repeat"), "fold")
+        rep = ds.match_report(pairs).select(F.lit(s).alias("seed"), "n_pairs", "age_gap")
+        folds, reports = (f, rep) if folds is None else (folds.unionByName(f), reports.unionByName(rep))
+    folds = materialise(folds)
+    sp.require_disjoint(folds, group=group)
+    every = people.select(group, F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("repeat"))
+    codes = every.join(folds, [group, "repeat"], "left").withColumn("fold", F.coalesce("fold", F.lit(-1)))
+    table = mod.attach_codes(units.drop("x"), codes, group=group)
+    views, parts, at = {"age_only": (0,)}, [F.array(F.col(age).cast("double"))], 1
+    for name, arm in arms.items():
+        d = arm.select(F.size("x")).first()[0]
+        table = table.join(arm.select(unit, F.col("x").alias(f"_x_{name}")), unit, "left")
+        gap = F.array_repeat(F.lit(float("nan")), d)
+        parts.append(F.coalesce(F.transform(f"_x_{name}", lambda v: v.cast("double")), gap))
+        views[name], at = tuple(range(at, at + d)), at + d
+    has = F.array(F.lit(True), *[F.col(f"_x_{name}").isNotNull() for name in arms])
+    data = spread(table.select(unit, group, "y", "codes", F.concat(*parts).alias("x"), has.alias("has")))
+    # how many matched units of each seed every arm covers
+    cover = (
+        data.select(F.posexplode("codes").alias("seed", "code"), "has")
+        .where("code >= 0")
+        .groupBy("seed")
+        .agg(F.count("*").alias("n_units"), *[F.count_if(F.get("has", F.lit(i))).alias(n) for i, n in enumerate(views)])
+    )
+    rows = {r["seed"]: r for r in cover.collect()}  # one row per seed
+    models = [
+        mod.Spec(mod.View(n, cols), s, k)
+        for n, cols in views.items()
+        for s, r in rows.items()
+        if r[n] == r["n_units"]
+        for k in range(n_folds)
+    ]
+    auc = auc_per_repeat(mod.predict(data, mod.fit_linear(data, models), unit=unit, group=group)).select(
+        F.col("repeat").alias("seed"), F.col("head").alias("arm"), "auc"
+    )
+    plan = cover.select("seed", "n_units", F.explode(F.array(*[F.lit(n) for n in views])).alias("arm"))
+    status = F.when(F.col("auc").isNull(), "SKIPPED: rows without a partner").otherwise("RUN")
+    return plan.join(reports, "seed").join(auc, ["seed", "arm"], "left").withColumn("status", status)
 
 
 def transfer(units: DataFrame, *, unit: str, group: str, corpus: str, n_folds: int = 3) -> DataFrame:
@@ -145,7 +168,7 @@ def transfer(units: DataFrame, *, unit: str, group: str, corpus: str, n_folds: i
     if len(names) != 2:
         raise ValueError("transfer needs exactly two corpora")
     code = (F.col(corpus) == names[1]).cast("int")
-    data = materialise(units.withColumn("codes", F.array(code)))
+    data = spread(units.withColumn("codes", F.array(code)))
     # model (fold f) trains on the other corpus and scores corpus f
     across = mod.predict(data, mod.fit_linear(data, mod.specs([mod.View("across")], 1, 2)), unit=unit, group=group)
     parts = [across.withColumn("target", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("fold") + 1))]
@@ -168,7 +191,7 @@ def learning_curve(units: DataFrame, *, unit: str, group: str, views: dict, size
     people = units.select(group).distinct()
     ranks = sp.nested_ranks(people, group=group, repeats=repeats, seed=seed)
     folds = sp.stratified_folds(units, group=group, label="y", n_folds=n_folds, repeats=repeats, seed=seed)
-    data = materialise(mod.attach_codes(units, folds, group=group).join(ranks, group))
+    data = spread(mod.attach_codes(units, folds, group=group).join(ranks, group))
     every = [mod.View(f"{name}|{n}", cols, max_rank=n) for name, cols in views.items() for n in sizes]
     fits = mod.fit_linear(data, mod.specs(every, repeats, n_folds))
     p = materialise(mod.predict(data, fits, unit=unit, group=group))
@@ -192,7 +215,7 @@ def overlap_sweep(units: DataFrame, *, unit: str, group: str, rhos, seed: int =
     codes = sides.groupBy(unit).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rho", code.alias("c")))), lambda s: s["c"]).alias("codes")
     )
-    data = materialise(units.join(codes, unit))
+    data = spread(units.join(codes, unit))
     fits = mod.fit_linear(data, [mod.Spec(mod.View("overlap"), i, 0) for i in range(len(rhos))])
     auc = auc_per_repeat(mod.predict(data, fits, unit=unit, group=group))
     table = F.element_at(F.array(*[F.lit(float(r)) for r in sorted(rhos)]), F.col("repeat") + 1)
@@ -207,20 +230,29 @@ def overlap_sweep(units: DataFrame, *, unit: str, group: str, rhos, seed: int =
 
 
 def shuffle_test(units: DataFrame, *, unit: str, group: str, repeats: int, n_folds: int, seed: int = 0, within=()) -> DataFrame:
-    """Real AUC against the AUC under permuted group labels, with a PASS / WEAK / FAIL verdict."""
-    folds = sp.balanced_folds(units, group=group, n_folds=n_folds, repeats=1, seed=seed)
-    people = units.groupBy(group, *within).agg(F.min("y").alias("y"))
-    run = lambda t, name: auc_per_repeat(
-        mod.out_of_fold(t, folds, unit=unit, group=group, views=[mod.View(name)], n_folds=n_folds, repeats=1)
-    ).select("auc")
-    real = run(units, "real").first()["auc"]
-    out = None
+    """Real AUC against the AUC under permuted group labels, with a PASS / WEAK / FAIL verdict.
+
+    Design 0 keeps the labels, the others permute them; all share folds and scans.
+    """
+    folds = materialise(sp.balanced_folds(units, group=group, n_folds=n_folds, repeats=1, seed=seed))
+    sp.require_disjoint(folds, group=group)
+    people = materialise(units.groupBy(group, *within).agg(F.min("y").alias("y")))
+    labels = people.select(group, F.lit(0).alias("k"), "y")
     for s in range(repeats):
         moved = sp.shuffle_group_labels(people, group=group, label="y", seed=seed + 10 * s, within=list(within))
-        shuffled = units.drop("y").join(moved.select(group, F.col("y_shuffled").alias("y")), group)
-        row = run(shuffled, "shuffled").select(F.lit(real).alias("real"), F.col("auc").alias("shuffled"))
-        out = row if out is None else out.unionByName(row)
-    return inf.shuffle_verdict(out.withColumn("mode", F.lit("within" if within else "hard")), by=["mode"])
+        labels = labels.unionByName(moved.select(group, F.lit(s + 1).alias("k"), F.col("y_shuffled").alias("y")))
+    ys = labels.groupBy(group).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("k", "y"))), lambda v: v["y"]).alias("ys")
+    )
+    codes = folds.select(group, F.array_repeat("fold", repeats + 1).alias("codes"))
+    data = spread(units.join(codes, group).join(ys, group))
+    fits = mod.fit_linear(data, mod.specs([mod.View("probe")], repeats + 1, n_folds))
+    auc = materialise(auc_per_repeat(mod.predict(data, fits, unit=unit, group=group)))
+    real = auc.where("repeat = 0").select("auc").scalar()
+    scores = auc.where("repeat > 0").select(
+        F.lit("within" if within else "hard").alias("mode"), real.alias("real"), F.col("auc").alias("shuffled")
+    )
+    return inf.shuffle_verdict(scores, by=["mode"])
 
 
 def subspace_ablation(
@@ -257,7 +289,7 @@ def subspace_ablation(
                 models += [mod.Spec(view, r, f) for f in range(n_folds)]
                 info.append((r, arm, k, v))
     folds = sp.balanced_folds(units, group=group, n_folds=n_folds, repeats=repeats, seed=seed)
-    data = materialise(mod.attach_codes(units, folds, group=group))
+    data = spread(mod.attach_codes(units, folds, group=group))
     preds = materialise(mod.predict(data, mod.fit_linear(data, models), unit=unit, group=group))
     auc = auc_per_repeat(preds)
     cut = F.split("head", r"\|")
