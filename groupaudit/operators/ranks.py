@@ -9,27 +9,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def quantile_bounds(df: DataFrame, column: str, n_buckets: int = 64) -> list[float]:
+TREE_LEAVES = 256  # a comparison tree up to this size stays one small generated method
+
+
+def _parallelism(df: DataFrame) -> int:
+    """The cluster's shuffle width: how many buckets it takes to keep every task busy."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def quantile_bounds(df: DataFrame, column: str, n_buckets: int | None = None) -> list[float]:
     """Inner bucket edges from a mergeable quantile sketch: one pass, at most n_buckets floats.
 
-    The edges steer load balance only; results are exact for any edges.
+    The edges steer load balance only; results are exact for any edges.  The default number
+    follows the shuffle width.
     """
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    sketch = F.percentile_approx(F.col(column).cast("double"), probs, 8 * n_buckets)
+    n = n_buckets or min(max(64, _parallelism(df)), 4096)
+    probs = [i / n for i in range(1, n)]
+    sketch = F.percentile_approx(F.col(column).cast("double"), probs, 8 * n)
     edges = df.agg(sketch.alias("q")).first()["q"]
     return sorted({e for e in edges or [] if not math.isnan(e)})
 
 
 def bucket_of(score: Column, bounds: Sequence[float]) -> Column:
-    """Index of the bucket holding ``score``, as a balanced tree of comparisons."""
+    """Index of the bucket holding ``score``: a balanced tree of comparisons.
+
+    With many edges the tree picks a run of edges and the position inside it is counted.
+    """
 
-    def tree(lo: int, hi: int) -> Column:
+    def tree(edges: Sequence[float], lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(score < F.lit(float(bounds[mid])), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        return F.when(score < F.lit(float(edges[mid])), tree(edges, lo, mid)).otherwise(tree(edges, mid + 1, hi))
 
-    return tree(0, len(bounds))
+    if len(bounds) < TREE_LEAVES:
+        return tree(bounds, 0, len(bounds))
+    run = -(-len(bounds) // 64)
+    block = tree(bounds[run - 1 :: run], 0, len(bounds[run - 1 :: run]))
+    edges = F.slice(F.array(*[F.lit(float(b)) for b in bounds]), block * run + 1, F.lit(run))
+    return (block * run + F.size(F.filter(edges, lambda e: e <= score))).cast("int")
 
 
 def rank_by_bucket(
@@ -58,14 +76,15 @@ def rank_by_bucket(
 
 
 def hash_rank(
-    df: DataFrame, *, part: Sequence[str] = (), key: str, out: str = "rn", digits: int = 2
+    df: DataFrame, *, part: Sequence[str] = (), key: str, out: str = "rn", digits: int | None = None
 ) -> DataFrame:
     """Exact row_number in the order of a hex digest column.
 
     A digest is uniform, so its leading hex digits cut every group into 16**digits
-    even buckets, however large the group is.
+    even buckets, however large the group is.  The default follows the shuffle width.
     """
     part = list(part)
+    digits = digits or max(2, math.ceil(math.log(4 * _parallelism(df), 16)))
     base = df if part else df.withColumn("_all", F.lit(0))
     ranked = rank_by_bucket(
         base,

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from groupaudit.functions import hashing as h
 from groupaudit.plans import fixtures as fx
+from groupaudit.plans.ingest import ingest
 from groupaudit.plans.registry import query
 from groupaudit.session import scratch_path
 from groupaudit.sources import audio, manifest, tables
@@ -333,3 +334,33 @@ def s12(spark, d):
         F.concat(F.lit("v"), "vec_id").alias("name"), _wav_of("vec_id", "embedding").alias("content")
     )
     return audio.decode(files).select("name", "orig_sample_rate", "n_samples", "reason")
+
+
+_INGEST = """v AS (SELECT vec_id, label, 1000 + vec_id AS session, CASE WHEN vec_id % 17 = 0 THEN 'x' ELSE '' END || (1000 + vec_id) || '-a_h.wav' AS name FROM embeddings),
+  m AS (SELECT 1000 + vec_id AS session, CASE WHEN vec_id % 23 = 0 THEN NULL ELSE label * 100 + vec_id % 6 END AS speaker, vec_id % 3 = 0 AS healthy, vec_id % 2 = 0 AS w FROM embeddings WHERE vec_id % 19 <> 0)"""
+
+
+@query(
+    "s12_ingest_to_manifest",
+    f"""WITH {_INGEST} SELECT name, 'syn_' || speaker AS speaker_id, CASE WHEN healthy THEN 'healthy' WHEN NOT healthy THEN 'pathological' END AS label,
+      CASE WHEN w THEN 'F' WHEN NOT w THEN 'M' ELSE '' END AS sex, CASE WHEN m.session IS NOT NULL THEN 40 END::INTEGER AS age,
+      CASE WHEN vec_id % 17 = 0 THEN 'filename has no numeric session prefix -> no speaker_id' WHEN m.session IS NULL THEN 'absent from metadata -> no speaker_id'
+           WHEN speaker IS NULL THEN 'null speaker_id' WHEN vec_id % 10 = 1 THEN 'too short (0.008s)' WHEN vec_id % 10 = 2 THEN 'digital silence'
+           WHEN vec_id % 10 = 3 THEN 'not a RIFF/WAVE file' WHEN vec_id % 2 = 1 THEN 'too short (0.051s)' END AS reason
+    FROM v LEFT JOIN m ON v.session = m.session AND vec_id % 17 <> 0""",
+)
+def s12_ingest(spark, d):
+    """Vectors as recordings joined with session metadata: accepted rows and every kind of reject."""
+    e = fx.table(spark, d, "embeddings")
+    name = F.concat(F.when(F.col("vec_id") % 17 == 0, "x").otherwise(""), F.col("vec_id") + 1000, F.lit("-a_h.wav"))
+    files = e.select(name.alias("name"), _wav_of("vec_id", "embedding").alias("content"))
+    meta = e.where("vec_id % 19 <> 0").select(
+        (F.col("vec_id") + 1000).alias("session"),
+        F.when(F.col("vec_id") % 23 != 0, F.col("label") * 100 + F.col("vec_id") % 6).alias("speaker"),
+        F.when(F.col("vec_id") % 3 == 0, "healthy").otherwise("Polyp").alias("archive"),
+        F.lit(None).cast("string").alias("pathology"),
+        F.when(F.col("vec_id") % 2 == 0, "w").otherwise("m").alias("sex"),
+        F.lit("1960-03-01").alias("born"),
+        F.lit("2000-09-01").alias("recorded"),
+    )
+    return ingest(files, meta, corpus="syn").select("name", "speaker_id", "label", "sex", "age", "reason")

@@ -118,3 +118,13 @@ def test_exact_percentiles_equal_numpy(spark, scored):
     got = {r["g"]: r for r in rk.exact_percentiles(df, by=["g"], value="s", qs={"a": 0.2, "b": 0.5, "c": 0.87}).collect()}
     for g, part in pdf.groupby("g"):
         assert [got[g][k] for k in "abc"] == pytest.approx(np.percentile(part.s, [20, 50, 87]))
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 300, 1000])
+def test_bucket_of_any_number_of_edges(spark, n):
+    rng = np.random.default_rng(n)
+    bounds = sorted({float(b) for b in rng.random(n).round(4)})
+    x = np.concatenate([rng.random(200), bounds, [-1.0, 2.0]])
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    got = df.select("x", rk.bucket_of(F.col("x"), bounds).alias("b")).toPandas()
+    assert (got.b.to_numpy() == np.searchsorted(bounds, got.x, side="right")).all()
