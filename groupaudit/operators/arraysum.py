@@ -14,7 +14,6 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 Partial = dict[int, np.ndarray]
 SLOTS = 64  # partial arrays one reducer may hold per statistic

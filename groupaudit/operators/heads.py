@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groupaudit.operators.inference import rank_average, top_members
-from groupaudit.operators.metrics import roc_auc
 from groupaudit.session import materialise
 
 # Hyper-parameters of the heads.
@@ -127,7 +126,3 @@ def calibration_features(p: str = "p") -> dict[str, list]:
     q = F.least(F.greatest(F.col(p), F.lit(1e-9)), F.lit(1 - 1e-9))
     logit = F.log(q / (1 - q))
     return {"temperature": [logit], "platt": [logit], "beta": [F.log(q), -F.log(1 - q)]}
-
-
-def inner_auc_by_head(oof: DataFrame) -> DataFrame:
-    return roc_auc(oof, score="p", label="y", by=["repeat", "fold", "head"])

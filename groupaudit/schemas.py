@@ -25,14 +25,3 @@ MANIFEST = T.StructType(
 
 # Columns a manifest must carry before any stage may read it.
 MANIFEST_CONTRACT = ("path", "speaker_id", "label")
-
-PREDICTIONS = T.StructType(
-    [
-        T.StructField("head", T.StringType()),
-        T.StructField("repeat", T.IntegerType()),
-        T.StructField("unit_id", T.StringType()),
-        T.StructField("group_id", T.StringType()),
-        T.StructField("y", T.IntegerType()),
-        T.StructField("p", T.DoubleType()),
-    ]
-)

@@ -64,11 +64,3 @@ def spread(df: DataFrame) -> DataFrame:
     if done.rdd.getNumPartitions() >= cores:
         return done
     return materialise(done.repartition(cores))
-
-
-def through_parquet(df: DataFrame, name: str) -> DataFrame:
-    """Write once below the shared folder and scan it back with column pruning."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groupaudit.functions.arrays import all_finite
 from groupaudit.functions.hashing import canonical_json, order_free_digest, short_sha256
 from groupaudit.functions.scalars import MEMBER_GROUP_PATTERN
 
@@ -246,4 +247,6 @@ def load_features(spark: SparkSession, path: str, key: str) -> DataFrame:
     df = spark.read.parquet(path).where(F.col("content_hash") == key)
     if "speaker_id" not in df.columns:
         raise ValueError("feature table has no speaker_id: splits by group are impossible")
+    if "features" in df.columns and not df.where(~all_finite("features")).isEmpty():
+        raise ValueError("feature table holds missing or non-finite values")
     return df

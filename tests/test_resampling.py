@@ -128,3 +128,10 @@ def test_identity_share_raises_without_support(spark):
     ok = spark.createDataFrame([(0.0565, True), (0.0922, True), (0.5, False)], "d double, excludes_zero boolean")
     r = inf.identity_share(ok, auc_full=F.lit(0.7382)).first()
     assert (round(r["share_lo"], 3), round(r["share_hi"], 3)) == (0.237, 0.387)
+
+
+def test_margin_floor_and_binding_interval(spark):
+    df = spark.createDataFrame([(0.7, 0.4, -0.1, 0.2, 0.0, 0.3)], "a double, bar double, l1 double, h1 double, l2 double, h2 double")
+    assert df.select(inf.honest_margin(F.col("a"), F.col("bar"))).first()[0] == pytest.approx(0.2)
+    r = inf.more_conservative(df, lo_a="l1", hi_a="h1", lo_b="l2", hi_b="h2").first()
+    assert (r["lo"], r["hi"]) == (-0.1, 0.3)

@@ -121,6 +121,25 @@ def test_feature_table_is_reused_by_content(spark, tmp_path):
         tables.write_features(df.drop("speaker_id"), path, "x")
 
 
+def test_non_finite_features_are_refused(spark, tmp_path):
+    rows = [("s1", [0.0, 1.0]), ("s2", [float("nan"), 1.0])]
+    df = spark.createDataFrame(rows, "speaker_id string, features array<double>")
+    path = str(tmp_path / "f")
+    tables.write_features(df.where("speaker_id = 's1'"), path, "good")
+    tables.write_features(df, path, "bad")
+    assert tables.load_features(spark, path, "good").count() == 1
+    with pytest.raises(ValueError, match="non-finite"):
+        tables.load_features(spark, path, "bad")
+
+
+def test_recordings_are_read_from_files(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "1-a.wav").write_bytes(wav(SINE[:16_000]))
+    (tmp_path / "d" / "2-a.nsp").write_bytes(nsp(SINE))
+    got = audio.decode(audio.read_recordings(spark, str(tmp_path / "d"))).collect()
+    assert {(r["name"], r["orig_format"], r["reason"]) for r in got} == {("1-a.wav", "wav", None), ("2-a.nsp", "nsp", None)}
+
+
 def test_incremental_run_picks_up_only_new_files(spark, tmp_path):
     src = str(tmp_path / "in")
     df = spark.range(10)
