@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,3 +67,17 @@ def spread(df: DataFrame) -> DataFrame:
     if done.rdd.getNumPartitions() >= cores:
         return done
     return materialise(done.repartition(cores))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Python functions run on executors, so they need the package there too."""
+    sc = spark.sparkContext
+    if getattr(sc, "_groupaudit_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "groupaudit.zip")  # the driver serves it from here
+    with zipfile.ZipFile(path, "w") as z:
+        for f in package.rglob("*.py"):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(path)
+    sc._groupaudit_shipped = True
