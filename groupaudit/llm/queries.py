@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groupaudit.llm import best_fit, elias_fano, exact_topk, simhash, token_counts
+from groupaudit.llm import best_fit, elias_fano, exact_topk, language, simhash, token_counts
 from groupaudit.llm.common import table
 
 QUERIES: dict = {}
@@ -59,6 +59,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, path=public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.language_id(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query("op3_simhash_components")
 def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents")).drop("group")
