@@ -120,7 +120,6 @@ def identify(docs: DataFrame, model: ByteGRU, *, text: str = "text") -> DataFram
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
     def label(texts: pd.Series) -> pd.DataFrame:
         key = id(shared.value)
         if key not in _WORKER:
@@ -128,8 +127,10 @@ def identify(docs: DataFrame, model: ByteGRU, *, text: str = "text") -> DataFram
             _WORKER[key] = _Reader(shared.value)
         return pd.DataFrame(_WORKER[key].read([t or "" for t in texts]), columns=["lang_pred", "score"])
 
+    # not to be repeated by a filter that is moved below the projection
+    once = F.pandas_udf(label, "lang_pred string, score double").asNondeterministic()
     rest = docs.drop("lang_pred", "score")
-    return rest.withColumn("_l", label(F.col(text))).select(*[F.col(f"`{c}`") for c in rest.columns], "_l.lang_pred", "_l.score")
+    return rest.withColumn("_l", once(F.col(text))).select(*[F.col(f"`{c}`") for c in rest.columns], "_l.lang_pred", "_l.score")
 
 
 def fit(labelled: DataFrame, **bounds: int) -> ByteGRU:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groupaudit.llm import best_fit, elias_fano, exact_topk, language, simhash, token_counts
+from groupaudit.llm import best_fit, decontaminate, elias_fano, exact_topk, language, simhash, token_counts
 from groupaudit.llm.common import table
 
 QUERIES: dict = {}
@@ -68,3 +68,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_simhash_components")
 def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents")).drop("group")
+
+
+@query("op7_benchmark_decontamination")
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
