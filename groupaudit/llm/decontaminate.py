@@ -2,8 +2,8 @@
 
 Items are cut into entries of at most ``entry_words`` words.  A posting's impact is its BM25 weight
 over the entry's score against itself, so that 1 is a full match and one threshold serves all
-entries.  Passages are windows of twice that length, half overlapping, over whole documents; each
-distinct word of a passage is a query term.  For a passage,
+entries.  Passages are windows of five such lengths over whole documents that overlap by one, so that
+any run of an entry's length lies in a passage; each distinct word of a passage is a query term.  For a passage,
 
 1. the largest impacts of its terms are added up: below the threshold it can match no entry;
 2. the largest impacts in each block of entries are added up: blocks below it are skipped;
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from groupaudit.llm.common import small_batches, stored
 
 K1, B = 1.2, 0.75
-BLOCK = 64  # entries of a block
+BLOCK = 16  # entries of a block
+PASSAGE = 5  # words of a passage, in entry lengths
 SHARD_WORDS = 2_000_000  # words of the items of one shard, the size bound of what is broadcast
 HITS = "array<struct<item_id: bigint, score: double, question_overlap: double, answer_overlap: double>>"
 _WORD = re.compile(r"\w+")
@@ -50,6 +51,12 @@ def runs(ws: Sequence[str], n: int) -> set[tuple[str, ...]]:
     return {tuple(ws[i : i + n]) for i in range(max(1, len(ws) - n + 1))} if ws else set()
 
 
+def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All integers of the given half-open ranges, one after the other."""
+    n = ends - starts
+    return np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 class Index:
     """Postings of one shard in term order; within a term in entry order, block by block."""
 
@@ -73,13 +80,12 @@ class Index:
 
     def retrieve(self, terms: np.ndarray, threshold: float) -> dict[int, float]:
         """Entries with a score at the threshold for distinct terms, by block-max WAND."""
-        spans = [np.arange(self.term_block[t], self.term_block[t + 1]) for t in terms]
-        at = np.concatenate(spans)
+        at = ranges(self.term_block[terms], self.term_block[terms + 1])
         bound = np.bincount(self.block[at], weights=self.block_top[at])
         at = at[bound[self.block[at]] >= threshold]
         if not len(at):
             return {}
-        posts = np.concatenate([np.arange(self.block_start[i], self.block_start[i + 1]) for i in at])
+        posts = ranges(self.block_start[at], self.block_start[at + 1])
         score = np.bincount(self.entry[posts], weights=self.impact[posts])
         return {int(e): float(score[e]) for e in np.flatnonzero(score >= threshold)}
 
@@ -89,8 +95,8 @@ class Index:
             return []
         ids = np.fromiter(map(self.terms.get, ws, repeat(len(self.terms))), np.int64, len(ws))
         total = np.concatenate([[0.0], np.cumsum(self.top[ids])])
-        los = np.arange(0, max(1, len(ws) - span), span)
-        his = np.minimum(len(ws), los + 2 * span)
+        los = np.arange(0, max(1, len(ws) - span), PASSAGE * span - span)
+        his = np.minimum(len(ws), los + PASSAGE * span)
         eps = threshold - 1e-9
         found: dict[int, float] = {}
         for i in np.flatnonzero(total[his] - total[los] >= eps):
