@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groupaudit.llm import best_fit, decontaminate, elias_fano, exact_topk, language, simhash, token_counts
+from groupaudit.llm import best_fit, decontaminate, elias_fano, exact_topk, language, simhash, surrogates, token_counts
 from groupaudit.llm.common import table
 
 QUERIES: dict = {}
@@ -73,3 +73,9 @@ def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_benchmark_decontamination")
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_pii_surrogates")
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.pseudonymise(docs, key="audit-2026")
