@@ -111,11 +111,13 @@ class _Reader:
 _WORKER: dict[int, _Reader] = {}
 
 
-def identify(docs: DataFrame, model: ByteGRU, *, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score added, whole texts, no shuffle.
+def identify(
+    docs: DataFrame, model: ByteGRU, *, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """``docs`` with the predicted label and its probability added, whole texts, no shuffle.
 
-    A null text, and one without a letter, is ``und`` with score 0.  Columns of these two names are
-    replaced.  Ids play no part; repeated rows stay.
+    A null text, and one without a letter, is ``und`` with score 0.  Columns that have one of
+    ``names`` are replaced.  Ids play no part; repeated rows stay.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -129,8 +131,9 @@ def identify(docs: DataFrame, model: ByteGRU, *, text: str = "text") -> DataFram
 
     # not to be repeated by a filter that is moved below the projection
     once = F.pandas_udf(label, "lang_pred string, score double").asNondeterministic()
-    rest = docs.drop("lang_pred", "score")
-    return rest.withColumn("_l", once(F.col(text))).select(*[F.col(f"`{c}`") for c in rest.columns], "_l.lang_pred", "_l.score")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    labelled = docs.select(*rest, once(F.col(f"`{text}`")).alias("_label"))
+    return labelled.select(*rest, F.col("_label.lang_pred").alias(names[0]), F.col("_label.score").alias(names[1]))
 
 
 def fit(labelled: DataFrame, **bounds: int) -> ByteGRU:
@@ -151,3 +154,13 @@ def language_id(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     known = docs.where(F.col(doc_id).isNotNull() & ~held_out(doc_id))
     model = fit(known, doc_id=doc_id, text=text, lang=lang)
     return identify(docs.drop("held_out").withColumn("held_out", held_out(doc_id)), model, text=text)
+
+
+def keep_identified(
+    docs: DataFrame, *, least: float = 0.3, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"
+) -> DataFrame:
+    """``docs`` without rows of no language: ``und``, or a probability below ``least``; columns kept."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    model = fit(docs.where(F.col(doc_id).isNotNull() & ~held_out(doc_id)), doc_id=doc_id, text=text, lang=lang)
+    found = identify(docs, model, text=text, names=("_language", "_probability"))
+    return found.where((F.col("_language") != UNKNOWN) & (F.col("_probability") >= least)).select(*names)

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groupaudit.llm.common import small_batches, stored
@@ -63,6 +63,15 @@ def fingerprints(docs: DataFrame, *, words: int = 3, doc_id: str = "doc_id", tex
     return rows.mapInPandas(work, "doc_id string, fp long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def fingerprint_column(text: Column, words: int = 3) -> Column:
+    """The fingerprint of a text column as 16 hex digits."""
+
+    def work(texts: pd.Series) -> pd.Series:
+        return pd.Series([f"{text_fingerprint(t, words) & (1 << 64) - 1:016x}" for t in texts], dtype=object)
+
+    return F.pandas_udf(work, "string").asNondeterministic()(text)
+
+
 def _halves(fp: np.ndarray) -> list[np.ndarray]:
     v = fp.view(np.uint64)
     return [(v >> np.uint64(32)).astype(np.uint32), (v & np.uint64(0xFFFFFFFF)).astype(np.uint32)]
@@ -197,3 +206,28 @@ def simhash_components(
     return fps.join(by_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group"
     )
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
+    """``docs`` with one document of each component: the one with the smallest id.
+
+    Of rows that repeat that id, or where no row of a component has an id, the one with the smallest
+    text stays.  All columns are kept.
+    """
+    names = docs.columns
+    found = stored(simhash_components(docs, doc_id=doc_id, text=text, **options), "components")
+    per_id = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("first")
+    )
+    firsts = stored(per_id.where("first").select(F.col("doc_id").alias("_id"), "n"), "firsts")
+    ours = F.col(f"`{doc_id}`").cast("long")
+    plain = docs.join(firsts.where("n = 1"), ours == F.col("_id"), "left_semi")
+    # ids on several rows, and rows without one, are told apart by their fingerprints
+    odd = docs.join(firsts.where("n > 1"), ours == F.col("_id"), "left_semi").union(docs.where(ours.isNull()))
+    row = F.struct(*[F.col(f"`{c}`") for c in names])
+    odd = odd.select(row.alias("row"), ours.alias("_id"), F.col(f"`{text}`").alias("_t"), fingerprint_column(F.col(f"`{text}`"), **options).alias("fingerprint"))
+    where = found.select("fingerprint", "group", "component_id").distinct()
+    best = odd.join(where, "fingerprint").where(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("group").agg(
+        F.min_by("row", F.struct("_t", F.xxhash64("row"))).alias("row")
+    )
+    return plain.union(best.select("row.*"))
