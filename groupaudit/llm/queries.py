@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groupaudit.llm import best_fit, decontaminate, elias_fano, exact_topk, language, simhash, surrogates, token_counts
+from groupaudit.llm import best_fit, decontaminate, elias_fano, exact_topk, language, simhash, surrogates, token_counts, url_templates
 from groupaudit.llm.common import table
 
 QUERIES: dict = {}
@@ -79,3 +79,18 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return surrogates.pseudonymise(docs, key="audit-2026")
+
+
+RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
+
+
+@query("op5_url_templates")
+def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_templates.template_verdicts(table(spark, sf_dir, "pages"), RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict")
