@@ -16,6 +16,7 @@ follow from the counts; only they pass the driver.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -98,9 +99,12 @@ def best_fit_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
         updates: list[tuple[int, int, int]] = []
         sizes = gaps.sizes()
         for x in sorted((x for x, n in left.items() if n), reverse=True):
-            for gap in sizes[np.searchsorted(sizes, x) :]:
+            for at in range(bisect_left(sizes, x), len(sizes)):
                 if not left[x]:
                     break
+                gap = sizes[at]
+                if not gaps.runs[gap]:
+                    continue
                 per = gap // x
                 for first, n in gaps.take(gap, -(-left[x] // per)):
                     updates += place(x, first, n, per, gap)
