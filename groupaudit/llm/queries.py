@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groupaudit.llm import best_fit, decontaminate, elias_fano, exact_topk, language, simhash, surrogates, token_counts, url_templates
+from groupaudit.llm import backoff_lm, best_fit, decontaminate, elias_fano, exact_topk, language, simhash, surrogates, token_counts, url_templates
 from groupaudit.llm.common import table
 
 QUERIES: dict = {}
@@ -94,3 +94,31 @@ RULES = [
 def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = url_templates.template_verdicts(table(spark, sf_dir, "pages"), RULES)
     return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query(
+    "op6_backoff_scores",
+    r"""
+    WITH t AS (
+        SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\r\f\x0B]+'), lambda w: w <> '') AS w
+        FROM documents),
+    g AS (
+        SELECT doc_id, w[i] AS h, CASE WHEN i > 1 THEN w[i - 1] END AS before
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)),
+    one AS (SELECT h, count(*) AS n FROM g GROUP BY h),
+    two AS (SELECT before, h, count(*) AS n FROM g WHERE before IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
+    seen AS (
+        SELECT two.before, two.h, CAST(round(ln(two.n / one.n) * 1000000) AS BIGINT) AS s
+        FROM two JOIN one ON two.before = one.h),
+    lone AS (
+        SELECT h, CAST(round(ln(n / CAST((SELECT count(*) FROM g) AS DOUBLE)) * 1000000) AS BIGINT)
+                  + CAST(round(ln(0.4) * 1000000) AS BIGINT) AS s FROM one),
+    e AS (
+        SELECT g.doc_id, 1 AS k, coalesce(seen.s, lone.s) AS s
+        FROM g LEFT JOIN seen ON g.before = seen.before AND g.h = seen.h JOIN lone ON g.h = lone.h
+        UNION ALL SELECT doc_id, 0, 0 FROM t)
+    SELECT doc_id, CAST(sum(k) AS BIGINT) AS n_words, CAST(sum(s) AS BIGINT) AS log_score FROM e GROUP BY doc_id
+    """,
+)
+def op6_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.backoff_scores(table(spark, sf_dir, "documents"))
