@@ -41,8 +41,11 @@ def training_windows(
     small_batches(spark)
     ids = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(doc_id, lang)
     first = Window.partitionBy(lang).orderBy(F.xxhash64(doc_id), doc_id)
+    # at most docs_per_label ids for each label that is allowed: small enough to send everywhere
     chosen = ids.withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_per_label).select(doc_id).distinct()
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).join(chosen, doc_id, "left_semi").select(
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).join(
+        F.broadcast(chosen), doc_id, "left_semi"
+    ).select(
         F.col(lang).alias("lang"), F.col(text).alias("text")
     )
 

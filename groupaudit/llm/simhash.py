@@ -221,7 +221,8 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **o
     )
     firsts = stored(per_id.where("first").select(F.col("doc_id").alias("_id"), "n"), "firsts")
     ours = F.col(f"`{doc_id}`").cast("long")
-    plain = docs.join(firsts.where("n = 1"), ours == F.col("_id"), "left_semi")
+    # the list of ids grows with the documents, so that it is merged, never sent out, at any size
+    plain = docs.join(firsts.where("n = 1").hint("merge"), ours == F.col("_id"), "left_semi")
     # ids on several rows, and rows without one, are told apart by their fingerprints
     odd = docs.join(firsts.where("n > 1"), ours == F.col("_id"), "left_semi").union(docs.where(ours.isNull()))
     row = F.struct(*[F.col(f"`{c}`") for c in names])

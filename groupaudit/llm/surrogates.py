@@ -245,7 +245,7 @@ def pseudonymise(docs: DataFrame, *, key: str, text: str = "text", n_chars: str
         .select(hash_, F.col("l.surrogate").alias(list_))
     )
     back = stored(back, "lists")
-    touched = docs.where(maybe).withColumn(hash_, F.sha2(body, 256)).join(back, hash_, "left")
+    touched = docs.where(maybe).withColumn(hash_, F.sha2(body, 256)).join(back.hint("merge"), hash_, "left")
     pieces = F.arrays_zip(F.split(body, ENTITY, -1).alias("a"), F.col(list_).alias("b"))
     new = F.array_join(F.transform(pieces, lambda p: F.concat(p["a"], F.coalesce(p["b"], F.lit("")))), "")
     new = F.when(F.col(list_).isNull(), body).otherwise(new)
