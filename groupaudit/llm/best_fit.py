@@ -6,7 +6,8 @@
 2. A round sweeps lengths and gaps from large to small and hands each length the smallest gap that
    holds it (its successor).  Several pieces that want one gap are settled by rank: as many as fit
    there take it, lower ranks first; the next gap serves the next ranks.  Gaps are then updated and
-   the round repeats; when no piece fits any gap, the largest pieces open sequences.
+   the round repeats.  Pieces over half the capacity open sequences at the start; later, when the
+   largest pieces left fit no gap, they do.
 3. The rounds give runs (length, ranks from - to, sequences from - to).  Tasks look the runs up by
    (length, rank) and so place every piece without a further shuffle.
 
@@ -95,6 +96,17 @@ def best_fit_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
         new = [(gap - per * x, first, whole)] if whole else []
         return new + ([(gap - rest * x, first + whole, 1)] if rest else [])
 
+    def open_sequences(x: int) -> None:
+        nonlocal opened
+        per = capacity // x
+        n = -(-left[x] // per)
+        for gap, first, m in place(x, opened, n, per, capacity):
+            gaps.runs[gap].append((first, m))
+        opened += n
+
+    for x in sorted(left, reverse=True):
+        if 2 * x > capacity:  # no two of these fit together: each opens a sequence
+            open_sequences(x)
     while any(left.values()):
         updates: list[tuple[int, int, int]] = []
         sizes = gaps.sizes()
@@ -112,12 +124,7 @@ def best_fit_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
             gaps.runs[gap].append((first, n))
         largest = max((x for x, n in left.items() if n), default=0)
         if largest and largest > max(gaps.sizes(), default=0):
-            # what fits no gap opens sequences: for the largest pieces, as many as they fill
-            per = capacity // largest
-            n = -(-left[largest] // per)
-            for gap, first, m in place(largest, opened, n, per, capacity):
-                gaps.runs[gap].append((first, m))
-            opened += n
+            open_sequences(largest)
     return runs
 
 

@@ -91,7 +91,7 @@ def exact_top_k(
     Vectors that are null or hold a null or non-finite component, and rows without an id, take no
     part.  Rows that repeat an id count once, with the vector that sorts last.  Of vectors of unequal
     length the missing components count as zero; an empty vector scores 0.  A score beyond a long is
-    held at its end.  Fewer than k others: all of them.  Other columns are ignored.
+    held at its end, and ranks as held.  Fewer than k others: all of them.  Other columns are ignored.
     """
     x = F.col("v")
     finite = lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))

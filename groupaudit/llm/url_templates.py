@@ -23,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groupaudit.llm.common import stored
+
 BLOCK, ALLOW = "block", "allow"
 Z = 1.96  # of a 95 % interval
 
@@ -120,10 +122,11 @@ def template_verdicts(
         merged = merged.select("host", "node", "branch", _purity(F.col("blocked"), F.col("labelled"), F.col("up"), weight).alias("p"))
         step = named.select("host", "node", "seg", "branch").join(merged, ["host", "node", "branch"])
         step = step.select(F.col("host").alias("_h"), F.col("node").alias("_n"), F.col("seg").alias("_s"), "branch", "p")
-        tree = tree.join(step, (F.col("host") == F.col("_h")) & (F.col("node") == F.col("_n")) & (here == F.col("_s")), "left").select(
+        grown = tree.join(step, (F.col("host") == F.col("_h")) & (F.col("node") == F.col("_n")) & (here == F.col("_s")), "left").select(
             "host", "segs", "n", "labelled", "blocked", F.coalesce("p", "purity").alias("purity"),
             F.when(F.col("branch").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), "branch")).alias("node"),
         )
+        tree = stored(grown, "templates")  # the next level reads it several times
     judged = tree.select(F.col("host").alias("_h"), F.col("segs").alias("_segs"), F.col("node").alias("template"), "purity")
     found = ruled.withColumn("segs", _segments(F.col("path"), levels)).join(judged, (F.col("host") == F.col("_h")) & (F.col("segs") == F.col("_segs")), "left")
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("purity") >= threshold, BLOCK).otherwise(ALLOW))
