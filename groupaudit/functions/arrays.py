@@ -22,10 +22,15 @@ def rms(a: str | Column) -> Column:
 
 
 def std_pop(a: str | Column) -> Column:
-    """Two-pass population standard deviation."""
-    a = col(a)
-    centred = F.transform(a, lambda x: x.cast("double") - mean(a))
-    return rms(centred)
+    """Population standard deviation in one pass over running mean and squared deviations."""
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def add(acc: Column, x: Column) -> Column:
+        n, gap = acc["n"] + 1, x.cast("double") - acc["mean"]
+        mean = acc["mean"] + gap / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (acc["m2"] + gap * (x.cast("double") - mean)).alias("m2"))
+
+    return F.aggregate(col(a), zero, add, lambda acc: F.sqrt(F.try_divide(acc["m2"], acc["n"])))
 
 
 def peak(a: str | Column) -> Column:

@@ -72,21 +72,19 @@ def short_sha256(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
-FAN_IN = 65_536  # digests one task may have to hash together
+LEAF_DIGITS = 4  # 65,536 leaves a group at every size, so that a fingerprint depends on its group alone
 
 
 def order_free_digest(df: DataFrame, digest: str, by: Sequence[str] = ()) -> DataFrame:
     """SHA-256 over the *sorted* digests as a tree, so no task sees a whole group.
 
     Leaves are buckets of the leading hex digits of a digest; every level up drops two
-    digits and hashes at most 256 children.  The depth follows the number of digests.
+    digits and hashes at most 256 children.  The depth is the same for every table.
     """
     by = list(by)
     # equal digests collapse first, so copies of one digest cannot pile up in a bucket
     d = df.groupBy(*by, F.col(digest).alias("_d")).agg(F.count("*").alias("_n"))
-    prefix, n = 2, df.agg(F.approx_count_distinct(digest)).first()[0]
-    while n / 16**prefix > FAN_IN:
-        prefix += 2
+    prefix = LEAF_DIGITS
     level = (
         d.groupBy(*by, F.substring("_d", 1, prefix).alias("_b"))
         .agg(F.sort_array(F.collect_list(F.concat_ws(":", "_d", "_n"))).alias("_m"), F.sum("_n").alias("_rows"))
@@ -104,15 +102,17 @@ def order_free_digest(df: DataFrame, digest: str, by: Sequence[str] = ()) -> Dat
     )
 
 
-def order_free_digest_sql(source: str, digest: str, by: Sequence[str] = (), prefix: int = 2) -> str:
+def order_free_digest_sql(source: str, digest: str, by: Sequence[str] = ()) -> str:
     keys = "".join(f"{b}, " for b in by)
     group = f"GROUP BY {', '.join(by)}" if by else ""
+    child = "sha256(string_agg(_b || ':' || _h, chr(10) ORDER BY _b))"
     return f"""
-    SELECT {keys}sha256(string_agg(_b || ':' || _h, chr(10) ORDER BY _b)) AS fingerprint,
-           CAST(sum(_rows) AS BIGINT) AS n_rows
-    FROM (SELECT {keys}_b, sha256(string_agg(_d || ':' || _n, chr(10) ORDER BY _d)) AS _h, sum(_n) AS _rows
-          FROM (SELECT {keys}substr({digest}, 1, {prefix}) AS _b, {digest} AS _d, count(*) AS _n
-                FROM {source} GROUP BY ALL) GROUP BY {keys}_b)
+    SELECT {keys}{child} AS fingerprint, CAST(sum(_rows) AS BIGINT) AS n_rows
+    FROM (SELECT {keys}substr(_b, 1, 2) AS _p, {child} AS _h, sum(_rows) AS _rows
+          FROM (SELECT {keys}_b, sha256(string_agg(_d || ':' || _n, chr(10) ORDER BY _d)) AS _h, sum(_n) AS _rows
+                FROM (SELECT {keys}substr({digest}, 1, {LEAF_DIGITS}) AS _b, {digest} AS _d, count(*) AS _n
+                      FROM {source} GROUP BY ALL) GROUP BY {keys}_b)
+          GROUP BY {keys}_p) AS t({keys}_b, _h, _rows)
     {group}"""
 
 

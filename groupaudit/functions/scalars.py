@@ -172,14 +172,16 @@ LEAK_PATTERNS = {
 ARXIV_PATTERN = r"arXiv:(\d{4}\.\d{4,5})"
 
 
-def first_leak(text: str | Column, width: int = 60) -> tuple[Column, Column]:
-    """(pattern name, first offending snippet), both NULL when the text is clean."""
-    name, snippet = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for k, pattern in reversed(LEAK_PATTERNS.items()):
-        hit = col(text).rlike(pattern)
-        name = F.when(hit, k).otherwise(name)
-        snippet = F.when(hit, F.substring(F.regexp_extract(col(text), f"({pattern})", 1), 1, width)).otherwise(snippet)
-    return name, snippet
+def leaks(text: str | Column) -> Column:
+    """Array of (pattern, snippet): every pattern that occurs, with its first whole occurrence."""
+    found = [
+        F.when(
+            col(text).rlike(pattern),
+            F.struct(F.lit(k).alias("pattern"), F.regexp_extract(col(text), f"({pattern})", 1).alias("snippet")),
+        )
+        for k, pattern in LEAK_PATTERNS.items()
+    ]
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
 def evidence_tier(repeats: Column, control: Column | None = None) -> Column:
@@ -196,7 +198,7 @@ def status_class(status: str | Column) -> Column:
         .when(s.contains("PARTIAL"), "PARTIAL")
         .when(s.contains("FALSIFIED"), "FALSIFIED")
         .when(s.contains("SUPPORTED"), "CLAIM SUPPORTED")
-        .otherwise(F.substring(col(status), 1, 28))
+        .otherwise(col(status))
     )
 
 

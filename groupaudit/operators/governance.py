@@ -125,16 +125,18 @@ def promotion_gate(rows: DataFrame, baseline: DataFrame, *, method: str, side_ax
     """PROMOTE / DEMOTE / HOLD of every (method, rung) against the rung's baseline row.
 
     ``baseline`` has rung, primary_base and <axis>_base.  A tie is no promotion; side axes may
-    lose at most ``tolerance``; audits must be green, the shuffle test from rung 3 on.
+    lose at most ``tolerance``; audits must be green, the shuffle test from rung 3 on.  An audit that
+    was not made is not green; a row that lacks an axis or its baseline waits (HOLD).
     """
     j = rows.join(baseline, "rung", "left")
     reason = F.when(F.col("primary") <= F.col("primary_base"), "primary axis not strictly above baseline")
     for a in side_axes:
         reason = reason.when(F.col(a) < F.col(f"{a}_base") - tolerance, f"{a} outside tolerance")
-    reason = reason.when(~F.col("split_audit_ok"), "split audit not green").when(
+    reason = reason.when(~F.coalesce("split_audit_ok", F.lit(False)), "split audit not green").when(
         (F.col("rung") >= STANDARD_RUNG) & ~F.coalesce("shuffle_ok", F.lit(False)), "shuffle test not green"
     )
-    waiting = F.col("primary").isNull() | F.col("primary_base").isNull()
+    axes = ["primary", *side_axes]
+    waiting = F.exists(F.array(*[F.col(c).isNull() for a in axes for c in (a, f"{a}_base")]), lambda x: x)
     verdict = (
         F.when(waiting, "HOLD").when(F.col("failure_reason").isNotNull(), "DEMOTE").when(F.col("rung") >= FULL_RUNG, "HOLD").otherwise("PROMOTE")
     )
@@ -145,12 +147,27 @@ def promotion_gate(rows: DataFrame, baseline: DataFrame, *, method: str, side_ax
     )
 
 
+GATES = (
+    "manipulation_ok", "orthogonal_ok", "class_direction_collapses", "shuffle_in_band", "variance_matched",
+    "effect_excludes_zero", "removed_excludes_chance", "effect_in_noise",
+)
+
+
+def missing_gates() -> Column:
+    """Names of the gates that have no result, the reason of an inconclusive verdict; empty if none."""
+    return F.concat_ws(",", *[F.when(F.col(g).isNull(), g) for g in GATES])
+
+
 def claim_verdict() -> Column:
-    """Pre-registered outcome over boolean gate columns; the first matching row of the table wins."""
+    """Pre-registered outcome over boolean gate columns; the first matching row of the table wins.
+
+    A gate without a result leaves the claim inconclusive.
+    """
     c = F.col
     broken = ~(c("manipulation_ok") & c("orthogonal_ok") & c("class_direction_collapses") & c("shuffle_in_band"))
     return (
-        F.when(broken, "BROKEN")
+        F.when(missing_gates() != "", "INCONCLUSIVE")
+        .when(broken, "BROKEN")
         .when(~c("variance_matched"), "INCONCLUSIVE")
         .when(c("effect_excludes_zero") & ~c("removed_excludes_chance"), "BREAKS")
         .when(c("effect_excludes_zero"), "ATTENUATED")
@@ -207,10 +224,13 @@ def ladder_pattern(marginals: DataFrame, *, claim: str, row: str, single_lift: s
 
 
 def champion_trace(df: DataFrame, *, claim: str, order: str, tie: str, metric: str, seeds: str) -> DataFrame:
-    """Strictly better rows become nominees (>= 3 seeds) or champions (>= 7); a tie changes nothing."""
-    eligible = F.when(F.col(seeds) >= 3, F.col(metric))
-    d = running_before(df.withColumn("_m", eligible), part=[claim], order=order, tie=tie, maxs={"best_before": "_m"})
-    better = F.col("_m").isNotNull() & (F.col("best_before").isNull() | (F.col("_m") > F.col("best_before")))
+    """Rows strictly better than the champion are nominees (>= 3 seeds) or champions (>= 7).
+
+    Only a champion raises the bar: ``best_before`` is the best earlier row with seven seeds.
+    """
+    confirmed = F.when(F.col(seeds) >= 7, F.col(metric))
+    d = running_before(df.withColumn("_m", confirmed), part=[claim], order=order, tie=tie, maxs={"best_before": "_m"})
+    better = F.col(metric).isNotNull() & (F.col("best_before").isNull() | (F.col(metric) > F.col("best_before")))
     status = (
         F.when(F.col(seeds) < 3, "EXPLORATION")
         .when(~better, "KEEP OLD")

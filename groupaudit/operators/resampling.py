@@ -13,10 +13,6 @@ from groupaudit.functions.hashing import hash_key, poisson_weight, uniform
 from groupaudit.operators.metrics import METRICS, ratio, roc_auc
 from groupaudit.operators.ranks import bucket_of, hash_rank, quantile_bounds
 
-# Above this many groups, multinomial counts are indistinguishable from Poisson(1) and the
-# draw needs no shuffle of its own.
-EXACT_LIMIT = 100_000
-
 
 def poisson_weights(groups: DataFrame, *, group: str, n_boot: int, seed: int = 0) -> DataFrame:
     """(b, group, w > 0) with Poisson(1) counts from a hash: an expression, no join and no shuffle."""
@@ -38,11 +34,17 @@ def multinomial_weights(groups: DataFrame, *, group: str, n_boot: int, seed: int
     return counts.join(numbered, "_r").select("b", group, F.col("w").cast("int").alias("w"))
 
 
-def cluster_weights(groups: DataFrame, *, group: str, n_boot: int, seed: int = 0) -> DataFrame:
-    """Exact multinomial counts for few groups, Poisson counts beyond ``EXACT_LIMIT``."""
-    few = groups.select(group).limit(EXACT_LIMIT + 1).count() <= EXACT_LIMIT
-    fn = multinomial_weights if few else poisson_weights
-    return fn(groups, group=group, n_boot=n_boot, seed=seed)
+SCHEMES = {"multinomial": multinomial_weights, "poisson": poisson_weights}
+
+
+def cluster_weights(
+    groups: DataFrame, *, group: str, n_boot: int, seed: int = 0, scheme: str = "multinomial"
+) -> DataFrame:
+    """Weights by a named scheme, the same at every size.
+
+    Multinomial draws need a shuffle of their own; a caller with very many groups may ask for Poisson.
+    """
+    return SCHEMES[scheme](groups, group=group, n_boot=n_boot, seed=seed)
 
 
 def _collapsed(df: DataFrame, group: str, label: str, scores: Sequence[str], by: Sequence[str]) -> DataFrame:

@@ -199,17 +199,16 @@ def half_split(
 def random_split_leak(units: DataFrame, *, group: str, unit: str, trials: int, n_folds: int = 5, seed: int = 0) -> DataFrame:
     """What a recording-level random split would leak, averaged over trials.
 
-    The folds a group touches are a bit mask, so a group leaves one integer per trial.
+    Rows collapse to counts per (trial, group, fold) first; any number of folds will do.
     """
     t = units.select(group, unit).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
     fold = F.floor(
         F.conv(F.substring(F.md5(F.concat_ws("|", (F.col("trial") + seed).cast("string"), unit).cast("binary")), 1, 13), 16, 10).cast("bigint")
         % n_folds
     ).cast("int")
-    g = t.groupBy("trial", group).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1), fold)).alias("_mask"), F.count("*").alias("_n")
-    )
-    split = F.bit_count("_mask") > 1
+    cells = t.groupBy("trial", group, fold.alias("_fold")).agg(F.count("*").alias("_n"))
+    g = cells.groupBy("trial", group).agg(F.count("*").alias("_folds"), F.sum("_n").alias("_n"))
+    split = F.col("_folds") > 1
     per_trial = g.groupBy("trial").agg(
         (100 * ratio(F.count_if(split), F.count("*"))).alias("_g"),
         (100 * ratio(F.sum(F.when(split, F.col("_n")).otherwise(0)), F.sum("_n"))).alias("_r"),

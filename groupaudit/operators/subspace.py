@@ -56,20 +56,17 @@ def variance_share(basis: np.ndarray, cov: np.ndarray) -> float:
 
 
 def variance_matched(cov: np.ndarray, k: int, target: float) -> tuple[np.ndarray, float]:
-    """Principal rank-k subspace whose last member moves down the spectrum towards a target share.
+    """Principal rank-k subspace whose last member is chosen so that its share comes closest to a target.
 
-    Variance falls along the way, so the walk stops as soon as the next member is no closer.
+    Shares fall along the spectrum; members past the first share at or below the target come no closer.
     """
     full, spectrum = top_directions(cov, len(cov))
     frac = spectrum / spectrum.sum()
     head = frac[: k - 1].sum()
     tail = head + frac[k - 1 :]
-    gaps = np.abs(tail - target)
-    walk = 0
-    while tail[walk] > target and walk + 1 < len(tail) and gaps[walk + 1] < gaps[walk]:
-        walk += 1
-    picked = [*range(k - 1), k - 1 + walk]
-    return full[:, picked], float(tail[walk])
+    reached = int(np.searchsorted(-tail, -target))
+    best = int(np.abs(tail[: reached + 1] - target).argmin())
+    return full[:, [*range(k - 1), k - 1 + best]], float(tail[best])
 
 
 def haar_basis(d: int, k: int, seed: int) -> np.ndarray:

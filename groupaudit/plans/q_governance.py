@@ -61,42 +61,48 @@ def b17(spark, d):
 
 @query(
     "b18_promotion_gate",
-    """WITH g AS (SELECT o_custkey AS method, CAST(o_custkey % 5 AS INTEGER) AS rung, CASE WHEN o_custkey % 31 <> 0 THEN avg(o_totalprice) END AS prim, max(o_totalprice) AS side FROM orders GROUP BY 1),
+    """WITH g AS (SELECT o_custkey AS method, CAST(o_custkey % 5 AS INTEGER) AS rung, CASE WHEN o_custkey % 31 <> 0 THEN avg(o_totalprice) END AS prim, CASE WHEN o_custkey % 17 <> 0 THEN max(o_totalprice) END AS side FROM orders GROUP BY 1),
       b AS (SELECT CAST(o_custkey % 5 AS INTEGER) AS rung, avg(o_totalprice) AS pb, max(o_totalprice) * 0.9::DOUBLE AS sb FROM orders GROUP BY 1),
-      j AS (SELECT *, CASE WHEN prim <= pb THEN 'primary axis not strictly above baseline' WHEN side < sb - 20000 THEN 'side outside tolerance' WHEN method % 11 = 0 THEN 'split audit not green'
+      j AS (SELECT *, CASE WHEN prim <= pb THEN 'primary axis not strictly above baseline' WHEN side < sb - 20000 THEN 'side outside tolerance' WHEN method % 11 = 0 OR method % 13 = 0 THEN 'split audit not green'
             WHEN rung >= 3 AND method % 3 = 0 THEN 'shuffle test not green' END AS reason FROM g JOIN b USING (rung))
-    SELECT method, rung, round(prim, 9) AS "primary", side, CASE WHEN prim IS NULL THEN 'HOLD' WHEN reason IS NOT NULL THEN 'DEMOTE' WHEN rung >= 4 THEN 'HOLD' ELSE 'PROMOTE' END AS verdict,
-      CASE WHEN prim IS NOT NULL THEN reason END AS failure_reason FROM j""",
+    SELECT method, rung, round(prim, 9) AS "primary", side, CASE WHEN prim IS NULL OR side IS NULL THEN 'HOLD' WHEN reason IS NOT NULL THEN 'DEMOTE' WHEN rung >= 4 THEN 'HOLD' ELSE 'PROMOTE' END AS verdict,
+      CASE WHEN prim IS NOT NULL AND side IS NOT NULL THEN reason END AS failure_reason FROM j""",
 )
 def b18(spark, d):
     o = fx.table(spark, d, "orders").withColumn("rung", (F.col("o_custkey") % 5).cast("int"))
     m = F.col("o_custkey")
     rows = o.groupBy(m.alias("method"), "rung").agg(F.avg("o_totalprice").alias("primary"), F.max("o_totalprice").alias("side"))
     rows = rows.select(
-        "method", "rung", F.when(F.col("method") % 31 != 0, F.col("primary")).alias("primary"), "side",
-        (F.col("method") % 11 != 0).alias("split_audit_ok"), (F.col("method") % 3 != 0).alias("shuffle_ok"),
+        "method", "rung", F.when(F.col("method") % 31 != 0, F.col("primary")).alias("primary"),
+        F.when(F.col("method") % 17 != 0, F.col("side")).alias("side"),
+        F.when(F.col("method") % 13 != 0, F.col("method") % 11 != 0).alias("split_audit_ok"), (F.col("method") % 3 != 0).alias("shuffle_ok"),
     )
     base = o.groupBy("rung").agg(F.avg("o_totalprice").alias("primary_base"), (F.max("o_totalprice") * 0.9).alias("side_base"))
     out = gov.promotion_gate(rows, base, method="method", side_axes=["side"], tolerance=20000.0)
     return out.withColumn("primary", F.round("primary", 9))
 
 
-_GATES = ("manipulation_ok", "orthogonal_ok", "class_direction_collapses", "shuffle_in_band", "variance_matched",
-          "effect_excludes_zero", "removed_excludes_chance", "effect_in_noise")
+_GATES = gov.GATES
 _PRIMES = (11, 13, 17, 19, 7, 2, 3, 5)
 
 
 @query(
     "b19_claim_verdict",
-    f"""WITH g AS (SELECT c_custkey, {', '.join(f"c_custkey % {p} {'<>' if p > 5 else '='} 0 AS {n}" for n, p in zip(_GATES, _PRIMES))} FROM customer)
-    SELECT c_custkey, CASE WHEN NOT (manipulation_ok AND orthogonal_ok AND class_direction_collapses AND shuffle_in_band) THEN 'BROKEN' WHEN NOT variance_matched THEN 'INCONCLUSIVE'
+    f"""WITH g AS (SELECT c_custkey, {', '.join(f"CASE WHEN (c_custkey + {i}) % 29 <> 0 THEN c_custkey % {p} {'<>' if p > 5 else '='} 0 END AS {n}" for i, (n, p) in enumerate(zip(_GATES, _PRIMES)))} FROM customer)
+    SELECT c_custkey, concat_ws(',', {', '.join(f"CASE WHEN {n} IS NULL THEN '{n}' END" for n in _GATES)}) AS missing_gates,
+      CASE WHEN {' OR '.join(f'{n} IS NULL' for n in _GATES)} THEN 'INCONCLUSIVE' WHEN NOT (manipulation_ok AND orthogonal_ok AND class_direction_collapses AND shuffle_in_band) THEN 'BROKEN' WHEN NOT variance_matched THEN 'INCONCLUSIVE'
       WHEN effect_excludes_zero AND NOT removed_excludes_chance THEN 'BREAKS' WHEN effect_excludes_zero THEN 'ATTENUATED' WHEN effect_in_noise AND removed_excludes_chance THEN 'HOLDS'
       ELSE 'INCONCLUSIVE' END AS verdict FROM g""",
 )
 def b19(spark, d):
     k = F.col("c_custkey")
-    gates = [((k % p != 0) if p > 5 else (k % p == 0)).alias(n) for n, p in zip(_GATES, _PRIMES)]
-    return fx.table(spark, d, "customer").select("c_custkey", *gates).select("c_custkey", gov.claim_verdict().alias("verdict"))
+    gates = [
+        F.when((k + i) % 29 != 0, (k % p != 0) if p > 5 else (k % p == 0)).alias(n)
+        for i, (n, p) in enumerate(zip(_GATES, _PRIMES))
+    ]
+    return fx.table(spark, d, "customer").select("c_custkey", *gates).select(
+        "c_custkey", gov.missing_gates().alias("missing_gates"), gov.claim_verdict().alias("verdict")
+    )
 
 
 @query(
@@ -154,9 +160,9 @@ def w13_pattern(spark, d):
 
 @query(
     "w14_champion_trace",
-    """WITH t AS (SELECT event_type, event_id, value, 1 + event_id % 9 AS seeds, CASE WHEN 1 + event_id % 9 >= 3 THEN value END AS m FROM events),
+    """WITH t AS (SELECT event_type, event_id, value, 1 + event_id % 9 AS seeds, CASE WHEN 1 + event_id % 9 >= 7 THEN value END AS m FROM events),
       b AS (SELECT *, max(m) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM t)
-    SELECT event_type, event_id, value, seeds, best_before, CASE WHEN seeds < 3 THEN 'EXPLORATION' WHEN NOT (best_before IS NULL OR m > best_before) THEN 'KEEP OLD' WHEN seeds >= 7 THEN 'CHAMPION' ELSE 'NOMINEE' END AS status FROM b""",
+    SELECT event_type, event_id, value, seeds, best_before, CASE WHEN seeds < 3 THEN 'EXPLORATION' WHEN NOT coalesce(value > coalesce(best_before, '-infinity'::DOUBLE), false) THEN 'KEEP OLD' WHEN seeds >= 7 THEN 'CHAMPION' ELSE 'NOMINEE' END AS status FROM b""",
 )
 def w14(spark, d):
     e = fx.table(spark, d, "events").select("event_type", "event_id", "value", (F.col("event_id") % 9 + 1).alias("seeds"))

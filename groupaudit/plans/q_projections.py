@@ -245,16 +245,15 @@ def p14(spark, d):
 @query(
     "p15_leak_scan",
     r"""WITH t AS (SELECT 'page' AS kind, page_id AS id, html AS text FROM pages UNION ALL SELECT 'document', doc_id, text FROM documents),
-      m AS (SELECT kind, id, text, CASE WHEN regexp_matches(text, '\*\*[^*\n]+\*\*') THEN 'bold' WHEN regexp_matches(text, '\|\s*-{3,}') THEN 'table_rule'
-            WHEN regexp_matches(text, '(?m)^#{2,}\s') THEN 'heading' END AS pattern FROM t)
-    SELECT kind, id, pattern, substr(CASE pattern WHEN 'bold' THEN regexp_extract(text, '\*\*[^*\n]+\*\*') WHEN 'table_rule' THEN regexp_extract(text, '\|\s*-{3,}')
-           ELSE regexp_extract(text, '(?m)^#{2,}\s') END, 1, 60) AS snippet FROM m WHERE pattern IS NOT NULL""",
+      p AS (SELECT 'bold' AS pattern, '\*\*[^*\n]+\*\*' AS re UNION ALL SELECT 'table_rule', '\|\s*-{3,}' UNION ALL SELECT 'heading', '(?m)^#{2,}\s'),
+      m AS (SELECT kind, id, pattern, CASE pattern WHEN 'bold' THEN regexp_extract(text, '\*\*[^*\n]+\*\*') WHEN 'table_rule' THEN regexp_extract(text, '\|\s*-{3,}')
+              ELSE regexp_extract(text, '(?m)^#{2,}\s') END AS snippet FROM t, p)
+    SELECT * FROM m WHERE snippet <> ''""",
 )
 def p15(spark, d):
     pages = fx.table(spark, d, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
     docs = fx.table(spark, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
-    pattern, snippet = s.first_leak("text")
-    return pages.unionByName(docs).select("kind", "id", pattern.alias("pattern"), snippet.alias("snippet")).where("pattern IS NOT NULL")
+    return pages.unionByName(docs).select("kind", "id", F.inline(s.leaks("text")))
 
 
 @query(
@@ -286,7 +285,7 @@ def p17(spark, d):
     "p18_tier_and_status",
     """WITH r AS (SELECT o_custkey, count(*) AS repeats, max(o_orderpriority) AS txt FROM orders GROUP BY 1)
     SELECT o_custkey, CASE WHEN o_custkey % 10 = 0 THEN 'CONTROL' WHEN repeats >= 8 THEN 'EVALUATION' ELSE 'SCREENING' END AS tier,
-      CASE o_custkey % 5 WHEN 0 THEN 'UNTESTED' WHEN 1 THEN 'PARTIAL' WHEN 2 THEN 'FALSIFIED' WHEN 3 THEN 'CLAIM SUPPORTED' ELSE substr(txt, 1, 28) END AS status FROM r""",
+      CASE o_custkey % 5 WHEN 0 THEN 'UNTESTED' WHEN 1 THEN 'PARTIAL' WHEN 2 THEN 'FALSIFIED' WHEN 3 THEN 'CLAIM SUPPORTED' ELSE txt END AS status FROM r""",
 )
 def p18(spark, d):
     runs = fx.table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("repeats"), F.max("o_orderpriority").alias("txt"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import math
-import struct
+import wave
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,71 +13,30 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groupaudit.functions.arrays import quality_flag
+
 TARGET_RATE = 16_000
 DECODED = (
     "name string, orig_format string, orig_sample_rate int, n_samples int, duration_s double, "
     "pcm array<float>, sha256 string, src_sha256 string, reason string"
 )
 
-# Container layouts.
-_NSP_MAGIC = b"FORMDS16"
-_NSP_AUDIO = (b"SDA_", b"SD_B", b"SDAB")
-_RATE_RANGE = (1_000, 192_000)
-
-
 class DecodeError(ValueError):
     pass
 
 
-def _chunks(raw: bytes, start: int) -> dict[bytes, tuple[int, int]]:
-    """Offsets and sizes of word-aligned chunks: 4-byte id, little-endian size, payload."""
-    found: dict[bytes, tuple[int, int]] = {}
-    at = start
-    while at + 8 <= len(raw):
-        (size,) = struct.unpack_from("<I", raw, at + 4)
-        found.setdefault(raw[at : at + 4], (at + 8, size))
-        at += 8 + size + size % 2
-    return found
-
-
 def decode_wav(raw: bytes) -> tuple[int, np.ndarray]:
-    if raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
-        raise DecodeError("not a RIFF/WAVE file")
-    parts = _chunks(raw, 12)
-    if b"fmt " not in parts or b"data" not in parts:
-        raise DecodeError("no fmt or data chunk")
-    codec, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", raw, parts[b"fmt "][0])
-    if codec != 1 or bits != 16 or channels < 1:
-        raise DecodeError(f"unsupported encoding {codec}/{bits} bit")
-    at, size = parts[b"data"]
-    n = min(size, len(raw) - at) // (2 * channels)
-    if n <= 0:
-        raise DecodeError("zero-length audio payload")
-    x = np.frombuffer(raw, "<i2", n * channels, at).reshape(n, channels)
-    return rate, (x.mean(axis=1) / 32768.0).astype(np.float32)
-
-
-def decode_nsp(raw: bytes) -> tuple[int, np.ndarray]:
-    if raw[:8] != _NSP_MAGIC or len(raw) < 12:
-        raise DecodeError("bad magic")
-    (declared,) = struct.unpack_from("<I", raw, 8)
-    if declared + 12 > len(raw):
-        raise DecodeError(f"truncated: header declares {declared + 12} bytes, file has {len(raw)}")
-    parts = _chunks(raw, 12)
-    at, size = parts.get(b"HEDR", (0, 0))
-    if size < 32:
-        raise DecodeError("no usable HEDR chunk")
-    rate, n_header = struct.unpack_from("<II", raw, at + 20)
-    if not _RATE_RANGE[0] <= rate <= _RATE_RANGE[1]:
-        raise DecodeError(f"implausible sample rate {rate}")
-    audio = [parts[c] for c in _NSP_AUDIO if c in parts]
-    if not audio:
-        raise DecodeError("no audio chunk")
-    at, size = audio[0]
-    n = min(n_header, min(size, len(raw) - at) // 2)  # the payload wins over the header count
-    if n == 0:
-        raise DecodeError("zero-length audio payload")
-    return rate, (np.frombuffer(raw, "<i2", n, at) / 32768.0).astype(np.float32)
+    """Rate and mono samples in [-1, 1) of a 16-bit PCM file."""
+    try:
+        with wave.open(io.BytesIO(raw)) as f:
+            channels, width, rate = f.getnchannels(), f.getsampwidth(), f.getframerate()
+            data = f.readframes(f.getnframes())
+    except (wave.Error, EOFError) as e:
+        raise DecodeError("not a RIFF/WAVE file" if raw[:4] != b"RIFF" else f"unreadable file: {e}") from e
+    if width != 2:
+        raise DecodeError(f"{8 * width} bits a sample; 16 are read")
+    frames = np.frombuffer(data, "<i2", len(data) // (2 * channels) * channels).reshape(-1, channels)
+    return rate, (frames.mean(axis=1) / 32768.0).astype(np.float32)
 
 
 def resample(x: np.ndarray, rate: int, target: int = TARGET_RATE) -> np.ndarray:
@@ -106,42 +66,34 @@ def resample(x: np.ndarray, rate: int, target: int = TARGET_RATE) -> np.ndarray:
     return out.astype(np.float32)
 
 
-def usable(x: np.ndarray, rate: int = TARGET_RATE) -> str | None:
-    if x.size < rate // 10:
-        return f"too short ({x.size / rate:.3f}s)"
-    if float(np.abs(x).max()) == 0.0:
-        return "digital silence"
-    if float(x.std()) < 1e-6:
-        return "constant signal (no variation)"
-    return None
-
-
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in DECODED.split(", ")]
     for pdf in batches:
         rows = []
-        for name, raw in zip(pdf["name"], pdf["content"]):
-            raw = bytes(raw)
-            fmt = "nsp" if raw[:8] == _NSP_MAGIC else "wav"
-            src = hashlib.sha256(raw).hexdigest()
+        for name, content in zip(pdf["name"], pdf["content"]):
+            raw = bytes(content)
+            row = {"name": name, "orig_format": "wav", "src_sha256": hashlib.sha256(raw).hexdigest()}
             try:
-                rate, x = decode_nsp(raw) if fmt == "nsp" else decode_wav(raw)
-                y = resample(x, rate)
-                bad = usable(y)
-            except (DecodeError, struct.error) as e:
-                rows.append((name, fmt, None, None, None, None, None, src, str(e)))
-                continue
-            digest = hashlib.sha256(y.tobytes()).hexdigest()
-            pcm = None if bad else y
-            rows.append((name, fmt, rate, len(y), round(len(y) / TARGET_RATE, 4), pcm, digest, src, bad))
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in DECODED.split(", ")])
+                row["orig_sample_rate"], x = decode_wav(raw)
+                y = resample(x, row["orig_sample_rate"])
+                row |= {"n_samples": len(y), "duration_s": round(len(y) / TARGET_RATE, 4), "pcm": y, "sha256": hashlib.sha256(y.tobytes()).hexdigest()}
+            except DecodeError as e:
+                row["reason"] = str(e)
+            rows.append([row.get(c) for c in names])
+        out = pd.DataFrame(rows, columns=names)
         for c in ("orig_sample_rate", "n_samples"):
             out[c] = out[c].astype("Int32")
         yield out
 
 
 def decode(files: DataFrame) -> DataFrame:
-    """``name, content`` to decoded recordings; a failure keeps its row and a reason."""
-    return files.select("name", "content").mapInPandas(_decode, DECODED)
+    """``name, content`` to decoded recordings; a failure keeps its row and a reason.
+
+    A signal that can be read but not used has its reason from ``quality_flag`` and no samples.
+    """
+    read = files.select("name", "content").mapInPandas(_decode, DECODED)
+    reason = F.coalesce("reason", F.when(F.col("pcm").isNotNull(), quality_flag("pcm", TARGET_RATE)))
+    return read.withColumn("reason", reason).withColumn("pcm", F.when(F.col("reason").isNull(), F.col("pcm")))
 
 
 def read_recordings(spark: SparkSession, path: str) -> DataFrame:

@@ -65,18 +65,19 @@ def test_promotion_gate_rules(spark):
     rows = [
         ("tie", 1, 0.5, 1.0, True, None), ("win", 1, 0.6, 1.0, True, None), ("side", 1, 0.6, 0.1, True, None),
         ("audit", 1, 0.6, 1.0, False, True), ("shuffle", 3, 0.6, 1.0, True, False), ("top", 4, 0.6, 1.0, True, True), ("wait", 1, None, 1.0, True, True),
+        ("unaudited", 1, 0.6, 1.0, None, True), ("no_side", 1, 0.6, None, True, True),
     ]
     df = spark.createDataFrame(rows, "m string, rung int, primary double, side double, split_audit_ok boolean, shuffle_ok boolean")
     base = spark.createDataFrame([(k, 0.5, 1.0) for k in range(5)], "rung int, primary_base double, side_base double")
     got = {r["m"]: r["verdict"] for r in gov.promotion_gate(df, base, method="m", side_axes=["side"], tolerance=0.2).collect()}
-    assert got == {"tie": "DEMOTE", "win": "PROMOTE", "side": "DEMOTE", "audit": "DEMOTE", "shuffle": "DEMOTE", "top": "HOLD", "wait": "HOLD"}
+    assert got == {"tie": "DEMOTE", "win": "PROMOTE", "side": "DEMOTE", "audit": "DEMOTE", "shuffle": "DEMOTE", "top": "HOLD", "wait": "HOLD", "unaudited": "DEMOTE", "no_side": "HOLD"}
 
 
 def test_champion_needs_strict_improvement_and_seeds(spark):
-    rows = [(1, 0.5, 7), (2, 0.9, 1), (3, 0.5, 7), (4, 0.6, 3), (5, 0.7, 9)]
+    rows = [(1, 0.5, 7), (2, 0.9, 1), (3, 0.5, 7), (4, 0.8, 3), (5, 0.7, 9), (6, 0.75, 4)]  # 4, a nominee, raises no bar
     df = spark.createDataFrame([("c", *r) for r in rows], "c string, t int, m double, n int")
     got = gov.champion_trace(df, claim="c", order="t", tie="t", metric="m", seeds="n").orderBy("t").collect()
-    assert [r["status"] for r in got] == ["CHAMPION", "EXPLORATION", "KEEP OLD", "NOMINEE", "CHAMPION"]
+    assert [r["status"] for r in got] == ["CHAMPION", "EXPLORATION", "KEEP OLD", "NOMINEE", "CHAMPION", "NOMINEE"]
 
 
 def test_budget_prefix_keeps_the_group_that_crosses(spark):
@@ -90,20 +91,20 @@ def test_budget_prefix_keeps_the_group_that_crosses(spark):
     [
         ((1, 1, 1, 1, 1, 1, 0, 0), "BREAKS"), ((1, 1, 1, 1, 1, 1, 1, 0), "ATTENUATED"), ((1, 1, 1, 1, 1, 0, 1, 1), "HOLDS"),
         ((0, 1, 1, 1, 1, 1, 0, 0), "BROKEN"), ((1, 1, 1, 0, 1, 1, 0, 0), "BROKEN"), ((1, 1, 1, 1, 0, 1, 0, 0), "INCONCLUSIVE"),
-        ((1, 1, 1, 1, 1, 0, 1, 0), "INCONCLUSIVE"),
+        ((1, 1, 1, 1, 1, 0, 1, 0), "INCONCLUSIVE"), ((1, 1, None, 1, 1, 1, 0, 0), "INCONCLUSIVE"), ((0, 1, 1, 1, None, 1, 0, 0), "INCONCLUSIVE"),
     ],
 )
 def test_claim_verdict_table(spark, gates, verdict):
     names = ("manipulation_ok orthogonal_ok class_direction_collapses shuffle_in_band variance_matched "
              "effect_excludes_zero removed_excludes_chance effect_in_noise").split()
-    df = spark.createDataFrame([tuple(map(bool, gates))], ", ".join(f"{n} boolean" for n in names))
+    df = spark.createDataFrame([tuple(None if g is None else bool(g) for g in gates)], ", ".join(f"{n} boolean" for n in names))
     assert df.select(gov.claim_verdict()).first()[0] == verdict
 
 
 def test_status_and_leak_patterns(spark):
-    texts = [("fine * text", None), ("a **bold** word", "bold"), ("| ---- |", "table_rule"), ("x\n## Head", "heading")]
+    texts = [("fine * text", None), ("a **bold** word", "bold"), ("| ---- |", "table_rule"), ("x\n## Head", "heading"), ("**b** and | --- |", "bold,table_rule")]
     df = spark.createDataFrame([(t,) for t, _ in texts], "t string")
-    assert [r[0] for r in df.select(s.first_leak("t")[0]).collect()] == [p for _, p in texts]
+    assert [",".join(x["pattern"] for x in r[0]) or None for r in df.select(s.leaks("t")).collect()] == [p for _, p in texts]
     ids = spark.createDataFrame([("see arXiv:2401.12345 and arXiv:1234.5678",)], "t string").select(s.identifiers("t")).first()[0]
     assert ids == ["2401.12345", "1234.5678"]
 

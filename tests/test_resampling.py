@@ -135,3 +135,19 @@ def test_margin_floor_and_binding_interval(spark):
     assert df.select(inf.honest_margin(F.col("a"), F.col("bar"))).first()[0] == pytest.approx(0.2)
     r = inf.more_conservative(df, lo_a="l1", hi_a="h1", lo_b="l2", hi_b="h2").first()
     assert (r["lo"], r["hi"]) == (-0.1, 0.3)
+
+
+def test_scheme_is_chosen_and_not_a_matter_of_size(spark):
+    g = spark.range(50).select(F.col("id").alias("g"))
+    for scheme, fn in rs.SCHEMES.items():
+        got = rs.cluster_weights(g, group="g", n_boot=4, seed=2, scheme=scheme)
+        assert sorted(got.collect()) == sorted(fn(g, group="g", n_boot=4, seed=2).collect())
+
+
+def test_a_groups_fingerprint_does_not_depend_on_other_groups(spark):
+    from groupaudit.functions.hashing import order_free_digest
+
+    one = spark.range(300).select(F.lit("a").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("d"))
+    more = one.union(spark.range(3000).select(F.lit("b"), F.sha2(F.col("id").cast("string"), 256)))
+    alone, among = (order_free_digest(x, "d", ["k"]).where("k = 'a'").first() for x in (one, more))
+    assert alone == among

@@ -19,30 +19,23 @@ def wav(x, rate=16_000, channels=1):
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def nsp(x, rate=50_000, header_count=None):
-    data = (x * 32767).astype("<i2").tobytes()
-    head = b"Nov 20 14:49:57 1997" + struct.pack("<IIhh", rate, header_count or len(x), 1, -1)
-    body = b"HEDR" + struct.pack("<I", len(head)) + head + b"SDA_" + struct.pack("<I", len(data)) + data
-    return b"FORMDS16" + struct.pack("<I", len(body)) + body
-
-
 SINE = 0.5 * np.sin(2 * np.pi * 200 * np.arange(50_000) / 50_000)
 
 
 def test_decoders_and_reject_reasons(spark):
     files = [
-        ("ok.wav", wav(SINE[:16_000])), ("stereo.wav", wav(SINE[:16_000], channels=2)), ("ok.nsp", nsp(SINE)), ("long_header.nsp", nsp(SINE, header_count=60_000)),
-        ("cut.nsp", nsp(SINE)[:-100]), ("empty.nsp", nsp(SINE[:0], header_count=5)), ("zero.wav", wav(np.zeros(16_000))),
+        ("ok.wav", wav(SINE[:16_000])), ("stereo.wav", wav(SINE[:16_000], channels=2)), ("fast.wav", wav(SINE, rate=50_000)),
+        ("cut.wav", wav(SINE)[:30]), ("empty.wav", wav(SINE[:0])), ("zero.wav", wav(np.zeros(16_000))),
         ("dc.wav", wav(np.full(16_000, 0.25))), ("short.wav", wav(SINE[:800])), ("noise.bin", b"hello"),
     ]
     got = {r["name"]: r for r in audio.decode(spark.createDataFrame(files, "name string, content binary")).collect()}
     assert len(got) == len(files)
     assert got["ok.wav"]["n_samples"] == got["stereo.wav"]["n_samples"] == 16_000
     assert got["ok.wav"]["sha256"] == got["stereo.wav"]["sha256"] != got["ok.wav"]["src_sha256"]
-    assert got["ok.nsp"]["n_samples"] == got["long_header.nsp"]["n_samples"] == 16_000 and got["ok.nsp"]["orig_sample_rate"] == 50_000
+    assert got["fast.wav"]["n_samples"] == 16_000 and got["fast.wav"]["orig_sample_rate"] == 50_000
     why = {k: r["reason"] for k, r in got.items()}
-    assert why["ok.wav"] is why["ok.nsp"] is None
-    assert why["cut.nsp"].startswith("truncated") and "zero-length" in why["empty.nsp"]
+    assert why["ok.wav"] is why["fast.wav"] is None
+    assert why["cut.wav"].startswith("unreadable") and why["empty.wav"] == "too short (0.000s)" and why["noise.bin"] == "not a RIFF/WAVE file"
     assert why["zero.wav"] == "digital silence" and why["dc.wav"].startswith("constant") and why["short.wav"] == "too short (0.050s)"
     assert all(got[k]["pcm"] is None for k in why if why[k])
 
@@ -135,9 +128,9 @@ def test_non_finite_features_are_refused(spark, tmp_path):
 def test_recordings_are_read_from_files(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "1-a.wav").write_bytes(wav(SINE[:16_000]))
-    (tmp_path / "d" / "2-a.nsp").write_bytes(nsp(SINE))
+    (tmp_path / "d" / "2-a.wav").write_bytes(wav(SINE, rate=50_000))
     got = audio.decode(audio.read_recordings(spark, str(tmp_path / "d"))).collect()
-    assert {(r["name"], r["orig_format"], r["reason"]) for r in got} == {("1-a.wav", "wav", None), ("2-a.nsp", "nsp", None)}
+    assert {(r["name"], r["orig_format"], r["reason"]) for r in got} == {("1-a.wav", "wav", None), ("2-a.wav", "wav", None)}
 
 
 def test_incremental_run_picks_up_only_new_files(spark, tmp_path):
