@@ -92,7 +92,11 @@ def train_statistics(
 
     Missing values count as the training mean.  Standard deviations are population ones and a
     constant column gets scale 1.  ``whole_table`` is the leaky scope: test rows are included.
+    Sums are taken about one row's values, so that a large offset costs no digits.
     """
+    one = df.select("x").first()
+    about = {id(s.view): np.nan_to_num(s.view.apply(matrix(pd.Series([one["x"]])))[0]) for s in models} if one else {}
+    centre = [about.get(id(s.view)) for s in models]
 
     def moments(pdf: pd.DataFrame, acc: Partial) -> None:
         x, _, codes, ranks, _ = _batch(pdf)
@@ -101,16 +105,17 @@ def train_statistics(
             v = seen.setdefault(id(s.view), s.view.apply(x))
             rows = v[codes[:, s.design] >= 0] if whole_table else v[_train_mask(codes, ranks, s)]
             ok = ~np.isnan(rows)
-            z = np.where(ok, rows, 0.0)
+            z = np.where(ok, rows - centre[i], 0.0)
             add_to(acc, i, np.concatenate([[len(rows)], ok.sum(0), z.sum(0), (z * z).sum(0)]))
 
     out = {}
     for i, a in sum_arrays(df, moments).items():
         n, d = a[0], (len(a) - 1) // 3
         cnt, s1, s2 = a[1 : 1 + d], a[1 + d : 1 + 2 * d], a[1 + 2 * d :]
-        mean = s1 / np.maximum(cnt, 1)
+        gap = s1 / np.maximum(cnt, 1)
+        mean = np.where(cnt > 0, centre[i] + gap, 0.0)
         # imputed rows sit at the mean, so they add nothing to the spread
-        var = np.maximum(s2 - cnt * mean * mean, 0.0) / max(n, 1)
+        var = np.maximum(s2 - cnt * gap * gap, 0.0) / max(n, 1)
         scale = np.sqrt(var)
         scale[scale <= 1e-12 * np.maximum(1.0, np.abs(mean))] = 1.0
         out[i] = (mean, scale, int(n), int(n * d - cnt.sum()))
@@ -154,7 +159,8 @@ def fit_linear(
 
     With the logistic loss, l2 = 1 and a free intercept this is the usual C = 1 logistic
     regression.  Steps are halved for a model whose objective went up.  Meant for d up to a few
-    hundred: one scan adds up a d x d matrix per model.
+    hundred: one scan adds up a d x d matrix per model.  A model that has not converged after
+    ``max_iter`` scans is an error: its coefficients are not used as if fitted.
     """
     first = train_statistics(df, models, whole_table=whole_table)
     missing = [s for i, s in enumerate(models) if i not in first or first[i][2] == 0]
@@ -207,6 +213,8 @@ def fit_linear(
                 active.discard(i)
         if not active:
             break
+    if active:
+        raise RuntimeError(f"{len(active)} models have not converged in {max_iter} scans, first {models[min(active)]}")
     return [Fit(s, stats[i][0], stats[i][1], beta[i], stats[i][2], stats[i][3], iters[i]) for i, s in enumerate(models)]
 
 

@@ -12,6 +12,7 @@ from groupaudit.operators import metrics as m
 from groupaudit.operators import models as mod
 from groupaudit.operators import splits as sp
 from groupaudit.operators import subspace as sub
+from groupaudit.operators.scaling import fold_statistics
 from groupaudit.plans import studies as st
 from groupaudit.session import materialise
 
@@ -152,3 +153,24 @@ def test_overlap_raises_auc_when_identity_is_the_only_signal(spark):
     pdf["x"] = (who[g] + rng.standard_normal((600, 30))).tolist()
     r = {x["rho"]: x for x in st.overlap_sweep(spark.createDataFrame(pdf), rhos=[0.0, 1.0], seed=1, **KEYS).collect()}
     assert r[0.0]["n_train_rows"] == r[1.0]["n_train_rows"] and r[1.0]["auc"] > r[0.0]["auc"] + 0.15
+
+
+def test_a_large_offset_costs_no_digits(spark):
+    rng = np.random.default_rng(2)
+    x = 1.7e9 + rng.standard_normal(200)
+    rows = [(i, str(i % 10), i % 2, [float(v)], [i % 4]) for i, v in enumerate(x)]
+    df = materialise(spark.createDataFrame(rows, "u int, g string, y int, x array<double>, codes array<int>").repartition(3))
+    mean, scale, _, _ = mod.train_statistics(df, [mod.Spec(mod.View("a"), 0, 0)])[0]
+    train = x[np.arange(200) % 4 != 0]
+    assert mean[0] == pytest.approx(train.mean(), rel=1e-14) and scale[0] == pytest.approx(train.std(), rel=1e-5)
+    long = spark.createDataFrame([(0, i % 4, float(v)) for i, v in enumerate(x)], "repeat int, fold int, v double")
+    got = {r["fold"]: r for r in fold_statistics(long, features=["v"]).collect()}
+    for k in range(4):
+        own = x[np.arange(200) % 4 != k]
+        assert got[k]["mean"] == pytest.approx(own.mean(), rel=1e-14) and got[k]["std"] == pytest.approx(own.std(), rel=1e-5)
+
+
+def test_a_model_that_does_not_converge_is_an_error(units):
+    data = materialise(units.withColumn("codes", F.array(F.when(F.col("g").cast("int") < 10, 0).otherwise(1))))
+    with pytest.raises(RuntimeError, match="not converged"):
+        mod.fit_linear(data, [mod.Spec(mod.View("a"), 0, 0)], max_iter=2)
