@@ -200,13 +200,17 @@ def reproducibility(
 
 
 def loader_contract(
-    train: DataFrame, evaluation: DataFrame, *, unit: str, target: str, features: Sequence[str], delta: float = 0.0, k: int = 8, seed: int = 0
+    train: DataFrame, evaluation: DataFrame, *, unit: str, target: str, features: Sequence[str], delta: float = 0.0, k: int = 8,
+    seed: int = 0, targets: DataFrame | None = None,
 ) -> DataFrame:
     """Contract between two tables: schema, target set, value range, pair counts, index pairs.
 
-    Ranges compare with exact 1st and 99th percentile ranks of the training side.  The index
-    pair check re-reads a hash sample of k rows by key (a sampling operator).
+    Ranges compare with exact 1st and 99th percentile ranks of the training side.  ``targets`` is
+    the table of (unit, target) that a loader pairs with the evaluation features, if it is one of its
+    own: every unit must occur as often in both, and a hash sample of k units (a sampling operator)
+    must have the same target in both.
     """
+    targets = evaluation if targets is None else targets
     diff = set(map(str, train.schema)) ^ set(map(str, evaluation.schema))
     spark = train.sparkSession
     one = T.StructType([T.StructField("_e", T.StringType())])
@@ -223,12 +227,13 @@ def loader_contract(
         (F.col("_min") < F.col("_p1") - delta) | (F.col("_max") > F.col("_p99") + delta)
     )
     rows.append(verdict(out, "value_range", "feature"))
-    unpaired = train.select(unit, target).unionByName(evaluation.select(unit, target)).where(
-        F.col(target).isNull() | F.col(unit).isNull()
-    )
+    count = lambda d, n: d.groupBy(F.col(unit).alias(f"_{n}")).agg(F.count("*").alias(n))
+    left, right = count(evaluation, "n_features"), count(targets, "n_targets")
+    both = left.join(right, F.col("_n_features").eqNullSafe(F.col("_n_targets")), "full")
+    unpaired = both.where(~F.col("n_features").eqNullSafe(F.col("n_targets"))).select(F.coalesce("_n_features", "_n_targets").alias(unit))
     rows.append(verdict(unpaired, "pair_count", unit))
     sample = evaluation.orderBy(hash_key(seed, unit), unit).limit(k).select(unit, F.col(target).alias("_t"))
-    mism = sample.join(evaluation.select(unit, target), unit).where(~F.col(target).eqNullSafe(F.col("_t")))
+    mism = sample.join(targets.select(unit, target), unit).where(~F.col(target).eqNullSafe(F.col("_t")))
     rows.append(verdict(mism, "index_pair", unit))
     res = rows[0]
     for x in rows[1:]:
