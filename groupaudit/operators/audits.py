@@ -85,14 +85,14 @@ def split_keys_not_features(df: DataFrame, *, keys: Sequence[str], features: Seq
     A feature in one-to-one correspondence with a key is that key under another name.
     """
     by_name = sorted(set(keys) & set(features))
-    pairs = [(k, f) for k in keys for f in features if f not in by_name]
+    text = lambda c, n: F.col(c).cast("string").alias(n)
+    pairs = [F.struct(F.lit(f"{f}={k}").alias("_e"), text(k, "k"), text(f, "f")) for k in keys for f in features if f not in by_name]
     out = None
-    for k, f in pairs:
-        # a bijection: every key has one feature value and every feature value one key
-        u = df.select(F.col(k).cast("string").alias("k"), F.col(f).cast("string").alias("f")).distinct()
-        c = u.agg(F.count("*").alias("n"), F.count_distinct("k").alias("nk"), F.count_distinct("f").alias("nf"))
-        hit = c.where("n = nk AND n = nf AND n > 1").select(F.lit(f"{f}={k}").alias("_e"))
-        out = hit if out is None else out.unionByName(hit)
+    if pairs:
+        # a bijection: every key has one feature value and every feature value one key; one scan for all pairs
+        u = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").distinct()
+        c = u.groupBy("_e").agg(F.count("*").alias("n"), F.count_distinct("k").alias("nk"), F.count_distinct("f").alias("nf"))
+        out = c.where("n = nk AND n = nf AND n > 1").select("_e")
     spark = df.sparkSession
     named = spark.createDataFrame([(n,) for n in by_name], T.StructType([T.StructField("_e", T.StringType())]))
     return verdict(named if out is None else out.unionByName(named), "split_keys_not_features", "_e")
