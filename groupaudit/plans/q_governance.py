@@ -122,7 +122,7 @@ def b20(spark, d):
 @query(
     "w12_scope_tag",
     """WITH n AS (SELECT l_suppkey, l_returnflag || l_linestatus AS corpus, count(DISTINCT CASE WHEN l_discount > l_suppkey % 10 / 100.0 THEN l_orderkey END) AS n_groups FROM lineitem GROUP BY ALL)
-    SELECT *, CASE WHEN n_groups < 0.5 * max(n_groups) OVER (PARTITION BY corpus) THEN 'pilot slice' ELSE '' END AS scope FROM n""",
+    SELECT *, CASE WHEN n_groups > 0 AND n_groups < 0.5 * max(n_groups) OVER (PARTITION BY corpus) THEN 'pilot slice' ELSE '' END AS scope FROM n""",
 )
 def w12(spark, d):
     li = fx.table(spark, d, "lineitem")
