@@ -160,7 +160,7 @@ def language_id(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_identified(
-    docs: DataFrame, *, least: float = 0.3, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"
+    docs: DataFrame, *, least: float = 0.2, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"
 ) -> DataFrame:
     """``docs`` without rows of no language: ``und``, or a probability below ``least``; columns kept."""
     names = [F.col(f"`{c}`") for c in docs.columns]
