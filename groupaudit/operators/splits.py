@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groupaudit.functions.hashing import hash_key, uniform
@@ -115,18 +115,21 @@ def disjointness_evidence(
 ) -> DataFrame:
     """Evidence row per (repeat, fold): sizes on both sides and groups on both sides.
 
+    ``examples`` names the first five groups (as text) that are on both sides.
     A split claim is refused when group ids are only recording proxies.
     """
     proxy = F.bool_or(F.col(provenance) != "participant") if provenance else F.bool_or(F.lit(False))
     cells = assigned.groupBy("repeat", "fold", group).agg(F.count("*").alias("_n"), proxy.alias("_proxy"))
     per_group = cells.groupBy("repeat", group).agg(F.count("*").alias("_folds"))
     cells = cells.join(per_group, ["repeat", group])
-    shared_key = F.when(F.col("_folds") > 1, F.col(group).cast("string"))
+    named = cells.where("_folds > 1").select("repeat", "fold", F.col(group).cast("string").alias("_key"))
+    first = Window.partitionBy("repeat", "fold").orderBy("_key")  # tasks keep five before the shuffle
+    named = named.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= 5)
+    named = named.groupBy("repeat", "fold").agg(F.array_join(F.array_sort(F.collect_list("_key")), ",").alias("examples"))
     test = cells.groupBy("repeat", "fold").agg(
         F.count("*").alias("n_test_groups"),
         F.sum("_n").alias("n_test_rows"),
         F.count_if(F.col("_folds") > 1).alias("n_overlap"),
-        F.concat_ws(",", F.min(shared_key), F.max(shared_key)).alias("examples"),
         F.bool_or("_proxy").alias("_proxy"),
     )
     totals = per_group.groupBy("repeat").agg(F.count("*").alias("_g"))
@@ -140,6 +143,8 @@ def disjointness_evidence(
     return (
         test.join(totals, "repeat")
         .join(rows, "repeat")
+        .join(named, ["repeat", "fold"], "left")
+        .withColumn("examples", F.coalesce("examples", F.lit("")))
         .select(
             "repeat",
             "fold",

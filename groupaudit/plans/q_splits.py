@@ -88,7 +88,7 @@ def w03(spark, d):
         FROM sessions JOIN folds USING (speaker_id)),
       c AS (SELECT repeat, fold, speaker_id, count(*) AS n FROM a GROUP BY ALL), g AS (SELECT repeat, speaker_id, count(*) AS k FROM c GROUP BY ALL),
       t AS (SELECT repeat, fold, count(*) AS n_test_groups, sum(n) AS n_test_rows, count(*) FILTER (k > 1) AS n_overlap,
-            min(CASE WHEN k > 1 THEN speaker_id::VARCHAR END) || ',' || max(CASE WHEN k > 1 THEN speaker_id::VARCHAR END) AS examples FROM c JOIN g USING (repeat, speaker_id) GROUP BY ALL)
+            coalesce(array_to_string(list_sort(list(speaker_id::VARCHAR) FILTER (k > 1))[1:5], ','), '') AS examples FROM c JOIN g USING (repeat, speaker_id) GROUP BY ALL)
     SELECT repeat, fold, n_test_groups, (SELECT count(*) FROM g WHERE g.repeat = t.repeat) - n_test_groups + n_overlap AS n_train_groups, CAST(n_test_rows AS BIGINT) AS n_test_rows,
       CAST((SELECT count(*) FROM a WHERE a.repeat = t.repeat) - n_test_rows AS BIGINT) AS n_train_rows, n_overlap, examples,
       CASE WHEN n_overlap > 0 THEN 'LEAK' WHEN n_test_groups < 8 THEN 'TOO FEW TEST GROUPS' ELSE 'PASS' END AS status FROM t""",
