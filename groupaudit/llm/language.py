@@ -3,11 +3,15 @@
 The network is fitted on a bounded sample of labelled words; it then labels every position of every
 word of every document, and a document's probabilities are the mean over its letter positions.  The
 network starts anew at each word, so a worker reads each distinct word once and remembers its sum.
+
+A softmax names a label for any text, so that a rejection needs more: held-out labelled documents tell
+how sure the network is of clean texts, and which share of their letter triples it has not learned.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,34 +25,47 @@ from groupaudit.llm.common import small_batches
 
 MEMORY_WORDS, LONG_WORD = 500_000, 64  # remembered words of one worker, and their length
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+PRIOR = 30  # letters of an ordinary text that every text is given before it is judged: a few words tell little
+ENOUGH, TAIL = 20, 0.01  # held-out documents from which a bound is drawn, and the quantile it is drawn from
+RARE = 200_000  # a triple is learned if it is one of so many of its label at least
+_LETTER, _LETTERS = re.compile(r"[^\W\d_]"), re.compile(r"[^\W\d_]+")
 
 
 def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_windows(
-    labelled: DataFrame, *, docs_per_label: int = 400, windows_per_label: int = 20_000, label_limit: int = 200,
-    doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-) -> tuple[list[str], list[bytes], np.ndarray]:
-    """A bounded sample: documents of each label by hash of their id, then distinct words by hash.
+def triples(word: str) -> list[str]:
+    """A triple for every letter of a word, case aside: it and its neighbours, a blank at either end."""
+    return [f" {run} "[i : i + 3] for run in _LETTERS.findall(word.lower()) for i in range(len(run))]
 
-    At most ``label_limit`` x ``windows_per_label`` words reach the driver; more labels are refused.
-    Words are drawn in proportion to how often they occur in the sampled documents.
-    """
-    spark = labelled.sparkSession
-    small_batches(spark)
+
+def sampled(labelled: DataFrame, docs_per_label: int, doc_id: str, text: str, lang: str) -> DataFrame:
+    """(lang, text) of documents of each label, by hash of their id."""
     ids = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(doc_id, lang)
     first = Window.partitionBy(lang).orderBy(F.xxhash64(doc_id), doc_id)
     # at most docs_per_label ids for each label that is allowed: small enough to send everywhere
     chosen = ids.withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_per_label).select(doc_id).distinct()
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).join(
+    return labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).join(
         F.broadcast(chosen), doc_id, "left_semi"
     ).select(
         F.col(lang).alias("lang"), F.col(text).alias("text")
     )
 
+
+def training_windows(
+    labelled: DataFrame, *, docs_per_label: int = 400, windows_per_label: int = 20_000, label_limit: int = 200,
+    doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
+) -> tuple[list[str], list[bytes], np.ndarray, dict[str, np.ndarray]]:
+    """A bounded sample: documents of each label by hash of their id, then distinct words by hash.
+
+    At most ``label_limit`` x ``windows_per_label`` words reach the driver; more labels are refused.
+    Words are drawn in proportion to how often they occur in the sampled documents.  The last result
+    has the letter triples of the sampled words: for each, which labels have learned it.
+    """
+    small_batches(labelled.sparkSession)
+    rows = sampled(labelled, docs_per_label, doc_id, text, lang)
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = pd.DataFrame([(g, w) for g, t in zip(pdf["lang"], pdf["text"]) for word in t.split() for w in windows(word)], columns=["lang", "w"])
@@ -61,27 +78,46 @@ def training_windows(
     if len(labels) > label_limit:
         raise ValueError(f"{len(labels)} labels; the limit is {label_limit}")
     rng, items, y = np.random.default_rng(11), [], []
+    learned: dict[str, np.ndarray] = {}
     for i, g in enumerate(labels):
         own = sample[sample["lang"] == g]
+        count: Counter[str] = Counter()
+        for w, n in zip(own["w"], own["n"]):
+            for t in triples(bytes(w).decode("utf-8", "ignore")):
+                count[t] += int(n)
+        least = count.total() / RARE
+        for t in (t for t, n in count.items() if n >= least):
+            learned.setdefault(t, np.zeros(len(labels), bool))[i] = True
         share = np.sqrt(own["n"].to_numpy(dtype=float))
         draws = rng.choice(len(own), size=min(windows_per_label, 8_000), p=share / share.sum())
         items += [bytes(w) for w in own["w"].to_numpy()[draws]]
         y += [i] * len(draws)
-    return labels, items, np.array(y, dtype=np.int64)
+    return labels, items, np.array(y, dtype=np.int64), learned
 
 
 class _Reader:
     """Sums of words on one worker."""
 
-    def __init__(self, model: ByteGRU):
-        self.model = model
+    def __init__(self, model: ByteGRU, learned: dict[str, np.ndarray]):
+        self.model, self.learned = model, learned
         self.forget()
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}
         self.sums, self.counts = np.zeros((0, len(self.model.labels)), np.float32), np.zeros(0, np.int64)
-
-    def read(self, texts: list[str]) -> list[tuple[str, float]]:
+        self.known, self.triples = np.zeros((0, len(self.model.labels)), np.int64), np.zeros(0, np.int64)
+
+    def familiar(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Letter triples of each word that each label has learned, and all of them; none without ``learned``."""
+        none, at = np.zeros(len(self.model.labels), bool), [triples(w) if self.learned else [] for w in new]
+        n = np.array([len(a) for a in at], np.int64)
+        flat = [self.learned.get(t, none) for a in at for t in a]
+        total = np.concatenate([np.zeros((1, len(none)), np.int64), np.cumsum(np.array(flat, np.int64).reshape(len(flat), len(none)), axis=0)])
+        end = np.cumsum(n)
+        return total[end] - total[end - n], n
+
+    def read(self, texts: list[str]) -> list[tuple[str, float, int, int, int]]:
+        """Label, its probability, letter positions, letter triples, and triples that the label has not learned."""
         words = [t.split() for t in texts]
         new = list({w for ws in words for w in ws if w not in self.at})
         if len(self.at) + len(new) > MEMORY_WORDS:
@@ -94,17 +130,20 @@ class _Reader:
             sums, counts = np.add.reduceat(sums, start, axis=0), np.add.reduceat(counts, start)
         n = len(self.sums)
         self.sums, self.counts = np.concatenate([self.sums, sums]), np.concatenate([self.counts, counts])
+        known, n_triples = self.familiar(new)
+        self.known, self.triples = np.concatenate([self.known, known]), np.concatenate([self.triples, n_triples])
         self.at.update(zip(new, range(n, n + len(new))))
         out = []
         for t, ws in zip(texts, words):
             i = np.fromiter(map(self.at.__getitem__, ws), dtype=np.int64, count=len(ws))
             letters = int(self.counts[i].sum())
             if not letters or not self.model.labels or not _LETTER.search(t):
-                out.append((UNKNOWN, 0.0))
+                out.append((UNKNOWN, 0.0, 0, 0, 0))
                 continue
             p = self.sums[i].sum(axis=0, dtype=np.float64) / letters
             best = int(p.argmax())
-            out.append((self.model.labels[best], float(min(1.0, p[best]))))
+            n_all = int(self.triples[i].sum())
+            out.append((self.model.labels[best], float(min(1.0, p[best])), letters, n_all, n_all - int(self.known[i, best].sum())))
         for w in new:
             if len(w) > LONG_WORD:
                 del self.at[w]
@@ -114,38 +153,87 @@ class _Reader:
 _WORKER: dict[int, _Reader] = {}
 
 
-def identify(
-    docs: DataFrame, model: ByteGRU, *, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")
-) -> DataFrame:
-    """``docs`` with the predicted label and its probability added, whole texts, no shuffle.
+LABEL = "lang_pred string, score double, letters long, triples long, new long"
 
-    A null text, and one without a letter, is ``und`` with score 0.  Columns that have one of
-    ``names`` are replaced.  Ids play no part; repeated rows stay.
-    """
+
+def _label(docs: DataFrame, model: ByteGRU, text: str, learned: dict[str, np.ndarray] | None = None) -> Column:
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model, learned or {}))
 
     def label(texts: pd.Series) -> pd.DataFrame:
         key = id(shared.value)
         if key not in _WORKER:
             _WORKER.clear()
-            _WORKER[key] = _Reader(shared.value)
-        return pd.DataFrame(_WORKER[key].read([t or "" for t in texts]), columns=["lang_pred", "score"])
+            _WORKER[key] = _Reader(*shared.value)
+        return pd.DataFrame(_WORKER[key].read([t or "" for t in texts]), columns=["lang_pred", "score", "letters", "triples", "new"])
 
     # not to be repeated by a filter that is moved below the projection
-    once = F.pandas_udf(label, "lang_pred string, score double").asNondeterministic()
+    return F.pandas_udf(label, LABEL).asNondeterministic()(F.col(f"`{text}`"))
+
+
+def identify(
+    docs: DataFrame, model: ByteGRU, *, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """``docs`` with the predicted label and its probability added, whole texts, no shuffle.
+
+    A null text, and one without a letter, is ``und`` with score 0.  Columns that have one of
+    ``names`` are replaced.  Ids play no part; repeated rows stay.
+    """
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    labelled = docs.select(*rest, once(F.col(f"`{text}`")).alias("_label"))
+    labelled = docs.select(*rest, _label(docs, model, text).alias("_label"))
     return labelled.select(*rest, F.col("_label.lang_pred").alias(names[0]), F.col("_label.score").alias(names[1]))
 
 
-def fit(labelled: DataFrame, **bounds: int) -> ByteGRU:
-    """The network fitted on ``training_windows``; without labelled rows it knows no label."""
-    labels, items, y = training_windows(labelled, **bounds)
+def fit(labelled: DataFrame, **bounds: int) -> tuple[ByteGRU, dict[str, np.ndarray]]:
+    """The network fitted on ``training_windows``, and their triples; without labelled rows it knows no label."""
+    labels, items, y, learned = training_windows(labelled, **bounds)
     model = ByteGRU(labels)
     if items:
         model.fit(items, y)
-    return model
+    return model, learned
+
+
+def calibrate(
+    clean: DataFrame, model: ByteGRU, learned: dict[str, np.ndarray], *, docs_per_label: int = 400,
+    doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
+) -> dict[str, tuple[float, float, float, float]]:
+    """Per label: usual score and least score, usual share of new triples and largest share.
+
+    ``clean`` are labelled rows that the network has not seen.  Scores and shares are those of
+    ``judged``.  The least score lies halfway from chance to the score that all but a hundredth of the
+    rows reach; the largest share lies a quarter of the way from the share that all but a hundredth
+    keep to the share of a text in which nothing is learned.  A label with fewer than ``ENOUGH`` rows
+    takes the bounds of all rows together; where these are too few as well there are none.
+    """
+    rows = sampled(clean, docs_per_label, doc_id, text, lang)
+    # at most docs_per_label rows of five numbers for each label
+    found = rows.select("lang", _label(rows, model, "text", learned).alias("l")).where(F.col("l.lang_pred") == F.col("lang")).select("l.*").toPandas()
+    out, everyone = {}, None
+    for g in [None, *model.labels]:
+        own = found if g is None else found[found["lang_pred"] == g]
+        bounds = everyone
+        if len(own) >= ENOUGH:
+            score, share = float(own["score"].median()), float(own["new"].sum() / max(1, own["triples"].sum()))
+            low = float(((own["score"] * own["letters"] + PRIOR * score) / (own["letters"] + PRIOR)).quantile(TAIL))
+            high = float(((own["new"] + PRIOR * share) / (own["triples"] + PRIOR)).quantile(1 - TAIL))
+            chance = 1 / len(model.labels)
+            bounds = (score, chance + (low - chance) / 2, share, high + (1 - high) / 4)
+        if g is None:
+            everyone = bounds
+        elif bounds:
+            out[g] = bounds
+    return out
+
+
+def judged(label: Column, bounds: dict[str, tuple[float, float, float, float]]) -> Column:
+    """Whether a label's score and share of new triples, ``PRIOR`` usual letters added, keep its bounds."""
+    if not bounds:
+        return F.lit(True)
+    of = F.create_map(*[x for g, b in bounds.items() for x in (F.lit(g), F.array(*map(F.lit, b)))])
+    b = F.try_element_at(of, label["lang_pred"])
+    score = (label["score"] * label["letters"] + PRIOR * b[0]) / (label["letters"] + PRIOR)
+    share = (label["new"] + PRIOR * b[2]) / (label["triples"] + PRIOR)
+    return F.coalesce((score >= b[1]) & (share <= b[3]), F.lit(True))
 
 
 def language_id(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -155,15 +243,24 @@ def language_id(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     from; a row without an id is not held out.
     """
     known = docs.where(F.col(doc_id).isNotNull() & ~held_out(doc_id))
-    model = fit(known, doc_id=doc_id, text=text, lang=lang)
+    model, _ = fit(known, doc_id=doc_id, text=text, lang=lang)
     return identify(docs.drop("held_out").withColumn("held_out", held_out(doc_id)), model, text=text)
 
 
 def keep_identified(
     docs: DataFrame, *, least: float = 0.2, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"
 ) -> DataFrame:
-    """``docs`` without rows of no language: ``und``, or a probability below ``least``; columns kept."""
+    """``docs`` without rows of no learned language; columns kept.
+
+    These are ``und``, a probability below ``least``, and what ``judged`` tells from the held-out
+    labelled documents: a network that is less sure, or more letter triples that it has not learned,
+    than in clean texts of that label.
+    """
     names = [F.col(f"`{c}`") for c in docs.columns]
-    model = fit(docs.where(F.col(doc_id).isNotNull() & ~held_out(doc_id)), doc_id=doc_id, text=text, lang=lang)
-    found = identify(docs, model, text=text, names=("_language", "_probability"))
-    return found.where((F.col("_language") != UNKNOWN) & (F.col("_probability") >= least)).select(*names)
+    given, columns = docs.where(F.col(doc_id).isNotNull()), {"doc_id": doc_id, "text": text, "lang": lang}
+    model, learned = fit(given.where(~held_out(doc_id)), **columns)
+    bounds = calibrate(given.where(held_out(doc_id)), model, learned, **columns)
+    found = docs.select(*names, _label(docs, model, text, learned).alias("_label"))
+    label = F.col("_label")
+    sure = (label["lang_pred"] != UNKNOWN) & (label["score"] >= least)
+    return found.where(sure & judged(label, bounds)).select(*names)

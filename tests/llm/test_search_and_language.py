@@ -100,3 +100,17 @@ def test_language_of_odd_rows(spark):
     assert kept.count() == len(rows) - 3
     none = language.language_id(df.where("false"))
     assert none.count() == 0
+
+
+def test_noise_and_unknown_languages_are_rejected(spark, sf):
+    rng = np.random.default_rng(5)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    noise = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(60)) for _ in range(5)]
+    strange = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική.",
+    ]
+    planted = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(noise + strange)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in language.keep_identified(docs.unionByName(planted, allowMissingColumns=True)).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.collect()}
