@@ -9,8 +9,10 @@ any run of an entry's length lies in a passage; each distinct word of a passage
 2. the largest impacts in each block of entries are added up: blocks below it are skipped;
 3. the remaining blocks' postings are scored in full, and every entry at the threshold is retrieved.
 
-Retrieved items are verified against the document: the question's and the answer's runs of five
-words must both be there.  The index is built by joins and goes out in shards of bounded size.
+Retrieved items are verified against the document by runs of five words.  Where question and answer
+are given, both must be there.  Where the last sentence only stands for an answer, the runs of the
+whole item are enough, and so are the question's alone if it is the longer part and has ``ALONE`` words.
+The index is built by joins and goes out in shards of bounded size.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from groupaudit.llm.common import small_batches, stored
 K1, B = 1.2, 0.75
 BLOCK = 16  # entries of a block
 PASSAGE = 5  # words of a passage, in entry lengths
+ALONE = 13  # words of a text that is evidence by itself; fewer are met by chance
 SHARD_WORDS = 2_000_000  # words of the items of one shard, the size bound of what is broadcast
 HITS = "array<struct<item_id: bigint, score: double, question_overlap: double, answer_overlap: double>>"
 _WORD = re.compile(r"\w+")
@@ -77,6 +80,9 @@ class Index:
         rows = {r.row: (r.item_id, r.question, r.answer) for r in items.itertuples()}
         self.owner = [row for row, _ in entries.itertuples(index=False, name=None)]
         self.items = {r: (i, runs(words(q), shingle), runs(words(a), shingle)) for r, (i, q, a) in rows.items()}
+        split = items[items["guessed"]] if "guessed" in items else items
+        parted = [(r.row, words(r.question), words(r.answer)) for r in split.itertuples() if r.question != r.answer]
+        self.split = {r: (runs(q + a, shingle), len(q) >= max(ALONE, len(a))) for r, q, a in parted}
 
     def retrieve(self, terms: np.ndarray, threshold: float) -> dict[int, float]:
         """Entries with a score at the threshold for distinct terms, by block-max WAND."""
@@ -111,11 +117,12 @@ class Index:
             for row, score in sorted(found.items()):
                 item, question, answer = self.items[row]
                 share = []
-                for part in (question, answer):
+                whole, alone = self.split.get(row, (set(), False))
+                for part in (question, answer, whole):
                     n = len(next(iter(part), ()))
                     there.setdefault(n, runs(ws, n) if n else set())
                     share.append(len(part & there[n]) / len(part) if part else 1.0)
-                if min(share) >= overlap:
+                if min(share[:2]) >= overlap or whole and share[2] >= overlap or alone and share[0] >= overlap:
                     out.append({"item_id": item, "score": min(1.0, score), "question_overlap": share[0], "answer_overlap": share[1]})
         return sorted(out, key=lambda h: (h["item_id"] is None, h["item_id"]))
 
@@ -146,15 +153,17 @@ def contamination(
 ) -> Column:
     """A column for ``docs``: the items that a text contains, sorted, as ``HITS``; empty if none.
 
-    ``question`` and ``answer`` name columns of ``items`` if it has them; else an item's last sentence
-    is the answer.  Items without a word match nothing; repeated items and documents each count;
+    ``question`` and ``answer`` name columns of ``items`` if it has them, and both must share
+    ``overlap`` of their runs.  Else an item's last sentence is split off as its answer, and a document
+    contains the item as well if it shares ``overlap`` of the whole item's runs, or of those before a
+    last sentence that is the shorter part, if these are ``ALONE`` words.  Items without a word match nothing; repeated items and documents each count;
     a null or empty text contains nothing; an empty table of items gives empty lists.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     q, a = (F.col(question) if question else F.lit(None).cast("string")), (F.col(answer) if answer else F.lit(None).cast("string"))
 
-    @F.pandas_udf("question string, answer string, segs array<array<string>>, n int")
+    @F.pandas_udf("question string, answer string, guessed boolean, segs array<array<string>>, n int")
     def parse(texts: pd.Series, qs: pd.Series, as_: pd.Series) -> pd.DataFrame:
         out = []
         for t, own_q, own_a in zip(texts, qs, as_):
@@ -162,8 +171,8 @@ def contamination(
             guess = question_and_answer(t)
             ws = words(t)
             segs = [ws[i : i + entry_words] for i in range(0, len(ws), entry_words)]
-            out.append((own_q or guess[0], own_a or guess[1], segs, len(ws)))
-        return pd.DataFrame(out, columns=["question", "answer", "segs", "n"])
+            out.append((own_q or guess[0], own_a or guess[1], not (own_q and own_a), segs, len(ws)))
+        return pd.DataFrame(out, columns=["question", "answer", "guessed", "segs", "n"])
 
     parsed = items.select(
         F.col(item_id).cast("long").alias("item_id"), parse(F.col(item_text), q, a).alias("p"), F.monotonically_increasing_id().alias("row")
@@ -175,7 +184,7 @@ def contamination(
     columns = []
     for s in range(shards):
         own = postings.where(F.col("shard") == s).select("row", "seg", "term", "impact").toPandas()
-        index = Index(own, sharded.where(F.col("shard") == s).select("row", "item_id", "question", "answer").toPandas(), shingle)
+        index = Index(own, sharded.where(F.col("shard") == s).select("row", "item_id", "question", "answer", "guessed").toPandas(), shingle)
         shared = spark.sparkContext.broadcast(index)
 
         # not to be repeated by a filter that is moved below the projection

@@ -157,6 +157,23 @@ def test_contamination_query_finds_every_verbatim_item(spark, sf):
     assert got == {(d, i) for d, t in flat("documents") for i, w in flat("benchmark") if w in t}
 
 
+def test_items_with_an_edited_word_or_without_last_sentence(spark):
+    body = " ".join(f"p{i}" for i in range(30)) + ". "
+    last = "q0 q1 q2 q3 q4 q5 q6 q7."
+    long_last = " ".join(f"r{i}" for i in range(60)) + "."
+    items = spark.createDataFrame([(1, body + last), (2, "s0 s1 s2 s3 s4 s5. " + long_last)], "item_id long, text string")
+    docs = [
+        (1, "x " + body + last.replace("q4", "edited") + " y"), (2, "x " + body), (3, body.replace("p9 ", "edited ") + last), (4, last),
+        (5, "s0 s1 edited s3 s4 s5. " + long_last), (6, "s0 s1 s2 s3 s4 s5."), (7, " ".join(f"p{i}" for i in range(15)) + " " + last),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, items).collect())
+    assert got == [(1, 1), (2, 1), (3, 1), (5, 2)]
+    parted = spark.createDataFrame([(1, body + last, body, last)], "item_id long, text string, q string, a string")
+    got = decontaminate.contaminated(df, parted, question="q", answer="a").select("doc_id").collect()
+    assert [r["doc_id"] for r in got] == [3]  # an answer that is given must be there
+
+
 # --- surrogates ---------------------------------------------------------------------------------
 
 
