@@ -2,7 +2,9 @@
 
 1. One pattern finds entities of all kinds in the texts; their distinct values are the entity table.
    A person is found by a title, which tells the gender; given and family names are entities of
-   their own, so that "Mrs Anna Weber" and "Mrs Weber" stay the same person.
+   their own, so that "Mrs Anna Weber" and "Mrs Weber" stay the same person.  Where a text names
+   them again without a title, also in capitals, they are replaced by the same surrogates; names
+   that have a title nowhere in their text are not found.
 2. A keyed digest of (kind, value, attempt) gives every value a surrogate of its own kind, format and
    script: digits become digits, letters letters of the same case and script, addresses stay valid,
    a card number's check digit fits as well (or as badly) as before, names fit the gender.
@@ -33,8 +35,13 @@ TITLES = {
 SYLLABLES = {
     "latin": ["ba", "de", "fi", "go", "ka", "le", "mi", "no", "pa", "re", "si", "to", "va", "ne", "li", "mo"],
     "cyrillic": ["ба", "де", "фи", "го", "ка", "ле", "ми", "но", "па", "ре", "си", "то", "ва", "не", "ли", "мо"],
+    "greek": ["βα", "δε", "φι", "γο", "κα", "λε", "μι", "νο", "πα", "ρε", "σι", "το", "θα", "νε", "λι", "μο"],
+    "armenian": ["բա", "դե", "ֆի", "գո", "կա", "լե", "մի", "նո", "պա", "րե", "սի", "տո", "վա", "նե", "լի", "մո"],
 }
-ENDINGS = {"latin": {"f": "na", "m": "rt", "n": "l", "s": "nn"}, "cyrillic": {"f": "на", "m": "рт", "n": "л", "s": "нн"}}
+ENDINGS = {
+    "latin": {"f": "na", "m": "rt", "n": "l", "s": "nn"}, "cyrillic": {"f": "на", "m": "рт", "n": "л", "s": "нн"},
+    "greek": {"f": "να", "m": "ρος", "n": "λ", "s": "ννης"}, "armenian": {"f": "նա", "m": "րտ", "n": "լ", "s": "նն"},
+}
 
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 _NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
@@ -48,6 +55,7 @@ IP = rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)"
 CARD = r"(?<![\w-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\w-])"
 PERSON = rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME})?"
 ENTITY = "|".join([EMAIL, SECRET, IBAN, IP, SOCIAL, CARD, PHONE, PERSON])
+BARE = r"(?<![\p{L}\p{N}_])\p{Lu}\p{L}+(?:-\p{Lu}\p{L}+)?(?![\p{L}\p{N}_])"  # may be a name without its title
 MAYBE = rf"""[0-9@]|(?i:token|secret|password|api)|(?:{_TITLE})\.? \p{{Lu}}"""
 
 
@@ -160,7 +168,8 @@ def _name(value: Column, stream: Column, attempt: Column, gender: Column) -> Col
         return F.initcap(F.concat(body, end))
 
     long = F.flatten(F.array_repeat(stream, MOST_ATTEMPTS // 2 + 2))
-    return F.when(value.rlike(r"\p{IsCyrillic}"), build("cyrillic")).otherwise(build("latin"))
+    others = [script for script in SYLLABLES if script != "latin"]
+    return reduce(lambda c, script: c.when(value.rlike(rf"\p{{Is{script.capitalize()}}}"), build(script)), others, F.when(F.lit(False), "")).otherwise(build("latin"))
 
 
 def draw(kind: Column, value: Column, attempt: Column, s: Column) -> Column:
@@ -205,22 +214,46 @@ def entity_values(found: DataFrame) -> DataFrame:
     return kinds.where("kind <> 'person'").select("kind", "value").union(given).union(family).distinct()
 
 
-def found_surrogates(found: DataFrame, table: DataFrame) -> DataFrame:
-    """(value, surrogate) for every distinct found string."""
+def person_surrogates(found: DataFrame, table: DataFrame) -> DataFrame:
+    """(value, p, s1, s2) for every distinct found person: its parts, and surrogates of given and family name."""
     kinds = found.select("value").distinct().withColumn("kind", kind_of(F.col("value")))
-    plain = kinds.join(table, ["kind", "value"]).select("value", "surrogate")
     p = person_parts(F.col("value"))
     persons = kinds.where("kind = 'person'").select("value", p.alias("p"), F.concat(F.lit("name_"), _gender(F.col("value"))).alias("g"))
     given = table.select(F.col("kind").alias("g"), F.col("value").alias("v1"), F.col("surrogate").alias("s1"))
     family = table.where("kind = 'name_s'").select(F.col("value").alias("v2"), F.col("surrogate").alias("s2"))
-    named = (
+    return (
         persons.withColumn("v1", F.col("p")[1]).withColumn("v2", F.col("p")[3])
         .join(given, ["g", "v1"], "left").join(family, "v2")
-        .select("value", F.concat(F.col("p")[0], F.coalesce("s1", F.lit("")), F.col("p")[2], "s2").alias("surrogate"))
+        .select("value", "p", "s1", "s2")
     )
+
+
+def found_surrogates(found: DataFrame, table: DataFrame, persons: DataFrame) -> DataFrame:
+    """(value, surrogate) for every distinct found string."""
+    kinds = found.select("value").distinct().withColumn("kind", kind_of(F.col("value")))
+    plain = kinds.join(table, ["kind", "value"]).select("value", "surrogate")
+    named = persons.select("value", F.concat(F.col("p")[0], F.coalesce("s1", F.lit("")), F.col("p")[2], "s2").alias("surrogate"))
     return plain.union(named)
 
 
+def bare_names(each: DataFrame, persons: DataFrame, digest: str) -> DataFrame:
+    """(digest, names): surrogates of a text's own given and family names, also in capitals, as a map.
+
+    A word that is both, or a given name of two genders, is what its first place in the text makes it.
+    """
+    parts = F.explode(F.array(F.struct(F.col("p")[1].alias("v"), F.col("s1").alias("s")), F.struct(F.col("p")[3].alias("v"), F.col("s2").alias("s"))))
+    own = each.join(persons, "value").select(digest, "i", parts.alias("n")).where(F.col("n.s").isNotNull() & ~F.col("n.v").rlike(f"^(?:{_TITLE})$"))
+    forms = F.explode(F.array(F.col("n"), F.struct(F.upper("n.v").alias("v"), F.upper("n.s").alias("s"))))
+    first = own.select(digest, "i", forms.alias("n")).groupBy(digest, "n.v").agg(F.min(F.struct("i", "n.s")).alias("f"))
+    return first.groupBy(digest).agg(F.map_from_entries(F.collect_list(F.struct("v", "f.s"))).alias("names"))
+
+
+def _renamed(piece: Column, names: Column) -> Column:
+    """A piece of text without entities, its bare names replaced."""
+    words = F.arrays_zip(F.split(piece, BARE, -1).alias("a"), F.regexp_extract_all(piece, F.lit(BARE), F.lit(0)).alias("b"))
+    return F.array_join(F.transform(words, lambda w: F.concat(w["a"], F.coalesce(F.try_element_at(names, w["b"]), w["b"], F.lit("")))), "")
+
+
 def pseudonymise(docs: DataFrame, *, key: str, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """``docs`` with every entity in ``text`` replaced; rows, ids and other columns as they are.
 
@@ -230,23 +263,26 @@ def pseudonymise(docs: DataFrame, *, key: str, text: str = "text", n_chars: str
     """
     names = docs.columns
     body = F.col(f"`{text}`")
-    hash_, list_ = "_text_digest", "_surrogate_list"
+    hash_, list_, names_ = "_text_digest", "_surrogate_list", "_surrogate_names"
     maybe = F.coalesce(body.rlike(MAYBE), F.lit(False))
     texts = docs.where(maybe).select(body.alias("t"))
     entities = texts.select(F.sha2("t", 256).alias(hash_), F.regexp_extract_all("t", F.lit(ENTITY), F.lit(0)).alias("e"))
     lists = stored(entities.where(F.size("e") > 0).groupBy(hash_).agg(F.first("e").alias("e")), "entities")
     each = lists.select(hash_, F.posexplode("e").alias("i", "value"))
     table = surrogate_table(stored(entity_values(each), "values"), key=key)
-    pairs = stored(found_surrogates(each, table), "pairs")
+    persons = stored(person_surrogates(each, table), "persons")
+    pairs = stored(found_surrogates(each, table, persons), "pairs")
     back = (
         each.join(pairs, "value")
         .groupBy(hash_)
         .agg(F.array_sort(F.collect_list(F.struct("i", "surrogate"))).alias("l"))
         .select(hash_, F.col("l.surrogate").alias(list_))
     )
-    back = stored(back, "lists")
+    back = stored(back.join(bare_names(each, persons, hash_).withColumnRenamed("names", names_), hash_, "left"), "lists")
     touched = docs.where(maybe).withColumn(hash_, F.sha2(body, 256)).join(back.hint("merge"), hash_, "left")
-    pieces = F.arrays_zip(F.split(body, ENTITY, -1).alias("a"), F.col(list_).alias("b"))
+    cut = F.split(body, ENTITY, -1)
+    cut = F.when(F.col(names_).isNull(), cut).otherwise(F.transform(cut, lambda piece: _renamed(piece, F.col(names_))))
+    pieces = F.arrays_zip(cut.alias("a"), F.col(list_).alias("b"))
     new = F.array_join(F.transform(pieces, lambda p: F.concat(p["a"], F.coalesce(p["b"], F.lit("")))), "")
     new = F.when(F.col(list_).isNull(), body).otherwise(new)
     columns = {c: F.col(f"`{c}`") for c in names} | {text: new}

@@ -215,6 +215,18 @@ def test_surrogates_keep_kind_format_gender_and_identity(spark):
     assert "nothing" in other and f"call {g[7]}" not in other
 
 
+def test_names_without_their_title_are_the_same_person(spark):
+    text = "Anna came. Mrs Anna Weber met Mr Παπάς; Weber said so to Anna, WEBER's wife, and Παπάς. Weberstadt, weber and Olga stay, Weber@b.org not."
+    rows = [(1, text), (2, "Anna Weber is elsewhere"), (3, 'Mr Weber: token = "Weberweber"; Weberweber')]
+    got = {r["doc_id"]: r["text"] for r in surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), key="k").collect()}
+    m = re.fullmatch(r"(\w+) came\. Mrs (\w+) (\w+) met Mr (\w+); (\w+) said so to (\w+), (\w+)'s wife, and (\w+)\. Weberstadt, weber and Olga stay, (\w+)@b\.org not\.", got[1].replace(got[1].split("@")[1].split(" ")[0], "b.org"))
+    assert m, got[1]
+    first, anna, weber, greek, weber2, anna2, shouted, greek2, _ = m.groups()
+    assert first == anna == anna2 != "Anna" and weber == weber2 != "Weber" and shouted == weber.upper() and greek == greek2 != "Παπάς"
+    assert re.fullmatch("[Α-Ωα-ως]+", greek)
+    assert got[2] == rows[1][1] and got[3].startswith(f"Mr {weber}: token") and got[3].endswith("; Weberweber")
+
+
 def test_collisions_are_drawn_again(spark):
     values = [("ip", f"1.1.1.{i}") for i in range(1, 10)] + [("social", f"{i:03d}-00-0000") for i in range(300)] + [("name_f", f"N{i}") for i in range(400)]
     table = surrogates.surrogate_table(spark.createDataFrame(values, "kind string, value string"), key="k").collect()
