@@ -265,6 +265,29 @@ def test_scores_of_odd_rows(spark):
     assert backoff_lm.backoff_scores(df.where("false")).count() == 0
 
 
+def brute_backoff(texts, order, least, alpha=0.4):
+    ws = [t.lower().split() for t in texts]
+    count = Counter(tuple(w[i : i + k]) for w in ws for k in range(1, order + 1) for i in range(len(w) - k + 1))
+    total, step, out = sum(map(len, ws)), round(math.log(alpha) * 1e6), []
+    for w in ws:
+        score = 0
+        for i in range(len(w)):
+            fit = [k for k in range(2, order + 1) if i >= k - 1 and count[tuple(w[i - k + 1 : i + 1])] >= least]
+            k = max(fit, default=1)
+            p = count[tuple(w[i - k + 1 : i + 1])] / (count[tuple(w[i - k + 1 : i])] if k > 1 else total)
+            score += round(math.log(p) * 1e6) + (order - k) * step
+        out.append((len(w), score))
+    return out
+
+
+@pytest.mark.parametrize("order, least", [(2, 1), (3, 2), (3, 1), (4, 2)])
+def test_scores_of_higher_orders(spark, order, least):
+    texts = ["a b c d a b c e", "a b c d", "x a b c", "b c d a", "e", "", "c c c c c c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["log_score"]) for r in backoff_lm.backoff_scores(df, order=order, least=least).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_backoff(texts, order, least)
+
+
 # --- pipeline -----------------------------------------------------------------------------------
 
 
