@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groupaudit.llm import backoff_lm, best_fit, decontaminate, elias_fano, exact_topk, language, simhash, surrogates, token_counts, url_templates
+from groupaudit.llm import (
+    backoff_lm,
+    best_fit,
+    decontaminate,
+    elias_fano,
+    exact_topk,
+    histogram_pack,
+    language,
+    simhash,
+    surrogates,
+    token_counts,
+    url_templates,
+)
 from groupaudit.llm.common import table
 
 QUERIES: dict = {}
@@ -122,3 +134,9 @@ def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op6_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_lm.backoff_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op11_shortest_pack_first")
+def op11_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return histogram_pack.histogram_pack(docs, path=public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
