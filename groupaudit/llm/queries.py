@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groupaudit.llm import (
@@ -14,6 +14,7 @@ from groupaudit.llm import (
     exact_topk,
     histogram_pack,
     language,
+    periodic_runs,
     simhash,
     surrogates,
     token_counts,
@@ -140,3 +141,37 @@ def op6_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return histogram_pack.histogram_pack(docs, path=public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+
+
+def planted_repeats(doc_id: Column, text: Column) -> Column:
+    """Text whose end, in every tenth document by checksum, repeats its own words periodically."""
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    h = F.crc32(doc_id.cast("string"))
+
+    def repeated(w: Column, g: Column) -> Column:
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (F.lit(1) + F.floor((n - a) / (3 + g % 8))).cast("int")
+        rest = F.slice(F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+        return F.array_join(F.concat(F.slice(w, F.lit(1), a), rest), " ")
+
+    # one-element arrays bind the words and the number once
+    new = F.transform(F.array(F.struct(words.alias("w"), F.floor(h / 10).alias("g"))), lambda s: F.when(F.size(s["w"]) > 0, repeated(s["w"], s["g"])))
+    return F.when(h % 10 == 0, F.coalesce(new[0], text)).otherwise(text)
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.periodic_runs(docs, text=planted_repeats(F.col("doc_id"), F.col("text")))
+    longer = lambda a, r: F.when(r["length"] * a["period"] > a["length"] * r["period"], r).otherwise(a)
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), longer)
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
