@@ -18,6 +18,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a ``stored`` table that nothing will read again."""
+    jvm = df.sparkSession._jvm
+    for file in df.inputFiles()[:1]:
+        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Written once below the shared folder and read back: lineage is cut, columns can be pruned."""
     path = scratch_path(df.sparkSession, name)

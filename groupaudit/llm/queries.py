@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ from groupaudit.llm import (
     surrogates,
     token_counts,
     url_templates,
+    vector_codes,
 )
 from groupaudit.llm.common import table
 
@@ -175,3 +178,55 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+def _code_rounds(rounds: int) -> str:
+    """Assignment and means of every round, as tables a0, c1, a1, ... over parts p and first entries c0."""
+    distance = "CAST(coalesce(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))), 0) AS BIGINT)"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+    a{r} AS (
+        SELECT rid, part, min({{'d': d, 'e': e}}) AS best
+        FROM (SELECT rid, part, e, {distance} AS d FROM p JOIN c{r} USING (part)) GROUP BY rid, part)""")
+        if r < rounds:
+            steps.append(f"""
+    m{r} AS (
+        SELECT part, e, list(m ORDER BY i) AS c FROM (
+            SELECT part, e, i, CAST(floor(sum(y) / count(*)) AS BIGINT) AS m FROM (
+                SELECT part, best.e AS e, unnest(x) AS y, unnest(range(1, len(x) + 1)) AS i FROM a{r} JOIN p USING (rid, part))
+            GROUP BY part, e, i)
+        GROUP BY part, e),
+    c{r + 1} AS (SELECT part, e, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (part, e))""")
+    return ",".join(steps)
+
+
+@query(
+    "op13_vector_codes",
+    f"""
+    WITH v AS (
+        SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label,
+               list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    p AS (
+        SELECT rid, part, v[part * len(v) // 8 + 1 : (part + 1) * len(v) // 8] AS x
+        FROM (SELECT rid, v, unnest(range(0, 8)) AS part FROM v)),
+    c0 AS (SELECT part, rid - 1 AS e, x AS c FROM p WHERE rid <= 16),
+    {_code_rounds(6)},
+    n AS (
+        SELECT rid, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error
+        FROM a6 GROUP BY rid),
+    s AS (
+        SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY part, e, i)) AS codebooks_sha256
+        FROM (SELECT part, e, unnest(c) AS y, unnest(range(0, len(c))) AS i FROM c6))
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+    FROM v JOIN n USING (rid) CROSS JOIN s
+    """,
+)
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = 8
+    coded, books = vector_codes.vector_codes(table(spark, sf_dir, "embeddings"), parts=parts)
+    cuts = vector_codes.part_slices(books.shape[1], parts)
+    listed = ",".join(str(x) for c in cuts for entry in books[:, c].tolist() for x in entry)
+    sha = hashlib.sha256(listed.encode()).hexdigest()
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(sha).alias("codebooks_sha256"))
