@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from groupaudit.llm.common import small_batches, stored
-from groupaudit.llm.unit_encoder import ids_crc32, worker_encoder
+from groupaudit.llm.unit_encoder import UnitEncoder, ids_crc32, worker_encoder
 
 PIECES = "doc_id string, start long, length int, doc_tokens long, ids_crc32 long, ids binary, task int, nth long"
 PLACED = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -123,13 +123,16 @@ def pack_histogram(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, n
     )
 
 
-def place(length: int, rank: int, runs: np.ndarray, keys: np.ndarray, slots: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Parts (from, to, sequence, offset) of the piece of this length and rank."""
-    _, first, sequence, offset, stream, width = runs[np.searchsorted(keys, (length << 44) | rank, side="right") - 1].tolist()
-    i = rank - first
-    if sequence >= 0:
-        return [(0, length, sequence + i, offset)]
-    at = stream + i * width
+def place(lengths: np.ndarray, ranks: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, offset, stream) of pieces: one of sequence and stream, the place in the stream, is -1."""
+    keys = (runs[:, 0] << 44) | runs[:, 1]
+    _, first, sequence, offset, stream, width = runs[np.searchsorted(keys, (lengths << 44) | ranks, side="right") - 1].T
+    i, whole = ranks - first, sequence >= 0
+    return np.where(whole, sequence + i, -1), offset, np.where(whole, -1, stream + i * width)
+
+
+def slot_parts(at: int, length: int, slots: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Parts (from, to, sequence, offset) of the ``length`` ids that begin at place ``at`` of the stream."""
     parts, done = [], 0
     group = int(np.searchsorted(slots[:, 0], at, side="right")) - 1
     while done < length:
@@ -142,13 +145,17 @@ def place(length: int, rank: int, runs: np.ndarray, keys: np.ndarray, slots: np.
     return parts
 
 
+def _id_type(encoder: UnitEncoder, end_id: int) -> np.dtype:
+    return encoder.dtype if end_id <= np.iinfo(encoder.dtype).max else np.dtype("<u4")
+
+
 def encoded_pieces(docs: DataFrame, *, path: str, end_id: int, capacity: int, doc_id: str, text: str) -> DataFrame:
     """Full sequences cut off every whole text, and its rest with the ids that may still be cut."""
     small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, task, seen = worker_encoder(path), TaskContext.get().partitionId(), defaultdict(int)
-        wide = encoder.dtype if end_id <= np.iinfo(encoder.dtype).max else np.dtype("<u4")
+        wide = _id_type(encoder, end_id)
         end = np.array([end_id], wide)
         for pdf in batches:
             rows = []
@@ -182,24 +189,36 @@ def histogram_pack(
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     ranks = stored(per_task.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "ranks")
     counts = {r["length"]: r["n"] for r in ranks.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    shared = spark.sparkContext.broadcast(pack_histogram(counts, capacity))
+    runs, slots = pack_histogram(counts, capacity)
+    shared = spark.sparkContext.broadcast((runs, slots))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         runs, slots = shared.value
-        keys = (runs[:, 0] << 44) | runs[:, 1]
-        wide = worker_encoder(path).dtype if end_id <= np.iinfo(worker_encoder(path).dtype).max else np.dtype("<u4")
+        wide = _id_type(worker_encoder(path), end_id)
         for pdf in batches:
+            sequence, offset, stream = place(pdf["length"].to_numpy(np.int64), pdf["rank"].to_numpy(np.int64), runs)
+            pdf["sequence_id"], pdf["offset"] = sequence, offset
+            yield pdf.loc[sequence >= 0, names]
             rows = []
-            for own, start, n, all_, crc, ids, rank in pdf.itertuples(index=False, name=None):
-                parts = place(n, rank, runs, keys, slots)
-                if len(parts) == 1:
-                    rows.append((own, start, n, crc, all_, *parts[0][2:]))
-                    continue
-                ids = np.frombuffer(ids, wide)
-                rows += [(own, start + lo, hi - lo, ids_crc32(ids[lo:hi]), all_, s, o) for lo, hi, s, o in parts]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    ranked = pieces.join(ranks.select("task", "length", "before"), ["task", "length"]).select(
-        "doc_id", "start", "length", "doc_tokens", "ids_crc32", "ids", (F.col("nth") + F.col("before")).alias("rank")
+            for k in np.flatnonzero(sequence < 0).tolist():
+                piece = pdf.iloc[k]
+                ids = np.frombuffer(piece["ids"], wide)
+                for lo, hi, s, o in slot_parts(int(stream[k]), len(ids), slots):
+                    rows.append((piece["doc_id"], piece["start"] + lo, hi - lo, ids_crc32(ids[lo:hi]), piece["doc_tokens"], s, o))
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
+
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    ranked = pieces.join(ranks.select("task", "length", "before"), ["task", "length"]).withColumn("rank", F.col("nth") + F.col("before"))
+    # only pieces of dissolved packs are cut: few ids leave the JVM
+    cut: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for length, rank, sequence, _, _, _ in runs.tolist():
+        if sequence < 0:
+            above = runs[(runs[:, 0] == length) & (runs[:, 1] > rank), 1]
+            cut[length].append((rank, int(above.min()) if len(above) else counts[length]))
+    rows = spark.createDataFrame(list(cut.items()), "length int, cut array<struct<lo: long, hi: long>>")
+    dissolved = F.exists("cut", lambda c: (F.col("rank") >= c["lo"]) & (F.col("rank") < c["hi"]))
+    ranked = ranked.join(rows, "length", "left").select(
+        "doc_id", "start", F.col("length").cast("long").alias("length"), "doc_tokens", "ids_crc32", F.when(dissolved, F.col("ids")).alias("ids"), "rank"
     )
     return ranked.mapInPandas(assign, PLACED).withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from groupaudit.llm import queries
-from groupaudit.llm.histogram_pack import histogram_pack, pack_histogram, place, shortest_pack_first
+from groupaudit.llm.histogram_pack import histogram_pack, pack_histogram, place, shortest_pack_first, slot_parts
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(BYTE)
@@ -67,10 +67,10 @@ def test_pattern_sums_are_those_of_single_pieces(counts):
 @given(HISTOGRAM)
 def test_every_id_is_placed_once_and_nothing_is_padded(counts):
     runs, slots = pack_histogram(counts, 40)
-    keys, used = (runs[:, 0] << 44) | runs[:, 1], {}
+    used = {}
     for x, n in counts.items():
-        for rank in range(n):
-            parts = place(x, rank, runs, keys, slots)
+        for sequence, offset, stream in zip(*place(np.full(n, x), np.arange(n), runs)):
+            parts = [(0, x, sequence, offset)] if sequence >= 0 else slot_parts(int(stream), x, slots)
             assert [p[0] for p in parts] + [x] == [0, *(p[1] for p in parts)]
             for lo, hi, sequence, offset in parts:
                 used.setdefault(sequence, []).append((offset, hi - lo))
