@@ -6,9 +6,11 @@ SQL engine computes the same value, so every seeded operator has an exact check.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,19 +51,101 @@ def poisson_weight(u: Column) -> Column:
     return expr.otherwise(F.lit(len(thresholds)))
 
 
-def poisson_sql(u: str) -> str:
-    """The same inverse CDF as SQL text (used by oracles)."""
-    thresholds = poisson_thresholds()
-    arms = " ".join(f"WHEN {u} < {t:.17e} THEN {k}" for k, t in enumerate(thresholds))
-    return f"CASE {arms} ELSE {len(thresholds)} END"
-
-
 def uniform_sql(*parts: str) -> str:
     """The same uniform as SQL text; parts are SQL expressions."""
     key = "md5(concat_ws('|', " + ", ".join(parts) + "))"
     return f"(CAST('0x' || substr({key}, 1, {_HEX_DIGITS}) AS BIGINT) / {_SCALE:.1f}::DOUBLE)"
 
 
+# --- one hash per key for many replicates -----------------------------------------------------
+# Replicate b sees key x as (a_b * mix(x) + c_b) mod MODULUS: a digest per key and one per replicate
+# instead of one per pair, and whole-number arithmetic that NumPy and SQL do alike.  Digests are uniform
+# and the map is a universal hash, so draws of different keys, and of different replicates, are
+# pairwise independent.
+
+MODULUS = (1 << 31) - 1
+
+
+def mix_key(seed: int, key: str | Column) -> Column:
+    """Whole number below MODULUS for a key."""
+    return F.conv(F.substring(hash_key(seed, key), 1, _HEX_DIGITS), 16, 10).cast("bigint") % F.lit(MODULUS)
+
+
+def _replicate_factors(seed: int, b: Column) -> tuple[Column, Column]:
+    digits = lambda at: F.conv(F.substring(hash_key(seed, b), at, _HEX_DIGITS), 16, 10).cast("bigint")
+    return F.lit(1) + digits(1) % F.lit(MODULUS - 1), digits(1 + _HEX_DIGITS) % F.lit(MODULUS)
+
+
+def mixed(seed: int, b: Column, key: Column) -> Column:
+    """Whole number below MODULUS for replicate b and a ``mix_key``."""
+    a, c = _replicate_factors(seed, b)
+    return (a * key + c) % F.lit(MODULUS)
+
+
+def replicate_factors(seed: int, n_boot: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a_b, c_b) of replicates 0 .. n_boot - 1."""
+    a, c = np.empty(n_boot, np.int64), np.empty(n_boot, np.int64)
+    for b in range(n_boot):
+        d = hashlib.md5(f"{seed}|{b}".encode()).hexdigest()
+        a[b] = 1 + int(d[:_HEX_DIGITS], 16) % (MODULUS - 1)
+        c[b] = int(d[_HEX_DIGITS : 2 * _HEX_DIGITS], 16) % MODULUS
+    return a, c
+
+
+def mixed_array(a: np.ndarray, c: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """``mixed`` for every key (rows) and replicate (columns)."""
+    x = keys[:, None] * a
+    x += c
+    for _ in range(2):  # MODULUS is 2^31 - 1: the remainder by folding the high bits
+        x = (x & MODULUS) + (x >> 31)
+    x[x == MODULUS] = 0
+    return x
+
+
+def poisson_steps() -> list[int]:
+    """A mixed number is worth as many as there are steps at or below it: Poisson(1), to the last value."""
+    out: list[int] = []
+    total, k = 0.0, 0
+    while not out or out[-1] < MODULUS:
+        total += math.exp(-1.0) / math.factorial(k)
+        out.append(min(MODULUS, math.ceil(total * MODULUS)))
+        k += 1
+    return out[:-1]
+
+
+def poisson_count(x: Column) -> Column:
+    """Poisson(1) count of a mixed number."""
+    expr, steps = F.when(x < F.lit(poisson_steps()[0]), F.lit(0)), poisson_steps()
+    for k, t in enumerate(steps[1:], start=1):
+        expr = expr.when(x < F.lit(t), F.lit(k))
+    return expr.otherwise(F.lit(len(steps)))
+
+
+def poisson_counts(x: np.ndarray) -> np.ndarray:
+    """Poisson(1) counts of mixed numbers."""
+    narrow, out = x.astype(np.uint32), np.zeros(x.shape, np.uint8)
+    for t in poisson_steps():
+        out += narrow >= np.uint32(t)
+    return out
+
+
+def mix_key_sql(seed: str, key: str) -> str:
+    return f"(CAST('0x' || substr(md5(concat_ws('|', {seed}, {key})), 1, {_HEX_DIGITS}) AS BIGINT) % {MODULUS})"
+
+
+def mixed_sql(seed: str, b: str, key: str) -> str:
+    """``mixed`` as SQL text; ``key`` is an expression of ``mix_key_sql``."""
+    digest = f"md5(concat_ws('|', {seed}, {b}))"
+    a = f"(1 + CAST('0x' || substr({digest}, 1, {_HEX_DIGITS}) AS BIGINT) % {MODULUS - 1})"
+    c = f"(CAST('0x' || substr({digest}, {1 + _HEX_DIGITS}, {_HEX_DIGITS}) AS BIGINT) % {MODULUS})"
+    return f"(({a} * {key} + {c}) % {MODULUS})"
+
+
+def poisson_count_sql(x: str) -> str:
+    arms = " ".join(f"WHEN {x} < {t} THEN {k}" for k, t in enumerate(poisson_steps()))
+    return f"CASE {arms} ELSE {len(poisson_steps())} END"
+
+
 def canonical_json(pairs: Sequence[tuple[str, Column]]) -> Column:
     """JSON text of a flat struct with keys in sorted order."""
     ordered = sorted(pairs, key=lambda kv: kv[0])

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,6 +124,11 @@ def width_bin(p: Column, n_bins: int = 15) -> Column:
     return F.greatest(F.lit(0), F.least(F.floor(p * n_bins), F.lit(n_bins - 1))).cast("int")
 
 
+def width_bins(p: np.ndarray, n_bins: int = 15) -> np.ndarray:
+    """``width_bin`` of an array."""
+    return np.clip(np.floor(p * n_bins), 0, n_bins - 1).astype(int)
+
+
 def ece_equal_width(
     df: DataFrame,
     *,
@@ -262,22 +268,3 @@ def worst_cell(cells: DataFrame, pooled: DataFrame) -> DataFrame:
     return worst.withColumn("auc_pooled", pooled.select("auc").scalar()).withColumn(
         "gap", F.col("auc_pooled") - F.col("auc_min")
     )
-
-
-# Metrics the resampling operators accept by name: each maps a keyed, weighted frame to one value.
-METRICS = {
-    "auc": lambda d, **k: roc_auc(d, **k).withColumnRenamed("auc", "metric"),
-    "uar": lambda d, bounds=None, **k: threshold_metrics(d, **k).withColumnRenamed("uar", "metric"),
-    "ece": lambda d, bounds=None, **k: ece_equal_width(d, **k).withColumnRenamed("ece", "metric"),
-    "brier": lambda d, bounds=None, **k: weighted_brier(d, **k),
-}
-
-
-def weighted_brier(
-    df: DataFrame, *, score: str, label: str, by: Sequence[str] = (), weight: str | None = None
-) -> DataFrame:
-    w = F.col(weight) if weight else F.lit(1)
-    gap = F.col(score) - F.col(label)
-    return (
-        df.where(_usable(score, label)).groupBy(*by).agg(ratio(F.sum(w * gap * gap), F.sum(w)).alias("metric"))
-    )

@@ -1,23 +1,51 @@
-"""Cluster bootstrap: replicates are weights per group, never copies of rows."""
+"""Cluster bootstrap: a replicate is a weight per group, and weights are never a table of rows.
+
+A whole number per group (``mix_key``) and two per replicate give every weight, so a task that holds
+some rows derives the weights of all replicates for them, in NumPy, and returns vectors over the
+replicates.  What moves are rows, once each, and vectors whose number depends on buckets alone.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groupaudit.functions.hashing import hash_key, poisson_weight, uniform
-from groupaudit.operators.metrics import METRICS, ratio, roc_auc
+from groupaudit.functions.hashing import (
+    MODULUS,
+    hash_key,
+    mix_key,
+    mixed,
+    mixed_array,
+    poisson_count,
+    poisson_counts,
+    replicate_factors,
+    uniform,
+)
+from groupaudit.operators.metrics import ratio, roc_auc, width_bins
 from groupaudit.operators.ranks import bucket_of, hash_rank, quantile_bounds
+from groupaudit.session import ship_package
+
+SLICE = 250  # replicates of one vector
+CELLS = 1 << 21  # weights derived at a time
 
 
 def poisson_weights(groups: DataFrame, *, group: str, n_boot: int, seed: int = 0) -> DataFrame:
     """(b, group, w > 0) with Poisson(1) counts from a hash: an expression, no join and no shuffle."""
-    d = groups.select(group, F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-    return d.withColumn("w", poisson_weight(uniform(seed, "b", group))).where("w > 0")
+    d = groups.select(group, mix_key(seed, group).alias("_h"))
+    d = d.select(group, "_h", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
+    return d.select("b", group, poisson_count(mixed(seed, F.col("b"), F.col("_h"))).alias("w")).where("w > 0")
+
+
+def _numbered(groups: DataFrame, group: str, seed: int) -> DataFrame:
+    return hash_rank(groups.select(group).withColumn("_h", hash_key(seed, group)), key="_h", out="_r").drop("_h")
 
 
 def multinomial_weights(groups: DataFrame, *, group: str, n_boot: int, seed: int = 0) -> DataFrame:
@@ -25,36 +53,242 @@ def multinomial_weights(groups: DataFrame, *, group: str, n_boot: int, seed: int
 
     Groups are numbered in hash order; slot r of replicate b draws number floor(u * U) + 1.
     """
-    g = groups.select(group).withColumn("_h", hash_key(seed, group))
-    numbered = hash_rank(g, key="_h", out="_r").drop("_h")
+    numbered = _numbered(groups, group, seed)
     total = groups.agg(F.count("*")).scalar()
-    draws = numbered.select(F.col("_r").alias("_slot"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-    pick = (F.floor(uniform(seed, "b", "_slot") * total) + 1).cast("bigint")
-    counts = draws.select("b", pick.alias("_r")).groupBy("b", "_r").agg(F.count("*").alias("w"))
+    slots = numbered.select(mix_key(seed, "_r").alias("_slot"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
+    pick = (F.floor(mixed(seed, F.col("b"), F.col("_slot")) * total / F.lit(MODULUS)) + 1).cast("bigint")
+    counts = slots.select("b", pick.alias("_r")).groupBy("b", "_r").agg(F.count("*").alias("w"))
     return counts.join(numbered, "_r").select("b", group, F.col("w").cast("int").alias("w"))
 
 
 SCHEMES = {"multinomial": multinomial_weights, "poisson": poisson_weights}
 
 
-def cluster_weights(
-    groups: DataFrame, *, group: str, n_boot: int, seed: int = 0, scheme: str = "multinomial"
-) -> DataFrame:
-    """Weights by a named scheme, the same at every size.
+@dataclass(frozen=True)
+class Draw:
+    """One draw of groups, shared by every metric, score and grain that is given it.
 
-    Multinomial draws need a shuffle of their own; a caller with very many groups may ask for Poisson.
+    ``poisson`` needs nothing but the keys.  ``multinomial`` needs the drawn groups: their weights come
+    as one vector per group, joined to the rows once, and a task that draws holds a number per group.
     """
-    return SCHEMES[scheme](groups, group=group, n_boot=n_boot, seed=seed)
 
-
-def _collapsed(df: DataFrame, group: str, label: str, scores: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Equal (group, label, scores) rows become one row with a count before replicates multiply them."""
-    return df.groupBy(*by, group, label, *scores).agg(F.count("*").alias("_c"))
+    groups: DataFrame
+    group: str
+    n_boot: int
+    seed: int = 0
+    scheme: str = "poisson"
+
+    def rows(self) -> DataFrame:
+        """(b, group, w > 0), for the eye and for small settings."""
+        return SCHEMES[self.scheme](self.groups, group=self.group, n_boot=self.n_boot, seed=self.seed)
+
+    def attach(self, df: DataFrame, group: str) -> DataFrame:
+        """``df`` with what its rows' weights are derived from: ``_h``, and ``_v`` for multinomial draws."""
+        if self.scheme == "poisson":
+            return df.withColumn("_h", mix_key(self.seed, group)).withColumn("_v", F.lit(None).cast("binary"))
+        return df.join(self._vectors().withColumnRenamed(self.group, group), group).withColumn("_h", mix_key(self.seed, group))
+
+    def _vectors(self) -> DataFrame:
+        numbered, spark = _numbered(self.groups, self.group, self.seed), self.groups.sparkSession
+        n, n_boot, seed = self.groups.count(), self.n_boot, self.seed
+        block, chunk = SLICE, 4096
+
+        def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            slots = np.array([int(h[:13], 16) % MODULUS for h in map(_md5, (f"{seed}|{r}" for r in range(1, n + 1)))], np.int64)
+            a, c = replicate_factors(seed, n_boot)
+            for pdf in batches:
+                for lo in (pdf["id"].to_numpy() * block).tolist():
+                    hi = min(lo + block, n_boot)
+                    counts = np.empty((n, hi - lo), np.uint8)
+                    for b in range(lo, hi):
+                        picks = mixed_array(a[b : b + 1], c[b : b + 1], slots)[:, 0] * n // MODULUS
+                        counts[:, b - lo] = np.bincount(picks, minlength=n)
+                    for k in range(0, n, chunk):
+                        yield pd.DataFrame({"k": [k // chunk], "lo": [lo], "w": [counts[k : k + chunk].tobytes()]})
+
+        def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
+            first = int(pdf["k"].iloc[0]) * chunk
+            rows = min(chunk, n - first)
+            parts = [np.frombuffer(w, np.uint8).reshape(rows, -1) for w in pdf.sort_values("lo")["w"]]
+            whole = np.hstack(parts)
+            return pd.DataFrame({"_r": np.arange(first + 1, first + rows + 1), "_v": [w.tobytes() for w in whole]})
+
+        ship_package(spark)
+        blocks = spark.range(0, -(-n_boot // block), 1, -(-n_boot // block))
+        vectors = blocks.mapInPandas(draw, "k long, lo long, w binary").groupBy("k").applyInPandas(assemble, "_r long, _v binary")
+        return vectors.join(numbered, "_r").select(self.group, "_v")
+
+    def weights(self) -> Callable[[np.ndarray, Sequence[bytes | None], int, int], np.ndarray]:
+        """(keys, vectors, lo, hi) -> weights of rows (rows) in replicates lo .. hi - 1 (columns)."""
+        a, c = replicate_factors(self.seed, self.n_boot)
+        n_boot = self.n_boot
+        if self.scheme == "poisson":
+            return lambda keys, vectors, lo, hi: poisson_counts(mixed_array(a[lo:hi], c[lo:hi], keys))
+        return lambda keys, vectors, lo, hi: np.frombuffer(b"".join(vectors), np.uint8).reshape(-1, n_boot)[:, lo:hi]
+
+
+def _md5(text: str) -> str:
+    return hashlib.md5(text.encode()).hexdigest()
+
+
+def cluster_weights(groups: DataFrame, *, group: str, n_boot: int, seed: int = 0, scheme: str = "poisson") -> Draw:
+    """A draw by a named scheme, the same at every size."""
+    if scheme not in SCHEMES:
+        raise ValueError(f"unknown scheme {scheme}")
+    return Draw(groups, group, n_boot, seed, scheme)
+
+
+def _fields(df: DataFrame, names: Sequence[str]) -> str:
+    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in names)
+
+
+def _keys(pdf: pd.DataFrame, by: Sequence[str], n: int) -> dict:
+    return {c: [pdf[c].iloc[0]] * n for c in by}
+
+
+def _parts(rows: int, n_boot: int) -> Iterator[tuple[int, int, int]]:
+    """(slice, from, to): slices of replicates, cut further so that a matrix of weights stays bounded."""
+    step = max(1, min(SLICE, CELLS // max(1, rows)))
+    for lo in range(0, n_boot, SLICE):
+        for at in range(lo, min(lo + SLICE, n_boot), step):
+            yield lo // SLICE, at, min(at + step, lo + SLICE, n_boot)
+
+
+def auc_replicates(df: DataFrame, draw: Draw, *, group: str, score: str, label: str, by: Sequence[str], bounds: Sequence[float]) -> DataFrame:
+    """(by, b, metric): weighted AUC of every replicate.
+
+    Equal rows of a group become one with counts.  Rows then meet in score buckets; each gives vectors
+    over the replicates: positives, negatives, and pairs inside it.  A score that is a bucket's edge, as
+    every frequent one is, gets a bucket of its own, spread by group: its positives and negatives just
+    add up.  Prefix sums of the vectors over the buckets give the pairs across them.
+    """
+    spark, by, n_boot, weights = df.sparkSession, list(by), draw.n_boot, draw.weights()
+    ship_package(spark)
+    s, y = F.col(score).cast("double"), F.col(label)
+    usable = s.isNotNull() & ~F.isnan(s) & y.isNotNull()
+    alike = df.where(usable).groupBy(*by, F.col(group).alias("_g"), s.alias("_s")).agg(
+        F.sum(y.cast("double")).alias("_p"), F.sum(F.lit(1) - y.cast("double")).alias("_n")
+    )
+    spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+    edge = F.col("_s").isin([float(b) for b in bounds]) if bounds else F.lit(False)
+    sub = F.when(edge, F.pmod(F.hash("_g"), F.lit(spread))).otherwise(F.lit(-1))
+    rows = draw.attach(alike, "_g").select(*by, bucket_of(F.col("_s"), bounds).alias("_b"), sub.alias("_e"), "_s", "_h", "_v", "_p", "_n")
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        """An edge, sorted before the rest of its bucket, has no pairs of its own yet: its parts add up first."""
+        first, whole = pdf["_e"].iloc[0] >= 0, pdf.sort_values("_s")
+        keys, vectors = whole["_h"].to_numpy(np.int64), whole["_v"].tolist()
+        p, n = whole["_p"].to_numpy(float)[:, None], whole["_n"].to_numpy(float)[:, None]
+        starts = np.flatnonzero(np.diff(whole["_s"].to_numpy(), prepend=-np.inf) > 0) if not first else np.zeros(1, int)
+        out: dict[int, list[list[np.ndarray]]] = {}
+        for k, lo, hi in _parts(len(whole), n_boot):
+            w = weights(keys, vectors, lo, hi)
+            pos, neg = np.add.reduceat(p * w, starts, axis=0), np.add.reduceat(n * w, starts, axis=0)
+            below = np.cumsum(neg, axis=0) - neg / 2
+            u = np.zeros(hi - lo) if first else (pos * below).sum(axis=0)
+            out.setdefault(k, []).append([pos.sum(axis=0), neg.sum(axis=0), u])
+        blobs = [np.hstack(parts).astype("<f8").tobytes() for parts in out.values()]
+        where = [2 * int(pdf["_b"].iloc[0]) + (not first)] * len(out)
+        return pd.DataFrame(_keys(pdf, by, len(out)) | {"_k": list(out), "_b": where, "_w": blobs})
+
+    vectors = rows.groupBy(*by, "_b", "_e").applyInPandas(inside, f"{_fields(df, by)}_k int, _b int, _w binary")
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Buckets in order; an odd place is the open rest of a bucket, an even one its edge."""
+        stack = np.array([np.frombuffer(w, "<f8") for w in pdf["_w"]]).reshape(len(pdf), 3, -1)
+        places, at = np.unique(pdf["_b"].to_numpy(), return_inverse=True)
+        total = np.zeros((len(places), *stack.shape[1:]))
+        np.add.at(total, at, stack)
+        pos, neg, u = total[:, 0], total[:, 1], total[:, 2]
+        edges = (places % 2 == 0)[:, None]
+        u = u + pos * (np.cumsum(neg, axis=0) - neg) + np.where(edges, pos * neg / 2, 0)
+        n = stack.shape[2]
+        pairs = pos.sum(axis=0) * neg.sum(axis=0)
+        auc = np.divide(u.sum(axis=0), pairs, out=np.full(n, np.nan), where=pairs > 0)
+        b = int(pdf["_k"].iloc[0]) * SLICE + np.arange(n)
+        metric = pd.array([None if v != v else v for v in auc], dtype="Float64")
+        return pd.DataFrame(_keys(pdf, by, n) | {"b": b, "metric": metric})
+
+    return vectors.groupBy(*by, "_k").applyInPandas(across, f"{_fields(df, by)}b int, metric double")
+
+
+# Metrics that are sums: per row, columns whose weighted sums give the metric; the first two are the classes.
+
+
+def _uar_columns(s: np.ndarray, y: np.ndarray) -> np.ndarray:
+    pred = s >= 0.5
+    return np.column_stack([y, 1 - y, y * pred, (1 - y) * ~pred])
+
+
+def _brier_columns(s: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.column_stack([y, 1 - y, (s - y) ** 2])
+
+
+def _ece_columns(s: np.ndarray, y: np.ndarray) -> np.ndarray:
+    bins = width_bins(s)
+    one = (bins[:, None] == np.arange(15)).astype(float)
+    return np.column_stack([y, 1 - y, one * (y - s)[:, None]])
+
+
+SUMS: dict[str, tuple[Callable, Callable]] = {
+    "uar": (_uar_columns, lambda t: (t[2] / t[0] + t[3] / t[1]) / 2),
+    "brier": (_brier_columns, lambda t: t[2] / (t[0] + t[1])),
+    "ece": (_ece_columns, lambda t: np.abs(t[2:]).sum(axis=0) / (t[0] + t[1])),
+}
+
+
+def sum_replicates(df: DataFrame, draw: Draw, *, group: str, score: str, label: str, metric: str, by: Sequence[str]) -> DataFrame:
+    """(by, b, metric) of a metric made of sums: tasks add up vectors where the rows are."""
+    spark, by, n_boot, weights = df.sparkSession, list(by), draw.n_boot, draw.weights()
+    ship_package(spark)
+    columns, finish = SUMS[metric]
+    s, y = F.col(score).cast("double"), F.col(label)
+    usable = s.isNotNull() & ~F.isnan(s) & y.isNotNull()
+    rows = draw.attach(df.where(usable).select(*by, F.col(group).alias("_g"), s.alias("_s"), y.cast("double").alias("_y")), "_g")
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for key, part in pdf.groupby(by, dropna=False) if by else [((), pdf)]:
+                if not len(part):
+                    continue
+                z = columns(part["_s"].to_numpy(), part["_y"].to_numpy())
+                keys, at = np.unique(part["_h"].to_numpy(np.int64), return_inverse=True)  # rows of a group share weights
+                first = np.unique(at, return_index=True)[1]
+                grouped = np.zeros((len(keys), z.shape[1]))
+                np.add.at(grouped, at, z)
+                vectors = part["_v"].iloc[first].tolist()
+                total = sums.setdefault(key, np.zeros((z.shape[1], n_boot)))
+                for _, lo, hi in _parts(len(keys), n_boot):
+                    total[:, lo:hi] += grouped.T @ weights(keys, vectors, lo, hi)
+        slot = TaskContext.get().partitionId() % 64
+        for key, total in sums.items():
+            ks = range(0, n_boot, SLICE)
+            named = {c: [None if v != v else v] * len(ks) for c, v in zip(by, key)}  # pandas shows a null key as NaN
+            blobs = [total[:, lo : lo + SLICE].astype("<f8").tobytes() for lo in ks]
+            yield pd.DataFrame(named | {"_k": [lo // SLICE for lo in ks], "_slot": slot, "_w": blobs})
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(w, "<f8") for w in pdf["_w"])
+        return pd.DataFrame(_keys(pdf, by, 1) | {"_k": pdf["_k"].iloc[:1].tolist(), "_slot": pdf["_slot"].iloc[:1].tolist(), "_w": [total.tobytes()]})
+
+    def finished(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = int(pdf["_k"].iloc[0])
+        n = min(SLICE, n_boot - k * SLICE)
+        total = sum(np.frombuffer(w, "<f8") for w in pdf["_w"]).reshape(-1, n)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            value = np.where((total[0] > 0) & (total[1] > 0), finish(total), np.nan)
+        metric = pd.array([None if v != v else v for v in value], dtype="Float64")
+        return pd.DataFrame(_keys(pdf, by, n) | {"b": k * SLICE + np.arange(n), "metric": metric})
+
+    schema = f"{_fields(df, by)}_k int, _slot int, _w binary"
+    parts = rows.mapInPandas(partial, schema).groupBy(*by, "_k", "_slot").applyInPandas(added, schema)
+    return parts.groupBy(*by, "_k").applyInPandas(finished, f"{_fields(df, by)}b int, metric double")
 
 
 def replicates(
     df: DataFrame,
-    weights: DataFrame,
+    draw: Draw,
     *,
     group: str,
     score: str,
@@ -64,17 +298,10 @@ def replicates(
     bounds: Sequence[float] | None = None,
 ) -> DataFrame:
     """(by, b, metric) of every replicate; one-class replicates give NULL."""
-    if bounds is None and metric == "auc":
-        bounds = quantile_bounds(df, score)
-    d = _collapsed(df, group, label, [score], by).join(weights, group)
-    d = d.withColumn("_w", F.col("w") * F.col("_c"))
-    keys = [*by, "b"]
-    out = METRICS[metric](d, score=score, label=label, by=keys, weight="_w", bounds=bounds).select(*keys, "metric")
-    if metric == "auc":
-        return out
-    y, w = F.col(label), F.col("_w")
-    both = d.groupBy(*keys).agg((F.sum(w * y) > 0).alias("_p"), (F.sum(w * (1 - y)) > 0).alias("_n"))
-    return out.join(both, keys).select(*keys, F.when(F.col("_p") & F.col("_n"), F.col("metric")).alias("metric"))
+    if metric != "auc":
+        return sum_replicates(df, draw, group=group, score=score, label=label, metric=metric, by=by)
+    bounds = quantile_bounds(df, score) if bounds is None else bounds
+    return auc_replicates(df, draw, group=group, score=score, label=label, by=by, bounds=bounds)
 
 
 def percentile_ci(reps: DataFrame, *, by: Sequence[str] = (), value: str = "metric") -> DataFrame:
@@ -88,7 +315,7 @@ def percentile_ci(reps: DataFrame, *, by: Sequence[str] = (), value: str = "metr
 
 def paired_deltas(
     df: DataFrame,
-    weights: DataFrame,
+    draw: Draw,
     *,
     group: str,
     label: str,
@@ -101,12 +328,10 @@ def paired_deltas(
     by = list(by)
     if bounds is None:
         bounds = quantile_bounds(df.select(_sides(a, b)).select("_x.s"), "s")
-    # the sides share the draw, not the rows: each collapses to its own distinct scores first
+    # the sides share the draw, not the rows
     long = df.select(*by, group, label, _sides(a, b)).select(*by, group, label, "_x.*")
-    d = _collapsed(long, group, label, ["s"], [*by, "side"]).join(weights, group)
-    d = d.withColumn("_w", F.col("w") * F.col("_c"))
-    auc = roc_auc(d, score="s", label=label, by=[*by, "b", "side"], weight="_w", bounds=bounds)
-    return auc.groupBy(*by, "b").agg((_side_auc("a") - _side_auc("b")).alias("metric"))
+    auc = auc_replicates(long, draw, group=group, score="s", label=label, by=[*by, "side"], bounds=bounds)
+    return auc.withColumnRenamed("metric", "auc").groupBy(*by, "b").agg((_side_auc("a") - _side_auc("b")).alias("metric"))
 
 
 def _sides(a: str, b: str) -> Column:
@@ -119,12 +344,12 @@ def _side_auc(side: str) -> Column:
 
 
 def paired_bootstrap(
-    df: DataFrame, weights: DataFrame, *, group: str, label: str, a: str, b: str, by: Sequence[str] = ()
+    df: DataFrame, draw: Draw, *, group: str, label: str, a: str, b: str, by: Sequence[str] = ()
 ) -> DataFrame:
     """Delta on all rows, its percentile CI, and the share of replicates above zero."""
     by = list(by)
     bounds = quantile_bounds(df.select(_sides(a, b)).select("_x.s"), "s")
-    reps = paired_deltas(df, weights, group=group, label=label, a=a, b=b, by=by, bounds=bounds)
+    reps = paired_deltas(df, draw, group=group, label=label, a=a, b=b, by=by, bounds=bounds)
     whole = df.select(*by, label, _sides(a, b)).select(*by, label, "_x.*")
     point = roc_auc(whole, score="s", label=label, by=[*by, "side"], bounds=bounds)
     delta = point.groupBy(*by).agg((_side_auc("a") - _side_auc("b")).alias("delta"))
@@ -225,10 +450,10 @@ def _bca(alpha: float):
     return solve
 
 
-def bca_interval(df: DataFrame, weights: DataFrame, *, group: str, score: str, label: str, alpha: float = 0.05) -> DataFrame:
+def bca_interval(df: DataFrame, draw: Draw, *, group: str, score: str, label: str, alpha: float = 0.05) -> DataFrame:
     """Bias-corrected accelerated interval with a group jackknife."""
     bounds = quantile_bounds(df, score)
-    reps = replicates(df, weights, group=group, score=score, label=label, bounds=bounds)
+    reps = replicates(df, draw, group=group, score=score, label=label, bounds=bounds)
     jack = jackknife_auc(df, group=group, score=score, label=label, bounds=bounds).where("auc_without IS NOT NULL")
     m = jack.agg(F.avg("auc_without")).scalar()
     dev = m - F.col("auc_without")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from groupaudit.functions.hashing import poisson_sql, uniform, uniform_sql
+from groupaudit.functions.hashing import MODULUS, mix_key_sql, mixed_sql, poisson_count_sql, poisson_steps, uniform, uniform_sql
 from groupaudit.operators import inference as inf
 from groupaudit.operators import metrics as m
 from groupaudit.operators import resampling as rs
@@ -14,11 +14,19 @@ from groupaudit.plans.registry import query
 
 
 def multinomial_sql(source: str, group: str, n_boot: int, seed: int) -> str:
+    pick = f"{mixed_sql(str(seed), 'b', 'slot')} * (SELECT count(*) FROM num) // {MODULUS} + 1"
     return f"""num AS (SELECT {group}, row_number() OVER (ORDER BY md5(concat_ws('|', {seed}, {group}))) AS r FROM (SELECT DISTINCT {group} FROM {source})),
-  draws AS (SELECT b, CAST(floor({uniform_sql(str(seed), 'b', 'r')} * (SELECT count(*) FROM num)) + 1 AS BIGINT) AS pick FROM num, (SELECT unnest(range({n_boot}))::INTEGER AS b)),
+  slots AS (SELECT {mix_key_sql(str(seed), 'r')} AS slot FROM num),
+  draws AS (SELECT b, CAST({pick} AS BIGINT) AS pick FROM slots, (SELECT unnest(range({n_boot}))::INTEGER AS b)),
   w AS (SELECT b, {group}, CAST(count(*) AS INTEGER) AS w FROM draws JOIN num ON pick = num.r GROUP BY ALL)"""
 
 
+def poisson_weights_sql(source: str, group: str, n_boot: int, seed: int) -> str:
+    return f"""num AS (SELECT {group}, {mix_key_sql(str(seed), group)} AS h FROM (SELECT DISTINCT {group} FROM {source})),
+  w AS (SELECT b, {group}, CAST({poisson_count_sql('x')} AS INTEGER) AS w
+        FROM (SELECT b, {group}, {mixed_sql(str(seed), 'b', 'h')} AS x FROM num, (SELECT unnest(range({n_boot}))::INTEGER AS b)) WHERE x >= {poisson_steps()[0]})"""
+
+
 def weighted_auc_sql(points: str, keys: str) -> str:
     """``points`` has keys, s, p_w, n_w (weighted positives and negatives per distinct score)."""
     return f"""SELECT {keys}, sum(p_w * (below + n_w / 2)) / nullif(sum(p_w) * sum(n_w), 0) AS metric FROM (
@@ -36,34 +44,56 @@ def b01(spark, d):
 
 @query(
     "b01_poisson_weights",
-    f"""WITH {fx.SESSIONS}, g AS (SELECT DISTINCT speaker_id FROM sessions), u AS (SELECT b, speaker_id, {uniform_sql('1', 'b', 'speaker_id')} AS u
-        FROM g, (SELECT unnest(range(40))::INTEGER AS b)), w AS (SELECT b, speaker_id, CAST({poisson_sql('u')} AS INTEGER) AS w FROM u)
-    SELECT * FROM w WHERE w > 0""",
+    f"WITH {fx.SESSIONS}, {poisson_weights_sql('sessions', 'speaker_id', 40, 1)} SELECT * FROM w",
 )
 def b01_poisson(spark, d):
     g = fx.sessions(spark, d).select("speaker_id").distinct()
     return rs.poisson_weights(g, group="speaker_id", n_boot=40, seed=1).select("b", "speaker_id", "w")
 
 
-_BOOT = f"""{fx.SCORES}, {multinomial_sql('scores', 'group_id', 200, 1)},
-  pts AS (SELECT b, p AS s, sum(w * y)::DOUBLE AS p_w, sum(w * (1 - y))::DOUBLE AS n_w FROM scores JOIN w USING (group_id) GROUP BY ALL),
+N_BOOT = 2000  # the protocol's number of replicates
+
+
+def boot_sql(weights: str, score: str) -> str:
+    """Replicates of the AUC: equal scores of a group collapse before its weights meet them."""
+    return f"""{weights},
+  cells AS (SELECT group_id, {score} AS s, sum(y)::DOUBLE AS p, sum(1 - y)::DOUBLE AS n FROM scores GROUP BY ALL),
+  pts AS (SELECT b, s, sum(w * p) AS p_w, sum(w * n) AS n_w FROM cells JOIN w USING (group_id) GROUP BY ALL),
   reps AS ({weighted_auc_sql('pts', 'b')})"""
 
 
-@query(
-    "b02_cluster_bootstrap_auc",
-    f"""WITH {_BOOT} SELECT round(quantile_cont(metric, 0.025), 9) AS lo, round(quantile_cont(metric, 0.975), 9) AS hi, count(metric) AS n_boot FROM reps""",
-)
-def b02(spark, d):
-    w = rs.cluster_weights(groups(spark, d), group="group_id", n_boot=200, seed=1)
-    reps = rs.replicates(fx.scores(spark, d), w, group="group_id", score="p", label="y")
+def ci_sql(score: str, weights: str) -> str:
+    return f"""WITH {fx.SCORES}, {boot_sql(weights, score)}
+    SELECT round(quantile_cont(metric, 0.025), 9) AS lo, round(quantile_cont(metric, 0.975), 9) AS hi, count(metric) AS n_boot FROM reps"""
+
+
+def auc_interval(spark, d, score, n_boot, scheme="poisson"):
+    draw = rs.cluster_weights(groups(spark, d), group="group_id", n_boot=n_boot, seed=1, scheme=scheme)
+    reps = rs.replicates(fx.scores(spark, d), draw, group="group_id", score=score, label="y")
     return rs.percentile_ci(reps).select(r("lo", 9), r("hi", 9), "n_boot")
 
 
+@query("b02_cluster_bootstrap_auc", ci_sql("p", poisson_weights_sql("scores", "group_id", N_BOOT, 1)))
+def b02(spark, d):
+    return auc_interval(spark, d, "p", N_BOOT)
+
+
+@query("b02_continuous_score", ci_sql("raw", poisson_weights_sql("scores", "group_id", N_BOOT, 1)))
+def b02_continuous(spark, d):
+    """A score with hardly any ties: nothing collapses."""
+    return auc_interval(spark, d, "raw", N_BOOT)
+
+
+@query("b02_multinomial_bootstrap_auc", ci_sql("p", multinomial_sql("scores", "group_id", N_BOOT, 1)))
+def b02_multinomial(spark, d):
+    return auc_interval(spark, d, "p", N_BOOT, "multinomial")
+
+
 @query(
     "b02_bootstrap_uar_ece_brier",
-    f"""WITH {fx.SCORES}, {multinomial_sql('scores', 'group_id', 40, 1)},
-      j AS (SELECT b, y, p, sum(w)::DOUBLE AS w FROM scores JOIN w USING (group_id) GROUP BY ALL),
+    f"""WITH {fx.SCORES}, {poisson_weights_sql('scores', 'group_id', N_BOOT, 1)},
+      cells AS (SELECT group_id, y, p, count(*)::DOUBLE AS c FROM scores GROUP BY ALL),
+      j AS (SELECT b, y, p, sum(w * c) AS w FROM cells JOIN w USING (group_id) GROUP BY ALL),
       u AS (SELECT b, 'uar' AS metric_name, (sum(w) FILTER (y = 1 AND p >= 0.5) / sum(w) FILTER (y = 1) + sum(w) FILTER (y = 0 AND p < 0.5) / sum(w) FILTER (y = 0)) / 2 AS v FROM j GROUP BY b),
       e0 AS (SELECT b, least(floor(p * 15), 14) AS bin, sum(w) AS n, sum(w * y) AS a, sum(w * p) AS c FROM j GROUP BY ALL),
       e AS (SELECT b, 'ece' AS metric_name, sum(abs(a - c)) / sum(n) AS v FROM e0 GROUP BY b),
@@ -72,10 +102,10 @@ def b02(spark, d):
     SELECT metric_name, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi, count(v) AS n_boot FROM reps GROUP BY 1""",
 )
 def b02_other(spark, d):
-    w = rs.cluster_weights(groups(spark, d), group="group_id", n_boot=40, seed=1)
+    draw = rs.cluster_weights(groups(spark, d), group="group_id", n_boot=N_BOOT, seed=1)
     out = None
     for name in ("uar", "ece", "brier"):
-        reps = rs.replicates(fx.scores(spark, d), w, group="group_id", score="p", label="y", metric=name)
+        reps = rs.replicates(fx.scores(spark, d), draw, group="group_id", score="p", label="y", metric=name)
         row = rs.percentile_ci(reps).select(F.lit(name).alias("metric_name"), r("lo"), r("hi"), "n_boot")
         out = row if out is None else out.unionByName(row)
     return out
@@ -104,9 +134,10 @@ def b03(spark, d):
     return out.select("study", r("mean"), "n_repeats", r("lo"), r("hi"), "n_boot", "excludes_zero")
 
 
-_PAIRED = f"""{fx.SCORES}, {multinomial_sql('scores', 'group_id', 100, 3)},
+_PAIRED = f"""{fx.SCORES}, {poisson_weights_sql('scores', 'group_id', N_BOOT, 3)},
   long AS (SELECT group_id, y, 'a' AS side, p AS s FROM scores UNION ALL SELECT group_id, y, 'b', p2 FROM scores),
-  pts AS (SELECT b, side, s, sum(w * y)::DOUBLE AS p_w, sum(w * (1 - y))::DOUBLE AS n_w FROM long JOIN w USING (group_id) GROUP BY ALL),
+  cells AS (SELECT group_id, side, s, sum(y)::DOUBLE AS p, sum(1 - y)::DOUBLE AS n FROM long GROUP BY ALL),
+  pts AS (SELECT b, side, s, sum(w * p) AS p_w, sum(w * n) AS n_w FROM cells JOIN w USING (group_id) GROUP BY ALL),
   reps AS ({weighted_auc_sql('pts', 'b, side')}),
   dl AS (SELECT b, max(metric) FILTER (side = 'a') - max(metric) FILTER (side = 'b') AS metric FROM reps GROUP BY b),
   pt AS ({auc_sql('long', 's', 'y', 'side')})"""
@@ -119,7 +150,7 @@ _PAIRED = f"""{fx.SCORES}, {multinomial_sql('scores', 'group_id', 100, 3)},
       round((SELECT max(auc) FILTER (side = 'a') - max(auc) FILTER (side = 'b') FROM pt), 9) AS delta FROM dl""",
 )
 def b04(spark, d):
-    w = rs.cluster_weights(groups(spark, d), group="group_id", n_boot=100, seed=3)
+    w = rs.cluster_weights(groups(spark, d), group="group_id", n_boot=N_BOOT, seed=3)
     out = rs.paired_bootstrap(fx.scores(spark, d), w, group="group_id", label="y", a="p", b="p2")
     return out.select(r("lo", 9), r("hi", 9), r("p_gt_zero", 9), "n_boot", r("delta", 9))
 
@@ -181,7 +212,7 @@ def b07(spark, d):
 @query("b08_bca_interval")
 def b08(spark, d):
     s = fx.scores(spark, d)
-    w = rs.cluster_weights(groups(spark, d), group="group_id", n_boot=200, seed=1)
+    w = rs.cluster_weights(groups(spark, d), group="group_id", n_boot=N_BOOT, seed=1)
     return rs.bca_interval(s, w, group="group_id", score="p", label="y")
 
 
@@ -335,7 +366,8 @@ def _margin_sql(grain: str) -> str:
     return f"""
   {pre}pairs AS (SELECT a.head, a.group_id, a.y, a.s AS sa, c.s AS sb FROM {src} a JOIN {src} c USING (unit_id) WHERE a.kind = 'audio' AND c.head = (SELECT bar FROM best)),
   {pre}sides AS (SELECT head, group_id, y, 'a' AS side, sa AS s FROM {pre}pairs UNION ALL SELECT head, group_id, y, 'b', sb FROM {pre}pairs),
-  {pre}pts AS (SELECT head, b, side, s, sum(w * y)::DOUBLE AS p_w, sum(w * (1 - y))::DOUBLE AS n_w FROM {pre}sides JOIN w USING (group_id) GROUP BY ALL),
+  {pre}cells AS (SELECT head, side, group_id, s, sum(y)::DOUBLE AS p, sum(1 - y)::DOUBLE AS n FROM {pre}sides GROUP BY ALL),
+  {pre}pts AS (SELECT head, b, side, s, sum(w * p) AS p_w, sum(w * n) AS n_w FROM {pre}cells JOIN w USING (group_id) GROUP BY ALL),
   {pre}reps AS ({weighted_auc_sql(pre + 'pts', 'head, b, side')}),
   {pre}d AS (SELECT head, b, max(metric) FILTER (side = 'a') - max(metric) FILTER (side = 'b') AS m FROM {pre}reps GROUP BY ALL),
   {pre}pt AS ({auc_sql(pre + 'sides', 's', 'y', 'head, side')}),
@@ -345,7 +377,7 @@ def _margin_sql(grain: str) -> str:
 
 @query(
     "b13_margin_and_clearance",
-    f"""WITH {_LONG}, {multinomial_sql('long', 'group_id', 20, 6)}, au AS ({auc_sql('long', 's', 'y', 'kind, head')}),
+    f"""WITH {_LONG}, {poisson_weights_sql('long', 'group_id', N_BOOT, 6)}, au AS ({auc_sql('long', 's', 'y', 'kind, head')}),
       best AS (SELECT head AS bar FROM au WHERE kind = 'confound' ORDER BY auc DESC, head LIMIT 1),
       glong AS (SELECT kind, head, group_id AS unit_id, group_id, CASE WHEN 2 * sum(y) > count(*) THEN 1 ELSE 0 END AS y, round(avg(s), 9) AS s FROM long GROUP BY ALL),
       {_margin_sql('unit')}, {_margin_sql('group')}
@@ -358,7 +390,7 @@ def b13(spark, d):
     from groupaudit.plans.studies import margins
 
     long = long_predictions(spark, d)
-    w = rs.cluster_weights(groups(spark, d), group="group_id", n_boot=20, seed=6)
+    w = rs.cluster_weights(groups(spark, d), group="group_id", n_boot=N_BOOT, seed=6)
     out = margins(long, w, n_repeats=3)
     return out.select("head", "bar", *[r(f"{g}_{c}", 9) for g in ("unit", "group") for c in ("delta", "lo", "hi")], "verdict")
 

@@ -16,7 +16,7 @@ from groupaudit.operators.ranks import running_before
 from groupaudit.session import materialise, spread
 
 
-def margins(long: DataFrame, weights: DataFrame, *, n_repeats: int) -> DataFrame:
+def margins(long: DataFrame, draw: rs.Draw, *, n_repeats: int) -> DataFrame:
     """Every audio head against the strongest confound, at unit and at group grain.
 
     ``long`` has kind (audio / confound), head, unit_id, group_id, y, s.  The bar is chosen by
@@ -36,7 +36,7 @@ def margins(long: DataFrame, weights: DataFrame, *, n_repeats: int) -> DataFrame
         audio = table.where("kind = 'audio'").select("head", "unit_id", "group_id", "y", F.col("s").alias("p_head"))
         conf = table.where(F.col("head") == bar_name).select("unit_id", F.col("s").alias("p_bar"))
         deltas = rs.paired_bootstrap(
-            audio.join(conf, "unit_id"), weights, group="group_id", label="y", a="p_head", b="p_bar", by=["head"]
+            audio.join(conf, "unit_id"), draw, group="group_id", label="y", a="p_head", b="p_bar", by=["head"]
         ).select("head", *[F.col(c).alias(f"{grain}_{c}") for c in ("delta", "lo", "hi")])
         out = deltas if out is None else out.join(deltas, "head")
     feasible = inf.power_columns(F.lit(n_repeats), n_heads)[2]
@@ -332,5 +332,5 @@ def benchmark(
     conf = mod.out_of_fold(covariates, folds, views=mod.confound_views(), **fit).withColumn("kind", F.lit("confound"))
     pooled = inf.pooled_repeats(audio.unionByName(conf), keys=["kind", "head", "unit_id", "group_id", "y"])
     long = materialise(pooled.withColumnRenamed("p", "s"))
-    weights = rs.cluster_weights(long.select("group_id").distinct(), group="group_id", n_boot=n_boot, seed=seed + 777)
-    return margins(long, weights, n_repeats=repeats)
+    draw = rs.cluster_weights(long.select("group_id").distinct(), group="group_id", n_boot=n_boot, seed=seed + 777)
+    return margins(long, draw, n_repeats=repeats)

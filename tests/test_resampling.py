@@ -35,20 +35,80 @@ def test_poisson_weights_have_mean_and_variance_one(spark):
     assert full.mean() == pytest.approx(1.0, abs=0.02) and full.var() == pytest.approx(1.0, abs=0.03)
 
 
-def test_replicates_equal_copying_rows(spark, data):
+@pytest.mark.parametrize("scheme", ["poisson", "multinomial"])
+@pytest.mark.parametrize("edges", [[], [0.2, 0.4, 0.8], None])
+def test_replicates_equal_copying_rows(spark, data, scheme, edges):
     pdf, df = data
-    w = rs.multinomial_weights(df.select("g").distinct(), group="g", n_boot=15, seed=5)
-    got = {r["b"]: r["metric"] for r in rs.replicates(df, w, group="g", score="s", label="y").collect()}
-    for b, ww in w.toPandas().groupby("b"):
+    draw = rs.cluster_weights(df.select("g").distinct(), group="g", n_boot=300, seed=5, scheme=scheme)
+    got = {r["b"]: r["metric"] for r in rs.replicates(df, draw, group="g", score="s", label="y", bounds=edges).collect()}
+    assert sorted(got) == list(range(300))
+    for b, ww in draw.rows().toPandas().groupby("b"):
         copies = pd.concat([pdf[pdf.g == g] for g, k in zip(ww.g, ww.w) for _ in range(k)])
         assert got[b] == pytest.approx(brute_auc(copies.y.to_numpy(), copies.s.to_numpy()), abs=1e-12)
 
 
+@pytest.mark.parametrize("metric", ["uar", "brier", "ece"])
+def test_sums_equal_copying_rows(spark, data, metric):
+    pdf, df = data
+    draw = rs.cluster_weights(df.select("g").distinct(), group="g", n_boot=260, seed=5)
+    two = df.withColumn("k", F.lit("x")).union(df.where("g < 6").withColumn("k", F.lit(None)))
+    got = {(r["k"], r["b"]): r["metric"] for r in rs.replicates(two, draw, group="g", score="s", label="y", metric=metric, by=["k"]).collect()}
+    assert len(got) == 520
+    for b, ww in draw.rows().toPandas().groupby("b"):
+        w = pdf.g.map(dict(zip(ww.g, ww.w))).fillna(0).to_numpy()
+        for k, use in (("x", w), (None, w * (pdf.g < 6))):
+            y, s = pdf.y.to_numpy(), pdf.s.to_numpy()
+            if not (use @ y and use @ (1 - y)):
+                assert got[k, b] is None
+                continue
+            want = {
+                "uar": (use @ (y * (s >= 0.5)) / (use @ y) + use @ ((1 - y) * (s < 0.5)) / (use @ (1 - y))) / 2,
+                "brier": use @ (s - y) ** 2 / use.sum(),
+                "ece": sum(abs((use * (y - s))[np.minimum(np.floor(s * 15), 14) == i].sum()) for i in range(15)) / use.sum(),
+            }[metric]
+            assert got[k, b] == pytest.approx(want, abs=1e-12)
+
+
+def test_one_class_replicates_are_null_and_odd_rows_do_not_count(spark, data):
+    _, df = data
+    one = df.withColumn("y", (F.col("g") == 3).cast("int"))
+    odd = one.union(spark.createDataFrame([(3, 1, float("nan"), 0.5), (3, None, 0.5, 0.5), (4, 0, None, 0.5)], df.schema))
+    draw = rs.cluster_weights(df.select("g").distinct(), group="g", n_boot=60, seed=5)
+    drawn = {r["b"] for r in draw.rows().where("g = 3").collect()}
+    a, b = ({r["b"]: r["metric"] for r in rs.replicates(x, draw, group="g", score="s", label="y").collect()} for x in (one, odd))
+    assert a == b and {k for k, v in a.items() if v is not None} == drawn and 0 < len(drawn) < 60
+    assert rs.replicates(df.where("false"), draw, group="g", score="s", label="y").count() == 0
+
+
+def test_bootstrap_plan_has_no_replicate_rows(spark, data):
+    """Rows are joined to nothing; the widest thing that moves has one row per bucket and slice."""
+    _, df = data
+    big = spark.range(20_000).selectExpr("id % 500 AS g", "cast(id % 2 AS int) AS y", "rand(3) AS s")
+    draw = rs.cluster_weights(big.select("g").distinct(), group="g", n_boot=2000, seed=1)
+    reps = rs.replicates(big, draw, group="g", score="s", label="y")
+    plan = reps._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    assert reps.count() == 2000
+
+
+def test_hot_score_and_hot_group_spread(spark):
+    """A third of the rows share one score, a third one group: exact under any edges."""
+    rng = np.random.default_rng(3)
+    n = 3000
+    pdf = pd.DataFrame({"g": np.where(rng.random(n) < 0.33, 0, rng.integers(1, 40, n)), "y": rng.integers(0, 2, n)})
+    pdf["s"] = np.where(rng.random(n) < 0.33, 0.5, rng.random(n)).round(3)
+    draw = rs.cluster_weights(spark.range(40).selectExpr("id AS g"), group="g", n_boot=20, seed=2)
+    got = {r["b"]: r["metric"] for r in rs.replicates(spark.createDataFrame(pdf), draw, group="g", score="s", label="y").collect()}
+    for b, ww in draw.rows().toPandas().groupby("b"):
+        w = pdf.g.map(dict(zip(ww.g, ww.w))).fillna(0).to_numpy()
+        assert got[b] == pytest.approx(brute_auc(pdf.y.to_numpy(), pdf.s.to_numpy(), w), abs=1e-12)
+
+
 def test_paired_deltas_share_the_draw(spark, data):
     pdf, df = data
-    w = rs.multinomial_weights(df.select("g").distinct(), group="g", n_boot=5, seed=5)
-    got = {r["b"]: r["metric"] for r in rs.paired_deltas(df, w, group="g", label="y", a="s", b="t").collect()}
-    for b, ww in w.toPandas().groupby("b"):
+    draw = rs.cluster_weights(df.select("g").distinct(), group="g", n_boot=5, seed=5)
+    got = {r["b"]: r["metric"] for r in rs.paired_deltas(df, draw, group="g", label="y", a="s", b="t").collect()}
+    for b, ww in draw.rows().toPandas().groupby("b"):
         wt = pdf.g.map(dict(zip(ww.g, ww.w))).fillna(0).to_numpy()
         want = brute_auc(pdf.y.to_numpy(), pdf.s.to_numpy(), wt) - brute_auc(pdf.y.to_numpy(), pdf.t.to_numpy(), wt)
         assert got[b] == pytest.approx(want, abs=1e-12)
@@ -63,7 +123,7 @@ def test_jackknife_equals_leaving_each_group_out(spark, data):
 
 def test_bca_brackets_the_estimate_and_reduces_to_percentiles(spark, data):
     _, df = data
-    w = rs.multinomial_weights(df.select("g").distinct(), group="g", n_boot=200, seed=5)
+    w = rs.cluster_weights(df.select("g").distinct(), group="g", n_boot=200, seed=5)
     r = rs.bca_interval(df, w, group="g", score="s", label="y").first()
     assert r["lo"] < r["theta"] < r["hi"] and r["n_boot"] == 200
     solve = rs._bca(0.05)
@@ -141,7 +201,7 @@ def test_scheme_is_chosen_and_not_a_matter_of_size(spark):
     g = spark.range(50).select(F.col("id").alias("g"))
     for scheme, fn in rs.SCHEMES.items():
         got = rs.cluster_weights(g, group="g", n_boot=4, seed=2, scheme=scheme)
-        assert sorted(got.collect()) == sorted(fn(g, group="g", n_boot=4, seed=2).collect())
+        assert sorted(got.rows().collect()) == sorted(fn(g, group="g", n_boot=4, seed=2).collect())
 
 
 def test_a_groups_fingerprint_does_not_depend_on_other_groups(spark):
