@@ -52,6 +52,7 @@ class Fit:
     n_train: int
     n_imputed: int
     iterations: int
+    kkt: float = float("nan")  # largest gradient component over the training rows
 
 
 def attach_codes(units: DataFrame, folds: DataFrame, *, group: str) -> DataFrame:
@@ -174,6 +175,7 @@ def fit_linear(
     step = {i: np.zeros_like(b) for i, b in beta.items()}
     best = {i: np.inf for i in beta}
     iters = {i: 0 for i in beta}
+    kkt = {i: np.inf for i in beta}
     active = set(beta)
     for _ in range(max_iter):
         trial = {i: beta[i] + step[i] for i in active}
@@ -209,13 +211,14 @@ def fit_linear(
                 beta[i], best[i] = b, value
                 grad, hess = a[3 : 3 + d] + reg * b, a[3 + d :].reshape(d, d) + np.diag(reg)
                 step[i] = -np.linalg.lstsq(hess, grad, rcond=None)[0]
+                kkt[i] = float(np.abs(grad).max() / max(1, stats[i][2]))
             if np.abs(step[i]).max() < tol:
                 active.discard(i)
         if not active:
             break
     if active:
         raise RuntimeError(f"{len(active)} models have not converged in {max_iter} scans, first {models[min(active)]}")
-    return [Fit(s, stats[i][0], stats[i][1], beta[i], stats[i][2], stats[i][3], iters[i]) for i, s in enumerate(models)]
+    return [Fit(s, stats[i][0], stats[i][1], beta[i], stats[i][2], stats[i][3], iters[i], kkt[i]) for i, s in enumerate(models)]
 
 
 def sigmoid(eta: np.ndarray) -> np.ndarray:
@@ -279,9 +282,13 @@ def out_of_fold(
     n_folds: int,
     repeats: int,
     provenance: str | None = None,
+    fit=None,
     **fit_args,
 ) -> DataFrame:
-    """Gate, scale on train, fit and score every (view, repeat, fold); the result is materialised once."""
+    """Gate, scale on train, fit and score every (view, repeat, fold); the result is materialised once.
+
+    ``fit`` is ``fit_linear`` unless another is given (``wide.fit_wide`` for wide features).
+    """
     from groupaudit.operators.splits import require_disjoint
 
     folds = materialise(folds.select(group, "repeat", "fold"))
@@ -290,7 +297,7 @@ def out_of_fold(
     if provenance and not units.where(F.col(provenance) != "participant").isEmpty():
         raise ValueError("group ids are recording proxies: no group-disjoint claim is possible")
     data = spread(attach_codes(units, folds, group=group))
-    fits = fit_linear(data, specs(views, repeats, n_folds), **fit_args)
+    fits = (fit or fit_linear)(data, specs(views, repeats, n_folds), **fit_args)
     return materialise(predict(data, fits, unit=unit, group=group))
 
 

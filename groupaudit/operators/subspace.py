@@ -10,12 +10,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groupaudit.functions.hashing import poisson_weight, uniform
+from groupaudit.functions.hashing import hash_key, poisson_weight, uniform
 from groupaudit.operators.arraysum import Partial, add_to, matrix, sum_arrays
+from groupaudit.operators.ranks import hash_rank
 from groupaudit.operators.signals import vector_functionals
+from groupaudit.session import materialise
 
 
 def group_means(units: DataFrame, *, group: str, extra: Sequence[str] = ()) -> DataFrame:
@@ -88,6 +94,33 @@ def project_out(df: DataFrame, basis: np.ndarray) -> DataFrame:
     return df.mapInPandas(run, df.schema)
 
 
+def identity_probe(
+    units: DataFrame, *, unit: str, group: str, n_way: int = 60, min_units: int = 12, seed: int = 0
+) -> tuple[float, float]:
+    """(accuracy, chance) of telling groups apart on units held out within each group.
+
+    ``n_way`` groups of at least ``min_units`` units are drawn; half of each group's units train one
+    softmax probe with standardised features and a penalty of 1/2 |w|^2.
+    """
+    sizes = units.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_units)
+    drawn = hash_rank(sizes.withColumn("_h", hash_key(seed, group)), key="_h", out="_r").where(F.col("_r") <= n_way)
+    rows = units.join(drawn.select(group, "_n", (F.col("_r") - 1).cast("double").alias("label")), group)
+    rows = hash_rank(rows.withColumn("_h", hash_key(seed, group, unit)), part=[group], key="_h", out="_k")
+    train = F.col("_k") <= F.greatest(F.lit(2), F.floor(F.col("_n") / 2))
+    data = materialise(rows.select("label", array_to_vector("x").alias("raw"), train.alias("train")))
+    fit, held = data.where("train"), data.where("NOT train")
+    n, ways = fit.count(), drawn.count()
+    if ways < 2:
+        raise ValueError(f"fewer than two groups of {min_units} units: identity cannot be probed")
+    centre = StandardScaler(inputCol="raw", outputCol="centred", withMean=True, withStd=False).fit(fit)
+    # a column that is constant but for rounding, as projections leave them, is not blown up
+    wide = [1 / s if s > 1e-12 * max(1.0, abs(m)) else 1.0 for m, s in zip(centre.mean, centre.std)]
+    scale = ElementwiseProduct(inputCol="centred", outputCol="features", scalingVec=Vectors.dense(wide))
+    probe = LogisticRegression(family="multinomial", regParam=1 / n, standardization=False, maxIter=200, tol=1e-4)
+    scored = probe.fit(scale.transform(centre.transform(fit))).transform(scale.transform(centre.transform(held)))
+    return scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0], 1 / ways
+
+
 @dataclass
 class WithinClass:
     basis: np.ndarray

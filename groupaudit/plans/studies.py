@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +17,8 @@ from groupaudit.operators import resampling as rs
 from groupaudit.operators import splits as sp
 from groupaudit.operators import subspace as sub
 from groupaudit.operators.ranks import running_before
-from groupaudit.session import materialise, spread
+from groupaudit.operators.wide import fit_wide
+from groupaudit.session import materialise, scratch_path, spread
 
 
 def margins(long: DataFrame, draw: rs.Draw, *, n_repeats: int) -> DataFrame:
@@ -90,7 +95,7 @@ def scaler_scope(units: DataFrame, *, unit: str, group: str, views, repeats: int
     arms = {}
     for name, leak in (("leak", True), ("clean", False)):
         oof = mod.out_of_fold(
-            units, folds, unit=unit, group=group, views=views, n_folds=n_folds, repeats=repeats, whole_table=leak
+            units, folds, unit=unit, group=group, views=views, n_folds=n_folds, repeats=repeats, whole_table=leak, fit=fit_wide
         )
         arms[name] = auc_per_repeat(oof).select("head", "repeat", F.col("auc").alias(name))
     both = materialise(arms["leak"].join(arms["clean"], ["head", "repeat"]).withColumn("delta", F.col("leak") - F.col("clean")))
@@ -255,68 +260,130 @@ def shuffle_test(units: DataFrame, *, unit: str, group: str, repeats: int, n_fol
     return inf.shuffle_verdict(scores, by=["mode"])
 
 
-def subspace_ablation(
-    units: DataFrame, *, unit: str, group: str, ranks, repeats: int, n_folds: int, seed: int = 0
-) -> DataFrame:
-    """AUC after removing the identity subspace and two variance controls, per rank.
+ARMS = ("speaker", "pca_topk", "var_matched")
+ABLATION = "repeat int, arm string, k int, auc double, share double, kkt double"
 
-    Scatter matrices of all repeats come from two scans; every (repeat, rank, arm) model is
-    fitted by the same Newton scans.
-    """
+
+def _ablation_repeats(units: DataFrame, *, unit: str, group: str, ranks, wanted: list[int], n_folds: int, seed: int) -> DataFrame:
+    """Some repeats: subspaces of each one's training groups, and a model per repeat, arm, rank and fold."""
     people = units.select(group).distinct()
-    for r in range(repeats):
+    for r in wanted:
         people = sp.holdout(people, group=group, seed=10_000 + seed + r, exact=True).withColumnRenamed("is_train", f"t{r}")
-    keep = [f"t{r}" for r in range(repeats)]
-    people = materialise(people)
-    rows = materialise(units.join(people, group))
-    means = sub.group_means(rows, group=group, extra=keep)
-    between, total = sub.scatter(means, keep=keep), sub.scatter(rows, keep=keep)
-    models, info = [mod.Spec(mod.View("full"), r, f) for r in range(repeats) for f in range(n_folds)], []
-    for r in range(repeats):
-        cov = total[r][2]
-        directions, _ = sub.top_directions(between[r][2], max(ranks))
+    keep = [f"t{r}" for r in wanted]
+    rows = materialise(units.join(materialise(people), group))
+    between, total = sub.scatter(sub.group_means(rows, group=group, extra=keep), keep=keep), sub.scatter(rows, keep=keep)
+    models, shares, folds = [], {}, None
+    for i, r in enumerate(wanted):
+        cov = total[i][2]
+        directions, _ = sub.top_directions(between[i][2], max(ranks))
         principal, spectrum = sub.top_directions(cov, max(ranks))
+        views = [mod.View("full|0")]
+        shares[r, "full|0"] = 0.0
         for k in ranks:
-            share = sub.variance_share(directions[:, :k], cov)
-            matched, matched_share = sub.variance_matched(cov, k, share)
-            top_share = float(spectrum[:k].sum() / spectrum.sum())
-            for arm, basis, v in (
-                ("speaker", directions[:, :k], share),
-                ("pca_topk", principal[:, :k], top_share),
-                ("var_matched", matched, matched_share),
-            ):
-                view = mod.View(f"{arm}|{k}", basis=basis)
-                models += [mod.Spec(view, r, f) for f in range(n_folds)]
-                info.append((r, arm, k, v))
-    folds = sp.balanced_folds(units, group=group, n_folds=n_folds, repeats=repeats, seed=seed)
+            own = sub.variance_share(directions[:, :k], cov)
+            matched, matched_share = sub.variance_matched(cov, k, own)
+            top = float(spectrum[:k].sum() / spectrum.sum())
+            for arm, basis, v in zip(ARMS, (directions[:, :k], principal[:, :k], matched), (own, top, matched_share)):
+                views.append(mod.View(f"{arm}|{k}", basis=basis))
+                shares[r, f"{arm}|{k}"] = v
+        models += [mod.Spec(v, i, f) for v in views for f in range(n_folds)]
+        f = sp.balanced_folds(units, group=group, n_folds=n_folds, repeats=1, seed=seed + r).withColumn("repeat", F.lit(i))
+        folds = f if folds is None else folds.unionByName(f)
     data = spread(mod.attach_codes(units, folds, group=group))
-    preds = materialise(mod.predict(data, mod.fit_linear(data, models), unit=unit, group=group))
-    auc = auc_per_repeat(preds)
-    cut = F.split("head", r"\|")
-    arms = auc.where("head <> 'full'").select(
-        "repeat", F.get(cut, F.lit(0)).alias("arm"), F.get(cut, F.lit(1)).cast("int").alias("k"), "auc"
+    fits = fit_wide(data, models, tol=1e-6)
+    worst: dict[tuple[int, str], float] = {}
+    for f in fits:
+        key = wanted[f.spec.design], f.spec.view.name
+        worst[key] = max(worst.get(key, 0.0), f.kkt)
+    info = units.sparkSession.createDataFrame(
+        [(wanted.index(r), name, r, *name.split("|"), share, worst[r, name]) for (r, name), share in shares.items()],
+        "design int, head string, number int, arm string, k string, share double, kkt double",
     )
-    shares = units.sparkSession.createDataFrame(info, "repeat int, arm string, k int, share double")
+    auc = auc_per_repeat(mod.predict(data, fits, unit=unit, group=group)).withColumnRenamed("repeat", "design")
+    return auc.join(info, ["design", "head"]).select(F.col("number").alias("repeat"), "arm", F.col("k").cast("int").alias("k"), "auc", "share", "kkt")
+
+
+def table_fingerprint(df: DataFrame, columns) -> str:
+    """Order-free digest of rows: sums of their hashes, so that no row is sorted or collected."""
+    h = [F.xxhash64(F.lit(i), *columns).cast("decimal(38,0)") for i in range(2)]
+    return "|".join(str(v) for v in df.agg(F.count("*"), *[F.sum(x) for x in h]).first())
+
+
+def subspace_ablation(
+    units: DataFrame,
+    *,
+    unit: str,
+    group: str,
+    ranks,
+    repeats: int,
+    n_folds: int,
+    seed: int = 0,
+    state: str | None = None,
+    together: int = 1,
+    n_way: int = 60,
+    min_units: int = 12,
+) -> DataFrame:
+    """AUC after removing the identity subspace and two variance controls, per rank.
+
+    Each repeat is a row set of a state table under ``state``, keyed by study, settings and data; a
+    killed study goes on with the repeats that are not there yet.  ``together`` repeats share scans and
+    are finished at once.  The wide solver's largest gradient component is reported as ``kkt``.  An identity probe before and after
+    the removal tells whether removal did what it claims.
+    """
+    spark, ranks = units.sparkSession, sorted(ranks)
+    settings = [ranks, n_folds, seed, table_fingerprint(units, [unit, group, "y", "x"])]
+    config = hashlib.sha256(json.dumps(settings).encode()).hexdigest()[:16]
+    folder = f"{state or scratch_path(spark, 'studies')}/study=subspace_ablation/config={config}"
+    want = 1 + len(ranks) * len(ARMS)
+
+    def done() -> DataFrame:
+        try:
+            found = spark.read.schema(ABLATION).option("recursiveFileLookup", "true").parquet(folder)
+            found.limit(0).count()
+        except AnalysisException:  # nothing finished yet
+            return spark.createDataFrame([], ABLATION)
+        # a repeat that two runs wrote counts once; they are equal
+        return found.dropDuplicates(["repeat", "arm", "k"])
+
+    whole = done().groupBy("repeat").agg(F.count("*").alias("n")).where(F.col("n") == want)
+    todo = spark.range(repeats).select(F.col("id").cast("int").alias("repeat")).join(whole, "repeat", "left_anti")
+    open_ = sorted(x["repeat"] for x in todo.collect())
+    for lo in range(0, len(open_), together):
+        wanted = open_[lo : lo + together]
+        some = materialise(_ablation_repeats(units, unit=unit, group=group, ranks=ranks, wanted=wanted, n_folds=n_folds, seed=seed))
+        for r in wanted:
+            some.where(F.col("repeat") == r).coalesce(1).write.parquet(f"{folder}/repeat_{r}", mode="overwrite")
+    result = materialise(done().where(F.col("repeat") < repeats))
+
     pick = lambda a, c: F.max(F.when(F.col("arm") == a, F.col(c)))
     wide = materialise(
-        arms.join(shares, ["repeat", "arm", "k"]).groupBy("k", "repeat").agg(
-            *[pick(a, "auc").alias(a) for a in ("speaker", "pca_topk", "var_matched")],
-            *[pick(a, "share").alias(f"share_{a}") for a in ("speaker", "pca_topk", "var_matched")],
+        result.where("k > 0").groupBy("k", "repeat").agg(
+            *[pick(a, "auc").alias(a) for a in ARMS], *[pick(a, "share").alias(f"share_{a}") for a in ARMS], F.max("kkt").alias("kkt")
         )
     )
-    full = auc.where("head = 'full'").agg(F.avg("auc")).first()[0]
+    full = result.where("arm = 'full'").agg(F.avg("auc")).first()[0]
     out = wide.groupBy("k").agg(
         F.lit(full).alias("auc_full"),
-        *[F.avg(c).alias(f"auc_{c}_removed") for c in ("speaker", "pca_topk", "var_matched")],
-        *[F.avg(f"share_{c}").alias(f"variance_{c}") for c in ("speaker", "pca_topk", "var_matched")],
+        *[F.avg(c).alias(f"auc_{c}_removed") for c in ARMS],
+        (F.lit(full) - F.avg("speaker")).alias("drop_from_full"),
+        *[F.avg(f"share_{c}").alias(f"variance_{c}") for c in ARMS],
+        F.max("kkt").alias("kkt"),
+        F.count("*").alias("n_repeats"),
     )
-    for c in ("pca_topk", "var_matched"):
+    for c in ARMS[1:]:
         d = wide.select("k", "repeat", (F.col(c) - F.col("speaker")).alias("d"))
         ci = rs.bootstrap_mean(d, study="k", order="repeat", value="d").select(
             "k", *[F.col(x).alias(f"d_{c}_{x}") for x in ("mean", "lo", "hi", "excludes_zero")]
         )
         out = out.join(ci, "k")
-    return out
+    # the manipulation check removes the subspace of all groups, as a user of the result would
+    means = sub.group_means(units, group=group).withColumn("all_rows", F.lit(True))
+    every, _ = sub.top_directions(sub.scatter(means, keep=["all_rows"])[0][2], max(ranks))
+    probe = dict(unit=unit, group=group, n_way=n_way, min_units=min_units, seed=seed)
+    before, chance = sub.identity_probe(units, **probe)
+    after = [(k, sub.identity_probe(sub.project_out(units, every[:, :k]), **probe)[0]) for k in ranks]
+    checks = spark.createDataFrame(after, "k int, speaker_id_after double")
+    return out.join(checks, "k").withColumn("speaker_id_full", F.lit(before)).withColumn("speaker_id_chance", F.lit(chance))
 
 
 def benchmark(

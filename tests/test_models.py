@@ -174,3 +174,38 @@ def test_a_model_that_does_not_converge_is_an_error(units):
     data = materialise(units.withColumn("codes", F.array(F.when(F.col("g").cast("int") < 10, 0).otherwise(1))))
     with pytest.raises(RuntimeError, match="not converged"):
         mod.fit_linear(data, [mod.Spec(mod.View("a"), 0, 0)], max_iter=2)
+
+
+def test_a_killed_study_goes_on_with_what_is_missing(units, tmp_path, monkeypatch):
+    study = dict(ranks=[1, 2], repeats=3, n_folds=3, n_way=5, min_units=4, **KEYS)
+    key = lambda rows: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows)
+    fresh = key(st.subspace_ablation(units, state=f"{tmp_path}/fresh", together=3, **study).collect())
+    whole, asked = st._ablation_repeats, []
+
+    def dies(df, *, wanted, **k):
+        asked.extend(wanted)
+        if wanted == [1] and asked.count(1) == 1:
+            raise KeyboardInterrupt
+        return whole(df, wanted=wanted, **k)
+
+    monkeypatch.setattr(st, "_ablation_repeats", dies)
+    with pytest.raises(KeyboardInterrupt):
+        st.subspace_ablation(units, state=f"{tmp_path}/killed", **study)
+    assert key(st.subspace_ablation(units, state=f"{tmp_path}/killed", **study).collect()) == fresh
+    assert asked == [0, 1, 1, 2]
+    other = units.withColumn("y", 1 - F.col("y"))  # other data do not resume these
+    st.subspace_ablation(other, state=f"{tmp_path}/killed", **study | {"repeats": 1})
+    assert asked == [0, 1, 1, 2, 0]
+
+
+def test_identity_probe_finds_voices_and_chance(spark):
+    rng = np.random.default_rng(4)
+    g = np.repeat(np.arange(12), 16)
+    x = rng.standard_normal((12, 6))[g] * 3 + rng.standard_normal((192, 6))
+    df = spark.createDataFrame(pd.DataFrame({"u": range(192), "g": g.astype(str), "x": x.tolist()}))
+    acc, chance = sub.identity_probe(df, unit="u", group="g", n_way=8, min_units=12)
+    assert chance == 1 / 8 and acc > 0.8
+    gone, _ = sub.identity_probe(sub.project_out(df, np.eye(6)), unit="u", group="g", n_way=8, min_units=12)
+    assert gone < 0.35
+    with pytest.raises(ValueError, match="fewer than two"):
+        sub.identity_probe(df, unit="u", group="g", min_units=17)
