@@ -8,6 +8,7 @@ replicates.  What moves are rows, once each, and vectors whose number depends on
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from statistics import NormalDist
@@ -30,8 +31,8 @@ from groupaudit.functions.hashing import (
     uniform,
 )
 from groupaudit.operators.metrics import ratio, roc_auc, width_bins
-from groupaudit.operators.ranks import bucket_of, hash_rank, quantile_bounds
-from groupaudit.session import ship_package
+from groupaudit.operators.ranks import bucket_of, hash_rank, quantile_bounds, running_before
+from groupaudit.session import materialise, ship_package
 
 SLICE = 250  # replicates of one vector
 CELLS = 1 << 21  # weights derived at a time
@@ -467,34 +468,81 @@ def bca_interval(df: DataFrame, draw: Draw, *, group: str, score: str, label: st
     )
 
 
+RANKS = 64  # ranks whose distribution one task builds
+DIRECT = 1 << 26  # products of a convolution term by term; longer ones go through the FFT
+
+
+def _convolve(a: np.ndarray, b: np.ndarray, keep: int) -> np.ndarray:
+    """First ``keep`` terms of the distribution of a sum."""
+    if len(a) * len(b) <= DIRECT:
+        return np.convolve(a, b)[:keep]
+    n = 1 << (len(a) + len(b) - 2).bit_length()
+    return np.maximum(np.fft.irfft(np.fft.rfft(a, n) * np.fft.rfft(b, n), n)[: min(keep, len(a) + len(b) - 1)], 0.0)
+
+
+def _tie_distribution(rank2: int, n: int, keep: int) -> np.ndarray:
+    """Distribution of rank2 * Binomial(n, 1/2), up to ``keep`` terms."""
+    k = np.arange(min(n, (keep - 1) // rank2) + 1)
+    logs = math.lgamma(n + 1) - np.array([math.lgamma(i + 1) + math.lgamma(n - i + 1) for i in k.tolist()]) - n * math.log(2)
+    out = np.zeros(int(k[-1]) * rank2 + 1)
+    out[k * rank2] = np.exp(logs) if n > 50 else [math.comb(n, i) / 2**n for i in k.tolist()]
+    return out
+
+
 def wilcoxon_exact(df: DataFrame, *, family: str, a: str, b: str) -> DataFrame:
     """Exact two-sided paired signed-rank test per family; NULL when all differences are zero.
 
-    The null distribution of the doubled rank sum is built by adding one rank at a time to an
-    array of probabilities, so any number of repeats works without listing sign patterns.
+    Equal absolute differences are one row with counts; prefix sums in buckets of the size give their
+    mean rank.  Runs of at most 64 ranks give the null distributions of their own doubled rank sums, up
+    to the observed statistic, and those are merged two by two: a family spreads over as many tasks as
+    it has runs, and the last step is a sum of products.
     """
-    d = df.select(family, (F.col(a) - F.col(b)).alias("_d")).where("_d IS NOT NULL")
-    size = F.abs("_d")
-    nz = d.where("_d <> 0")
-    by_size = Window.partitionBy(family).orderBy(size)
-    ties = Window.partitionBy(family, size)
-    ranked = nz.select(
-        family, "_d", (2 * F.rank().over(by_size) + F.count("*").over(ties) - 1).cast("int").alias("_r2")
-    )
-    s = ranked.groupBy(family).agg(
-        F.sum(F.when(F.col("_d") > 0, F.col("_r2")).otherwise(0)).alias("_plus"),
-        F.sum(F.when(F.col("_d") < 0, F.col("_r2")).otherwise(0)).alias("_minus"),
-        F.array_sort(F.collect_list("_r2")).alias("_ranks"),
-        F.count("*").alias("n"),
-    )
-    total = (F.col("_plus") + F.col("_minus")).cast("int")
-    start = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), total))
-    add = lambda acc, r: F.zip_with(
-        acc, F.concat(F.array_repeat(F.lit(0.0), r), F.slice(acc, F.lit(1), total + 1 - r)), lambda x, y: (x + y) / 2
+    d = df.select(F.col(family).alias("_f"), (F.col(a) - F.col(b)).alias("_d")).where("_d IS NOT NULL")
+    sizes = materialise(
+        d.where("_d <> 0").groupBy("_f", F.abs("_d").cast("double").alias("_z")).agg(
+            F.count("*").alias("n"), F.count_if(F.col("_d") > 0).alias("p")
+        )
     )
-    stat2 = F.least("_plus", "_minus").cast("int")
-    cdf = F.aggregate(F.slice("_null", F.lit(1), stat2 + 1), F.lit(0.0), lambda acc, x: acc + x)
-    out = s.withColumn("_null", F.aggregate("_ranks", start, add)).select(
-        family, F.col("n").alias("n_nonzero"), (stat2 / 2).alias("statistic"), F.least(F.lit(1.0), 2 * cdf).alias("p_value")
+    ranked = running_before(sizes, part=["_f"], order="_z", tie="_z", sums={"before": "n"})
+    ranked = materialise(ranked.select("_f", "n", "p", "before", (2 * F.col("before") + F.col("n") + 1).alias("r2")))
+    s = ranked.groupBy("_f").agg(
+        F.least(F.sum(F.col("p") * F.col("r2")), F.sum((F.col("n") - F.col("p")) * F.col("r2"))).alias("stat2"),
+        F.sum("n").alias("n_nonzero"),
     )
-    return d.select(family).distinct().join(out, family, "left")
+    schema = d.schema["_f"].dataType.simpleString()
+    arrays = f"_f {schema}, run long, stat2 long, w binary"
+
+    def one_run(pdf: pd.DataFrame) -> pd.DataFrame:
+        keep, w = int(pdf["stat2"].iloc[0]) + 1, np.ones(1)
+        for r2, n in sorted(zip(pdf["r2"].tolist(), pdf["n"].tolist())):
+            w = _convolve(w, _tie_distribution(r2, n, keep), keep)
+        return _blob(pdf, w)
+
+    def two_runs(pdf: pd.DataFrame) -> pd.DataFrame:
+        keep, w = int(pdf["stat2"].iloc[0]) + 1, np.ones(1)
+        for blob in pdf.sort_values("run")["w"]:
+            w = _convolve(w, np.frombuffer(blob), keep)
+        return _blob(pdf.assign(run=pdf["run"] // 2), w)
+
+    def below(pdf: pd.DataFrame) -> pd.DataFrame:
+        """P(sum <= stat2) from the two halves left, without their convolution."""
+        stat2, parts = int(pdf["stat2"].iloc[0]), [np.frombuffer(b) for b in pdf["w"]]
+        lower = parts[0]
+        upper = np.cumsum(parts[1]) if len(parts) > 1 else np.ones(1)
+        at = np.minimum(stat2 - np.arange(len(lower)), len(upper) - 1)
+        cdf = float((lower * upper[at]).sum())
+        return pd.DataFrame({"_f": pdf["_f"].iloc[:1], "p_value": [min(1.0, 2 * cdf)]})
+
+    runs = ranked.withColumn("run", F.floor(F.col("before") / RANKS)).join(s, "_f")
+    parts = materialise(runs.groupBy("_f", "run").applyInPandas(one_run, arrays))
+    last = parts.agg(F.coalesce(F.max("run"), F.lit(0))).first()[0]
+    while last > 1:
+        parts = materialise(parts.groupBy("_f", F.floor(F.col("run") / 2)).applyInPandas(two_runs, arrays))
+        last //= 2
+    p = parts.groupBy("_f").applyInPandas(below, f"_f {schema}, p_value double")
+    out = s.join(p, "_f").select("_f", "n_nonzero", (F.col("stat2") / 2).alias("statistic"), "p_value")
+    return d.select("_f").distinct().join(out, "_f", "left").withColumnRenamed("_f", family)
+
+
+def _blob(pdf: pd.DataFrame, w: np.ndarray) -> pd.DataFrame:
+    return pdf[["_f", "run", "stat2"]].iloc[:1].assign(w=[np.ascontiguousarray(w, dtype="<f8").tobytes()])

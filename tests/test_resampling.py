@@ -151,6 +151,29 @@ def test_wilcoxon_with_ties_equals_enumeration_and_zero_is_null(spark):
     assert got["f"] == pytest.approx(want) and got["z"] is None
 
 
+@pytest.mark.parametrize("n, decimals, direct", [(900, 6, True), (900, 6, False), (700, 2, True)])
+def test_wilcoxon_of_one_large_family_spreads(spark, monkeypatch, n, decimals, direct):
+    """Runs of ranks merged two by two equal the distribution built rank by rank; ties are binomials."""
+    if not direct:
+        monkeypatch.setattr(rs, "DIRECT", 1000)
+    rng = np.random.default_rng(n)
+    d = (rng.normal(0.04, 1, n)).round(decimals)
+    d[:3] = 0
+    rows = [("f", float(x), 0.0) for x in d] + [("g", 1.0, 0.0), ("g", -2.0, 0.0)]
+    got = {r["f"]: r for r in rs.wilcoxon_exact(spark.createDataFrame(rows, "f string, a double, b double"), family="f", a="a", b="b").collect()}
+    nz = d[d != 0]
+    r2 = (2 * pd.Series(np.abs(nz)).rank()).astype(int).to_numpy()
+    stat2 = min(r2[nz > 0].sum(), r2[nz < 0].sum())
+    null = np.zeros(r2.sum() + 1)
+    null[0] = 1
+    for r in r2:
+        null[r:] = (null[r:] + null[: len(null) - r]) / 2
+        null[:r] /= 2
+    assert got["f"]["n_nonzero"] == len(nz) and got["f"]["statistic"] == stat2 / 2
+    assert got["f"]["p_value"] == pytest.approx(min(1, 2 * null[: stat2 + 1].sum()), rel=1e-9)
+    assert got["g"]["p_value"] == 1.0
+
+
 @pytest.mark.parametrize("n, largest_m", [(7, 3), (8, 6), (9, 12), (10, 25), (12, 102)])
 def test_power_table(spark, n, largest_m):
     rows = spark.createDataFrame([(n, largest_m), (n, largest_m + 1)], "n int, m int")

@@ -112,11 +112,37 @@ def test_matching_is_one_to_one_within_caliper_and_maximal_per_cell(spark):
     assert not ((rest.age_x - rest.age_y).abs() <= 3).any()
 
 
-def test_fractional_ages_keep_the_caliper(spark):
+def matched(spark, pdf, tol):
+    p = ds.caliper_match(spark.createDataFrame(pdf), group="id", label="y", age="age", exact="sex", tol=tol).toPandas()
+    info = pdf.set_index("id")
+    used = [*p.control, *p.case]
+    assert len(set(used)) == len(used)
+    assert (info.loc[p.control, "y"] == 0).all() and (info.loc[p.case, "y"] == 1).all()
+    assert (info.loc[p.control, "sex"].to_numpy() == info.loc[p.case, "sex"].to_numpy()).all()
+    gap = (info.loc[p.case, "age"].to_numpy() - info.loc[p.control, "age"].to_numpy()).astype(float)
+    assert (abs(gap) <= tol).all()
+    left = pdf[~pdf.id.isin(used)]
+    rest = left[left.y == 0].merge(left[left.y == 1], on="sex")
+    assert not ((rest.age_x - rest.age_y).abs() <= tol).any(), "a pair that could be made is left"
+    return p
+
+
+@pytest.mark.parametrize("cases", [0.5, 0.15])
+def test_fractional_ages_leave_no_pair_that_could_be_made(spark, cases):
     rng = np.random.default_rng(4)
-    pdf = pd.DataFrame({"id": range(200), "y": rng.integers(0, 2, 200), "age": rng.random(200) * 30 + 20, "sex": "F"})
-    p = ds.caliper_match(spark.createDataFrame(pdf), group="id", label="y", age="age", exact="sex", tol=2).toPandas()
-    assert len(p) and (p.age_case - p.age_control).abs().max() <= 2
+    n = 300
+    pdf = pd.DataFrame({"id": range(n), "y": (rng.random(n) < cases).astype(int), "age": rng.random(n) * 40 + 20, "sex": rng.choice(["F", "M"], n)})
+    assert len(matched(spark, pdf, 2)) > 0.7 * min(pdf.y.sum(), (1 - pdf.y).sum())
+
+
+def test_equal_fractional_ages_a_caliper_apart_match_at_once(spark):
+    """All controls propose to one age: counts are matched, not one pair a round."""
+    n = 400
+    pdf = pd.DataFrame({"id": range(n), "y": [i % 2 for i in range(n)], "age": [30.5 + 2.0 * (i % 2) for i in range(n)], "sex": "F"})
+    assert len(matched(spark, pdf, 2)) == n // 2
+    pdf.loc[0, "age"] = 90.25
+    assert len(matched(spark, pdf, 2)) == n // 2 - 1
+    assert len(matched(spark, pdf[pdf.y == 1], 2)) == 0
 
 
 def test_lookback_sees_only_earlier_rows(spark):
