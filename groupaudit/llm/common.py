@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 from groupaudit.session import scratch_path
@@ -9,6 +11,14 @@ from groupaudit.session import scratch_path
 BATCH_ROWS = 256  # documents of one Arrow batch: with very long texts still some tens of MB
 
 
+def apart(name: str, columns: Sequence[str]) -> str:
+    """``name``, or a longer one if a column is called so already (names do not differ by case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

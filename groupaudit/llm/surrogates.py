@@ -18,13 +18,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groupaudit.llm.common import stored
+from groupaudit.llm.common import apart, stored
 
-MOST_ATTEMPTS = 64
+LENGTHEN = 16  # attempts at a value's own length; later ones grow, so that no format runs out
 
 # fixed values: titles by gender
 TITLES = {
@@ -46,7 +47,7 @@ ENDINGS = {
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 _NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 EMAIL = r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
-SECRET = r"""(?<=(?i:token|secret|password|api[_-]?key)["']?[ ]{0,2}[=:][ ]{0,2}["'])[^"'\s]{8,}(?=["'])"""
+SECRET = r"""(?<=(?i:token|secret|password|api[_-]?key)["']?[ ]{0,2}[=:][ ]{0,2}["'])(?!([^"'\s])\1+["'])[^"'\s]{8,}(?=["'])"""
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)"
 SOCIAL = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
@@ -96,11 +97,21 @@ def _stream(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.length(value)), lambda i: F.conv(F.substr(hexes, 2 * i + 1, F.lit(2)), 16, 10).cast("int"))
 
 
-def _like(c: Column, b: Column, hexes: Column) -> Column:
-    """A character of the same class as c, chosen by byte b."""
+# Letters that stand for those of their script; a letter of no script here becomes a Latin one.
+SCRIPT_LETTERS = {
+    "IsGreek": "αβγδεζηθικλμνξοπρστυφχψω", "IsArmenian": "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցւփքօֆ",
+    "IsHebrew": "אבגדהוזחטיכלמנסעפצקרשת", "IsArabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
+    "IsHan": "天地人日月山水火木金土田中大小上下東西南北", "IsHiragana": "あいうえおかきくけこさしすせそたちつてとなにぬねの",
+    "IsKatakana": "アイウエオカキクケコサシスセソタチツテトナニヌネノ", "IsHangul": "가나다라마바사아자차카타파하고노도로모보소오조초코토포호",
+}
+SIGNS = "!#$%&*+-=?@^_~.:;,/|()[]{}<>"
+
+
+def _like(c: Column, b: Column, hexes: Column, signs: bool) -> Column:
+    """A character of the same class as c, chosen by byte b; signs stay unless they are to change, too."""
     pick = lambda letters: F.substr(F.lit(letters), b % len(letters) + 1, F.lit(1))
     low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return (
+    ascii_ = (
         F.when(c.rlike(r"^\d$"), pick("0123456789"))
         .when(hexes & c.rlike("^[a-f]$"), pick("abcdef"))
         .when(hexes & c.rlike("^[A-F]$"), pick("ABCDEF"))
@@ -108,15 +119,18 @@ def _like(c: Column, b: Column, hexes: Column) -> Column:
         .when(c.rlike("^[A-Z]$"), pick(up))
         .when(c.rlike(r"^[а-я]$"), pick("абвгдежзиклмнопрстуфхцчшщэюя"))
         .when(c.rlike(r"^[А-Я]$"), pick("АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ"))
-        .otherwise(c)
     )
+    if not signs:
+        return ascii_.otherwise(c)
+    other = reduce(lambda e, s: e.when(c.rlike(rf"^\p{{{s}}}$"), pick(SCRIPT_LETTERS[s])), SCRIPT_LETTERS, ascii_)
+    return other.when(c.rlike(r"^\p{L}$"), pick(low)).otherwise(pick(SIGNS))
 
 
-def _mapped(value: Column, stream: Column, fixed: Column, hexes: Column | None = None) -> Column:
+def _mapped(value: Column, stream: Column, fixed: Column, hexes: Column | None = None, signs: bool = False) -> Column:
     """Characters of the value mapped, the first ``fixed`` kept."""
     hexes = F.lit(False) if hexes is None else hexes
     at = lambda i: F.substr(value, i + 1, F.lit(1))
-    one = lambda i: F.when(i < fixed, at(i)).otherwise(_like(at(i), F.get(stream, i), hexes))
+    one = lambda i: F.when(i < fixed, at(i)).otherwise(_like(at(i), F.get(stream, i), hexes, signs))
     return F.array_join(F.transform(F.sequence(F.lit(0), F.length(value) - 1), one), "")
 
 
@@ -163,11 +177,10 @@ def _name(value: Column, stream: Column, attempt: Column, gender: Column) -> Col
 
     def build(script: str) -> Column:
         parts = SYLLABLES[script]
-        body = F.array_join(F.transform(F.sequence(F.lit(1), 2 + attempt), lambda i: F.get(F.array(*map(F.lit, parts)), F.get(long, i) % len(parts))), "")
+        body = F.array_join(F.transform(F.sequence(F.lit(1), 2 + attempt), lambda i: F.get(F.array(*map(F.lit, parts)), F.get(stream, i % F.size(stream)) % len(parts))), "")
         end = reduce(lambda c, g: c.when(gender == g, ENDINGS[script][g]), ENDINGS[script], F.when(F.lit(False), ""))
         return F.initcap(F.concat(body, end))
 
-    long = F.flatten(F.array_repeat(stream, MOST_ATTEMPTS // 2 + 2))
     others = [script for script in SYLLABLES if script != "latin"]
     return reduce(lambda c, script: c.when(value.rlike(rf"\p{{Is{script.capitalize()}}}"), build(script)), others, F.when(F.lit(False), "")).otherwise(build("latin"))
 
@@ -183,15 +196,18 @@ def draw(kind: Column, value: Column, attempt: Column, s: Column) -> Column:
         .when(kind == "iban", _mapped(value, s, F.lit(2)))
         .when(kind == "social", _mapped(value, s, F.lit(0)))
         .when(kind.startswith("name"), _name(value, s, attempt, F.substring(kind, 6, 1)))
-        .otherwise(_mapped(value, s, F.lit(0), value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")))
+        .otherwise(_mapped(value, s, F.lit(0), value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), signs=True))
     )
 
 
 def surrogate_table(values: DataFrame, *, key: str) -> DataFrame:
     """(kind, value, surrogate) for distinct (kind, value): distinct surrogates, none a value itself."""
     open_, done, taken = values.select("kind", "value"), None, values.select(F.col("value").alias("s"))
-    for attempt in range(MOST_ATTEMPTS):
-        given = (F.col("kind"), F.col("value"), F.lit(attempt))
+    for attempt in count():
+        more = max(0, attempt - LENGTHEN + 1)
+        longer = F.when(F.col("kind") == "email", F.concat(F.lit("a" * more), "value")).otherwise(F.concat("value", F.lit("0" * more)))
+        fixed = (F.col("kind") == "ip") | F.col("kind").startswith("name")  # names grow by themselves
+        given = (F.col("kind"), F.when(fixed, F.col("value")).otherwise(longer), F.lit(attempt))
         # the digest is a column of its own, so that it is not computed for every character
         drawn = open_.withColumn("bytes", _stream(key, *given)).withColumn("surrogate", draw(*given, F.col("bytes")))
         winner = drawn.groupBy("surrogate").agg(F.min(F.struct("kind", "value")).alias("w"))
@@ -202,7 +218,7 @@ def surrogate_table(values: DataFrame, *, key: str) -> DataFrame:
         if open_.isEmpty():
             return done
         taken = taken.union(round_.select(F.col("surrogate").alias("s")))
-    raise ValueError(f"values without a free surrogate after {MOST_ATTEMPTS} draws")
+    raise AssertionError("unreachable")
 
 
 def entity_values(found: DataFrame) -> DataFrame:
@@ -259,11 +275,12 @@ def pseudonymise(docs: DataFrame, *, key: str, text: str = "text", n_chars: str
 
     ``n_chars``, if there is such a column and it held the text's length, holds the new length.  Null
     and empty texts stay; texts without an entity stay as they are; copies of a text get the same
-    text.  An empty table stays empty.
+    text.  Columns may have any names.  A secret of one repeated sign (a mask) stays.  An empty table
+    stays empty.
     """
     names = docs.columns
     body = F.col(f"`{text}`")
-    hash_, list_, names_ = "_text_digest", "_surrogate_list", "_surrogate_names"
+    hash_, list_, names_ = (apart(c, names) for c in ("_text_digest", "_surrogate_list", "_surrogate_names"))
     maybe = F.coalesce(body.rlike(MAYBE), F.lit(False))
     texts = docs.where(maybe).select(body.alias("t"))
     entities = texts.select(F.sha2("t", 256).alias(hash_), F.regexp_extract_all("t", F.lit(ENTITY), F.lit(0)).alias("e"))

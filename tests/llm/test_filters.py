@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from oracle import compare, connect
 
 import corpus_pipeline
@@ -248,6 +249,48 @@ def test_no_value_is_left_in_the_query(spark, sf):
     assert len(set(seen.values())) == len(seen) > 5 and not set(seen) & set(seen.values())
 
 
+def test_masks_signs_scripts_and_exhausted_formats(spark):
+    """Nothing raises over data: masks stay, signs and any script are mapped, a full format grows."""
+    secrets = ["********", "!@#$%^&*", "密码密码密码密码", "パスワードひみつです", "пароль-пароль", "סודסודסודסוד", "aaaaaaaaa", "x1!y2?z3"]
+    rows = [(i, f'password = "{s}"') for i, s in enumerate(secrets)]
+    mails = [f"{a}@{b}.org" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"] + [f"{a}{a}@x.org" for a in "abc"]
+    rows.append((100, " ".join(mails)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in surrogates.pseudonymise(df, key="k").collect()}
+    for i, s in enumerate(secrets):
+        new = got[i][len('password = "') : -1]
+        if len(set(s)) == 1:
+            assert new == s
+        else:
+            assert new != s and len(new) == len(s), (s, new)
+            assert all(a.isalpha() == b.isalpha() and a.isdigit() == b.isdigit() for a, b in zip(s, new))
+    new = got[100].split()
+    assert len(new) == len(set(new)) == len(mails) and not set(new) & set(mails)
+    assert all(re.fullmatch(r"[a-z]+@[a-z]+\.org", m) for m in new)
+
+
+# --- columns that are called like inner ones -------------------------------------------------------
+
+INNER = ["_id", "_LABEL", "_contained_items", "_surrogate_list", "_text_digest", "_surrogate_names", "n", "row", "fingerprint", "group", "task", "p"]
+
+
+def test_stages_keep_columns_of_any_name(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    extra = docs.selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in INNER], "'d' AS `a.b`")
+    odd = extra.limit(2).withColumn("text", F.lit(None).cast("string")).union(extra.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    for table in (extra, extra.union(odd), extra.where("false")):
+        kept = table
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, kept, sf)
+            if name == "best_fit_packing":
+                assert out.count() >= kept.count()
+                break
+            assert out.columns == table.columns, name
+            rows = out.collect()
+            assert all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in INNER if r["doc_id"] is not None), name
+            kept = spark.createDataFrame(rows, table.schema)
+
+
 # --- backoff scores -----------------------------------------------------------------------------
 
 
