@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groupaudit.llm.common import small_batches, stored
+from groupaudit.llm.common import apart, small_batches, stored
 
 K1, B = 1.2, 0.75
 BLOCK = 16  # entries of a block
@@ -200,7 +200,10 @@ def contaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", *
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that contain an item; all columns kept."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    flagged = docs.select(*names, contamination(docs, items, **options).alias("_contained_items"))
-    return flagged.where(F.size("_contained_items") == 0).select(*names)
+    """``docs`` without the rows that contain an item; all columns kept, whatever their names.
+
+    Null and empty texts contain nothing and stay; rows that repeat each other share their fate.
+    """
+    names, own = [F.col(f"`{c}`") for c in docs.columns], apart("_contained_items", docs.columns)
+    flagged = docs.select(*names, contamination(docs, items, **options).alias(own))
+    return flagged.where(F.size(own) == 0).select(*names)

@@ -11,6 +11,7 @@ how sure the network is of clean texts, and which share of their letter triples
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,14 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from groupaudit.llm.byte_gru import ByteGRU, windows
-from groupaudit.llm.common import small_batches
+from groupaudit.llm.common import apart, small_batches
 
 MEMORY_WORDS, LONG_WORD = 500_000, 64  # remembered words of one worker, and their length
 UNKNOWN = "und"
 PRIOR = 30  # letters of an ordinary text that every text is given before it is judged: a few words tell little
 ENOUGH, TAIL = 20, 0.01  # held-out documents from which a bound is drawn, and the quantile it is drawn from
 RARE = 200_000  # a triple is learned if it is one of so many of its label at least
-_LETTER, _LETTERS = re.compile(r"[^\W\d_]"), re.compile(r"[^\W\d_]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def held_out(doc_id: str) -> Column:
@@ -54,13 +55,14 @@ def sampled(labelled: DataFrame, docs_per_label: int, doc_id: str, text: str, la
 
 
 def training_windows(
-    labelled: DataFrame, *, docs_per_label: int = 400, windows_per_label: int = 20_000, label_limit: int = 200,
+    labelled: DataFrame, *, docs_per_label: int = 400, windows_per_label: int = 20_000, draws_per_label: int = 8_000, label_limit: int = 200,
     doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
 ) -> tuple[list[str], list[bytes], np.ndarray, dict[str, np.ndarray]]:
     """A bounded sample: documents of each label by hash of their id, then distinct words by hash.
 
     At most ``label_limit`` x ``windows_per_label`` words reach the driver; more labels are refused.
-    Words are drawn in proportion to how often they occur in the sampled documents.  The last result
+    ``draws_per_label`` words are drawn, each in proportion to the square root of how often it occurs in
+    the sampled documents, so that rare words are learned as well.  The last result
     has the letter triples of the sampled words: for each, which labels have learned it.
     """
     small_batches(labelled.sparkSession)
@@ -89,7 +91,7 @@ def training_windows(
         for t in (t for t, n in count.items() if n >= least):
             learned.setdefault(t, np.zeros(len(labels), bool))[i] = True
         share = np.sqrt(own["n"].to_numpy(dtype=float))
-        draws = rng.choice(len(own), size=min(windows_per_label, 8_000), p=share / share.sum())
+        draws = rng.choice(len(own), size=draws_per_label, p=share / share.sum())
         items += [bytes(w) for w in own["w"].to_numpy()[draws]]
         y += [i] * len(draws)
     return labels, items, np.array(y, dtype=np.int64), learned
@@ -137,7 +139,7 @@ class _Reader:
         for t, ws in zip(texts, words):
             i = np.fromiter(map(self.at.__getitem__, ws), dtype=np.int64, count=len(ws))
             letters = int(self.counts[i].sum())
-            if not letters or not self.model.labels or not _LETTER.search(t):
+            if not letters or not self.model.labels or not any(map(str.isalpha, t)):
                 out.append((UNKNOWN, 0.0, 0, 0, 0))
                 continue
             p = self.sums[i].sum(axis=0, dtype=np.float64) / letters
@@ -150,7 +152,7 @@ class _Reader:
         return out
 
 
-_WORKER: dict[int, _Reader] = {}
+_WORKER: dict[str, _Reader] = {}
 
 
 LABEL = "lang_pred string, score double, letters long, triples long, new long"
@@ -158,10 +160,9 @@ LABEL = "lang_pred string, score double, letters long, triples long, new long"
 
 def _label(docs: DataFrame, model: ByteGRU, text: str, learned: dict[str, np.ndarray] | None = None) -> Column:
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model, learned or {}))
+    shared, key = docs.sparkSession.sparkContext.broadcast((model, learned or {})), uuid.uuid4().hex
 
     def label(texts: pd.Series) -> pd.DataFrame:
-        key = id(shared.value)
         if key not in _WORKER:
             _WORKER.clear()
             _WORKER[key] = _Reader(*shared.value)
@@ -250,17 +251,17 @@ def language_id(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 def keep_identified(
     docs: DataFrame, *, least: float = 0.2, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"
 ) -> DataFrame:
-    """``docs`` without rows of no learned language; columns kept.
+    """``docs`` without rows of no learned language; columns kept, whatever their names.
 
     These are ``und``, a probability below ``least``, and what ``judged`` tells from the held-out
     labelled documents: a network that is less sure, or more letter triples that it has not learned,
     than in clean texts of that label.
     """
-    names = [F.col(f"`{c}`") for c in docs.columns]
+    names, own = [F.col(f"`{c}`") for c in docs.columns], apart("_label", docs.columns)
     given, columns = docs.where(F.col(doc_id).isNotNull()), {"doc_id": doc_id, "text": text, "lang": lang}
     model, learned = fit(given.where(~held_out(doc_id)), **columns)
     bounds = calibrate(given.where(held_out(doc_id)), model, learned, **columns)
-    found = docs.select(*names, _label(docs, model, text, learned).alias("_label"))
-    label = F.col("_label")
+    found = docs.select(*names, _label(docs, model, text, learned).alias(own))
+    label = F.col(own)
     sure = (label["lang_pred"] != UNKNOWN) & (label["score"] >= least)
     return found.where(sure & judged(label, bounds)).select(*names)

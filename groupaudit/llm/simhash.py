@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groupaudit.llm.common import small_batches, stored
+from groupaudit.llm.common import apart, small_batches, stored
 from groupaudit.llm.components import connected_components
 
 HASH_SEED = 42
@@ -212,19 +212,20 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **o
     """``docs`` with one document of each component: the one with the smallest id.
 
     Of rows that repeat that id, or where no row of a component has an id, the one with the smallest
-    text stays.  All columns are kept.
+    text stays.  All columns are kept, whatever their names; null and empty texts are one component,
+    and an empty table stays empty.
     """
-    names = docs.columns
+    names, own = docs.columns, apart("_id", docs.columns)
     found = stored(simhash_components(docs, doc_id=doc_id, text=text, **options), "components")
     per_id = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("first")
     )
-    firsts = stored(per_id.where("first").select(F.col("doc_id").alias("_id"), "n"), "firsts")
+    firsts = stored(per_id.where("first").select(F.col("doc_id").alias(own), "n"), "firsts")
     ours = F.col(f"`{doc_id}`").cast("long")
     # the list of ids grows with the documents, so that it is merged, never sent out, at any size
-    plain = docs.join(firsts.where("n = 1").hint("merge"), ours == F.col("_id"), "left_semi")
+    plain = docs.join(firsts.where("n = 1").hint("merge"), ours == F.col(own), "left_semi")
     # ids on several rows, and rows without one, are told apart by their fingerprints
-    odd = docs.join(firsts.where("n > 1"), ours == F.col("_id"), "left_semi").union(docs.where(ours.isNull()))
+    odd = docs.join(firsts.where("n > 1"), ours == F.col(own), "left_semi").union(docs.where(ours.isNull()))
     row = F.struct(*[F.col(f"`{c}`") for c in names])
     odd = odd.select(row.alias("row"), ours.alias("_id"), F.col(f"`{text}`").alias("_t"), fingerprint_column(F.col(f"`{text}`"), **options).alias("fingerprint"))
     where = found.select("fingerprint", "group", "component_id").distinct()
