@@ -156,48 +156,64 @@ def short_sha256(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
-LEAF_DIGITS = 4  # 65,536 leaves a group at every size, so that a fingerprint depends on its group alone
+# --- multiset fingerprints ----------------------------------------------------------------------
+# The sum of digests modulo 2^256 does not depend on their order, and sums of parts add up.  It is kept
+# in 16 lanes of 16 bits, each a plain 64-bit sum: no carries until a fingerprint is asked for, and room
+# for 2^47 rows.
 
+LANES, LANE_DIGITS = 16, 4
+_LANE = 16**LANE_DIGITS
 
-def order_free_digest(df: DataFrame, digest: str, by: Sequence[str] = ()) -> DataFrame:
-    """SHA-256 over the *sorted* digests as a tree, so no task sees a whole group.
 
-    Leaves are buckets of the leading hex digits of a digest; every level up drops two
-    digits and hashes at most 256 children.  The depth is the same for every table.
-    """
-    by = list(by)
-    # equal digests collapse first, so copies of one digest cannot pile up in a bucket
-    d = df.groupBy(*by, F.col(digest).alias("_d")).agg(F.count("*").alias("_n"))
-    prefix = LEAF_DIGITS
-    level = (
-        d.groupBy(*by, F.substring("_d", 1, prefix).alias("_b"))
-        .agg(F.sort_array(F.collect_list(F.concat_ws(":", "_d", "_n"))).alias("_m"), F.sum("_n").alias("_rows"))
+def multiset_state(df: DataFrame, digest: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, n_rows, lanes): what is stored to add rows later without reading the old ones."""
+    d = F.lpad(F.col(digest), LANES * LANE_DIGITS, "0")
+    lane = lambda i: F.conv(F.substring(d, 1 + i * LANE_DIGITS, LANE_DIGITS), 16, 10).cast("bigint")
+    return df.where(F.col(digest).isNotNull()).groupBy(*by).agg(
+        F.count("*").alias("n_rows"), F.array(*[F.coalesce(F.sum(lane(i)), F.lit(0)) for i in range(LANES)]).alias("lanes")
     )
-    while prefix >= 2:
-        prefix -= 2
-        child = level.select(
-            *by, "_b", F.concat_ws(":", "_b", F.sha2(F.array_join("_m", "\n"), 256)).alias("_c"), "_rows"
-        )
-        level = child.groupBy(*by, F.substring("_b", 1, prefix).alias("_b")).agg(
-            F.sort_array(F.collect_list("_c")).alias("_m"), F.sum("_rows").alias("_rows")
-        )
-    return level.select(
-        *by, F.sha2(F.array_join("_m", "\n"), 256).alias("fingerprint"), F.col("_rows").alias("n_rows")
+
+
+def merge_states(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One state of the rows of all ``states`` with equal keys; a state with negated numbers takes rows away."""
+    return states.groupBy(*by).agg(
+        F.sum("n_rows").alias("n_rows"), F.array(*[F.sum(F.get("lanes", F.lit(i))) for i in range(LANES)]).alias("lanes")
     )
 
 
+def state_digest(lanes: Column, n_rows: Column) -> Column:
+    """SHA-256 of the 256-bit sum and the number of rows."""
+
+    def carry(acc: Column, lane: Column) -> Column:
+        total = acc["carry"] + lane
+        digits = F.lower(F.lpad(F.hex(F.pmod(total, F.lit(_LANE))), LANE_DIGITS, "0"))
+        return F.struct(F.floor(total / _LANE).cast("bigint").alias("carry"), F.concat(digits, acc["hex"]).alias("hex"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("carry"), F.lit("").alias("hex"))
+    total = F.aggregate(F.reverse(lanes), start, carry)["hex"]
+    return F.sha2(F.concat_ws(":", total, n_rows.cast("string")), 256)
+
+
+def order_free_digest(df: DataFrame, digest: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, fingerprint, n_rows) of a multiset of hex digests, in one aggregation with partial sums."""
+    state = multiset_state(df, digest, by)
+    return state.select(*by, state_digest(F.col("lanes"), F.col("n_rows")).alias("fingerprint"), "n_rows")
+
+
 def order_free_digest_sql(source: str, digest: str, by: Sequence[str] = ()) -> str:
     keys = "".join(f"{b}, " for b in by)
     group = f"GROUP BY {', '.join(by)}" if by else ""
-    child = "sha256(string_agg(_b || ':' || _h, chr(10) ORDER BY _b))"
+    lanes = [f"sum(CAST('0x' || substr(lpad({digest}, {LANES * LANE_DIGITS}, '0'), {1 + i * LANE_DIGITS}, {LANE_DIGITS}) AS HUGEINT))" for i in range(LANES)]
+    steps, carry = [], "0"
+    for i in reversed(range(LANES)):
+        steps.append(f"s{i} + {carry} AS t{i}")
+        carry = f"t{i} // {_LANE}"
+    digits = " || ".join(f"printf('%04x', CAST(t{i} % {_LANE} AS BIGINT))" for i in range(LANES))
     return f"""
-    SELECT {keys}{child} AS fingerprint, CAST(sum(_rows) AS BIGINT) AS n_rows
-    FROM (SELECT {keys}substr(_b, 1, 2) AS _p, {child} AS _h, sum(_rows) AS _rows
-          FROM (SELECT {keys}_b, sha256(string_agg(_d || ':' || _n, chr(10) ORDER BY _d)) AS _h, sum(_n) AS _rows
-                FROM (SELECT {keys}substr({digest}, 1, {LEAF_DIGITS}) AS _b, {digest} AS _d, count(*) AS _n
-                      FROM {source} GROUP BY ALL) GROUP BY {keys}_b)
-          GROUP BY {keys}_p) AS t({keys}_b, _h, _rows)
-    {group}"""
+    SELECT {keys}sha256({digits} || ':' || n_rows) AS fingerprint, n_rows FROM (
+      SELECT *, {', '.join(steps)} FROM (
+        SELECT {keys}count(*) AS n_rows, {', '.join(f'{x} AS s{i}' for i, x in enumerate(lanes))}
+        FROM {source} WHERE {digest} IS NOT NULL {group}))"""
 
 
 def ordered_digest(df: DataFrame, *, order: str, line: str, block: int) -> DataFrame:
