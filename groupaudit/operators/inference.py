@@ -221,15 +221,34 @@ def top_members(inner_auc: DataFrame, *, fold: Sequence[str], head: str, auc: st
     return inner_auc.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def shuffle_verdict(scores: DataFrame, *, by: Sequence[str], chance: float = 0.5, tolerance: float = 0.05, real: str = "real", shuffled: str = "shuffled") -> DataFrame:
-    """PASS within tolerance of chance, WEAK within five tolerances, FAIL beyond."""
+CHANCE = ("auc", "accuracy", "uar", "f1_macro", "r2", "ranking")
+
+
+def chance_baseline(labels: DataFrame, *, label: str, metric: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, n_classes, chance) of a metric from the labels it is evaluated on, whatever their number of classes."""
+    if metric not in CHANCE:
+        raise ValueError(f"no rule for the chance level of {metric!r}")
+    n = labels.where(F.col(label).isNotNull()).groupBy(*by, label).agg(F.count("*").alias("_n"))
+    g = n.groupBy(*by).agg(F.count("*").alias("n_classes"), ratio(F.max("_n"), F.sum("_n")).alias("_top"))
+    even = F.lit(1.0) / F.col("n_classes")
+    level = {"auc": F.lit(0.5), "accuracy": F.col("_top"), "uar": even, "f1_macro": even, "r2": F.lit(0.0), "ranking": F.lit(0.0)}[metric]
+    return g.select(*by, "n_classes", level.alias("chance"))
+
+
+def shuffle_verdict(scores: DataFrame, *, by: Sequence[str], chance: float | Column = 0.5, tolerance: float = 0.05, real: str = "real", shuffled: str = "shuffled") -> DataFrame:
+    """PASS within tolerance of chance, WEAK within five tolerances, FAIL beyond.
+
+    ``chance`` is a number or a column of ``scores`` (``chance_baseline``), the same within a group.
+    """
+    level = chance if isinstance(chance, Column) else F.lit(float(chance))
     g = scores.groupBy(*by).agg(
         F.max(real).alias("real_score"),
         F.avg(shuffled).alias("shuffled_mean"),
         F.stddev_pop(shuffled).alias("shuffled_std"),
         F.count(shuffled).alias("n_repeats"),
+        F.max(level).alias("chance_baseline"),
     )
-    gap = F.abs(F.col("shuffled_mean") - chance)
+    gap = F.abs(F.col("shuffled_mean") - F.col("chance_baseline"))
     return g.withColumn("distance", gap).withColumn(
         "verdict", F.when(gap <= tolerance, "PASS").when(gap <= 5 * tolerance, "WEAK").otherwise("FAIL")
     )

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groupaudit.functions import arrays as arr
@@ -125,6 +126,47 @@ def vector_functionals(frames: DataFrame, *, by: Sequence[str], vector: str, wei
     )
 
 
+DELTA_HALF = 4  # frames to either side of a slope's regression window
+CELL = 4096  # frames of one recording in one task
+
+
+def frame_slopes(frames: DataFrame, *, rec: str, frame: str, vector: str) -> DataFrame:
+    """(rec, slope, repeats): regression slope of every coefficient over nine frames around each frame.
+
+    The first and last window give the slopes of the four frames outside them, hence ``repeats``.
+    Recordings of at most nine frames have none.  Positions come from prefix counts; cells of them share
+    their border frames, so that a long recording spreads and no slope is lost between cells.
+    """
+    h = DELTA_HALF
+    d = frames.select(F.col(rec).alias("_r"), F.col(frame).alias("_f"), F.transform(vector, lambda x: x.cast("double")).alias("_x"))
+    # prefix counts need no vectors
+    at = running_before(d.select("_r", "_f").withColumn("_one", F.lit(1)), part=["_r"], order="_f", tie="_f", sums={"_at": "_one"})
+    sizes = d.groupBy("_r").agg(F.count("*").alias("_n")).where(F.col("_n") > 2 * h + 1)
+    rows = d.join(at.select("_r", "_f", "_at"), ["_r", "_f"]).join(sizes, "_r")
+    own = F.floor(F.col("_at") / CELL)
+    cells = F.array_distinct(F.array(own, F.floor(F.greatest(F.col("_at") - h, F.lit(0)) / CELL), F.floor((F.col("_at") + h) / CELL)))
+    spread = rows.select("*", own.alias("_own"), F.explode(cells).alias("_cell"))
+    order = Window.partitionBy("_r", "_cell").orderBy("_at")
+    weighted = lambda k: F.zip_with(F.lead("_x", k).over(order), F.lag("_x", k).over(order), lambda a, b: k * (a - b))
+    total = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), [weighted(k) for k in range(1, h + 1)])
+    scale = 2 * sum(k * k for k in range(1, h + 1))
+    slopes = spread.select("_r", "_at", "_n", "_own", "_cell", F.transform(total, lambda x: x / scale).alias("slope"))
+    inner = (F.col("_cell") == F.col("_own")) & F.col("_at").between(h, F.col("_n") - h - 1)
+    edge = lambda c: F.when(c, h).otherwise(0)
+    repeats = 1 + edge(F.col("_at") == h) + edge(F.col("_at") == F.col("_n") - h - 1)
+    return slopes.where(inner).select(F.col("_r").alias(rec), "slope", repeats.alias("repeats"))
+
+
+def coefficient_functionals(frames: DataFrame, *, rec: str, frame: str, vector: str) -> DataFrame:
+    """(rec, n, mean, std, delta_std): per coefficient, over the frames of each recording."""
+    level = vector_functionals(frames, by=[rec], vector=vector)
+    slopes = frame_slopes(frames, rec=rec, frame=frame, vector=vector)
+    every = slopes.select(rec, F.explode(F.array_repeat("slope", F.col("repeats"))).alias("slope"))
+    spread = vector_functionals(every, by=[rec], vector="slope").select(rec, F.col("std").alias("delta_std"))
+    none = F.transform("mean", lambda _: F.lit(0.0))  # too short for a regression window
+    return level.join(spread, rec, "left").select(rec, "n", "mean", "std", F.coalesce("delta_std", none).alias("delta_std"))
+
+
 def pool_frames(frames: DataFrame, *, rec: str, vector: str, valid: str, pooling: str) -> DataFrame:
     """Pool valid frames: ``mean``, ``mean_std`` (concatenated) or parameter-free ``attention``.
 

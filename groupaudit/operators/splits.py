@@ -305,3 +305,27 @@ def shuffle_group_labels(groups: DataFrame, *, group: str, label: str, seed: int
     left = hash_rank(a, part=within, key="_h", out="_rn").drop("_h")
     right = hash_rank(b, part=within, key="_h", out="_rn").drop("_h", "_donor")
     return left.join(right, [*within, "_rn"]).drop("_rn")
+
+
+def time_blocks(groups: DataFrame, *, group: str, time: str, n_blocks: int, out: str = "block") -> DataFrame:
+    """Adds the contiguous block in time of every group, blocks of equal size up to one group."""
+    order = groups.withColumn("_t", F.col(time).cast("timestamp_ntz").cast("timestamp").cast("double")) if dict(groups.dtypes)[time] in ("date", "timestamp", "timestamp_ntz") else groups.withColumn("_t", F.col(time).cast("double"))
+    ranked = value_rank(order, value="_t", tie=group, out="_rn")
+    total = groups.agg(F.count("*")).scalar()
+    return ranked.withColumn(out, F.floor((F.col("_rn") - 1) * n_blocks / total).cast("int")).drop("_rn", "_t")
+
+
+SHUFFLES = ("hard", "within_group", "block")
+
+
+def shuffle_labels(
+    groups: DataFrame, *, group: str, label: str, mode: str, seed: int = 0, within: Sequence[str] = (), time: str | None = None, n_blocks: int = 5
+) -> DataFrame:
+    """(within or block, group, y_shuffled): labels permuted over all groups, inside strata, or inside blocks of time."""
+    if mode not in SHUFFLES:
+        raise ValueError(f"unknown shuffle mode {mode!r}")
+    if mode == "within_group" and not within or mode == "block" and time is None:
+        raise ValueError(f"mode {mode!r} lacks its {'strata' if mode == 'within_group' else 'time'}")
+    if mode == "block":
+        groups, within = time_blocks(groups, group=group, time=time, n_blocks=n_blocks), ["block"]
+    return shuffle_group_labels(groups, group=group, label=label, seed=seed, within=within if mode != "hard" else ())

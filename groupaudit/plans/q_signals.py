@@ -72,6 +72,24 @@ def w10(spark, d):
     return out.select("user_id", *[r(c) for c in ("mean", "std", "voiced_fraction", "mean_abs_flux", "rms", "delta_std", "p20", "p50", "p80")])
 
 
+_SLOPE = " + ".join(f"{k} * (lead(e, {k}) OVER w - lag(e, {k}) OVER w)" for k in range(1, 5))
+
+
+@query(
+    "w10_coefficient_functionals",
+    f"""WITH f AS (SELECT label AS rec, vec_id, unnest(embedding[1:13])::DOUBLE AS e, unnest(range(13)) AS dim FROM embeddings WHERE label IS NOT NULL),
+      s AS (SELECT rec, dim, e, row_number() OVER w AS i, count(*) OVER (PARTITION BY rec, dim) AS n, ({_SLOPE}) / 60 AS slope FROM f WINDOW w AS (PARTITION BY rec, dim ORDER BY vec_id)),
+      d AS (SELECT *, CASE WHEN i < 5 THEN max(slope) FILTER (i = 5) OVER p WHEN i > n - 4 THEN max(slope) FILTER (i = n - 4) OVER p ELSE slope END AS delta FROM s WINDOW p AS (PARTITION BY rec, dim))
+    SELECT rec, CAST(dim AS INTEGER) AS dim, count(*) AS n, round(avg(e), 6) AS mean, round(stddev_pop(e), 6) AS std, round(CASE WHEN count(*) > 9 THEN stddev_pop(delta) ELSE 0 END, 6) AS delta_std FROM d GROUP BY ALL""",
+)
+def w10_coefficients(spark, d):
+    f = fx.table(spark, d, "embeddings").where("label IS NOT NULL").select(F.col("label").alias("rec"), "vec_id", F.slice("embedding", 1, 13).alias("x"))
+    out = sg.coefficient_functionals(f, rec="rec", frame="vec_id", vector="x")
+    long = out.select("rec", "n", F.posexplode("mean").alias("dim", "mean"), "std", "delta_std")
+    at = lambda c: F.round(F.get(c, F.col("dim")), 6).alias(c)
+    return long.select("rec", "dim", "n", r("mean"), at("std"), at("delta_std"))
+
+
 @query(
     "w11_frame_pooling",
     f"""WITH {fx.FEATURES}, v AS (SELECT speaker_id, recording_id, x, sqrt(list_inner_product(x, x)) AS nrm FROM features WHERE recording_id % 7 <> 0),

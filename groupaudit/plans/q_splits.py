@@ -10,6 +10,7 @@ from groupaudit.operators import splits as sp
 from groupaudit.plans import fixtures as fx
 from groupaudit.plans.q_metrics import r
 from groupaudit.plans.registry import query
+from groupaudit.session import materialise
 
 GROUPS = f"""{fx.SESSIONS}, grp AS (SELECT speaker_id, count(*) AS n_units, CASE WHEN 2 * sum(y) > count(*) THEN 1 ELSE 0 END AS y,
     any_value(age) AS age, any_value(sex) AS sex FROM sessions GROUP BY 1)"""
@@ -184,6 +185,55 @@ def m25(spark, d):
     return sp.shuffle_group_labels(group_table(spark, d), group="speaker_id", label="y", seed=21, within=["sex"])
 
 
+def _moved_sql(mode: str, part: str) -> str:
+    over = f"PARTITION BY {part} " if part else ""
+    keys = f"({part}, rn)" if part else "(rn)"
+    return f"""SELECT '{mode}' AS mode, {part or 0} AS stratum, speaker_id, y, y_shuffled FROM
+      (SELECT *, row_number() OVER ({over}ORDER BY md5(concat_ws('|', 21, speaker_id))) AS rn FROM gb) JOIN
+      (SELECT {part + ', ' if part else ''}y AS y_shuffled, row_number() OVER ({over}ORDER BY md5(concat_ws('|', 22, speaker_id))) AS rn FROM gb) USING {keys}"""
+
+
+@query(
+    "m25_three_modes",
+    f"""WITH {GROUPS}, first AS (SELECT speaker_id, min(recorded) AS t FROM sessions GROUP BY 1),
+      gb AS (SELECT *, CASE WHEN sex = 'F' THEN 1 ELSE 0 END AS half, CAST(floor((row_number() OVER (ORDER BY t, md5(CAST(speaker_id AS VARCHAR)), speaker_id) - 1) * 4 / (SELECT count(*) FROM grp)) AS INTEGER) AS block
+             FROM grp JOIN first USING (speaker_id)),
+      m AS ({_moved_sql('hard', '')} UNION ALL {_moved_sql('within_group', 'half')} UNION ALL {_moved_sql('block', 'block')})
+    SELECT mode, CAST(stratum AS INTEGER) AS stratum, count(*) AS n_groups, CAST(sum(y) AS BIGINT) AS n_pos, CAST(sum(y_shuffled) AS BIGINT) AS n_pos_shuffled, count(*) FILTER (y <> y_shuffled) AS n_moved FROM m GROUP BY ALL""",
+)
+def m25_modes(spark, d):
+    """Labels move, and their number stays, in the whole table, in each half and in each block of time."""
+    g_ = group_table(spark, d).join(fx.sessions(spark, d).groupBy("speaker_id").agg(F.min("recorded").alias("t")), "speaker_id")
+    g_ = materialise(g_.withColumn("half", F.when(F.col("sex") == "F", 1).otherwise(0)))
+    out = None
+    for mode, key in (("hard", None), ("within_group", "half"), ("block", "block")):
+        moved = sp.shuffle_labels(g_, group="speaker_id", label="y", mode=mode, seed=21, within=["half"], time="t", n_blocks=4)
+        moved = moved.select("speaker_id", (F.col(key) if key else F.lit(0)).cast("int").alias("stratum"), "y_shuffled").join(g_.select("speaker_id", "y"), "speaker_id")
+        rows = moved.groupBy(F.lit(mode).alias("mode"), "stratum").agg(
+            F.count("*").alias("n_groups"), F.sum("y").cast("bigint").alias("n_pos"), F.sum("y_shuffled").cast("bigint").alias("n_pos_shuffled"),
+            F.count_if(F.col("y") != F.col("y_shuffled")).alias("n_moved"),
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(
+    "m25_chance_baseline",
+    f"""WITH {fx.SESSIONS}, c AS (SELECT site, status, count(*) AS n FROM sessions GROUP BY ALL), g AS (SELECT site, count(*) AS n_classes, max(n) / sum(n) AS top FROM c GROUP BY 1)
+    SELECT site, n_classes, metric, round(CASE metric WHEN 'auc' THEN 0.5 WHEN 'accuracy' THEN top WHEN 'uar' THEN 1.0::DOUBLE / n_classes ELSE 0 END, 9) AS chance
+    FROM g, (SELECT unnest(['auc', 'accuracy', 'uar', 'r2']) AS metric)""",
+)
+def m25_chance(spark, d):
+    """Three classes: the chance level of UAR is a third, that of accuracy the largest class."""
+    from groupaudit.operators.inference import chance_baseline
+
+    s, out = fx.sessions(spark, d), None
+    for metric in ("auc", "accuracy", "uar", "r2"):
+        rows = chance_baseline(s, label="status", metric=metric, by=["site"]).select("site", "n_classes", F.lit(metric).alias("metric"), r("chance", 9))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _match_sql(tol: int) -> str:
     """Rounds unrolled: number who is left inside each cell, join on the number, remove the matched."""
     ctes = [

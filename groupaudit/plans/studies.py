@@ -234,17 +234,23 @@ def overlap_sweep(units: DataFrame, *, unit: str, group: str, rhos, seed: int =
     )
 
 
-def shuffle_test(units: DataFrame, *, unit: str, group: str, repeats: int, n_folds: int, seed: int = 0, within=()) -> DataFrame:
+def shuffle_test(
+    units: DataFrame, *, unit: str, group: str, repeats: int, n_folds: int, seed: int = 0, within=(), mode: str | None = None,
+    time: str | None = None, n_blocks: int = 5, tolerance: float = 0.05,
+) -> DataFrame:
     """Real AUC against the AUC under permuted group labels, with a PASS / WEAK / FAIL verdict.
 
-    Design 0 keeps the labels, the others permute them; all share folds and scans.
+    Design 0 keeps the labels, the others permute them: over all groups, inside strata ``within``, or
+    inside blocks of ``time``.  All share folds and scans.
     """
+    mode = mode or ("within_group" if within else "hard")
     folds = materialise(sp.balanced_folds(units, group=group, n_folds=n_folds, repeats=1, seed=seed))
     sp.require_disjoint(folds, group=group)
-    people = materialise(units.groupBy(group, *within).agg(F.min("y").alias("y")))
+    first = [F.min(time).alias(time)] if time else []
+    people = materialise(units.groupBy(group, *within).agg(F.min("y").alias("y"), *first))
     labels = people.select(group, F.lit(0).alias("k"), "y")
     for s in range(repeats):
-        moved = sp.shuffle_group_labels(people, group=group, label="y", seed=seed + 10 * s, within=list(within))
+        moved = sp.shuffle_labels(people, group=group, label="y", mode=mode, seed=seed + 10 * s, within=list(within), time=time, n_blocks=n_blocks)
         labels = labels.unionByName(moved.select(group, F.lit(s + 1).alias("k"), F.col("y_shuffled").alias("y")))
     ys = labels.groupBy(group).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("k", "y"))), lambda v: v["y"]).alias("ys")
@@ -255,9 +261,10 @@ def shuffle_test(units: DataFrame, *, unit: str, group: str, repeats: int, n_fol
     auc = materialise(auc_per_repeat(mod.predict(data, fits, unit=unit, group=group)))
     real = auc.where("repeat = 0").select("auc").scalar()
     scores = auc.where("repeat > 0").select(
-        F.lit("within" if within else "hard").alias("mode"), real.alias("real"), F.col("auc").alias("shuffled")
+        F.lit(mode).alias("mode"), real.alias("real"), F.col("auc").alias("shuffled")
     )
-    return inf.shuffle_verdict(scores, by=["mode"])
+    chance = inf.chance_baseline(people, label="y", metric="auc").select("chance").scalar()
+    return inf.shuffle_verdict(scores, by=["mode"], chance=chance, tolerance=tolerance)
 
 
 ARMS = ("speaker", "pca_topk", "var_matched")
