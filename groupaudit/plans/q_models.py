@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from groupaudit.operators import heads as hd
 from groupaudit.operators import metrics as m
 from groupaudit.operators import models as mod
+from groupaudit.operators.battery import confound_battery, strongest
 from groupaudit.operators import scaling as sc
 from groupaudit.operators import splits as sp
 from groupaudit.operators import subspace as sub
@@ -90,6 +91,28 @@ def m06(spark, d):
     return auc.groupBy("head").agg(F.round(F.avg("auc"), 6).alias("auc_mean"), F.round(F.stddev_pop("auc"), 6).alias("auc_std"), F.count("auc").alias("n_repeats"))
 
 
+_BATTERY = """(VALUES ('age_only', 'OK', 1, TRUE), ('age_sex_only', 'OK', 2, TRUE), ('device_or_site_only', 'OK', 32, FALSE), ('duration_only', 'OK', 1, FALSE),
+  ('intensity_rms_only', 'NOT_APPLICABLE(column rms is absent)', 0, NULL), ('metadata_only', 'OK', 34, TRUE), ('sex_only', 'OK', 1, FALSE),
+  ('silence_only', 'NOT_APPLICABLE(column pauses holds no value)', 0, NULL), ('snr_only', 'NOT_APPLICABLE(column snr has one value)', 0, NULL)) AS t(member, status, n_features, found)"""
+
+
+@query(
+    "m06_pinned_battery",
+    f"SELECT member, status, n_features, CASE WHEN status = 'OK' THEN 8 ELSE 0 END::BIGINT AS n_repeats, found, 'age' AS bar FROM {_BATTERY}",
+)
+def m06_pinned(spark, d):
+    """An illness of the old is planted: probes that see the age find it, the others do not, three cannot run."""
+    noise = F.crc32(F.col("speaker_id").cast("string")) % 40
+    s = fx.sessions(spark, d).withColumn("y", (F.col("age") + noise > 70).cast("int"))
+    s = s.withColumn("pauses", F.array().cast("array<double>")).withColumn("snr", F.lit(20.0))
+    f = sp.stratified_folds(s, group="speaker_id", label="y", repeats=8, seed=7)
+    names = {"age": "age", "sex": "sex", "site": "site", "duration": "duration", "rms": "rms", "silence": "pauses", "snr": "snr"}
+    out = materialise(confound_battery(s, f, names, unit="session_id", group="speaker_id", label="y", n_folds=5, repeats=8))
+    bar = F.regexp_extract(strongest(out).select("member").scalar(), "^(age|metadata)", 1)
+    found = F.when(F.col("status") == "OK", F.col("auc_mean") > 0.8)
+    return out.select("member", "status", "n_features", "n_repeats", found.alias("found"), F.regexp_replace(bar, "metadata", "age").alias("bar"))
+
+
 _BASE = f"""{fx.SESSIONS}, b AS (SELECT *, CASE WHEN sex = 'F' THEN 1 ELSE 0 END AS female FROM sessions), per AS (SELECT speaker_id, count(*) AS n FROM b GROUP BY 1)"""
 
 

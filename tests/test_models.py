@@ -8,6 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from groupaudit.operators import heads as hd
+from groupaudit.operators.battery import MEMBERS, confound_battery, strongest
 from groupaudit.operators import metrics as m
 from groupaudit.operators import models as mod
 from groupaudit.operators import splits as sp
@@ -209,3 +210,21 @@ def test_identity_probe_finds_voices_and_chance(spark):
     assert gone < 0.35
     with pytest.raises(ValueError, match="fewer than two"):
         sub.identity_probe(df, unit="u", group="g", min_units=17)
+
+
+def test_battery_has_nine_rows_whatever_the_table_holds(units):
+    folds = materialise(sp.stratified_folds(units, group="g", label="y", n_folds=4))
+    args = dict(unit="u", group="g", label="y", n_folds=4, repeats=1)
+    nothing = {r["member"]: r for r in confound_battery(units, folds, {"age": "birth"}, **args).collect()}
+    assert sorted(nothing) == sorted(MEMBERS) and all(r["n_repeats"] == 0 and r["auc_mean"] is None for r in nothing.values())
+    assert nothing["age_sex_only"]["status"] == "NOT_APPLICABLE(column birth is absent; no column for sex)"
+    table = units.withColumn("age", F.get("x", F.lit(0))).withColumn("sex", F.when(F.col("u") % 3 == 0, "M").when(F.col("u") % 3 == 1, "f"))
+    table = table.withColumn("dev", F.lit("one")).withColumn("sil", F.slice("x", 2, 3)).withColumn("db", F.lit(float("nan")))
+    got = {r["member"]: r for r in confound_battery(table, folds, {"age": "age", "sex": "sex", "site": "dev", "silence": "sil", "snr": "db"}, **args).collect()}
+    assert {n for n, r in got.items() if r["status"] == "OK"} == {"age_only", "age_sex_only", "sex_only", "silence_only"}
+    assert got["device_or_site_only"]["status"] == "NOT_APPLICABLE(column dev has one value)"
+    assert got["snr_only"]["status"] == "NOT_APPLICABLE(column db holds no value)" and got["silence_only"]["n_features"] == 3
+    assert got["age_only"]["auc_mean"] > 0.8 > got["sex_only"]["auc_mean"]
+    assert strongest(confound_battery(table, folds, {"age": "age", "sex": "sex"}, **args)).first()["member"] in ("age_only", "age_sex_only")
+    with pytest.raises(ValueError, match="unknown battery input"):
+        confound_battery(table, folds, {"shoe": "u"}, **args)
