@@ -5,7 +5,8 @@ Each audit returns one row: check, status, n_violations, example, fingerprint.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from groupaudit.functions.hashing import hash_key, order_free_digest, short_sha256
 from groupaudit.functions.scalars import is_finite
-from groupaudit.operators.ranks import values_at_ranks
+from groupaudit.operators.ranks import running_before, values_at_ranks
 
 
 def verdict(violations: DataFrame, check: str, example: str | Column, fail: str = "FAIL") -> DataFrame:
@@ -103,8 +104,13 @@ def feature_consistency(
 ) -> DataFrame:
     """No missing, NaN or infinite value in any feature; scaler statistics equal the train statistics.
 
-    ``scaler`` holds ``feature, mean, std``.  Types agree by construction: all splits are one frame.
+    ``scaler`` holds ``feature, mean, std``.  Splits of one frame agree in names and types; for tables of
+    their own see ``split_schemas``.
     """
+    return verdict(_inconsistent(df, split, train, features, scaler, tol), "feature_consistency", "_e")
+
+
+def _inconsistent(df: DataFrame, split: str, train: str, features: Sequence[str], scaler: DataFrame | None, tol: float) -> DataFrame:
     entry = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]
     long = df.select(split, F.explode(F.array(*entry)).alias("_f")).select(split, "_f.feature", "_f.v")
     finite = is_finite(F.col("v"))
@@ -120,7 +126,37 @@ def feature_consistency(
         )
         off = scaler.join(stats, "feature", "left").where(F.col("_m").isNull() | drift)
         bad = bad.unionByName(off.select(F.concat(F.lit("scaler:"), "feature").alias("_e")))
-    return verdict(bad, "feature_consistency", "_e")
+    return bad
+
+
+def split_schemas(splits: Mapping[str, DataFrame], *, train: str, features: Sequence[str], scaler: DataFrame | None = None) -> DataFrame:
+    """``feature_consistency`` of splits that are tables of their own: same names, same types, clean values.
+
+    Every feature of the train table must be in every split under its name and type, and no split may
+    have columns the train table lacks.  Features that agree are then checked together.
+    """
+    if train not in splits:
+        raise ValueError(f"no split {train!r}")
+    base = dict(splits[train].dtypes)
+    found = [f"missing:{train}:{f}" for f in features if f not in base]
+    agreed = {f for f in features if f in base}
+    for name, table in splits.items():
+        own = dict(table.dtypes)
+        for f in features:
+            if f in base and f not in own:
+                found.append(f"missing:{name}:{f}")
+                agreed.discard(f)
+            elif f in base and own[f] != base[f]:
+                found.append(f"type:{name}:{f}:{own[f]}<>{base[f]}")
+                agreed.discard(f)
+        found += [f"extra:{name}:{c}" for c in own if c not in base]
+    spark, kept = splits[train].sparkSession, sorted(agreed)
+    bad = spark.createDataFrame([(x,) for x in found], "_e string")
+    if kept:
+        parts = [t.select(F.lit(n).alias("_split"), *kept) for n, t in splits.items()]
+        values = _inconsistent(reduce(DataFrame.unionByName, parts), "_split", train, kept, scaler, 1e-6)
+        bad = bad.unionByName(values)
+    return verdict(bad, "split_schemas", "_e")
 
 
 def temporal_order(df: DataFrame, *, split: str, ts: str, order: Sequence[str], gap_seconds: int = 0) -> DataFrame:
@@ -143,20 +179,34 @@ def wall_micros(ts: Column) -> Column:
 def lookback_mean(df: DataFrame, *, key: str, ts: str, value: str, unit: str, seconds: int) -> DataFrame:
     """Mean of ``value`` over [ts - seconds, ts) of the same key, strictly before ts.
 
-    Time is cut into windows of the lookback length and every row also visits the next
-    window, so one task sees two windows of one key, never a key's whole history.
+    It is the difference of two prefix sums of the key: those before ``ts`` and before its lookback.
+    Both moments are rows among the values, and prefixes run in buckets of time that hold equal numbers
+    of rows whatever the keys, so a key with all rows spreads.  Sums are decimals of twelve places, so
+    that a difference loses nothing to the length of the history.
     """
     span = seconds * 1_000_000
-    d = df.select(key, unit, value, wall_micros(F.col(ts)).alias("_t")).withColumn("_w", F.floor(F.col("_t") / span))
-    d = d.withColumn("_cell", F.explode(F.array(F.col("_w"), F.col("_w") + 1)))
-    frame = Window.partitionBy(key, "_cell").orderBy("_t").rangeBetween(-span, -1)
-    return d.withColumn("expected", F.avg(value).over(frame)).where("_cell = _w").select(key, unit, "expected")
+    d = df.select(F.col(key).alias("_k"), F.col(unit).alias("_u"), F.col(value).cast("double").alias("_v"), wall_micros(F.col(ts)).alias("_t"))
+    usable = F.col("_v").isNotNull()
+    number = F.when(usable, F.col("_v").cast("decimal(38,12)"))
+    # at one moment the questions (0, 1) stand before the values (2), which therefore do not count
+    rows = F.array(
+        F.struct(F.col("_t").alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("decimal(38,12)").alias("v"), F.lit(0).alias("n")),
+        F.struct((F.col("_t") - span).alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("decimal(38,12)").alias("v"), F.lit(0).alias("n")),
+        F.struct(F.col("_t").alias("t"), F.lit(2).alias("kind"), number.alias("v"), usable.cast("int").alias("n")),
+    )
+    long = d.select("_k", "_u", F.explode(rows).alias("_r")).select("_k", "_u", "_r.*")
+    long = long.withColumn("_tie", F.concat_ws("|", "kind", F.col("_u").cast("string")))
+    seen = running_before(long, part=["_k"], order="t", tie="_tie", sums={"_s": "v", "_c": "n"}).where("kind < 2")
+    pick = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    both = seen.groupBy("_k", "_u").agg(*[(pick(0, c) - pick(1, c)).alias(c) for c in ("_s", "_c")])
+    mean = F.when(F.col("_c") > 0, F.col("_s").cast("double") / F.col("_c"))
+    return both.select(F.col("_k").alias(key), F.col("_u").alias(unit), mean.alias("expected"))
 
 
 def no_lookahead(
     df: DataFrame, *, key: str, ts: str, value: str, unit: str, stored: str, seconds: int, tol: float = 1e-9
 ) -> DataFrame:
-    """A stored lag feature equals its re-derivation from strictly earlier rows."""
+    """A stored lag feature equals its re-derivation from strictly earlier rows; ``unit`` tells rows apart."""
     derived = lookback_mean(df, key=key, ts=ts, value=value, unit=unit, seconds=seconds)
     j = df.select(unit, stored).join(derived, unit)
     same = (F.col(stored).isNull() & F.col("expected").isNull()) | F.coalesce(

@@ -106,6 +106,20 @@ def d06(spark, d):
     return a.feature_consistency(s, split="split", train="train", features=["duration", "age"], scaler=leak)
 
 
+@query(
+    "d06_split_schemas",
+    f"WITH {SPLITS} " + verdict_sql("""SELECT unnest(['extra:test:note', 'missing:val:duration', 'type:test:age:string<>bigint']) AS e
+       UNION ALL SELECT 'nonfinite:site' FROM (SELECT count(*) AS n FROM sp WHERE split = 'val' AND session_id % 50 = 0) WHERE n > 0""", "split_schemas", "e"),
+)
+def d06_schemas(spark, d):
+    """Three tables: one lacks a feature, one has a type and a column of its own, one a hole."""
+    s = split_table(spark, d).select("session_id", "split", "age", "duration", "site")
+    own = {n: s.where(F.col("split") == n).drop("split") for n in ("train", "val", "test")}
+    own["val"] = own["val"].drop("duration").withColumn("site", F.when(F.col("session_id") % 50 != 0, F.col("site")))
+    own["test"] = own["test"].withColumn("age", F.col("age").cast("string")).withColumn("note", F.lit("x"))
+    return a.split_schemas(own, train="train", features=["age", "duration", "site"])
+
+
 @query(
     "d07_group_disjoint",
     f"WITH {SPLITS} " + verdict_sql("""SELECT CAST(speaker_id AS VARCHAR) AS e FROM sp GROUP BY speaker_id HAVING count(DISTINCT split) > 1

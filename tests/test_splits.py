@@ -157,6 +157,38 @@ def test_lookback_sees_only_earlier_rows(spark):
         assert np.isnan(got[r.u]) if w.empty else got[r.u] == pytest.approx(w.v.mean())
 
 
+def test_lookback_of_one_hot_key_is_exact_and_spreads(spark):
+    """One user with nearly all events, equal times and holes; no task of the prefix windows sees the whole key."""
+    rng = np.random.default_rng(6)
+    n = 4000
+    pdf = pd.DataFrame({"u": range(n), "k": np.where(np.arange(n) < 3900, "hot", "cold"), "v": rng.random(n) * 1e6})
+    pdf["sec"] = rng.integers(0, 3000, n)
+    pdf["ts"] = pd.Timestamp("2024-01-01") + pd.to_timedelta(pdf.sec, unit="s")
+    pdf.loc[::17, "v"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("v", F.when(~F.isnan("v"), F.col("v")))
+    out = au.lookback_mean(df, key="k", ts="ts", value="v", unit="u", seconds=60)
+    got = out.toPandas().set_index("u").expected
+    assert len(got) == n
+    for k, own in pdf.groupby("k"):
+        own = own.sort_values("sec")
+        good = own[own.v.notna()]
+        total = np.concatenate([[0.0], np.cumsum(good.v)])
+        hi, lo = (np.searchsorted(good.sec, own.sec - back, side="left") for back in (0, 60))
+        for u, a, b in zip(own.u, lo, hi):
+            assert np.isnan(got[u]) if a == b else got[u] == pytest.approx(good.v.to_numpy()[a:b].mean(), rel=1e-12)
+
+
+def test_split_tables_of_their_own(spark):
+    a = spark.createDataFrame([(1, 0.5, "x")], "i int, v double, z string")
+    b = spark.createDataFrame([(1, 0.5)], "i int, v double")
+    ok = au.split_schemas({"train": b, "val": b}, train="train", features=["i", "v"]).first()
+    assert ok["status"] == "PASS"
+    bad = au.split_schemas({"train": b, "val": a}, train="train", features=["i", "v", "w"]).first()
+    assert (bad["n_violations"], bad["example"]) == (2, "extra:val:z")
+    with pytest.raises(ValueError, match="no split"):
+        au.split_schemas({"val": a}, train="train", features=["i"])
+
+
 def test_stale_and_changed_splits_are_refused(units):
     s = units.withColumn("split", F.when(F.col("g") % 5 == 0, "test").otherwise("train"))
     fp = au.reproducibility(s, unit="u", split="split", features=["a"]).first()
