@@ -209,11 +209,15 @@ def b07(spark, d):
     return inf.holm(p_values(spark, d), family="c_nationkey", p="p", tie="c_custkey").withColumn("p_holm", r("p_holm", 9))
 
 
-@query("b08_bca_interval")
+@query("b08_bca_interval", f"SELECT TRUE AS brackets, TRUE AS near_percentiles, CAST({N_BOOT} AS BIGINT) AS n_boot")
 def b08(spark, d):
     s = fx.scores(spark, d)
     w = rs.cluster_weights(groups(spark, d), group="group_id", n_boot=N_BOOT, seed=1)
-    return rs.bca_interval(s, w, group="group_id", score="p", label="y")
+    bca = rs.bca_interval(s, w, group="group_id", score="p", label="y")
+    plain = rs.percentile_ci(rs.replicates(s, w, group="group_id", score="p", label="y")).first()
+    wide = plain["hi"] - plain["lo"]
+    near = (F.abs(F.col("lo") - plain["lo"]) < wide / 2) & (F.abs(F.col("hi") - plain["hi"]) < wide / 2)
+    return bca.select(F.col("theta").between(F.col("lo"), F.col("hi")).alias("brackets"), near.alias("near_percentiles"), "n_boot")
 
 
 def _loo_sql() -> str:

@@ -167,6 +167,30 @@ def matched_comparison(
     return plan.join(reports, "seed").join(auc, ["seed", "arm"], "left").withColumn("status", status)
 
 
+def matched_outcome(runs: DataFrame, *, contrasts, floor: float = 0.60) -> DataFrame:
+    """Verdict of matched comparisons per contrast (a, b) of arms, over the seeds in which both ran.
+
+    The matching worked if age alone stays below ``floor`` on average, which is checked and not taken
+    from the construction.  The delta is paired by seed; a wins if its interval lies above zero.  A
+    contrast with an arm that never ran is a row with the reason and no numbers.
+    """
+    spark = runs.sparkSession
+    pairs = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(contrasts)], "i int, a string, b string")
+    ran = runs.where("status = 'RUN'").select("seed", "arm", "auc")
+    side = lambda n: ran.select("seed", F.col("arm").alias(n), F.col("auc").alias(f"auc_{n}"))
+    both = materialise(pairs.join(side("a"), "a").join(side("b"), ["b", "seed"]).withColumn("delta", F.col("auc_a") - F.col("auc_b")))
+    ci = rs.bootstrap_mean(both, study="i", order="seed", value="delta").select(
+        "i", F.col("mean").alias("delta"), "lo", "hi", (F.col("lo") > 0).alias("a_wins"), F.col("n_repeats").alias("n_seeds")
+    )
+    means = both.groupBy("i").agg(F.avg("auc_a").alias("mean_auc_a"), F.avg("auc_b").alias("mean_auc_b"))
+    per_seed = runs.groupBy("seed").agg(F.max("n_pairs").alias("n_pairs"), F.max("age_gap").alias("age_gap"), F.max(F.when(F.col("arm") == "age_only", F.col("auc"))).alias("age_only"))
+    whole = per_seed.agg(F.avg("n_pairs").alias("mean_pairs"), F.avg("age_gap").alias("mean_age_gap"), F.avg("age_only").alias("mean_auc_age_only"))
+    out = pairs.join(means, "i", "left").join(ci, "i", "left").join(whole.hint("broadcast"), F.lit(True))  # one row
+    reason = F.when(F.col("delta").isNull(), F.concat(F.lit("SKIPPED: no seed ran "), "a", F.lit(" and "), "b")).otherwise("RUN")
+    worked = F.coalesce(F.col("mean_auc_age_only") < floor, F.lit(False))
+    return out.withColumns({"matching_worked": worked, "status": reason, "n_seeds": F.coalesce("n_seeds", F.lit(0).cast("long"))}).drop("i")
+
+
 def transfer(units: DataFrame, *, unit: str, group: str, corpus: str, n_folds: int = 3) -> DataFrame:
     """AUC and ECE within and across corpora, each direction fitted on one corpus and scored on the other."""
     names = [r[0] for r in units.select(corpus).distinct().orderBy(corpus).collect()]

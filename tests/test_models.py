@@ -228,3 +228,16 @@ def test_battery_has_nine_rows_whatever_the_table_holds(units):
     assert strongest(confound_battery(table, folds, {"age": "age", "sex": "sex"}, **args)).first()["member"] in ("age_only", "age_sex_only")
     with pytest.raises(ValueError, match="unknown battery input"):
         confound_battery(table, folds, {"shoe": "u"}, **args)
+
+
+def test_matched_outcome_pairs_seeds_and_checks_the_matching(spark):
+    rows = [(s, arm, auc + 0.01 * s, 40, 0.5, "RUN") for s in range(4) for arm, auc in (("age_only", 0.5), ("wide", 0.8), ("narrow", 0.7))]
+    rows += [(s, "short", None, 40, 0.5, "SKIPPED: rows without a partner") for s in range(4)]
+    runs = spark.createDataFrame(rows, "seed int, arm string, auc double, n_pairs long, age_gap double, status string")
+    got = {(r["a"], r["b"]): r for r in st.matched_outcome(runs, contrasts=[("wide", "narrow"), ("narrow", "wide"), ("wide", "short")]).collect()}
+    up, down, none = got["wide", "narrow"], got["narrow", "wide"], got["wide", "short"]
+    assert up["a_wins"] and not down["a_wins"] and up["delta"] == pytest.approx(0.1) and up["n_seeds"] == 4 and up["matching_worked"]
+    assert up["mean_auc_age_only"] == pytest.approx(0.515) and up["mean_pairs"] == 40
+    assert none["a_wins"] is None and none["n_seeds"] == 0 and none["status"].startswith("SKIPPED")
+    aged = runs.withColumn("auc", F.when(F.col("arm") == "age_only", 0.7).otherwise(F.col("auc")))
+    assert not st.matched_outcome(aged, contrasts=[("wide", "narrow")]).first()["matching_worked"]

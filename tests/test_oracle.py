@@ -6,9 +6,6 @@ from oracle import compare, connect
 import __spark_entry__ as entry_point
 from groupaudit.plans.catalog import QUERIES
 
-# long fits: covered by their own tests on smaller settings
-SLOW = {"m05_gbt_head", "m28_matched_comparison", "m27_shortcut_probe", "m25_shuffle_test", "m20_subspace_ablation"}
-
 
 @pytest.fixture(scope="module")
 def duck(sf):
@@ -21,9 +18,8 @@ def test_matches_sql(spark, sf, duck, name):
     assert compare(q.fn(spark, sf).toArrow(), duck.sql(q.sql).to_arrow_table()) == []
 
 
-@pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if not q.sql and n not in SLOW])
-def test_returns_rows(spark, sf, name):
-    assert QUERIES[name].fn(spark, sf).count() > 0
+def test_every_query_has_sql():
+    assert [n for n, q in QUERIES.items() if q.sql is None] == []
 
 
 def test_driver_contract(spark):
