@@ -18,6 +18,7 @@ HEADLINE = [
     "a21_subgroup_auc",
     "a22_confound_profile",
     "b02_cluster_bootstrap_auc",
+    "b02_continuous_score",
     "b04_paired_bootstrap_delta",
     "b08_jackknife_auc",
     "d01_index_disjoint",
