@@ -38,7 +38,7 @@ def absolute(path: str | Column, root: str) -> Column:
 SESSION_TASK_PATTERN = r"^(\d+)-(.+)$"
 MEMBER_GROUP_PATTERN = r"(?:^|/)(\d+)[-_]"
 
-NO_PREFIX = "filename has no numeric session prefix -> no speaker_id"
+NO_PREFIX = "no session number before the first hyphen of the name"
 
 
 def session_and_task(name: str | Column) -> tuple[Column, Column, Column]:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groupaudit.operators.metrics import ratio
+from groupaudit.operators.ranks import quantile_bounds, running_before
+from groupaudit.session import materialise
 
 
 def power_columns(n: Column, m: Column, alpha: float = 0.05) -> list[Column]:
@@ -25,17 +27,23 @@ def power_columns(n: Column, m: Column, alpha: float = 0.05) -> list[Column]:
 
 
 def holm(df: DataFrame, *, family: str, p: str, tie: str, alpha: float = 0.05) -> DataFrame:
-    """Step-down adjusted p per family (monotone, at most 1) and the rejection flag."""
-    order = Window.partitionBy(family).orderBy(p, tie)
-    whole = Window.partitionBy(family)
-    step = F.col(p) * (F.count("*").over(whole) - F.row_number().over(order) + 1)
-    d = df.withColumn("_step", step)
-    run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        d.withColumn("p_holm", F.least(F.lit(1.0), F.max("_step").over(run)))
-        .withColumn("reject", F.col("p_holm") <= alpha)
-        .drop("_step")
-    )
+    """Step-down adjusted p per family (monotone, at most 1) and the rejection flag.
+
+    Equal p values get equal results, whatever their order (``tie`` only names rows), so prefix counts and
+    maxima run over the distinct p values of a family, in buckets of p: a family with all tests spreads.
+    A missing p is no test: it does not count and stays missing.
+    """
+    pts = df.where(F.col(p).isNotNull()).groupBy(F.col(family).alias("_f"), F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
+    pts = materialise(pts)
+    bounds = quantile_bounds(pts, "_p")
+    sizes = pts.groupBy("_f").agg(F.sum("_n").alias("_m"))
+    before = running_before(pts, part=["_f"], order="_p", tie="_p", sums={"_before": "_n"}, bounds=bounds)
+    steps = before.join(sizes.withColumnRenamed("_f", "_g"), F.col("_f").eqNullSafe(F.col("_g"))).drop("_g")
+    steps = steps.withColumn("_step", F.col("_p") * (F.col("_m") - F.col("_before")))
+    top = running_before(steps, part=["_f"], order="_p", tie="_p", maxs={"_top": "_step"}, bounds=bounds)
+    adjusted = top.select("_f", "_p", F.least(F.lit(1.0), F.greatest("_step", "_top")).alias("p_holm"))
+    out = df.join(adjusted, F.col(family).eqNullSafe(F.col("_f")) & (F.col(p) == F.col("_p")), "left").drop("_f", "_p")
+    return out.withColumn("reject", F.col("p_holm") <= alpha)
 
 
 # Two-sided 95 % Student t quantiles for 1 to 30 degrees of freedom.

@@ -344,7 +344,7 @@ _INGEST = """v AS (SELECT vec_id, label, 1000 + vec_id AS session, CASE WHEN vec
     "s12_ingest_to_manifest",
     f"""WITH {_INGEST} SELECT name, 'syn_' || speaker AS speaker_id, CASE WHEN healthy THEN 'healthy' WHEN NOT healthy THEN 'pathological' END AS label,
       CASE WHEN w THEN 'F' WHEN NOT w THEN 'M' ELSE '' END AS sex, CASE WHEN m.session IS NOT NULL THEN 40 END::INTEGER AS age,
-      CASE WHEN vec_id % 17 = 0 THEN 'filename has no numeric session prefix -> no speaker_id' WHEN m.session IS NULL THEN 'absent from metadata -> no speaker_id'
+      CASE WHEN vec_id % 17 = 0 THEN 'no session number before the first hyphen of the name' WHEN m.session IS NULL THEN 'absent from metadata -> no speaker_id'
            WHEN speaker IS NULL THEN 'null speaker_id' WHEN vec_id % 10 = 1 THEN 'too short (0.008s)' WHEN vec_id % 10 = 2 THEN 'digital silence'
            WHEN vec_id % 10 = 3 THEN 'not a RIFF/WAVE file' WHEN vec_id % 2 = 1 THEN 'too short (0.051s)' END AS reason
     FROM v LEFT JOIN m ON v.session = m.session AND vec_id % 17 <> 0""",

@@ -189,6 +189,19 @@ def test_holm_is_monotone_and_matches_hand_computation(spark):
     assert list(got.reject) == [True, True, False, False]
 
 
+def test_holm_of_one_large_family_with_ties_and_holes(spark):
+    rng = np.random.default_rng(1)
+    p = np.where(rng.random(3000) < 0.3, 0.01, rng.random(3000) ** 4)
+    pdf = pd.DataFrame({"f": ["one"] * 2990 + [None] * 10, "i": range(3000), "p": p})
+    df = spark.createDataFrame(pdf).union(spark.createDataFrame([("one", 9999, None)], "f string, i long, p double"))
+    got = inf.holm(df, family="f", p="p", tie="i").toPandas().set_index("i")
+    assert len(got) == 3001 and np.isnan(got.p_holm[9999])
+    for f, own in pdf.groupby("f", dropna=False):
+        order = own.sort_values("p")
+        want = np.minimum(1, np.maximum.accumulate(order.p.to_numpy() * (len(own) - np.arange(len(own)))))
+        assert got.p_holm[order.i].to_numpy() == pytest.approx(want, rel=1e-12)
+
+
 def test_wins_and_mean_delta_golden(spark):
     rng = np.random.default_rng(0)
     a = rng.random(10)
