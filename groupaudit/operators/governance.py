@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groupaudit.operators.ranks import bucket_of, quantile_bounds, running_before, value_rank
+from groupaudit.operators.ranks import running_before, value_rank
+from groupaudit.session import materialise
 
 # Pinned weights and thresholds of the composite.
 LAMBDAS = {"disc": 1.0, "cal": 0.5, "sub": 0.75, "xc": 0.6, "leak": 1.0, "ctrl": 3.0}
@@ -52,70 +53,93 @@ def _present(*cols: str) -> Column:
 # --- Pareto frontier -------------------------------------------------------------
 
 
-def _local_frontier(axes: Sequence[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Drops rows dominated inside one Arrow batch, strongest rows first."""
-        for pdf in batches:
-            x = pdf[list(axes)].to_numpy(float)
-            order = np.argsort(-x.sum(axis=1), kind="stable")
-            kept: list[int] = []
-            for i in order:
-                k = x[kept]
-                if not len(kept) or not np.any(np.all(k >= x[i], axis=1) & np.any(k > x[i], axis=1)):
-                    kept.append(i)
-            yield pdf.iloc[sorted(kept)]
+BLOCK_ROWS, FAN, STRONG_ROWS = 8192, 8, 512  # rows compared at once, blocks merged at once, rows every task knows
 
-    return run
 
+def _dominated(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Which rows of x some row of ``by`` reaches on every axis and passes on one."""
+    out = np.zeros(len(x), bool)
+    for lo in range(0, len(x), 256):
+        part = x[lo : lo + 256]
+        reaches, passes = np.ones((len(part), len(by)), bool), np.zeros((len(part), len(by)), bool)
+        for a in range(x.shape[1]):
+            reaches &= by[None, :, a] >= part[:, None, a]
+            passes |= by[None, :, a] > part[:, None, a]
+        out[lo : lo + 256] = (reaches & passes).any(axis=1)
+    return out
 
-def pareto_frontier(df: DataFrame, *, key: str, axes: Sequence[str], n_buckets: int = 4) -> DataFrame:
-    """Rows no other row dominates (all axes larger-is-better); rows with a NULL axis are excluded.
 
-    1. every Arrow batch drops what it can by itself;
-    2. survivors fall into a grid of quantile cells; a cell with a non-empty cell strictly above
-       it on every axis is dominated whole and drops out;
-    3. the rest meets only rows of cells at or above its own cell, by an equi-join on the cell.
-    """
-    axes = list(axes)
-    complete = df.where(_present(*axes)).select(key, *[F.col(a).cast("double").alias(a) for a in axes])
-    local = complete.mapInPandas(_local_frontier(axes), complete.schema)
-    cells = [f"_c{i}" for i in range(len(axes))]
-    d = local
-    for a, c in zip(axes, cells):
-        d = d.withColumn(c, bucket_of(F.col(a), quantile_bounds(complete, a, n_buckets)))
-    used = d.select(*cells).distinct()
-    up = used.select(*[F.col(c).alias(f"{c}_u") for c in cells])
-    # the grid has at most n_buckets ** axes cells: compare cells, not rows
-    strictly = _and(*[F.col(f"{c}_u") > F.col(c) for c in cells])
-    alive = used.join(F.broadcast(up), strictly, "left_anti")
-    reach = alive.join(F.broadcast(up), _and(*[F.col(f"{c}_u") >= F.col(c) for c in cells]))
-    d = d.join(F.broadcast(alive), cells)
-    rivals = (
-        d.select(*[F.col(c).alias(f"{c}_u") for c in cells], *[F.col(a).alias(f"{a}_u") for a in axes])
-        .distinct()
-        .join(F.broadcast(reach), [f"{c}_u" for c in cells])
-        .select(*[F.col(c).alias(f"{c}_r") for c in cells], *[f"{a}_u" for a in axes])
-    )
-    beaten = _and(
-        *[F.col(c) == F.col(f"{c}_r") for c in cells],
-        *[F.col(f"{a}_u") >= F.col(a) for a in axes],
-        _or(*[F.col(f"{a}_u") > F.col(a) for a in axes]),
+def _skyline(x: np.ndarray) -> np.ndarray:
+    """Positions of the rows of x that no other row of x dominates."""
+    order = np.lexsort(x.T[::-1])[::-1]  # whoever dominates a row stands before it
+    kept = order[:0]
+    for lo in range(0, len(order), 256):
+        part = order[lo : lo + 256]
+        part = part[~_dominated(x[part], x[kept])]
+        kept = np.concatenate([kept, part[~_dominated(x[part], x[part])]])
+    return kept
+
+
+def _beaten_in_blocks(rows: DataFrame, axes: list[str], blocks: int, fan: int, salt: int) -> DataFrame:
+    """Rows beaten inside groups of ``fan`` blocks; blocks of a group meet pairwise, two in a task."""
+    own = F.pmod(F.xxhash64(F.lit(salt), *axes), F.lit(blocks)).cast("int")
+    first = F.col("own") - F.col("own") % fan
+    meet = (
+        rows.withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(first, F.least(first + (fan - 1), F.lit(blocks - 1)))))
+        .select(*axes, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     )
-    return d.join(rivals, beaten, "left_anti").select(key, *axes)
 
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, left = pdf[axes].to_numpy(float), (pdf["own"] == pdf["i"]).to_numpy()
+        if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
+            beaten = np.setdiff1d(np.arange(len(x)), _skyline(x))
+        else:
+            a, b = np.flatnonzero(left), np.flatnonzero(~left)
+            beaten = np.concatenate([a[_dominated(x[a], x[b])], b[_dominated(x[b], x[a])]])
+        return pd.DataFrame(x[beaten], columns=axes)
 
-def _and(*conds: Column) -> Column:
-    out = conds[0]
-    for c in conds[1:]:
-        out = out & c
-    return out
+    return meet.groupBy("i", "j").applyInPandas(compare, rows.schema).distinct()
 
 
-def _or(*conds: Column) -> Column:
-    out = conds[0]
-    for c in conds[1:]:
-        out = out | c
-    return out
+def pareto_frontier(df: DataFrame, *, key: str, axes: Sequence[str], block: int = BLOCK_ROWS, fan: int = FAN) -> DataFrame:
+    """Rows no other row dominates (all axes larger-is-better); rows with a NULL axis are excluded.
+
+    1. every Arrow batch drops what its own rows and a fixed number of strong rows dominate;
+    2. equal rows become one, however many there are;
+    3. survivors are merged in a tree: blocks of a group meet pairwise and shrink, until a round takes
+       away less than half;
+    4. in a last round all blocks that are left meet pairwise, which makes the result exact.
+
+    No task holds more than two blocks.  NaN counts as infinity.
+    """
+    number = lambda a: F.when(F.isnan(a), F.lit(float("inf"))).otherwise(F.col(a)) + F.lit(0.0)
+    complete = df.where(_present(*axes)).select(key, *[F.col(a).cast("double").alias(a) for a in axes])
+    xs = [f"x{i}" for i in range(len(axes))]
+    points = complete.select(*[number(a).alias(x) for a, x in zip(axes, xs)])
+    ends = points.agg(*[f(x).alias(f"{n}_{x}") for x in xs for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    share = [(F.col(x) - ends[f"lo_{x}"]) / (ends[f"hi_{x}"] - ends[f"lo_{x}"]) for x in xs if ends[f"lo_{x}"] != ends[f"hi_{x}"]]
+    best = points.orderBy(sum(share, F.lit(0.0)).desc()).limit(STRONG_ROWS)
+    strong = np.array(best.collect(), float).reshape(-1, len(xs))
+
+    def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = pdf.to_numpy(float)
+            x = x[~_dominated(x, strong)]
+            yield pd.DataFrame(x[_skyline(x)], columns=xs)
+
+    left = materialise(points.mapInPandas(prune, points.schema).distinct())
+    n, salt, shrinking = left.count(), 0, True
+    while n:
+        blocks = -(-n // block)
+        last = blocks <= fan or not shrinking
+        beaten = _beaten_in_blocks(left, xs, blocks, blocks if last else fan, salt)
+        left = materialise(left.join(beaten, xs, "left_anti"))
+        if last:
+            break
+        before, n, salt = n, left.count(), salt + 1
+        shrinking = n < before / 2
+    return complete.join(left, [number(a) == F.col(x) for a, x in zip(axes, xs)], "left_semi")
 
 
 # --- gates and verdicts ------------------------------------------------------------

@@ -155,6 +155,24 @@ def s05(spark, d):
     return inv.withColumn("failed", F.col("reason").isNotNull()).drop("reason")
 
 
+@query(
+    "s05_archive_files",
+    """WITH t AS (SELECT 'b' || CAST(floor(doc_id / 50) AS BIGINT) || '.zip' AS archive, doc_id, lang, coalesce(text, '') AS text FROM documents)
+    SELECT archive, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes, count(*) AS n_members, count(*) FILTER (doc_id % 3 <> 0) AS n_media,
+           count(DISTINCT doc_id) AS n_groups, false AS has_overview, NULL::VARCHAR AS reason FROM t GROUP BY archive""",
+)
+def s05_files(spark, d):
+    docs = fx.table(spark, d, "documents")
+    path = scratch_path(spark, "archives")
+    members = docs.select(
+        F.concat(F.lit("b"), F.floor(F.col("doc_id") / 50).cast("string"), F.lit(".zip")).alias("archive"),
+        F.concat("doc_id", F.lit("-"), "lang", F.lit("/a."), F.when(F.col("doc_id") % 3 != 0, "wav").otherwise("txt")).alias("member"),
+        F.coalesce("text", F.lit("")).cast("binary").alias("content"),
+    )
+    tables.write_archives(members, path).agg(F.sum("n_members")).collect()
+    return tables.archive_inventory(tables.archive_members(tables.read_archives(spark, path)), ["wav", "nsp"])
+
+
 @query(
     "s06_integrity",
     """SELECT 'p' || page_id AS name, CASE WHEN page_id % 10 = 9 THEN 'unexpected' WHEN page_id % 10 = 0 THEN 'missing' WHEN page_id % 10 = 1 THEN 'wrong_size'

@@ -8,12 +8,14 @@ import zipfile
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groupaudit.functions.arrays import all_finite
 from groupaudit.functions.hashing import canonical_json, order_free_digest, short_sha256
 from groupaudit.functions.scalars import MEMBER_GROUP_PATTERN
+from groupaudit.sources.ranged import first_line, opened, write_whole
 
 
 # --- CSV with changing columns and delimiters ---------------------------------
@@ -22,23 +24,25 @@ from groupaudit.functions.scalars import MEMBER_GROUP_PATTERN
 FILE_STEM = r"([^/]*?)(?:\.[^./]*)?$"
 
 
+def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"path": pdf["path"], "header": pdf["path"].map(first_line)})
+
+
 def read_csv_union(
     spark: SparkSession, paths: Sequence[str], delimiters: Sequence[str] = (";", ","), archive: str = FILE_STEM
 ) -> DataFrame:
     """Many CSV files with their own columns and delimiter, unioned by name.
 
+    Of every file only the first block is read to know its header.
     The header line decides the delimiter (the one that occurs most); files that share a
     header are read by one scan.  Names and values are trimmed; ``_archive`` is cut from the path.
     """
-    lines = spark.read.text(list(paths), wholetext=False).select(
-        F.regexp_replace("value", "^﻿", "").alias("line"), F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("i"),
-    )
-    heads = lines.where("start = 0").groupBy("file").agg(F.min_by("line", "i").alias("header"))
+    files = spark.read.format("binaryFile").load(list(paths)).select("path")
     groups: dict[tuple[str, str], list[str]] = {}
-    for row in heads.toLocalIterator():  # one row per file, headers only
+    for row in files.mapInPandas(_headers, "path string, header string").where("header <> ''").toLocalIterator():  # headers only
         sep = max(delimiters, key=row["header"].count)
-        groups.setdefault((sep, row["header"]), []).append(row["file"])
+        groups.setdefault((sep, row["header"]), []).append(row["path"])
     out = None
     for (sep, _), files in sorted(groups.items()):
         raw = spark.read.option("header", True).option("sep", sep).option("encoding", "UTF-8").csv(files)
@@ -59,29 +63,54 @@ def _list_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     group = re.compile(MEMBER_GROUP_PATTERN)
     for pdf in batches:
         rows = []
-        for name, content in zip(pdf["archive"], pdf["content"]):
+        inputs = zip(pdf["archive"], pdf["content"].map(io.BytesIO) if "content" in pdf else pdf["path"].map(opened))
+        for name, file in inputs:
             try:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                with file, zipfile.ZipFile(file) as z:  # reads the directory at the end, no member
                     for info in z.infolist():
                         if info.is_dir():
                             continue
-                        file = info.filename.rsplit("/", 1)[-1]
-                        ext = file.rsplit(".", 1)[-1].lower() if "." in file else ""
+                        last = info.filename.rsplit("/", 1)[-1]
+                        ext = last.rsplit(".", 1)[-1].lower() if "." in last else ""
                         hit = group.search(info.filename)
                         rows.append((name, info.filename, ext, hit and hit.group(1), info.file_size, None))
-            except zipfile.BadZipFile as e:
+            except (zipfile.BadZipFile, pa.ArrowInvalid) as e:  # the latter for a file shorter than a directory's end
                 rows.append((name, None, None, None, None, f"unreadable archive: {e}"))
         yield pd.DataFrame(rows, columns=["archive", "member", "extension", "group_key", "n_bytes", "reason"])
 
 
 def archive_members(archives: DataFrame) -> DataFrame:
-    """One row per member of each archive (columns ``archive``, ``content``), unreadable ones with a reason."""
-    return archives.select("archive", "content").mapInPandas(_list_members, MEMBERS)
+    """One row per member of each archive, unreadable ones with a reason.
+
+    ``archives`` has ``archive`` and either ``path``, of which tasks read the end only, or ``content``.
+    """
+    source = "path" if "path" in archives.columns else "content"
+    return archives.select("archive", source).mapInPandas(_list_members, MEMBERS)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, path) of the archives below a path; the files themselves are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path)
-    return files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("archive"), "content")
+    return files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("archive"), "path")
+
+
+def write_archives(members: DataFrame, path: str) -> DataFrame:
+    """Pack (archive, member, content) into one file of each archive below a path; returns (archive, n_members).
+
+    Members stand in order of their names.  A task holds one archive; a file appears under its name only when it
+    is whole, so that a task can be run again.  The result must be consumed once.
+    """
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        name = pdf["archive"].iloc[0]
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+            for member, content in sorted(zip(pdf["member"], pdf["content"])):
+                z.writestr(zipfile.ZipInfo(member), content)
+        write_whole(f"{path}/{name}", buf.getvalue())
+        return pd.DataFrame({"archive": [name], "n_members": [len(pdf)]})
+
+    return members.select("archive", "member", "content").groupBy("archive").applyInPandas(pack, "archive string, n_members long")
 
 
 def archive_inventory(members: DataFrame, media: Sequence[str]) -> DataFrame:

@@ -61,6 +61,32 @@ def test_pareto_against_brute_force(spark):
     assert got == want
 
 
+def frontier_of(x):
+    return {i for i in range(len(x)) if not ((x >= x[i]).all(1) & (x > x[i]).any(1)).any()}
+
+
+@pytest.mark.parametrize("block,fan", [(64, 2), (64, 8), (8192, 8)])
+def test_pareto_of_seven_opposed_axes(spark, block, fan):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 7))
+    x -= x.mean(axis=1, keepdims=True) * rng.choice([0.7, 1.0], (1500, 1))  # what one axis gains the others lose
+    x[::5, 0], x[1::5, 1] = np.inf, -np.inf
+    axes = list("abcdefg")
+    df = spark.createDataFrame(pd.DataFrame(x, columns=axes).assign(k=range(1500))).repartition(5)
+    out = gov.pareto_frontier(df, key="k", axes=axes, block=block, fan=fan)
+    want = frontier_of(x)
+    assert len(want) > 600 and {r["k"] for r in out.collect()} == want
+    assert "NestedLoop" not in out._jdf.queryExecution().toString()
+
+
+def test_pareto_keeps_every_copy_and_takes_odd_numbers(spark):
+    nan = float("nan")
+    rows = [(i, 1.0, 2.0) for i in range(2000)] + [(3000, 0.0, 3.0), (3001, -0.0, 3.0), (3002, 1.0, 1.0), (3003, nan, -9.0), (3004, None, 99.0)]
+    df = spark.createDataFrame(rows, "k long, a double, b double")
+    assert {r["k"] for r in gov.pareto_frontier(df, key="k", axes=["a", "b"]).collect()} == {*range(2000), 3000, 3001, 3003}
+    assert gov.pareto_frontier(df.where("false"), key="k", axes=["a", "b"]).count() == 0
+
+
 def test_promotion_gate_rules(spark):
     rows = [
         ("tie", 1, 0.5, 1.0, True, None), ("win", 1, 0.6, 1.0, True, None), ("side", 1, 0.6, 0.1, True, None),

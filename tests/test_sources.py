@@ -5,6 +5,7 @@ import struct
 import zipfile
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +146,59 @@ def test_incremental_run_picks_up_only_new_files(spark, tmp_path):
     assert out.count() == 15 and out.select("id").distinct().count() == 15
     assert incremental.remaining(spark.range(20), out, "id").count() == 5
     assert out.agg(F.max("id")).first()[0] == 14
+
+
+def test_archive_larger_than_two_gigabytes_is_listed_from_its_end(spark, tmp_path, monkeypatch):
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w") as z:
+        z.writestr("12-de/a b.wav", b"x" * 70)
+        z.writestr("overview.csv", b"y")
+    big = tmp_path / "big one.zip"
+    with big.open("wb") as f:
+        f.seek(3 << 30)  # a hole in front; the directory is found from the end
+        f.write(content.getvalue())
+    (tmp_path / "bad.zip").write_bytes(b"no archive")
+    files = tables.read_archives(spark, str(tmp_path))
+    got = {r["archive"]: r for r in tables.archive_inventory(tables.archive_members(files), ["wav"]).collect()}
+    assert (got["big one.zip"]["n_bytes"], got["big one.zip"]["n_members"], got["big one.zip"]["n_groups"]) == (71, 2, 1)
+    assert got["big one.zip"]["has_overview"] and got["bad.zip"]["reason"].startswith("unreadable")
+
+    read = []
+
+    class Counted(io.FileIO):
+        def readinto(self, b):
+            read.append(super().readinto(b))
+            return read[-1]
+
+        def readall(self):
+            return self.read(1 << 62)
+
+        def read(self, n=-1):
+            data = super().read(min(n, 1 << 20) if n >= 0 else 1 << 20)
+            read.append(len(data))
+            return data
+
+    monkeypatch.setattr(tables, "opened", lambda p: Counted(p))
+    listed = list(tables._list_members(iter([pd.DataFrame({"archive": ["big"], "path": [str(big)]})])))[0]
+    assert len(listed) == 2 and sum(read) < 200_000
+
+
+def test_written_archives_hold_their_members(spark, tmp_path):
+    rows = [("a.zip", "7-x/1.wav", b"one"), ("a.zip", "8-x/2.wav", b""), ("b.zip", "n.txt", b"three")]
+    df = spark.createDataFrame(rows, "archive string, member string, content binary")
+    assert sorted(map(tuple, tables.write_archives(df, f"file:{tmp_path}").collect())) == [("a.zip", 2), ("b.zip", 1)]
+    with zipfile.ZipFile(tmp_path / "a.zip") as z:
+        assert {n: z.read(n) for n in z.namelist()} == {"7-x/1.wav": b"one", "8-x/2.wav": b""}
+    assert not list(tmp_path.glob("_*"))
+
+
+def test_headers_are_read_from_the_first_block(tmp_path):
+    import gzip
+
+    from groupaudit.sources.ranged import first_line
+
+    (tmp_path / "a b%20.csv").write_bytes(b"\xef\xbb\xbfid;" + b"n" * 200_000 + b"\r\n1;2\n")
+    (tmp_path / "c.csv.gz").write_bytes(gzip.compress(b"x,y\n1,2\n"))
+    (tmp_path / "d.csv").write_bytes(b"")
+    assert first_line(f"file:{tmp_path}/a b%20.csv") == "id;" + "n" * 200_000
+    assert first_line(str(tmp_path / "c.csv.gz")) == "x,y" and first_line(f"file://{tmp_path}/d.csv") == ""
