@@ -25,42 +25,57 @@ from pyspark.sql import functions as F
 
 from groupaudit.llm.common import apart, small_batches, stored
 from groupaudit.llm.components import connected_components
+from groupaudit.llm.shingle_links import similar_links, sketch
 
 HASH_SEED = 42
 LEAF_ROWS, BLOCK_ROWS = 2048, 8192  # fingerprints a leaf is planned for, and compared at once
 DEPTH_LIMIT = 26  # leaves of a tree stay far below 2 ** 32 halves
 
 
-def text_fingerprint(text: str | None, words: int = 3) -> int:
-    """64 bits as a signed long: a bit is 1 if set in over half of the shingles' hashes."""
+def shingle_hashes(text: str | None, words: int) -> list[int]:
+    """XXH64 of every run of ``words`` words, repeats included; of the whole sequence if it is shorter."""
     norm = b" ".join((text or "").encode("utf-8").lower().split())  # both on ASCII only
     if not norm:
-        return 0
+        return []
     space = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
     starts, ends = [0, *(space + 1).tolist()], [*space.tolist(), len(norm)]
-    n = max(1, len(starts) - words + 1)
     digest = xxhash.xxh64_intdigest
     if len(starts) <= words:
-        hashes = [digest(norm, HASH_SEED)]
-    else:
-        hashes = [digest(norm[a:b], HASH_SEED) for a, b in zip(starts, ends[words - 1 :])]
+        return [digest(norm, HASH_SEED)]
+    return [digest(norm[a:b], HASH_SEED) for a, b in zip(starts, ends[words - 1 :])]
+
+
+def distinct_hashes(text: str | None, words: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64))
+
+
+def text_fingerprint(text: str | None, words: int = 3) -> int:
+    """64 bits as a signed long: a bit is 1 if set in over half of the shingles' hashes."""
+    hashes = shingle_hashes(text, words)
+    if not hashes:
+        return 0
     votes = np.zeros(64, dtype=np.int64)
-    for lo in range(0, n, 4096):
+    for lo in range(0, len(hashes), 4096):
         h = np.array(hashes[lo : lo + 4096], dtype=">u8").view(np.uint8).reshape(-1, 8)
         votes += np.unpackbits(h, axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > n).view(">i8")[0])
+    return int(np.packbits(2 * votes > len(hashes)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, *, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) per row; no shuffle."""
+def fingerprints(docs: DataFrame, *, words: int = 3, similar_words: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp) per row, and with ``similar_words`` the size n and sketch of its set of such shingles; no shuffle."""
     small_batches(docs.sparkSession)
+    more = ", n int, sketch array<long>" if similar_words else ""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": np.array([text_fingerprint(t, words) for t in pdf["text"]], np.int64)})
+            out = pd.DataFrame({"doc_id": pdf["doc_id"], "fp": np.array([text_fingerprint(t, words) for t in pdf["text"]], np.int64)})
+            if similar_words:
+                sets = [distinct_hashes(t, similar_words) for t in pdf["text"]]
+                out["n"], out["sketch"] = np.array([len(h) for h in sets], np.int32), [sketch(h) for h in sets]
+            yield out
 
     rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(work, "doc_id string, fp long").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return rows.mapInPandas(work, "doc_id string, fp long" + more).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def fingerprint_column(text: Column, words: int = 3) -> Column:
@@ -185,22 +200,41 @@ def near_links(nodes: DataFrame, *, distance: int = 3, leaf: int = LEAF_ROWS, bl
 
 
 def simhash_components(
-    docs: DataFrame, *, words: int = 3, distance: int = 3, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    *,
+    words: int = 3,
+    distance: int = 3,
+    similar_words: int = 0,
+    similarity: float = 0.8,
+    doc_id: str = "doc_id",
+    text: str = "text",
 ) -> DataFrame:
     """One row (doc_id, fingerprint, component_id, group) per input row.
 
+    With ``similar_words`` documents are also linked if their sets of shingles of so many words have a
+    similarity of at least ``similarity`` (see ``shingle_links``).
+
     ``component_id`` is the smallest doc_id reachable over links, ``group`` names the component
     itself (its smallest fingerprint).  Null and wordless texts have fingerprint zero and are linked
     like any other.  Rows without an id take part but never give a component its id: a component of
     such rows only has component_id null.  Rows that repeat an id are documents of their own.  Other
     columns are ignored; an empty table gives no row.
     """
-    fps = stored(fingerprints(docs, words=words, doc_id=doc_id, text=text), "fingerprints")
-    nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
+    fps = stored(fingerprints(docs, words=words, similar_words=similar_words, doc_id=doc_id, text=text), "fingerprints")
+    shape = [F.min_by(c, "doc_id").alias(c) for c in ("n", "sketch") if similar_words]
+    nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *shape), "nodes")
     roots = stored(connected_components(near_links(nodes, distance=distance)), "roots")
     placed = nodes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("group")
+        *nodes.columns, F.coalesce("root", "fp").alias("group")
     )
+    if similar_words:
+        placed = stored(placed, "placed")
+        links = similar_links(
+            docs, placed, similarity=similarity, hashes_of=lambda t: distinct_hashes(t, similar_words),
+            fingerprint_of=lambda t: text_fingerprint(t, words), doc_id=doc_id, text=text,
+        )
+        joined = stored(connected_components(links), "roots").select(F.col("node").alias("group"), "root")
+        placed = placed.join(joined, "group", "left").select("fp", "first_id", F.coalesce("root", "group").alias("group"))
     ids = placed.groupBy("group").agg(F.min("first_id").alias("component_id"))
     by_fp = placed.join(ids, "group").select("fp", "group", "component_id")
     return fps.join(by_fp, "fp").select(
@@ -208,7 +242,7 @@ def simhash_components(
     )
 
 
-def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 3, **options: float) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id.
 
     Of rows that repeat that id, or where no row of a component has an id, the one with the smallest
@@ -216,7 +250,7 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **o
     and an empty table stays empty.
     """
     names, own = docs.columns, apart("_id", docs.columns)
-    found = stored(simhash_components(docs, doc_id=doc_id, text=text, **options), "components")
+    found = stored(simhash_components(docs, doc_id=doc_id, text=text, words=words, **options), "components")
     per_id = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("first")
     )
@@ -227,7 +261,7 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **o
     # ids on several rows, and rows without one, are told apart by their fingerprints
     odd = docs.join(firsts.where("n > 1"), ours == F.col(own), "left_semi").union(docs.where(ours.isNull()))
     row = F.struct(*[F.col(f"`{c}`") for c in names])
-    odd = odd.select(row.alias("row"), ours.alias("_id"), F.col(f"`{text}`").alias("_t"), fingerprint_column(F.col(f"`{text}`"), **options).alias("fingerprint"))
+    odd = odd.select(row.alias("row"), ours.alias("_id"), F.col(f"`{text}`").alias("_t"), fingerprint_column(F.col(f"`{text}`"), words).alias("fingerprint"))
     where = found.select("fingerprint", "group", "component_id").distinct()
     best = odd.join(where, "fingerprint").where(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("group").agg(
         F.min_by("row", F.struct("_t", F.xxhash64("row"))).alias("row")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from groupaudit.llm import queries, simhash
+from groupaudit.llm import queries, shingle_links, simhash
 from groupaudit.llm.components import connected_components
 
 
@@ -86,3 +86,54 @@ def test_odd_rows(spark):
     assert kept.columns == df.columns
     assert sorted((r["doc_id"] or 0, (r["text"] or "")[:5]) for r in kept.collect()) == [(0, "q w e"), (1, "a b c"), (1, "zz yy"), (3, ""), (9, "long ")]
     assert simhash.simhash_components(df.where("false")).count() == 0 and simhash.keep_one(df.where("false")).count() == 0
+
+
+def similar_sets(texts):
+    words = [re.findall("[^\x20\x09-\x0d]+", t.lower()) for t in texts]
+    return [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+
+
+@pytest.mark.parametrize("short", [64, 2])  # lists that are joined, lists in blocks
+def test_similar_documents_are_one_component(spark, monkeypatch, short):
+    monkeypatch.setattr(shingle_links, "LIST_ROWS", short)
+    monkeypatch.setattr(shingle_links, "BLOCK_ROWS", 20)
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    passage, texts = word(60), []
+    for k in range(40):
+        base = word(int(rng.integers(20, 400)))
+        texts.append(base)
+        for edits in range(1, 5):  # some of these fall below the similarity
+            w = list(base)
+            for at in rng.integers(0, len(w), max(1, edits * len(w) // 150)):
+                w[at] = "edited"
+            texts.append(w)
+    texts += [word(150) + passage + word(150) for _ in range(30)]  # a shared passage is no near copy
+    texts += [[], ["one"], ["one", "two"], ["ONE"]]
+    texts = [" ".join(t) for t in texts]
+    sets, fp = similar_sets(texts), [signed(brute_fingerprint(t)) for t in texts]
+    root = brute_components(fp)
+
+    def join(x, y):
+        a, b = sorted((root[x], root[y]))
+        root[:] = [a if r == b else r for r in root]
+
+    for x in range(len(texts)):
+        for y in range(x):
+            if sets[x] and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]):
+                join(x, y)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_components(df, similar_words=5).collect()}
+    assert [got[i] for i in range(len(texts))] == root
+    plain = {r["doc_id"]: r["component_id"] for r in simhash.simhash_components(df).collect()}
+    assert len(set(got.values())) < len(set(plain.values())) and len({got[i] for i in range(200, 230)}) == 30
+
+
+def test_similar_links_of_odd_rows(spark):
+    a = " ".join(f"v{i}" for i in range(100))
+    rows = [(1, a, 0), (2, a.replace("v99", "x"), 1), (None, a.replace("v0 ", "y "), 2), (1, "other words of the same id", 3), (3, None, 4), (4, " ", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _text int")
+    kept = simhash.keep_one(df, similar_words=5)
+    assert kept.columns == df.columns
+    assert {r["_text"] for r in kept.collect()} >= {0, 3, 4} and 1 not in {r["_text"] for r in kept.collect()}
+    assert simhash.keep_one(df.where("false"), similar_words=5).count() == 0
