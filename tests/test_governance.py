@@ -1,10 +1,13 @@
 """Ledger rules against golden rows and brute force."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from groupaudit.functions import hashing as h
 from groupaudit.functions import scalars as s
 from groupaudit.operators import governance as gov
 
@@ -139,3 +142,13 @@ def test_found_or_raise(spark):
     df = spark.createDataFrame([("a",), (None,)], "t string")
     with pytest.raises(Exception, match="no match for anchor"):
         df.select(s.found_or_raise(F.col("t"), "anchor")).collect()
+
+
+def test_ordered_digest_has_two_levels_however_large_the_keys(spark):
+    keys = [0, 1, 2, 5, 9, 100, 101, 1_000_003]
+    df = spark.createDataFrame([(k, f"line {k}") for k in reversed(keys)], "k long, line string")
+    digest = lambda parts: hashlib.sha256("\n".join(parts).encode()).hexdigest()
+    blocks = [digest(f"line {k}" for k in keys if k // 2 == b) for b in sorted({k // 2 for k in keys})]
+    got = h.ordered_digest(df, order="k", line="line", block=2).first()
+    assert tuple(got) == (digest(blocks), len(blocks))
+    assert tuple(h.ordered_digest(df.limit(0), order="k", line="line", block=2).first()) == (None, 0)
