@@ -93,35 +93,64 @@ class ByteGRU:
         for way in (0, 1):
             u = self.p[f"U{way}"]
             de, du, dh = np.zeros_like(self.p[f"E{way}"]), np.zeros_like(u), np.zeros((len(x), k), dtype=u.dtype)
+            steps: list[tuple[int, np.ndarray]] = []
             for t, before, z, r, q, n in reversed(keep[way]):
                 dh = dh + dh_all[t, :, way * k : (way + 1) * k]
                 dz = dh * (before - n) * z * (1 - z)
                 dn = dh * (1 - z) * (1 - n * n)
                 dr = dn * q * r * (1 - r)
                 rec = np.concatenate([dz, dr, dn * r], axis=1)
-                np.add.at(de, x[:, t], np.concatenate([dz, dr, dn], axis=1))
+                steps.append((t, np.concatenate([dz, dr, dn], axis=1)))
                 du += before.T @ rec
                 dh = dh * z + rec @ u.T
+            read = np.concatenate([x[:, t] for t, _ in steps])
+            used = np.unique(read)  # a product with few rows adds up faster than row by row
+            de[used] = (used[:, None] == read).astype(de.dtype) @ np.concatenate([s for _, s in steps])
             g |= {f"E{way}": de, f"U{way}": du}
         return loss, g
 
-    def fit(self, items: Sequence[bytes], y: np.ndarray, *, epochs: int = 4, batch: int = 256, rate: float = 0.01, seed: int = 7) -> None:
-        """Adam over batches of windows of one length, in an order drawn from ``seed``."""
-        rng = np.random.default_rng(seed)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v = {k: np.zeros_like(x) for k, x in self.p.items()}
-        groups, step = by_length(items), 0
+    def fit(self, items: Sequence[bytes], y: np.ndarray, *, epochs: int = 4) -> None:
+        """``epochs`` passes of ``learn`` over all items."""
+        state = None
         for epoch in range(epochs):
-            work = [(n, s) for n, at in groups.items() for s in np.array_split(rng.permutation(at), -(-len(at) // batch))]
-            now = rate * (1 - epoch / epochs)
-            for i in rng.permutation(len(work)):
-                n, at = work[i]
-                _, g = self.gradients(as_matrix(items, at, n), y[at])
-                step += 1
-                for key, d in g.items():
-                    m[key] = 0.9 * m[key] + 0.1 * d
-                    v[key] = 0.999 * v[key] + 0.001 * d * d
-                    self.p[key] -= now * (m[key] / (1 - 0.9**step)) / (np.sqrt(v[key] / (1 - 0.999**step)) + 1e-8)
+            state = self.learn(items, y, state, epoch=epoch, epochs=epochs)
+
+    def learn(
+        self, items: Sequence[bytes], y: np.ndarray, state: np.ndarray | None, *, epoch: int, epochs: int,
+        batch: int = 256, rate: float = 0.01, seed: int = 7,
+    ) -> np.ndarray:
+        """One pass of Adam over batches of windows of one length, from ``state`` on; returns the state after it.
+
+        A state is one vector: steps taken, parameters, and Adam's two moments.  Means of states are states.
+        """
+        rng, size = np.random.default_rng([seed, epoch]), sum(v.size for v in self.p.values())
+        m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
+        step = 0
+        if state is not None:
+            step = round(state[0])
+            for at, into in enumerate((self.p, m, v)):
+                lo = 1 + at * size
+                for k, x in into.items():
+                    into[k] = state[lo : lo + x.size].reshape(x.shape).astype(x.dtype)
+                    lo += x.size
+        work = [(n, s) for n, at in by_length(items).items() for s in np.array_split(rng.permutation(at), -(-len(at) // batch))]
+        now = rate * (1 - epoch / epochs)
+        for i in rng.permutation(len(work)):
+            n, at = work[i]
+            _, g = self.gradients(as_matrix(items, at, n), y[at])
+            step += 1
+            for key, d in g.items():
+                m[key] = 0.9 * m[key] + 0.1 * d
+                v[key] = 0.999 * v[key] + 0.001 * d * d
+                self.p[key] -= now * (m[key] / (1 - 0.9**step)) / (np.sqrt(v[key] / (1 - 0.999**step)) + 1e-8)
+        return np.concatenate([[step], *[x.ravel() for part in (self.p, m, v) for x in part.values()]]).astype(np.float64)
+
+    def load(self, state: np.ndarray) -> None:
+        """Take the parameters of a state."""
+        lo = 1
+        for k, x in self.p.items():
+            self.p[k] = state[lo : lo + x.size].reshape(x.shape).astype(x.dtype)
+            lo += x.size
 
     def pooled(self, items: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Per window: probabilities summed over letter positions, and the number of these positions."""

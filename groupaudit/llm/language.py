@@ -1,6 +1,6 @@
 """Language of whole documents from a byte-level recurrent network.
 
-The network is fitted on a bounded sample of labelled words; it then labels every position of every
+The network is fitted on all words of all labelled documents; it then labels every position of every
 word of every document, and a document's probabilities are the mean over its letter positions.  The
 network starts anew at each word, so a worker reads each distinct word once and remembers its sum.
 
@@ -14,15 +14,15 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from groupaudit.llm.byte_gru import ByteGRU, windows
-from groupaudit.llm.common import apart, small_batches
+from groupaudit.llm.common import apart, small_batches, stored
 
 MEMORY_WORDS, LONG_WORD = 500_000, 64  # remembered words of one worker, and their length
 UNKNOWN = "und"
@@ -41,60 +41,43 @@ def triples(word: str) -> list[str]:
     return [f" {run} "[i : i + 3] for run in _LETTERS.findall(word.lower()) for i in range(len(run))]
 
 
-def sampled(labelled: DataFrame, docs_per_label: int, doc_id: str, text: str, lang: str) -> DataFrame:
-    """(lang, text) of documents of each label, by hash of their id."""
-    ids = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(doc_id, lang)
-    first = Window.partitionBy(lang).orderBy(F.xxhash64(doc_id), doc_id)
-    # at most docs_per_label ids for each label that is allowed: small enough to send everywhere
-    chosen = ids.withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_per_label).select(doc_id).distinct()
-    return labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).join(
-        F.broadcast(chosen), doc_id, "left_semi"
-    ).select(
-        F.col(lang).alias("lang"), F.col(text).alias("text")
-    )
-
+def labelled_texts(labelled: DataFrame, text: str, lang: str) -> DataFrame:
+    return labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
-def training_windows(
-    labelled: DataFrame, *, docs_per_label: int = 400, windows_per_label: int = 20_000, draws_per_label: int = 8_000, label_limit: int = 200,
-    doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-) -> tuple[list[str], list[bytes], np.ndarray, dict[str, np.ndarray]]:
-    """A bounded sample: documents of each label by hash of their id, then distinct words by hash.
 
-    At most ``label_limit`` x ``windows_per_label`` words reach the driver; more labels are refused.
-    ``draws_per_label`` words are drawn, each in proportion to the square root of how often it occurs in
-    the sampled documents, so that rare words are learned as well.  The last result
-    has the letter triples of the sampled words: for each, which labels have learned it.
-    """
+def window_counts(labelled: DataFrame, *, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, w, n): how often each window of a word occurs in all documents of a label."""
     small_batches(labelled.sparkSession)
-    rows = sampled(labelled, docs_per_label, doc_id, text, lang)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = pd.DataFrame([(g, w) for g, t in zip(pdf["lang"], pdf["text"]) for word in t.split() for w in windows(word)], columns=["lang", "w"])
-            yield out.groupby(["lang", "w"], as_index=False).size()
-
-    counted = rows.mapInPandas(cut, "lang string, w binary, size long").groupBy("lang", "w").agg(F.sum("size").alias("n"))
-    some = Window.partitionBy("lang").orderBy(F.xxhash64("w"), "w")
-    sample = counted.withColumn("i", F.row_number().over(some)).where(F.col("i") <= windows_per_label).orderBy("lang", "i").toPandas()
-    labels = sorted(sample["lang"].unique())
-    if len(labels) > label_limit:
-        raise ValueError(f"{len(labels)} labels; the limit is {label_limit}")
-    rng, items, y = np.random.default_rng(11), [], []
-    learned: dict[str, np.ndarray] = {}
-    for i, g in enumerate(labels):
-        own = sample[sample["lang"] == g]
-        count: Counter[str] = Counter()
-        for w, n in zip(own["w"], own["n"]):
-            for t in triples(bytes(w).decode("utf-8", "ignore")):
-                count[t] += int(n)
-        least = count.total() / RARE
-        for t in (t for t, n in count.items() if n >= least):
-            learned.setdefault(t, np.zeros(len(labels), bool))[i] = True
-        share = np.sqrt(own["n"].to_numpy(dtype=float))
-        draws = rng.choice(len(own), size=draws_per_label, p=share / share.sum())
-        items += [bytes(w) for w in own["w"].to_numpy()[draws]]
-        y += [i] * len(draws)
-    return labels, items, np.array(y, dtype=np.int64), learned
+            count: Counter[tuple[str, str]] = Counter()
+            for g, t in zip(pdf["lang"], pdf["text"]):
+                count.update(zip(repeat(g), t.split()))
+            out = pd.DataFrame([(g, w, n) for (g, word), n in count.items() for w in windows(word)], columns=["lang", "w", "size"])
+            yield out.groupby(["lang", "w"], as_index=False)["size"].sum()
+
+    rows = labelled_texts(labelled, text, lang).mapInPandas(cut, "lang string, w binary, size long")
+    return stored(rows.groupBy("lang", "w").agg(F.sum("size").alias("n")), "windows")
+
+
+def learned_triples(counted: DataFrame, labels: list[str]) -> dict[str, np.ndarray]:
+    """The letter triples that are one of ``RARE`` of their label at least, so at most as many: for each, its labels."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            count: Counter[tuple[str, str]] = Counter()
+            for g, w, n in zip(pdf["lang"], pdf["w"], pdf["n"].tolist()):
+                for t in triples(bytes(w).decode("utf-8", "ignore")):
+                    count[g, t] += n
+            yield pd.DataFrame([(*k, n) for k, n in count.items()], columns=["lang", "t", "n"])
+
+    each = stored(counted.mapInPandas(cut, "lang string, t string, n long").groupBy("lang", "t").agg(F.sum("n").alias("n")), "triples")
+    totals = each.groupBy("lang").agg(F.sum("n").alias("total"))
+    out: dict[str, np.ndarray] = {}
+    for g, t in each.join(totals, "lang").where(F.col("n") * RARE >= F.col("total")).select("lang", "t").toPandas().itertuples(index=False):
+        out.setdefault(t, np.zeros(len(labels), bool))[labels.index(g)] = True
+    return out
 
 
 class _Reader:
@@ -185,44 +168,94 @@ def identify(
     return labelled.select(*rest, F.col("_label.lang_pred").alias(names[0]), F.col("_label.score").alias(names[1]))
 
 
-def fit(labelled: DataFrame, **bounds: int) -> tuple[ByteGRU, dict[str, np.ndarray]]:
-    """The network fitted on ``training_windows``, and their triples; without labelled rows it knows no label."""
-    labels, items, y, learned = training_windows(labelled, **bounds)
+def fit(
+    labelled: DataFrame, *, items_per_label: int = 8_000, rounds: int = 4, label_limit: int = 200, text: str = "text", lang: str = "lang"
+) -> tuple[ByteGRU, dict[str, np.ndarray]]:
+    """The network fitted on all windows of all labelled rows, and their triples; without such rows it knows no label.
+
+    A window is an item once, and more often in proportion to the square root of how often it occurs, so that
+    rare words are learned as well.  Windows are dealt by hash into shards of about ``items_per_label`` items
+    a label.  In a round tasks pass over the items of every ``rounds``-th shard (of all shards, while there are
+    fewer) from the last mean of the shards' states, so that each shard has its turn; the states are added up in
+    Spark, so that the driver has a few vectors of the network's size.
+    """
+    counted = window_counts(labelled, text=text, lang=lang)
+    of = counted.groupBy("lang").agg(F.count("*").alias("windows"), F.sum(F.sqrt("n")).alias("roots"))
+    found = sorted(of.limit(label_limit + 1).collect())
+    if len(found) > label_limit:
+        raise ValueError(f"more than {label_limit} labels")
+    labels = [r["lang"] for r in found]
     model = ByteGRU(labels)
-    if items:
-        model.fit(items, y)
-    return model, learned
+    if not labels:
+        return model, {}
+    shards = -(-sum(r["windows"] for r in found) // (items_per_label * len(labels)))
+    per_root = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], items_per_label * shards / r["roots"])])
+    times = F.greatest(F.lit(1), F.round(F.sqrt("n") * F.element_at(per_root, F.col("lang")))).cast("int")
+    placed = counted.select(F.pmod(F.xxhash64("w"), F.lit(shards)).alias("shard"), "lang", "w", times.alias("times"))
+    placed, state = stored(placed, "items"), None
+    turns = min(rounds, shards)
+    for r in range(rounds):
+        state = _round(placed.where(F.col("shard") % turns == r % turns), labels, state, r, rounds, 2 * -(-shards // turns))
+    model.load(state)
+    return model, learned_triples(counted, labels)
+
+
+def _round(placed: DataFrame, labels: list[str], state: np.ndarray | None, epoch: int, epochs: int, width: int) -> np.ndarray:
+    shared = placed.sparkSession.sparkContext.broadcast(state)
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["lang", "w"])
+        at = np.repeat(np.arange(len(pdf)), pdf["times"])
+        items, y = pdf["w"].map(bytes).to_numpy()[at], pdf["lang"].map(labels.index).to_numpy(np.int64)[at]
+        after = ByteGRU(labels).learn(items, y, shared.value, epoch=epoch, epochs=epochs)
+        return pd.DataFrame({"part": [int(pdf["shard"].iloc[0]) % 16], "weight": [float(len(at))], "state": [(after * len(at)).tobytes()]})
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(s) for s in pdf["state"])
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "weight": [pdf["weight"].sum()], "state": [total.tobytes()]})
+
+    schema = "part int, weight double, state binary"
+    dealt = placed.repartition(width, "shard")  # a number that is given keeps small shards in tasks of their own
+    sums = dealt.groupBy("shard").applyInPandas(learn, schema).groupBy("part").applyInPandas(added, schema).orderBy("part").collect()
+    return sum(np.frombuffer(r["state"]) for r in sums) / sum(r["weight"] for r in sums)
 
 
 def calibrate(
-    clean: DataFrame, model: ByteGRU, learned: dict[str, np.ndarray], *, docs_per_label: int = 400,
-    doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
+    clean: DataFrame, model: ByteGRU, learned: dict[str, np.ndarray], *, text: str = "text", lang: str = "lang"
 ) -> dict[str, tuple[float, float, float, float]]:
     """Per label: usual score and least score, usual share of new triples and largest share.
 
-    ``clean`` are labelled rows that the network has not seen.  Scores and shares are those of
-    ``judged``.  The least score lies halfway from chance to the score that all but a hundredth of the
+    ``clean`` are labelled rows that the network has not seen, all of which are read.  Scores and shares are those
+    of ``judged``.  The least score lies halfway from chance to the score that all but a hundredth of the
     rows reach; the largest share lies a quarter of the way from the share that all but a hundredth
     keep to the share of a text in which nothing is learned.  A label with fewer than ``ENOUGH`` rows
     takes the bounds of all rows together; where these are too few as well there are none.
     """
-    rows = sampled(clean, docs_per_label, doc_id, text, lang)
-    # at most docs_per_label rows of five numbers for each label
-    found = rows.select("lang", _label(rows, model, "text", learned).alias("l")).where(F.col("l.lang_pred") == F.col("lang")).select("l.*").toPandas()
-    out, everyone = {}, None
-    for g in [None, *model.labels]:
-        own = found if g is None else found[found["lang_pred"] == g]
-        bounds = everyone
-        if len(own) >= ENOUGH:
-            score, share = float(own["score"].median()), float(own["new"].sum() / max(1, own["triples"].sum()))
-            low = float(((own["score"] * own["letters"] + PRIOR * score) / (own["letters"] + PRIOR)).quantile(TAIL))
-            high = float(((own["new"] + PRIOR * share) / (own["triples"] + PRIOR)).quantile(1 - TAIL))
-            chance = 1 / len(model.labels)
-            bounds = (score, chance + (low - chance) / 2, share, high + (1 - high) / 4)
-        if g is None:
-            everyone = bounds
-        elif bounds:
-            out[g] = bounds
+    rows = labelled_texts(clean, text, lang)
+    rows = rows.select("lang", _label(rows, model, "text", learned).alias("l")).where(F.col("l.lang_pred") == F.col("lang"))
+    found = stored(rows.select("l.*"), "held_out")  # five numbers a row
+    exact = lambda x, q: F.percentile_approx(x, q, 1_000_000)  # noqa: E731 - a sketch that adds up, of all rows
+    usual = found.rollup("lang_pred").agg(
+        F.count("*").alias("n"), exact("score", 0.5).alias("score"), (F.sum("new") / F.greatest(F.lit(1), F.sum("triples"))).alias("share")
+    )
+    usual = {r["lang_pred"]: r for r in usual.where(F.col("n") >= ENOUGH).collect()}  # a row per label
+    if None not in usual:
+        return {}
+    out, chance = {}, 1 / len(model.labels)
+    own = [g for g in model.labels if g in usual]
+    both = found.select("*", F.lit(None).cast("string").alias("_g")).union(found.where(F.col("lang_pred").isin(own)).select("*", F.col("lang_pred").alias("_g")))
+    of = F.create_map(*[x for g, r in usual.items() for x in (F.lit(g or UNKNOWN), F.array(F.lit(r["score"]), F.lit(r["share"])))])
+    mid = F.element_at(of, F.coalesce("_g", F.lit(UNKNOWN)))
+    tails = both.groupBy("_g").agg(
+        exact((F.col("score") * F.col("letters") + PRIOR * mid[0]) / (F.col("letters") + PRIOR), TAIL).alias("low"),
+        exact((F.col("new") + PRIOR * mid[1]) / (F.col("triples") + PRIOR), 1 - TAIL).alias("high"),
+    )
+    bounds = {
+        r["_g"]: (usual[r["_g"]]["score"], chance + (r["low"] - chance) / 2, usual[r["_g"]]["share"], r["high"] + (1 - r["high"]) / 4)
+        for r in tails.collect()
+    }
+    for g in model.labels:
+        out[g] = bounds.get(g, bounds[None])
     return out
 
 
@@ -244,7 +277,7 @@ def language_id(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     from; a row without an id is not held out.
     """
     known = docs.where(F.col(doc_id).isNotNull() & ~held_out(doc_id))
-    model, _ = fit(known, doc_id=doc_id, text=text, lang=lang)
+    model, _ = fit(known, text=text, lang=lang)
     return identify(docs.drop("held_out").withColumn("held_out", held_out(doc_id)), model, text=text)
 
 
@@ -258,7 +291,7 @@ def keep_identified(
     than in clean texts of that label.
     """
     names, own = [F.col(f"`{c}`") for c in docs.columns], apart("_label", docs.columns)
-    given, columns = docs.where(F.col(doc_id).isNotNull()), {"doc_id": doc_id, "text": text, "lang": lang}
+    given, columns = docs.where(F.col(doc_id).isNotNull()), {"text": text, "lang": lang}
     model, learned = fit(given.where(~held_out(doc_id)), **columns)
     bounds = calibrate(given.where(held_out(doc_id)), model, learned, **columns)
     found = docs.select(*names, _label(docs, model, text, learned).alias(own))

@@ -114,3 +114,11 @@ def test_noise_and_unknown_languages_are_rejected(spark, sf):
     planted = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(noise + strange)], "doc_id long, text string")
     kept = {r["doc_id"] for r in language.keep_identified(docs.unionByName(planted, allowMissingColumns=True)).select("doc_id").collect()}
     assert kept == {r["doc_id"] for r in docs.collect()}
+
+
+def test_every_labelled_document_is_counted(spark):
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    rows = [(i, word(i), "aa") for i in range(900)] + [(1000 + i, "опа", "bb") for i in range(30)]
+    model, learned = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.labels == ["aa", "bb"]
+    assert all(learned[word(i)].tolist() == [True, False] for i in range(900)) and learned["опа"].tolist() == [False, True]
