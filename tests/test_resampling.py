@@ -269,3 +269,11 @@ def test_fingerprints_add_up_and_forget_the_order(spark):
     assert whole[0] == hashlib.sha256(f"{total:064x}:250".encode()).hexdigest()
     plan = h.order_free_digest(rows, "d", ["k"])._jdf.queryExecution().executedPlan().toString()
     assert "collect" not in plan.lower()
+
+
+def test_sums_are_added_up_per_group_before_weights_are_derived(spark):
+    df = spark.createDataFrame([(i % 3, 0.1 * (i % 10), i % 2) for i in range(60)], "g int, s double, y int")
+    draw = rs.cluster_weights(df.select("g").distinct(), group="g", n_boot=20, seed=4)
+    for metric in rs.SUMS:
+        plan = rs.replicates(df, draw, group="g", score="s", label="y", metric=metric)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate [" in plan[plan.index("MapInPandas") :]
