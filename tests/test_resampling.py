@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_metrics import brute_auc
 
+from groupaudit.functions import hashing as h
 from groupaudit.operators import inference as inf
 from groupaudit.operators import resampling as rs
 
@@ -277,3 +278,20 @@ def test_sums_are_added_up_per_group_before_weights_are_derived(spark):
     for metric in rs.SUMS:
         plan = rs.replicates(df, draw, group="g", score="s", label="y", metric=metric)._jdf.queryExecution().optimizedPlan().toString()
         assert "Aggregate [" in plan[plan.index("MapInPandas") :]
+
+
+def test_score_blocks_keep_ties_together_and_count_every_pair():
+    rng = np.random.default_rng(8)
+    s = np.sort(np.concatenate([rng.integers(0, 40, 900) / 7, np.full(200, 2.5), rng.random(500), [-np.inf, -np.inf, np.inf]]))
+    p = rng.integers(0, 3, len(s)).astype(float)
+    n, w = rng.integers(0, 5, len(s)).astype(float), rng.integers(0, 6, (len(s), 7)).astype(np.uint8)
+    cuts, tied = rs._score_blocks(s)
+    assert cuts[0] == 0 and cuts[-1] == len(s) and tied.any() and (s[cuts[1:-1]] != s[cuts[1:-1] - 1]).all()
+    assert (np.diff(cuts)[~tied] <= rs.BLOCK).all()
+    pos, neg, u = rs._block_sums(s, p, n, cuts, tied, lambda i, j: w[i:j])
+    got = (u + pos * (np.cumsum(neg, axis=0) - neg)).sum(axis=0)
+    higher = (s[:, None] > s) + (s[:, None] == s) / 2
+    assert np.allclose(got, ((p[:, None] * w) * (higher @ (n[:, None] * w))).sum(axis=0), rtol=1e-12)
+    a, c = h.replicate_factors(3, 300)
+    keys = rng.integers(0, h.MODULUS, 130)
+    assert (h.poisson_draws(a, c, keys) == h.poisson_counts(h.mixed_array(a, c, keys))).all()
