@@ -18,10 +18,24 @@ from groupaudit.operators.arraysum import Partial, add_to, matrix, sum_arrays
 from groupaudit.operators.models import LOSSES, Fit, Spec, View, _batch
 
 BLOCK_BYTES = 256 << 20  # iterates and history of one block of models
-CELLS = 1 << 21  # rows x models worked on at once
+CELLS = 1 << 18  # rows x models worked on at once: a worker holds a dozen such arrays of numbers
 KEYED = 64  # models of one partial sum: sums of a block spread over the reducers
 
 
+def _add_moments(x: np.ndarray, codes: np.ndarray, pairs, views: dict[int, View], centre, folds: int, acc: Partial) -> None:
+    """Adds up every (view, design) of ``pairs``, which are in order of their views: one view's values are held at a time."""
+    held = None
+    for i, (k, design) in enumerate(pairs):
+        if k != held:
+            held, v = k, views[k].apply(x) - centre[k]
+            ok = ~np.isnan(v)
+            z = np.where(ok, v, 0.0)
+        code = codes[:, design]
+        # folds no model tests on count as one further fold
+        cell = (np.where(code < folds, code, folds)[:, None] == np.arange(folds + 1)).astype(float)
+        add_to(acc, i, np.hstack([cell.sum(0)[:, None], cell.T @ ok, cell.T @ z, cell.T @ (z * z)]))
+
+
 def wide_statistics(
     df: DataFrame, models: Sequence[Spec], *, whole_table: bool = False
 ) -> list[tuple[np.ndarray, np.ndarray, int, int]]:
@@ -40,15 +54,9 @@ def wide_statistics(
 
     def moments(pdf: pd.DataFrame, acc: Partial) -> None:
         x, _, codes, _, _ = _batch(pdf)
-        applied: dict[int, np.ndarray] = {}
-        for i, (k, design) in enumerate(pairs):
-            v = applied[k] if k in applied else applied.setdefault(k, by_number[k].apply(x) - centre[k])
-            ok = ~np.isnan(v)
-            z = np.where(ok, v, 0.0)
-            code = codes[:, design]
-            # folds no model tests on count as one further fold
-            cell = (np.where(code < folds, code, folds)[:, None] == np.arange(folds + 1)).astype(float)
-            add_to(acc, i, np.hstack([cell.sum(0)[:, None], cell.T @ ok, cell.T @ z, cell.T @ (z * z)]))
+        step = max(1, CELLS // (x.shape[1] + folds))
+        for lo in range(0, len(x), step):
+            _add_moments(x[lo : lo + step], codes[lo : lo + step], pairs, by_number, centre, folds, acc)
 
     sums = {p: a.reshape(folds + 1, -1) for p, a in zip(pairs, _in_order(sum_arrays(df, moments)))}
     out = []

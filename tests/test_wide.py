@@ -1,11 +1,14 @@
 """Wide probes against the narrow solver and their own optimality conditions."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from groupaudit.operators import models as mod
+from groupaudit.operators import wide
 from groupaudit.operators.wide import fit_wide
 from groupaudit.session import materialise
 
@@ -72,3 +75,16 @@ def test_errors(spark):
         fit_wide(df.withColumn("y", F.lit(1)), mod.specs([mod.View("all")], 1, 1))
     with pytest.raises(ValueError, match="no rows"):
         fit_wide(df.where("false"), mod.specs([mod.View("all")], 1, 1))
+
+
+def test_statistics_hold_one_view_at_a_time():
+    rng = np.random.default_rng(0)
+    x, codes = rng.standard_normal((2_000, 32)), rng.integers(0, 3, (2_000, 2))
+    many = {k: v for k, v in enumerate(views(32) * 20)}
+    pairs = [(k, d) for k in many for d in range(2)]
+    centre = {k: np.zeros(v.apply(x[:1]).shape[1]) for k, v in many.items()}
+    tracemalloc.start()
+    wide._add_moments(x, codes, pairs, many, centre, 3, acc := {})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(acc) == len(pairs) and peak < 8 * x.nbytes
