@@ -324,19 +324,30 @@ def s11(spark, d):
     return tables.content_hash(f, digest="digest", policy={"pooling": "mean", "backbone": "given", "max_seconds": 30}, by=["cls"])
 
 
-@F.pandas_udf(T.BinaryType())
-def _wav_of(vec_id: pd.Series, x: pd.Series) -> pd.Series:
-    """Each vector repeated to a 16-bit recording; every tenth is cut short, every tenth silent."""
-    out = []
-    for i, v in zip(vec_id, x):
-        pcm = np.tile(np.clip(np.asarray(v, dtype=float) * 32767, -32768, 32767).astype("<i2"), 40)
-        pcm = pcm[:400] if i % 10 == 1 else pcm * (0 if i % 10 == 2 else 1)
-        data = pcm.astype("<i2").tobytes()
-        rate = 50_000 if i % 2 else 16_000
-        fmt = struct.pack("<HHIIHH", 1, 1, rate, rate * 2, 2, 16)
-        body = b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", len(data)) + data
-        out.append(b"RIFF" + struct.pack("<I", len(body)) + body if i % 10 != 3 else b"noise")
-    return pd.Series(out)
+WAV_ROWS = 256  # recordings written at once
+
+
+def _wav_of(vec_id: int, v) -> bytes:
+    """A vector repeated to a 16-bit recording; every tenth is cut short, every tenth silent."""
+    pcm = np.tile(np.clip(np.asarray(v, dtype=float) * 32767, -32768, 32767).astype("<i2"), 40)
+    pcm = pcm[:400] if vec_id % 10 == 1 else pcm * (0 if vec_id % 10 == 2 else 1)
+    data = pcm.astype("<i2").tobytes()
+    rate = 50_000 if vec_id % 2 else 16_000
+    fmt = struct.pack("<HHIIHH", 1, 1, rate, rate * 2, 2, 16)
+    body = b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", len(data)) + data
+    return b"RIFF" + struct.pack("<I", len(body)) + body if vec_id % 10 != 3 else b"noise"
+
+
+def _wav_files(vectors):
+    """``name, content`` of ``name, vec_id, embedding``; files leave in small batches."""
+
+    def write(batches):
+        for pdf in batches:
+            for lo in range(0, len(pdf), WAV_ROWS):
+                part = pdf.iloc[lo : lo + WAV_ROWS]
+                yield pd.DataFrame({"name": part["name"], "content": [_wav_of(*f) for f in zip(part["vec_id"], part["embedding"])]})
+
+    return vectors.select("name", "vec_id", "embedding").mapInPandas(write, "name string, content binary")
 
 
 @query(
@@ -348,9 +359,7 @@ def _wav_of(vec_id: pd.Series, x: pd.Series) -> pd.Series:
                 ELSE CASE WHEN odd THEN 'too short (0.051s)' END END AS reason FROM k""",
 )
 def s12(spark, d):
-    files = fx.table(spark, d, "embeddings").select(
-        F.concat(F.lit("v"), "vec_id").alias("name"), _wav_of("vec_id", "embedding").alias("content")
-    )
+    files = _wav_files(fx.table(spark, d, "embeddings").withColumn("name", F.concat(F.lit("v"), "vec_id")))
     return audio.decode(files).select("name", "orig_sample_rate", "n_samples", "reason")
 
 
@@ -371,7 +380,7 @@ def s12_ingest(spark, d):
     """Vectors as recordings joined with session metadata: accepted rows and every kind of reject."""
     e = fx.table(spark, d, "embeddings")
     name = F.concat(F.when(F.col("vec_id") % 17 == 0, "x").otherwise(""), F.col("vec_id") + 1000, F.lit("-a_h.wav"))
-    files = e.select(name.alias("name"), _wav_of("vec_id", "embedding").alias("content"))
+    files = _wav_files(e.withColumn("name", name))
     meta = e.where("vec_id % 19 <> 0").select(
         (F.col("vec_id") + 1000).alias("session"),
         F.when(F.col("vec_id") % 23 != 0, F.col("label") * 100 + F.col("vec_id") % 6).alias("speaker"),

@@ -5,6 +5,7 @@ import struct
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +42,16 @@ def test_decoders_and_reject_reasons(spark):
     assert all(got[k]["pcm"] is None for k in why if why[k])
 
 
+def test_a_batch_is_decoded_in_slices(monkeypatch):
+    files = [wav(SINE[: 400 * k]) for k in range(1, 21)] + [b"noise"]
+    batch = pa.RecordBatch.from_pydict({"name": [str(i) for i in range(21)], "content": files})
+    whole = [r for b in audio._decode(iter([batch])) for r in b.to_pylist()]
+    monkeypatch.setattr(audio, "SLICE_BYTES", 20_000)
+    out = list(audio._decode(iter([batch.slice(0, 0), batch])))
+    assert len(out) > 5 and all(b.num_rows == 1 or sum(len(files[int(n)]) for n in b["name"].to_pylist()) <= 20_000 for b in out)
+    assert [r for b in out for r in b.to_pylist()] == whole and len(whole) == 21
+
+
 def test_resampling_keeps_a_tone_and_removes_what_does_not_fit():
     t = np.arange(50_000) / 50_000
     y = audio.resample(np.sin(2 * np.pi * 1000 * t), 50_000)
