@@ -86,6 +86,11 @@ def _batch(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return matrix(pdf["x"]), y, codes, ranks, w
 
 
+def _counts(pdf: pd.DataFrame) -> np.ndarray:
+    """How many units a row stands for."""
+    return pdf["n"].to_numpy(float) if "n" in pdf else np.ones(len(pdf))
+
+
 def train_statistics(
     df: DataFrame, models: Sequence[Spec], *, whole_table: bool = False
 ) -> dict[int, tuple[np.ndarray, np.ndarray, int, int]]:
@@ -101,13 +106,15 @@ def train_statistics(
 
     def moments(pdf: pd.DataFrame, acc: Partial) -> None:
         x, _, codes, ranks, _ = _batch(pdf)
+        n = _counts(pdf)
         seen: dict[int, np.ndarray] = {}
         for i, s in enumerate(models):
             v = seen.setdefault(id(s.view), s.view.apply(x))
-            rows = v[codes[:, s.design] >= 0] if whole_table else v[_train_mask(codes, ranks, s)]
+            use = codes[:, s.design] >= 0 if whole_table else _train_mask(codes, ranks, s)
+            rows, m = v[use], n[use]
             ok = ~np.isnan(rows)
             z = np.where(ok, rows - centre[i], 0.0)
-            add_to(acc, i, np.concatenate([[len(rows)], ok.sum(0), z.sum(0), (z * z).sum(0)]))
+            add_to(acc, i, np.concatenate([[m.sum()], m @ ok, m @ z, m @ (z * z)]))
 
     out = {}
     for i, a in sum_arrays(df, moments).items():
@@ -182,6 +189,7 @@ def fit_linear(
 
         def newton(pdf: pd.DataFrame, acc: Partial, trial=trial) -> None:
             x, y, codes, ranks, w = _batch(pdf)
+            w = w * _counts(pdf)
             for i, b in trial.items():
                 s = models[i]
                 m = _train_mask(codes, ranks, s)
@@ -301,6 +309,78 @@ def out_of_fold(
     return materialise(predict(data, fits, unit=unit, group=group))
 
 
+def _collapsed(data: DataFrame, views: Sequence[View], *, n_folds: int, repeats: int) -> DataFrame:
+    """Units counted by what one view sees of them, label, repeat and fold; view k has the designs from k * repeats."""
+    out = None
+    for k, v in enumerate(views):
+        # what the view does not see is 0, so that it tells no rows apart
+        seen = F.transform("x", lambda e, i: F.when(i.isin(list(v.columns)), e).otherwise(0.0))
+        counts = data.select(seen.alias("x"), "y", "codes").groupBy("x", "y").agg(F.array(*[
+            F.struct(F.lit(r).alias("r"), F.lit(f).alias("f"), F.count_if(F.get("codes", F.lit(r)) == f).alias("n"))
+            for r in range(repeats) for f in range(n_folds)
+        ]).alias("c"))
+        rows = counts.select("x", "y", F.explode("c").alias("c")).where("c.n > 0")
+        at = F.lit(k * repeats) + F.col("c.r")
+        codes = F.transform(F.sequence(F.lit(0), F.lit(len(views) * repeats - 1)), lambda i: F.when(i == at, F.col("c.f")).otherwise(-1))
+        part = rows.select("x", "y", codes.alias("codes"), F.col("c.n").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+SCORES = "head string, repeat int, y int, p double, n long"
+REPEATED = 4  # units of one count from which counting pays
+
+
+def predict_counts(df: DataFrame, fits: Sequence[Fit], *, repeats: int) -> DataFrame:
+    """Scores of every model's own fold without ids: (head, repeat, y, p) and how many units of a batch have them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, y, codes, _, _ = _batch(pdf)
+            n = _counts(pdf)
+            for f in fits:
+                m = codes[:, f.spec.design] == f.spec.fold
+                if not m.any():
+                    continue
+                p = sigmoid(_standard(f.spec.view.apply(x[m]), f.mean, f.scale) @ f.beta)
+                yield pd.DataFrame(
+                    {"head": f.spec.view.name, "repeat": f.spec.design % repeats, "y": y[m, f.spec.design].astype(int), "p": p, "n": n[m].astype(int)}
+                )
+
+    extra = [c for c in ("n",) if c in df.columns]
+    return df.select("x", "y", "codes", *extra).mapInPandas(run, SCORES)
+
+
+def out_of_fold_counts(
+    units: DataFrame, folds: DataFrame, *, group: str, views: Sequence[View], n_folds: int, repeats: int
+) -> DataFrame:
+    """``out_of_fold`` for metrics that need no ids: (head, repeat, y, p, n), n units each.
+
+    Views that see few distinct values are fitted and scored on counts of equal rows, the others row by
+    row.  Which way a view takes changes the work and not the models: sums over counts are sums over rows.
+    """
+    from groupaudit.operators.splits import require_disjoint
+
+    folds = materialise(folds.select(group, "repeat", "fold"))
+    require_disjoint(folds, group=group)
+    data = spread(attach_codes(units, folds, group=group).select("x", "y", "codes"))
+    plain = [k for k, v in enumerate(views) if v.columns is not None and v.basis is None and v.max_rank is None]
+    seen = [F.approx_count_distinct(F.array(*[F.get("x", F.lit(c)) for c in views[k].columns])).alias(f"v{k}") for k in plain]
+    size = data.agg(F.count("*").alias("n"), *seen).first()
+    few = [views[k] for k in plain if size[f"v{k}"] * 2 * n_folds * REPEATED <= size["n"]]
+    many = [v for v in views if not any(v is w for w in few)]
+    out = []
+    if few:
+        cells = spread(_collapsed(data, few, n_folds=n_folds, repeats=repeats))
+        models = [Spec(v, k * repeats + r, f) for k, v in enumerate(few) for r in range(repeats) for f in range(n_folds)]
+        out.append(predict_counts(cells, fit_linear(cells, models), repeats=repeats))
+    if many:
+        out.append(predict_counts(data, fit_linear(data, specs(many, repeats, n_folds)), repeats=repeats))
+    return materialise(out[0] if len(out) == 1 else out[0].unionByName(out[1]))
+
+
 def confound_features(df: DataFrame, *, age: str, sex: str, duration: str, rms: str) -> DataFrame:
     """Covariates as one array: age (NaN when missing), male flag, duration, loudness."""
     num = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))

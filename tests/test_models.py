@@ -37,6 +37,24 @@ def oof(units):
     return mod.out_of_fold(units, folds, views=[mod.View("a"), mod.View("b", (0, 1))], n_folds=4, repeats=2, **KEYS)
 
 
+@pytest.mark.parametrize("repeated", [0, 1, 1 << 40])
+def test_counts_of_equal_rows_give_the_scores_of_all_rows(units, monkeypatch, repeated):
+    few = F.transform("x", lambda v, i: F.when((i == 1) & (v > 1), float("nan")).when(i < 2, F.round(v)).otherwise(v))
+    u = materialise(units.withColumn("x", few))
+    folds = sp.stratified_folds(u, group="g", label="y", n_folds=4, repeats=2)
+    views = [mod.View("a", (0,)), mod.View("b", (0, 1)), mod.View("c", (1, 3))]
+    monkeypatch.setattr(mod, "REPEATED", repeated)
+    calls = []
+    whole = mod._collapsed
+    monkeypatch.setattr(mod, "_collapsed", lambda data, few, **k: calls.append([v.name for v in few]) or whole(data, few, **k))
+    got = mod.out_of_fold_counts(u, folds, group="g", views=views, n_folds=4, repeats=2)
+    assert calls == {0: [["a", "b", "c"]], 1: [["a", "b"]], 1 << 40: []}[repeated]
+    want = mod.out_of_fold(u, folds, views=views, n_folds=4, repeats=2, **KEYS)
+    tally = lambda df, n: df.groupBy("head", "repeat", "y", F.round("p", 8).alias("p")).agg(F.sum(n).alias("n"))
+    a, b = ({tuple(r) for r in tally(df, n).collect()} for df, n in ((got, F.col("n")), (want, F.lit(1))))
+    assert a == b and sum(r[-1] for r in a) == 3 * 2 * u.count()
+
+
 def test_every_unit_is_predicted_once_per_repeat_and_head(units, oof):
     per = oof.groupBy("head", "repeat", "unit_id").count()
     assert per.count() == 4 * units.count() and per.where("count <> 1").isEmpty()
