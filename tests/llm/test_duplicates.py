@@ -137,3 +137,20 @@ def test_similar_links_of_odd_rows(spark):
     assert kept.columns == df.columns
     assert {r["_text"] for r in kept.collect()} >= {0, 3, 4} and 1 not in {r["_text"] for r in kept.collect()}
     assert simhash.keep_one(df.where("false"), similar_words=5).count() == 0
+
+
+def test_long_lists_of_unlike_documents_give_no_candidates(spark, monkeypatch):
+    """A family whose sets share 0.6 to 0.75 has many pairs, none of which is to be listed."""
+    monkeypatch.setattr(shingle_links, "LIST_ROWS", 8)
+    made, kept = [], shingle_links.stored
+    monkeypatch.setattr(shingle_links, "stored", lambda df, name: (out := kept(df, name), made.append((name, out.count())))[0])
+    rng = np.random.default_rng(3)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for i in range(200):
+        rows.append((i, " ".join(base + [f"d{x}" for x in rng.integers(0, 10**9, 10)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_components(df, similar_words=5).collect()}
+    sets, fp = similar_sets([t for _, t in rows]), [signed(brute_fingerprint(t)) for _, t in rows]
+    assert max(len(sets[0] & s) / len(sets[0] | s) for s in sets[1:]) < 0.8
+    assert [got[i] for i in range(200)] == brute_components(fp)
+    assert max(n for name, n in made if name == "candidates") < 400
