@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 
 WINDOW = 32  # bytes of a word read at once; longer words are read window by window
+READ_ROWS = 4096  # windows read at once
 EDGE = 32  # the byte that marks both ends of a word
 
 
@@ -37,7 +38,9 @@ def as_matrix(items: Sequence[bytes], at: np.ndarray, length: int) -> np.ndarray
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-x))
+    y = np.exp(-x)
+    y += 1
+    return np.divide(1, y, out=y)
 
 
 class ByteGRU:
@@ -152,15 +155,38 @@ class ByteGRU:
             self.p[k] = state[lo : lo + x.size].reshape(x.shape).astype(x.dtype)
             lo += x.size
 
+    def _probabilities(self, x: np.ndarray) -> np.ndarray:
+        """Label probabilities (time, labels, rows) as of ``positions``; gates lie apart and states are not kept."""
+        k, s = self.hidden, np.zeros((x.shape[1], len(self.labels), len(x)), np.float32)
+        x = x.T.astype(np.intp)
+        for way in (0, 1):
+            e, u, v = (np.ascontiguousarray(w.T) for w in (self.p[f"E{way}"], self.p[f"U{way}"], self.p["V"][way * k : (way + 1) * k]))
+            h = np.zeros((k, x.shape[1]), np.float32)
+            for t in range(len(x)) if way == 0 else range(len(x) - 1, -1, -1):
+                g, rec = np.take(e, x[t], axis=1, mode="clip"), u @ h
+                g[: 2 * k] += rec[: 2 * k]
+                zr = _sigmoid(g[: 2 * k])
+                n = rec[2 * k :]
+                n *= zr[k:]
+                n += g[2 * k :]
+                n = 2 * _sigmoid(2 * n) - 1  # the hyperbolic tangent
+                h -= n
+                h *= zr[:k]
+                h += n
+                s[t] += v @ h
+        s += self.p["c"][:, None]
+        s = np.exp(s - s.max(axis=1, keepdims=True))
+        return s / s.sum(axis=1, keepdims=True)
+
     def pooled(self, items: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Per window: probabilities summed over letter positions, and the number of these positions."""
         out, count = np.zeros((len(items), len(self.labels)), np.float32), np.zeros(len(items), np.int64)
         for n, at in by_length(items).items():
-            for lo in range(0, len(at), 4096):
-                part = at[lo : lo + 4096]
+            for lo in range(0, len(at), READ_ROWS):
+                part = at[lo : lo + READ_ROWS]
                 x = as_matrix(items, part, n)
                 mask = letters(x)
-                out[part] = np.einsum("tbl,bt->bl", self.positions(x)[0], mask.astype(np.float32))
+                out[part] = np.einsum("tlb,bt->bl", self._probabilities(x), mask.astype(np.float32))
                 count[part] = mask.sum(axis=1)
         return out, count
 

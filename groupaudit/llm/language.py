@@ -14,7 +14,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -49,13 +49,23 @@ def window_counts(labelled: DataFrame, *, text: str = "text", lang: str = "lang"
     """(lang, w, n): how often each window of a word occurs in all documents of a label."""
     small_batches(labelled.sparkSession)
 
+    def flushed(count: dict[str, Counter[str]]) -> Iterator[pd.DataFrame]:
+        """A task's counts so far, emptied; the shuffle adds up what comes twice."""
+        while count:
+            g, words = count.popitem()
+            cut = ((w, n) for word, n in words.items() for w in windows(word))
+            for rows in batched(cut, 100_000):
+                w, n = zip(*rows)
+                yield pd.DataFrame({"lang": g, "w": w, "size": n})
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count: dict[str, Counter[str]] = {}
         for pdf in batches:
-            count: Counter[tuple[str, str]] = Counter()
             for g, t in zip(pdf["lang"], pdf["text"]):
-                count.update(zip(repeat(g), t.split()))
-            out = pd.DataFrame([(g, w, n) for (g, word), n in count.items() for w in windows(word)], columns=["lang", "w", "size"])
-            yield out.groupby(["lang", "w"], as_index=False)["size"].sum()
+                count.setdefault(g, Counter()).update(t.split())
+            if sum(map(len, count.values())) > MEMORY_WORDS:
+                yield from flushed(count)
+        yield from flushed(count)
 
     rows = labelled_texts(labelled, text, lang).mapInPandas(cut, "lang string, w binary, size long")
     return stored(rows.groupBy("lang", "w").agg(F.sum("size").alias("n")), "windows")
@@ -80,6 +90,14 @@ def learned_triples(counted: DataFrame, labels: list[str]) -> dict[str, np.ndarr
     return out
 
 
+def _put(into: np.ndarray, at: int, rows: np.ndarray) -> np.ndarray:
+    """``into`` with ``rows`` from position ``at`` on; it grows by doubling."""
+    if at + len(rows) > len(into):
+        into = np.concatenate([into[:at], np.zeros((max(at + len(rows), 2 * len(into)) - at, *into.shape[1:]), into.dtype)])
+    into[at : at + len(rows)] = rows
+    return into
+
+
 class _Reader:
     """Sums of words on one worker."""
 
@@ -89,12 +107,13 @@ class _Reader:
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}
+        self.used = 0
         self.sums, self.counts = np.zeros((0, len(self.model.labels)), np.float32), np.zeros(0, np.int64)
         self.known, self.triples = np.zeros((0, len(self.model.labels)), np.int64), np.zeros(0, np.int64)
 
     def familiar(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Letter triples of each word that each label has learned, and all of them; none without ``learned``."""
-        none, at = np.zeros(len(self.model.labels), bool), [triples(w) if self.learned else [] for w in new]
+        """Letter triples of each word that each label has learned, and all of them."""
+        none, at = np.zeros(len(self.model.labels), bool), [triples(w) for w in new]
         n = np.array([len(a) for a in at], np.int64)
         flat = [self.learned.get(t, none) for a in at for t in a]
         total = np.concatenate([np.zeros((1, len(none)), np.int64), np.cumsum(np.array(flat, np.int64).reshape(len(flat), len(none)), axis=0)])
@@ -104,20 +123,23 @@ class _Reader:
     def read(self, texts: list[str]) -> list[tuple[str, float, int, int, int]]:
         """Label, its probability, letter positions, letter triples, and triples that the label has not learned."""
         words = [t.split() for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.at})
+        distinct = set().union(*words)
+        new = list(distinct.difference(self.at))
         if len(self.at) + len(new) > MEMORY_WORDS:
             self.forget()
-            new = list({w for ws in words for w in ws})
+            new = list(distinct)
         cut = [windows(w) for w in new]
         sums, counts = self.model.pooled([w for c in cut for w in c])
         start = np.concatenate([[0], np.cumsum([len(c) for c in cut])[:-1]]).astype(np.int64)
         if len(new):
             sums, counts = np.add.reduceat(sums, start, axis=0), np.add.reduceat(counts, start)
-        n = len(self.sums)
-        self.sums, self.counts = np.concatenate([self.sums, sums]), np.concatenate([self.counts, counts])
-        known, n_triples = self.familiar(new)
-        self.known, self.triples = np.concatenate([self.known, known]), np.concatenate([self.triples, n_triples])
-        self.at.update(zip(new, range(n, n + len(new))))
+        n = self.used
+        self.used += len(new)
+        self.sums, self.counts = _put(self.sums, n, sums), _put(self.counts, n, counts)
+        if self.learned:
+            known, n_triples = self.familiar(new)
+            self.known, self.triples = _put(self.known, n, known), _put(self.triples, n, n_triples)
+        self.at.update(zip(new, range(n, self.used)))
         out = []
         for t, ws in zip(texts, words):
             i = np.fromiter(map(self.at.__getitem__, ws), dtype=np.int64, count=len(ws))
@@ -127,8 +149,9 @@ class _Reader:
                 continue
             p = self.sums[i].sum(axis=0, dtype=np.float64) / letters
             best = int(p.argmax())
-            n_all = int(self.triples[i].sum())
-            out.append((self.model.labels[best], float(min(1.0, p[best])), letters, n_all, n_all - int(self.known[i, best].sum())))
+            n_all = int(self.triples[i].sum()) if self.learned else 0
+            n_new = n_all - int(self.known[i, best].sum()) if self.learned else 0
+            out.append((self.model.labels[best], float(min(1.0, p[best])), letters, n_all, n_new))
         for w in new:
             if len(w) > LONG_WORD:
                 del self.at[w]
@@ -169,9 +192,10 @@ def identify(
 
 
 def fit(
-    labelled: DataFrame, *, items_per_label: int = 8_000, rounds: int = 4, label_limit: int = 200, text: str = "text", lang: str = "lang"
+    labelled: DataFrame, *, items_per_label: int = 8_000, rounds: int = 4, label_limit: int = 200, text: str = "text", lang: str = "lang",
+    with_triples: bool = True,
 ) -> tuple[ByteGRU, dict[str, np.ndarray]]:
-    """The network fitted on all windows of all labelled rows, and their triples; without such rows it knows no label.
+    """The network fitted on all windows of all labelled rows, and their triples if asked for; without such rows it knows no label.
 
     A window is an item once, and more often in proportion to the square root of how often it occurs, so that
     rare words are learned as well.  Windows are dealt by hash into shards of about ``items_per_label`` items
@@ -197,7 +221,7 @@ def fit(
     for r in range(rounds):
         state = _round(placed.where(F.col("shard") % turns == r % turns), labels, state, r, rounds, 2 * -(-shards // turns))
     model.load(state)
-    return model, learned_triples(counted, labels)
+    return model, learned_triples(counted, labels) if with_triples else {}
 
 
 def _round(placed: DataFrame, labels: list[str], state: np.ndarray | None, epoch: int, epochs: int, width: int) -> np.ndarray:
@@ -277,7 +301,7 @@ def language_id(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     from; a row without an id is not held out.
     """
     known = docs.where(F.col(doc_id).isNotNull() & ~held_out(doc_id))
-    model, _ = fit(known, text=text, lang=lang)
+    model, _ = fit(known, text=text, lang=lang, with_triples=False)
     return identify(docs.drop("held_out").withColumn("held_out", held_out(doc_id)), model, text=text)
 
 

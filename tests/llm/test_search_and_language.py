@@ -122,3 +122,19 @@ def test_every_labelled_document_is_counted(spark):
     model, learned = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.labels == ["aa", "bb"]
     assert all(learned[word(i)].tolist() == [True, False] for i in range(900)) and learned["опа"].tolist() == [False, True]
+
+
+def test_the_query_learns_no_triples_and_reads_as_the_network_does(spark, sf, monkeypatch):
+    def no_triples(*args):
+        raise AssertionError("triples are of no use to the query")
+
+    monkeypatch.setattr(language, "learned_triples", no_triples)
+    model = ByteGRU(["a", "b", "c"], seed=3)
+    items = [w for word in ("one", "two", "Ünïx", "x" * 70) for w in windows(word)]
+    sums, counts = model.pooled(items)
+    for s, n, w in zip(sums, counts, items):
+        x = np.frombuffer(w, np.uint8)[None, :]
+        assert n == letters(x).sum()
+        np.testing.assert_allclose(s, model.positions(x)[0][letters(x)[0], 0].sum(axis=0), rtol=1e-4)
+    model, learned = language.fit(spark.read.parquet(f"{sf}/documents.parquet").where(~language.held_out("doc_id")).limit(40), rounds=1, with_triples=False)
+    assert learned == {} and len(model.labels) > 0
