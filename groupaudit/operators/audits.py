@@ -195,8 +195,8 @@ def lookback_mean(df: DataFrame, *, key: str, ts: str, value: str, unit: str, se
         F.struct(F.col("_t").alias("t"), F.lit(2).alias("kind"), number.alias("v"), usable.cast("int").alias("n")),
     )
     long = d.select("_k", "_u", F.explode(rows).alias("_r")).select("_k", "_u", "_r.*")
-    long = long.withColumn("_tie", F.concat_ws("|", "kind", F.col("_u").cast("string")))
-    seen = running_before(long, part=["_k"], order="t", tie="_tie", sums={"_s": "v", "_c": "n"}).where("kind < 2")
+    # rows of one moment and kind may stand in any order: no question sees a value among them
+    seen = running_before(long, part=["_k"], order="t", tie="kind", sums={"_s": "v", "_c": "n"}).where("kind < 2")
     pick = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
     both = seen.groupBy("_k", "_u").agg(*[(pick(0, c) - pick(1, c)).alias(c) for c in ("_s", "_c")])
     mean = F.when(F.col("_c") > 0, F.col("_s").cast("double") / F.col("_c"))
