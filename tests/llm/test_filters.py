@@ -331,6 +331,16 @@ def test_scores_of_higher_orders(spark, order, least):
     assert [got[i] for i in range(len(texts))] == brute_backoff(texts, order, least)
 
 
+def test_blocks_and_parts_add_up_without_a_row_per_word(spark):
+    texts = [" ".join(f"w{(i * j) % (7 + i % 5)}" for j in range(i % 40)) for i in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert "Generate" not in backoff_lm.backoff_scores(df)._jdf.queryExecution().executedPlan().toString()
+    for order, least in ((2, 2), (3, 2)):
+        scored = backoff_lm.backoff_scores(df, order=order, least=least, block_words=100, part_words=50)
+        got = {r["doc_id"]: (r["n_words"], r["log_score"]) for r in scored.collect()}
+        assert [got[i] for i in range(len(texts))] == brute_backoff(texts, order, least)
+
+
 # --- pipeline -----------------------------------------------------------------------------------
 
 
