@@ -14,7 +14,9 @@ EDGE = 32  # the byte that marks both ends of a word
 def windows(word: str) -> list[bytes]:
     """The word's bytes between edge marks, cut into windows."""
     raw = word.encode("utf-8")
-    cut = [raw[i : i + WINDOW] for i in range(0, len(raw), WINDOW)] or [b""]
+    if len(raw) <= WINDOW:
+        return [b"%c%b%c" % (EDGE, raw, EDGE)]
+    cut = [raw[i : i + WINDOW] for i in range(0, len(raw), WINDOW)]
     cut[0] = bytes([EDGE]) + cut[0]
     cut[-1] += bytes([EDGE])
     return cut
@@ -37,8 +39,9 @@ def as_matrix(items: Sequence[bytes], at: np.ndarray, length: int) -> np.ndarray
     return np.frombuffer(b"".join([items[i] for i in at]), dtype=np.uint8).reshape(len(at), length)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    y = np.exp(-x)
+def _sigmoid(x: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    y = np.negative(x, out=out)
+    np.exp(y, out=y)
     y += 1
     return np.divide(1, y, out=y)
 
@@ -57,33 +60,42 @@ class ByteGRU:
         self.p = {"E0": small(256, 3 * hidden), "E1": small(256, 3 * hidden), "U0": small(hidden, 3 * hidden), "U1": small(hidden, 3 * hidden)}
         self.p |= {"V": small(2 * hidden, len(self.labels)), "c": np.zeros(len(self.labels), np.float32)}
 
-    def _run(self, x: np.ndarray, way: int, keep: list | None = None) -> np.ndarray:
-        """States (time, rows, H) in reading order of ``way``; ``keep`` gathers what backward needs."""
-        e, u, k = self.p[f"E{way}"], self.p[f"U{way}"], self.hidden
-        h = np.zeros((len(x), k), dtype=e.dtype)
-        out = np.empty((x.shape[1], len(x), k), dtype=e.dtype)
-        for t in range(x.shape[1]) if way == 0 else range(x.shape[1] - 1, -1, -1):
-            g, rec = e[x[:, t]], h @ u
-            zr = _sigmoid(g[:, : 2 * k] + rec[:, : 2 * k])
-            z, r, q = zr[:, :k], zr[:, k:], rec[:, 2 * k :]
-            n = np.tanh(g[:, 2 * k :] + r * q)
-            if keep is not None:
-                keep.append((t, h, z, r, q, n))
-            h = n + z * (h - n)
-            out[t] = h
-        return out
-
-    def positions(self, x: np.ndarray, keep: tuple[list, list] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Label probabilities (time, rows, labels) and states of a byte matrix."""
-        h = np.concatenate([self._run(x, 0, keep and keep[0]), self._run(x, 1, keep and keep[1])], axis=2)
+    def _states(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of both directions at once, each in its reading order (time, 2, rows, H): states, states before, z, r, h U_n and n."""
+        k, (rows, length) = self.hidden, x.shape
+        gate = np.stack([self.p["E0"][x.T], self.p["E1"][x.T[::-1]]], axis=1)
+        u, zr = np.stack([self.p["U0"], self.p["U1"]]), gate[..., : 2 * k]
+        h, before, q, n = (np.empty((length, 2, rows, k), dtype=gate.dtype) for _ in range(4))
+        last = np.zeros((2, rows, k), dtype=gate.dtype)
+        for t in range(length):
+            before[t], rec = last, last @ u
+            zr[t] += rec[..., : 2 * k]
+            _sigmoid(zr[t], zr[t])
+            q[t] = rec[..., 2 * k :]
+            rec = zr[t, ..., k:] * q[t]
+            rec += gate[t, ..., 2 * k :]
+            np.tanh(rec, out=n[t])
+            last = last - n[t]
+            last *= zr[t, ..., :k]
+            last += n[t]
+            h[t] = last
+        return h, before, zr[..., :k], zr[..., k:], q, n
+
+    def _output(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Label probabilities (time, rows, labels) from the states of both directions, and these side by side."""
+        h = np.concatenate([h[:, 0], h[::-1, 1]], axis=2)
         s = h @ self.p["V"] + self.p["c"]
         s = np.exp(s - s.max(axis=2, keepdims=True))
         return s / s.sum(axis=2, keepdims=True), h
 
+    def positions(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Label probabilities (time, rows, labels) and states of a byte matrix."""
+        return self._output(self._states(x)[0])
+
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy over letter positions, and its gradients through time."""
-        keep: tuple[list, list] = ([], [])
-        prob, h = self.positions(x, keep)
+        states, before, z, r, q, n = self._states(x)
+        prob, h = self._output(states)
         mask = letters(x).T.astype(prob.dtype)
         total = max(1.0, float(mask.sum()))
         rows = np.arange(len(x))
@@ -92,24 +104,31 @@ class ByteGRU:
         d[:, rows, y] -= 1.0
         d *= mask[:, :, None] / total
         g = {"V": np.tensordot(h, d, axes=([0, 1], [0, 1])), "c": d.sum(axis=(0, 1))}
-        dh_all, k = d @ self.p["V"].T, self.hidden
+        out, k = d @ self.p["V"].T, self.hidden
+        out = np.stack([out[..., :k], out[::-1, :, k:]], axis=1)
+        by_z, by_n, by_r = (before - n) * z * (1 - z), (1 - z) * (1 - n * n), q * r * (1 - r)
+        back = np.stack([self.p["U0"].T, self.p["U1"].T])
+        # gradients of the gates' inputs: from h U in ``rec``, and of n from E in ``dn``
+        rec, dn = np.empty((*z.shape[:3], 3 * k), dtype=h.dtype), np.empty_like(n)
+        dh = np.zeros_like(out[0])
+        for t in range(len(out) - 1, -1, -1):
+            dh += out[t]
+            np.multiply(dh, by_z[t], out=rec[t, ..., :k])
+            np.multiply(dh, by_n[t], out=dn[t])
+            np.multiply(dn[t], by_r[t], out=rec[t, ..., k : 2 * k])
+            np.multiply(dn[t], r[t], out=rec[t, ..., 2 * k :])
+            dh *= z[t]
+            dh += rec[t] @ back
+        for way in (0, 1):
+            g[f"U{way}"] = before[:, way].reshape(-1, k).T @ rec[:, way].reshape(-1, 3 * k)
+        rec[..., 2 * k :] = dn
+        steps = np.concatenate([rec[:, 0], rec[::-1, 1]], axis=2).reshape(-1, 6 * k)
+        read = x.T.ravel()
+        used = np.unique(read)  # a product with few rows adds up faster than row by row
+        sums = (used[:, None] == read).astype(steps.dtype) @ steps
         for way in (0, 1):
-            u = self.p[f"U{way}"]
-            de, du, dh = np.zeros_like(self.p[f"E{way}"]), np.zeros_like(u), np.zeros((len(x), k), dtype=u.dtype)
-            steps: list[tuple[int, np.ndarray]] = []
-            for t, before, z, r, q, n in reversed(keep[way]):
-                dh = dh + dh_all[t, :, way * k : (way + 1) * k]
-                dz = dh * (before - n) * z * (1 - z)
-                dn = dh * (1 - z) * (1 - n * n)
-                dr = dn * q * r * (1 - r)
-                rec = np.concatenate([dz, dr, dn * r], axis=1)
-                steps.append((t, np.concatenate([dz, dr, dn], axis=1)))
-                du += before.T @ rec
-                dh = dh * z + rec @ u.T
-            read = np.concatenate([x[:, t] for t, _ in steps])
-            used = np.unique(read)  # a product with few rows adds up faster than row by row
-            de[used] = (used[:, None] == read).astype(de.dtype) @ np.concatenate([s for _, s in steps])
-            g |= {f"E{way}": de, f"U{way}": du}
+            g[f"E{way}"] = np.zeros_like(self.p[f"E{way}"])
+            g[f"E{way}"][used] = sums[:, 3 * k * way : 3 * k * (way + 1)]
         return loss, g
 
     def fit(self, items: Sequence[bytes], y: np.ndarray, *, epochs: int = 4) -> None:
@@ -159,21 +178,26 @@ class ByteGRU:
         """Label probabilities (time, labels, rows) as of ``positions``; gates lie apart and states are not kept."""
         k, s = self.hidden, np.zeros((x.shape[1], len(self.labels), len(x)), np.float32)
         x = x.T.astype(np.intp)
+        g, rec, part = (np.empty((n, x.shape[1]), np.float32) for n in (3 * k, 3 * k, len(s[0])))  # new arrays at each step cost more than the sums
         for way in (0, 1):
             e, u, v = (np.ascontiguousarray(w.T) for w in (self.p[f"E{way}"], self.p[f"U{way}"], self.p["V"][way * k : (way + 1) * k]))
             h = np.zeros((k, x.shape[1]), np.float32)
             for t in range(len(x)) if way == 0 else range(len(x) - 1, -1, -1):
-                g, rec = np.take(e, x[t], axis=1, mode="clip"), u @ h
-                g[: 2 * k] += rec[: 2 * k]
-                zr = _sigmoid(g[: 2 * k])
-                n = rec[2 * k :]
+                np.take(e, x[t], axis=1, mode="clip", out=g)
+                np.matmul(u, h, out=rec)
+                zr, n = g[: 2 * k], rec[2 * k :]
+                zr += rec[: 2 * k]
+                _sigmoid(zr, zr)
                 n *= zr[k:]
                 n += g[2 * k :]
-                n = 2 * _sigmoid(2 * n) - 1  # the hyperbolic tangent
+                n *= 2
+                _sigmoid(n, n)
+                n *= 2
+                n -= 1  # the hyperbolic tangent
                 h -= n
                 h *= zr[:k]
                 h += n
-                s[t] += v @ h
+                s[t] += np.matmul(v, h, out=part)
         s += self.p["c"][:, None]
         s = np.exp(s - s.max(axis=1, keepdims=True))
         return s / s.sum(axis=1, keepdims=True)

@@ -14,10 +14,11 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from itertools import batched
+from itertools import batched, chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,25 +50,25 @@ def window_counts(labelled: DataFrame, *, text: str = "text", lang: str = "lang"
     """(lang, w, n): how often each window of a word occurs in all documents of a label."""
     small_batches(labelled.sparkSession)
 
-    def flushed(count: dict[str, Counter[str]]) -> Iterator[pd.DataFrame]:
+    def flushed(count: dict[str, Counter[str]]) -> Iterator[pa.RecordBatch]:
         """A task's counts so far, emptied; the shuffle adds up what comes twice."""
         while count:
             g, words = count.popitem()
-            cut = ((w, n) for word, n in words.items() for w in windows(word))
-            for rows in batched(cut, 100_000):
-                w, n = zip(*rows)
-                yield pd.DataFrame({"lang": g, "w": w, "size": n})
+            for rows in batched(words.items(), 100_000):
+                cut = [(w, n) for word, n in rows for w in windows(word)]
+                w, n = zip(*cut)
+                yield pa.record_batch({"lang": pa.array([g] * len(w)), "w": pa.array(w, pa.binary()), "size": pa.array(n, pa.int64())})
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: dict[str, Counter[str]] = {}
-        for pdf in batches:
-            for g, t in zip(pdf["lang"], pdf["text"]):
+        for batch in batches:
+            for g, t in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
                 count.setdefault(g, Counter()).update(t.split())
             if sum(map(len, count.values())) > MEMORY_WORDS:
                 yield from flushed(count)
         yield from flushed(count)
 
-    rows = labelled_texts(labelled, text, lang).mapInPandas(cut, "lang string, w binary, size long")
+    rows = labelled_texts(labelled, text, lang).mapInArrow(cut, "lang string, w binary, size long")
     return stored(rows.groupBy("lang", "w").agg(F.sum("size").alias("n")), "windows")
 
 
@@ -105,9 +106,17 @@ class _Reader:
         self.model, self.learned = model, learned
         self.forget()
 
+    def keep(self, most: int) -> None:
+        """Forget all words but those that came in several batches, of which ``most`` at most, those of most batches first."""
+        known, place = list(self.at), np.fromiter(self.at.values(), np.int64, len(self.at))
+        often = np.argsort(-self.batches[place], kind="stable")[: min(most, int((self.batches[place] > 1).sum()))]
+        for name in ("batches", "sums", "counts", *(("known", "triples") if self.learned else ())):
+            setattr(self, name, getattr(self, name)[place[often]])
+        self.at, self.used = {known[i]: j for j, i in enumerate(often.tolist())}, len(often)
+
     def forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.used = 0
+        self.used, self.batches = 0, np.zeros(0, np.int32)
         self.sums, self.counts = np.zeros((0, len(self.model.labels)), np.float32), np.zeros(0, np.int64)
         self.known, self.triples = np.zeros((0, len(self.model.labels)), np.int64), np.zeros(0, np.int64)
 
@@ -123,11 +132,13 @@ class _Reader:
     def read(self, texts: list[str]) -> list[tuple[str, float, int, int, int]]:
         """Label, its probability, letter positions, letter triples, and triples that the label has not learned."""
         words = [t.split() for t in texts]
-        distinct = set().union(*words)
-        new = list(distinct.difference(self.at))
+        # each distinct word of the batch is looked up once
+        coded = pa.array(chain.from_iterable(words), pa.string()).dictionary_encode()
+        token, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in distinct if w not in self.at]
         if len(self.at) + len(new) > MEMORY_WORDS:
-            self.forget()
-            new = list(distinct)
+            self.keep(MEMORY_WORDS // 2)
+            new = [w for w in distinct if w not in self.at]
         cut = [windows(w) for w in new]
         sums, counts = self.model.pooled([w for c in cut for w in c])
         start = np.concatenate([[0], np.cumsum([len(c) for c in cut])[:-1]]).astype(np.int64)
@@ -136,21 +147,29 @@ class _Reader:
         n = self.used
         self.used += len(new)
         self.sums, self.counts = _put(self.sums, n, sums), _put(self.counts, n, counts)
+        self.batches = _put(self.batches, n, np.zeros(len(new), np.int32))
         if self.learned:
             known, n_triples = self.familiar(new)
             self.known, self.triples = _put(self.known, n, known), _put(self.triples, n, n_triples)
         self.at.update(zip(new, range(n, self.used)))
+        place = np.fromiter(map(self.at.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        self.batches[place] += 1
+        size = np.array([len(ws) for ws in words], np.int64)
+        end = np.cumsum(size)
+        own_sums, own_counts = self.sums[place].astype(np.float64), self.counts[place]
+        if self.learned:
+            own_known, own_triples = self.known[place], self.triples[place]
         out = []
-        for t, ws in zip(texts, words):
-            i = np.fromiter(map(self.at.__getitem__, ws), dtype=np.int64, count=len(ws))
-            letters = int(self.counts[i].sum())
+        for t, lo, hi in zip(texts, (end - size).tolist(), end.tolist()):
+            i = token[lo:hi]
+            letters = int(own_counts[i].sum())
             if not letters or not self.model.labels or not any(map(str.isalpha, t)):
                 out.append((UNKNOWN, 0.0, 0, 0, 0))
                 continue
-            p = self.sums[i].sum(axis=0, dtype=np.float64) / letters
+            p = own_sums[i].sum(axis=0) / letters
             best = int(p.argmax())
-            n_all = int(self.triples[i].sum()) if self.learned else 0
-            n_new = n_all - int(self.known[i, best].sum()) if self.learned else 0
+            n_all = int(own_triples[i].sum()) if self.learned else 0
+            n_new = n_all - int(own_known[i, best].sum()) if self.learned else 0
             out.append((self.model.labels[best], float(min(1.0, p[best])), letters, n_all, n_new))
         for w in new:
             if len(w) > LONG_WORD:

@@ -138,3 +138,19 @@ def test_the_query_learns_no_triples_and_reads_as_the_network_does(spark, sf, mo
         np.testing.assert_allclose(s, model.positions(x)[0][letters(x)[0], 0].sum(axis=0), rtol=1e-4)
     model, learned = language.fit(spark.read.parquet(f"{sf}/documents.parquet").where(~language.held_out("doc_id")).limit(40), rounds=1, with_triples=False)
     assert learned == {} and len(model.labels) > 0
+
+
+def test_a_full_memory_keeps_the_words_of_several_batches(monkeypatch):
+    monkeypatch.setattr(language, "MEMORY_WORDS", 40)
+    model = ByteGRU(["a", "b"])
+    reader, fresh, asked, pooled = language._Reader(model, {}), language._Reader(model, {}), [], model.pooled
+    for n in range(12):
+        texts = ["one two three", f"two {' '.join(f'w{n}x{i}' for i in range(10))}", ""]
+        want = fresh.read(texts)
+        fresh.forget()
+        monkeypatch.setattr(model, "pooled", lambda items: asked.extend(items) or pooled(items))
+        got = reader.read(texts)
+        monkeypatch.setattr(model, "pooled", pooled)
+        assert [g[::2] for g in got] == [w[::2] for w in want]
+        np.testing.assert_allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-6)
+    assert sorted(asked.count(b" %s " % w) for w in (b"one", b"two", b"three")) == [1, 1, 1] and len(reader.at) <= 40
