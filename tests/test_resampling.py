@@ -105,6 +105,14 @@ def test_hot_score_and_hot_group_spread(spark):
         assert got[b] == pytest.approx(brute_auc(pdf.y.to_numpy(), pdf.s.to_numpy(), w), abs=1e-12)
 
 
+def test_paired_bootstrap_derives_its_rows_once(spark, data):
+    _, df = data
+    left, right = df.select("g", "y", "s", F.monotonically_increasing_id().alias("u")), df.select("t", F.monotonically_increasing_id().alias("u"))
+    draw = rs.cluster_weights(df.select("g").distinct(), group="g", n_boot=20, seed=3)
+    out = rs.paired_bootstrap(left.join(right, "u"), draw, group="g", label="y", a="s", b="t")
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_paired_deltas_share_the_draw(spark, data):
     pdf, df = data
     draw = rs.cluster_weights(df.select("g").distinct(), group="g", n_boot=5, seed=5)
