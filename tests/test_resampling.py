@@ -1,5 +1,6 @@
 """Bootstrap, jackknife, intervals and rank tests."""
 
+import hashlib
 import itertools
 
 import numpy as np
@@ -11,6 +12,7 @@ from test_metrics import brute_auc
 from groupaudit.functions import hashing as h
 from groupaudit.operators import inference as inf
 from groupaudit.operators import resampling as rs
+from groupaudit.plans.catalog import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +38,21 @@ def test_poisson_weights_have_mean_and_variance_one(spark):
     assert full.mean() == pytest.approx(1.0, abs=0.02) and full.var() == pytest.approx(1.0, abs=0.03)
 
 
+def test_groups_whose_mixed_keys_are_equal_draw_for_themselves(spark):
+    g = spark.createDataFrame([(14685,), (154048,)], "g long")
+    per = lambda w: {k: set(zip(p.b, p.w)) for k, p in w.toPandas().groupby("g")}
+    mixed, alone = (per(f(g, group="g", n_boot=40, seed=1)) for f in (rs.poisson_weights, rs.independent_poisson_weights))
+    assert mixed[14685] == mixed[154048] and alone[14685] != alone[154048]
+
+
+def test_the_poisson_query_draws_for_every_speaker_and_replicate(spark, sf):
+    got = {(r["b"], r["speaker_id"]): r["w"] for r in QUERIES["b01_poisson_weights"].fn(spark, sf).collect()}
+    speakers = [r["o_custkey"] for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey").distinct().collect()]
+    for b, k in itertools.product(range(40), speakers):
+        u = int(hashlib.md5(f"1|{b}|{k}".encode()).hexdigest()[:13], 16) / 2**52
+        assert got.get((b, k), 0) == sum(u >= t for t in h.poisson_thresholds(h.LAST_COUNT))
+
+
 @pytest.mark.parametrize("scheme", ["poisson", "multinomial"])
 @pytest.mark.parametrize("edges", [[], [0.2, 0.4, 0.8], None])
 def test_replicates_equal_copying_rows(spark, data, scheme, edges):
