@@ -1,5 +1,6 @@
 """Bootstrap, jackknife, intervals and rank tests."""
 
+import collections
 import hashlib
 import itertools
 
@@ -53,6 +54,17 @@ def test_the_poisson_query_draws_for_every_speaker_and_replicate(spark, sf):
         assert got.get((b, k), 0) == sum(u >= t for t in h.poisson_thresholds(h.LAST_COUNT))
 
 
+def test_the_multinomial_query_draws_for_every_slot_and_replicate(spark, sf):
+    got = {(r["b"], r["group_id"]): r["w"] for r in QUERIES["b01_multinomial_weights"].fn(spark, sf).collect()}
+    suppliers = {r["l_suppkey"] for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey").distinct().collect()}
+    digest = lambda *parts: hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
+    order, n = sorted(suppliers, key=lambda k: digest(1, k)), len(suppliers)
+    want = collections.Counter(
+        (b, order[int(int(digest(1, b, slot)[:13], 16) / 2**52 * n)]) for b in range(50) for slot in range(1, n + 1)
+    )
+    assert got == want
+
+
 @pytest.mark.parametrize("scheme", ["poisson", "multinomial"])
 @pytest.mark.parametrize("edges", [[], [0.2, 0.4, 0.8], None])
 def test_replicates_equal_copying_rows(spark, data, scheme, edges):
