@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groupaudit.operators import models as mod
-from groupaudit.operators.metrics import roc_auc
 
 # The members and the inputs each needs.
 MEMBERS = {
@@ -109,8 +108,8 @@ def confound_battery(
     blank = F.array_repeat(F.lit(float("nan")), widths["silence"])
     parts = [F.coalesce(_numbers(k, F.col(columns[k])), blank) if k == "silence" else _numbers(k, F.col(columns[k])) for k in usable]
     table = units.select(unit, group, F.col(label).cast("int").alias("y"), F.concat(*parts).alias("x"))
-    oof = mod.out_of_fold_counts(table, folds, group=group, views=views, n_folds=n_folds, repeats=repeats)
-    auc = roc_auc(oof, score="p", label="y", by=["head", "repeat"], weight="n").groupBy(F.col("head").alias("member")).agg(
+    scored = mod.out_of_fold_auc(table, folds, group=group, views=views, n_folds=n_folds, repeats=repeats)
+    auc = scored.groupBy(F.col("head").alias("member")).agg(
         F.avg("auc").alias("auc_mean"), F.stddev_pop("auc").alias("auc_std"), F.count("auc").alias("n_repeats")
     )
     return plan.join(auc, "member", "left").withColumn("n_repeats", F.coalesce("n_repeats", F.lit(0).cast("long")))

@@ -9,17 +9,22 @@ All models advance together: one scan per Newton step, whatever their number.  A
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groupaudit.operators.arraysum import Partial, add_to, matrix, sum_arrays
 from groupaudit.session import materialise, spread
 
+if TYPE_CHECKING:
+    from groupaudit.operators.foldblocks import Probes
+
 
 @dataclass(frozen=True)
 class View:
@@ -91,9 +96,10 @@ def _counts(pdf: pd.DataFrame) -> np.ndarray:
     return pdf["n"].to_numpy(float) if "n" in pdf else np.ones(len(pdf))
 
 
-def train_statistics(
-    df: DataFrame, models: Sequence[Spec], *, whole_table: bool = False
-) -> dict[int, tuple[np.ndarray, np.ndarray, int, int]]:
+Statistics = dict[int, tuple[np.ndarray, np.ndarray, int, int]]
+
+
+def train_statistics(df: DataFrame, models: Sequence[Spec], *, whole_table: bool = False) -> Statistics:
     """(mean, scale, n_train, n_imputed) per model, from training rows only by default.
 
     Missing values count as the training mean.  Standard deviations are population ones and a
@@ -171,23 +177,10 @@ def fit_linear(
     ``max_iter`` scans is an error: its coefficients are not used as if fitted.
     """
     first = train_statistics(df, models, whole_table=whole_table)
-    missing = [s for i, s in enumerate(models) if i not in first or first[i][2] == 0]
-    if missing:
-        raise ValueError(f"no training rows for {missing[0]}")
-    stats = {
-        i: (m if scale else np.zeros_like(m), s if scale else np.ones_like(s), n, k) for i, (m, s, n, k) in first.items()
-    }
     per_row = LOSSES[loss]
-    beta = {i: np.zeros(len(stats[i][0]) + 1) for i in stats}
-    step = {i: np.zeros_like(b) for i, b in beta.items()}
-    best = {i: np.inf for i in beta}
-    iters = {i: 0 for i in beta}
-    kkt = {i: np.inf for i in beta}
-    active = set(beta)
-    for _ in range(max_iter):
-        trial = {i: beta[i] + step[i] for i in active}
 
-        def newton(pdf: pd.DataFrame, acc: Partial, trial=trial) -> None:
+    def scan(trial: dict[int, np.ndarray], stats: Statistics) -> Partial:
+        def newton(pdf: pd.DataFrame, acc: Partial) -> None:
             x, y, codes, ranks, w = _batch(pdf)
             w = w * _counts(pdf)
             for i, b in trial.items():
@@ -204,7 +197,41 @@ def fit_linear(
                 hess = (z * (ww * curve)[:, None]).T @ z
                 add_to(acc, i, np.concatenate([[ww @ value, ww @ yy, ww.sum()], grad, hess.ravel()]))
 
-        for i, a in sum_arrays(df, newton).items():
+        return sum_arrays(df, newton)
+
+    return newton_fits(
+        models, first, scan, l2=l2, scale=scale, intercept=intercept, penalise_intercept=penalise_intercept, tol=tol, max_iter=max_iter
+    )
+
+
+def newton_fits(
+    models: Sequence[Spec],
+    first: Statistics,
+    scan: Callable[[dict[int, np.ndarray], Statistics], Partial],
+    *,
+    l2: float = 1.0,
+    scale: bool = True,
+    intercept: bool = True,
+    penalise_intercept: bool = False,
+    tol: float = 1e-8,
+    max_iter: int = 50,
+) -> list[Fit]:
+    """The steps of ``fit_linear``: ``scan`` gives sums (loss, labels, weights, gradient, Hessian) at coefficients."""
+    missing = [s for i, s in enumerate(models) if i not in first or first[i][2] == 0]
+    if missing:
+        raise ValueError(f"no training rows for {missing[0]}")
+    stats = {
+        i: (m if scale else np.zeros_like(m), s if scale else np.ones_like(s), n, k) for i, (m, s, n, k) in first.items()
+    }
+    beta = {i: np.zeros(len(stats[i][0]) + 1) for i in stats}
+    step = {i: np.zeros_like(b) for i, b in beta.items()}
+    best = {i: np.inf for i in beta}
+    iters = {i: 0 for i in beta}
+    kkt = {i: np.inf for i in beta}
+    active = set(beta)
+    for _ in range(max_iter):
+        trial = {i: beta[i] + step[i] for i in active}
+        for i, a in scan(trial, stats).items():
             b, d = trial[i], len(trial[i])
             if a[1] <= 0 or a[1] >= a[2]:
                 raise ValueError(f"one training class for {models[i]}")
@@ -309,17 +336,25 @@ def out_of_fold(
     return materialise(predict(data, fits, unit=unit, group=group))
 
 
-def _collapsed(data: DataFrame, views: Sequence[View], *, n_folds: int, repeats: int) -> DataFrame:
-    """Units counted by what one view sees of them, label, repeat and fold; view k has the designs from k * repeats."""
+def _counted(df: DataFrame, columns: Sequence[int], counts: Sequence[Column]) -> DataFrame:
+    # what the view does not see is 0, so that it tells no rows apart
+    seen = F.transform("x", lambda e, i: F.when(i.isin(list(columns)), e).otherwise(0.0))
+    return df.withColumn("x", seen).groupBy("x", "y").agg(*counts)
+
+
+def _collapsed(data: DataFrame, views: Sequence[View], *, n_folds: int, repeats: int, together: bool = False) -> DataFrame:
+    """Units counted by what one view sees of them, label, repeat and fold; view k has the designs from k * repeats.
+
+    ``together`` counts once by what all views see, and adds these counts up for each view.
+    """
+    cells = [(r, f, f"n{r}_{f}") for r in range(repeats) for f in range(n_folds)]
+    units, add = [F.count_if(F.get("codes", F.lit(r)) == f).alias(n) for r, f, n in cells], [F.sum(n).alias(n) for _, _, n in cells]
+    base = materialise(_counted(data, sorted({c for v in views for c in v.columns}), units)) if together else None
     out = None
     for k, v in enumerate(views):
-        # what the view does not see is 0, so that it tells no rows apart
-        seen = F.transform("x", lambda e, i: F.when(i.isin(list(v.columns)), e).otherwise(0.0))
-        counts = data.select(seen.alias("x"), "y", "codes").groupBy("x", "y").agg(F.array(*[
-            F.struct(F.lit(r).alias("r"), F.lit(f).alias("f"), F.count_if(F.get("codes", F.lit(r)) == f).alias("n"))
-            for r in range(repeats) for f in range(n_folds)
-        ]).alias("c"))
-        rows = counts.select("x", "y", F.explode("c").alias("c")).where("c.n > 0")
+        counts = _counted(base, v.columns, add) if together else _counted(data, v.columns, units)
+        each = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.lit(f).alias("f"), F.col(n).alias("n")) for r, f, n in cells]))
+        rows = counts.select("x", "y", each.alias("c")).where("c.n > 0")
         at = F.lit(k * repeats) + F.col("c.r")
         codes = F.transform(F.sequence(F.lit(0), F.lit(len(views) * repeats - 1)), lambda i: F.when(i == at, F.col("c.f")).otherwise(-1))
         part = rows.select("x", "y", codes.alias("codes"), F.col("c.n").alias("n"))
@@ -353,14 +388,15 @@ def predict_counts(df: DataFrame, fits: Sequence[Fit], *, repeats: int) -> DataF
     return df.select("x", "y", "codes", *extra).mapInPandas(run, SCORES)
 
 
-def out_of_fold_counts(
+def _in_turn(
     units: DataFrame, folds: DataFrame, *, group: str, views: Sequence[View], n_folds: int, repeats: int
-) -> DataFrame:
-    """``out_of_fold`` for metrics that need no ids: (head, repeat, y, p, n), n units each.
+) -> tuple[DataFrame, list[tuple[DataFrame, list[Fit]]], Probes | None]:
+    """Units with codes, (table, fits) of the views taken row by row or by counts, and the probes fitted on blocks.
 
-    Views that see few distinct values are fitted and scored on counts of equal rows, the others row by
-    row.  Which way a view takes changes the work and not the models: sums over counts are sums over rows.
+    Views that see few distinct values are fitted on counts of equal rows, other narrow ones on blocks, the rest
+    row by row.  Which way a view takes changes the work and not the models: sums over counts are sums over rows.
     """
+    from groupaudit.operators import foldblocks
     from groupaudit.operators.splits import require_disjoint
 
     folds = materialise(folds.select(group, "repeat", "fold"))
@@ -369,16 +405,48 @@ def out_of_fold_counts(
     plain = [k for k, v in enumerate(views) if v.columns is not None and v.basis is None and v.max_rank is None]
     seen = [F.approx_count_distinct(F.array(*[F.get("x", F.lit(c)) for c in views[k].columns])).alias(f"v{k}") for k in plain]
     size = data.agg(F.count("*").alias("n"), *seen).first()
-    few = [views[k] for k in plain if size[f"v{k}"] * 2 * n_folds * REPEATED <= size["n"]]
-    many = [v for v in views if not any(v is w for w in few)]
+    least = 2 * n_folds * REPEATED
+    few = [k for k in plain if size[f"v{k}"] * least <= size["n"]]
+    narrow = [views[k] for k in plain if k not in few and 0 < len(views[k].columns) <= foldblocks.NARROW]
+    many = [v for k, v in enumerate(views) if k not in few and not any(v is w for w in narrow)]
     out = []
     if few:
-        cells = spread(_collapsed(data, few, n_folds=n_folds, repeats=repeats))
-        models = [Spec(v, k * repeats + r, f) for k, v in enumerate(few) for r in range(repeats) for f in range(n_folds)]
-        out.append(predict_counts(cells, fit_linear(cells, models), repeats=repeats))
+        most, covered = 1, set()  # of the rows all these views tell apart
+        for k in sorted(few, key=lambda k: -len(views[k].columns)):
+            if not covered.issuperset(views[k].columns):
+                most, covered = most * size[f"v{k}"], covered | set(views[k].columns)
+        seldom = [views[k] for k in few]
+        cells = spread(_collapsed(data, seldom, n_folds=n_folds, repeats=repeats, together=most * least <= size["n"]))
+        models = [Spec(v, k * repeats + r, f) for k, v in enumerate(seldom) for r in range(repeats) for f in range(n_folds)]
+        out.append((cells, fit_linear(cells, models)))
     if many:
-        out.append(predict_counts(data, fit_linear(data, specs(many, repeats, n_folds)), repeats=repeats))
-    return materialise(out[0] if len(out) == 1 else out[0].unionByName(out[1]))
+        out.append((data, fit_linear(data, specs(many, repeats, n_folds))))
+    if not narrow:
+        return data, out, None
+    return data, out, foldblocks.Probes(foldblocks.Blocks(data, narrow, n_folds=n_folds, repeats=repeats, n=size["n"]))
+
+
+def out_of_fold_counts(
+    units: DataFrame, folds: DataFrame, *, group: str, views: Sequence[View], n_folds: int, repeats: int
+) -> DataFrame:
+    """``out_of_fold`` for metrics that need no ids: (head, repeat, y, p, n), n units each."""
+    data, fitted, probes = _in_turn(units, folds, group=group, views=views, n_folds=n_folds, repeats=repeats)
+    fitted += [(data, probes.fits)] if probes else []
+    return materialise(reduce(DataFrame.unionByName, [predict_counts(df, fits, repeats=repeats) for df, fits in fitted]))
+
+
+def out_of_fold_auc(
+    units: DataFrame, folds: DataFrame, *, group: str, views: Sequence[View], n_folds: int, repeats: int
+) -> DataFrame:
+    """(head, repeat, n_pos, n_neg, auc) of ``out_of_fold``'s scores, which are no table of rows where views are narrow."""
+    from groupaudit.operators.metrics import roc_auc
+
+    _, fitted, probes = _in_turn(units, folds, group=group, views=views, n_folds=n_folds, repeats=repeats)
+    out = [probes.auc()] if probes else []
+    if fitted:
+        counts = materialise(reduce(DataFrame.unionByName, [predict_counts(df, fits, repeats=repeats) for df, fits in fitted]))
+        out.append(roc_auc(counts, score="p", label="y", by=["head", "repeat"], weight="n"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def confound_features(df: DataFrame, *, age: str, sex: str, duration: str, rms: str) -> DataFrame:

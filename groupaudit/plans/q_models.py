@@ -109,8 +109,7 @@ def confound_oof(spark, d, names=tuple(mod.CONFOUND_SETS), repeats=3, years=20):
 def m06(spark, d):
     units = old_age_units(spark, d).drop("age", "sex")
     f = sp.stratified_folds(units, group="speaker_id", label="y", repeats=8, seed=7)
-    oof = mod.out_of_fold_counts(units, f, group="speaker_id", views=mod.confound_views(), n_folds=5, repeats=8)
-    auc = m.roc_auc(oof, score="p", label="y", by=["head", "repeat"], weight="n")
+    auc = mod.out_of_fold_auc(units, f, group="speaker_id", views=mod.confound_views(), n_folds=5, repeats=8)
     return auc.groupBy("head").agg(F.avg("auc").alias("auc"), F.count("auc").alias("n_repeats")).select("head", found(), "n_repeats")
 
 

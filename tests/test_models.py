@@ -7,6 +7,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from groupaudit.operators import foldblocks as fb
 from groupaudit.operators import heads as hd
 from groupaudit.operators.battery import MEMBERS, confound_battery, strongest
 from groupaudit.operators import metrics as m
@@ -55,6 +56,52 @@ def test_counts_of_equal_rows_give_the_scores_of_all_rows(units, monkeypatch, re
     assert a == b and sum(r[-1] for r in a) == 3 * 2 * u.count()
 
 
+@pytest.mark.parametrize("repeated", [0, 1, 1 << 40])
+def test_auc_on_blocks_is_that_of_all_scored_rows(units, monkeypatch, repeated):
+    tied = F.transform("x", lambda v, i: F.when((i == 1) & (v > 1), float("nan")).when(i < 3, F.round(v, 1)).otherwise(v))
+    u = materialise(units.withColumn("x", tied))
+    folds = sp.stratified_folds(u, group="g", label="y", n_folds=4, repeats=2)
+    basis = np.eye(5)[:, :1]
+    views = [mod.View("a", (0,)), mod.View("b", (1, 4)), mod.View("c", (1, 2, 3)), mod.View("d", (2,)), mod.View("e", None, basis)]
+    monkeypatch.setattr(mod, "REPEATED", repeated)
+    monkeypatch.setattr(fb, "BUCKET_SCORES", 20)
+    monkeypatch.setattr(fb, "HELD", 1)
+    got = mod.out_of_fold_auc(u, folds, group="g", views=views, n_folds=4, repeats=2)
+    want = m.roc_auc(mod.out_of_fold(u, folds, views=views, n_folds=4, repeats=2, **KEYS), score="p", label="y", by=["head", "repeat"])
+    a, b = ({(r["head"], r["repeat"]): (r["n_pos"], r["n_neg"], r["auc"]) for r in df.collect()} for df in (got, want))
+    assert len(a) == 10 and a.keys() == b.keys()
+    assert all(a[k][:2] == b[k][:2] and a[k][2] == pytest.approx(b[k][2], abs=1e-9) for k in a)
+
+
+def test_blocks_fit_the_models_of_rows_and_groups_without_a_fold_do_not_count(units):
+    u = units.withColumn("x", F.transform("x", lambda v, i: F.when((i == 1) & (v > 1), float("nan")).otherwise(v * 1e3 + 1e6)))
+    folds = sp.stratified_folds(u, group="g", label="y", n_folds=4, repeats=2)
+    folds = folds.withColumn("fold", F.when((F.col("g") == "3") & (F.col("repeat") == 1), -1).otherwise(F.col("fold")))
+    data = materialise(mod.attach_codes(u, folds, group="g").select("x", "y", "codes"))
+    views = [mod.View("a", (0,)), mod.View("b", (4, 1))]
+    probes = fb.Probes(fb.Blocks(data, views, n_folds=4, repeats=2, n=data.count()))
+    assert probes.blocks.df.count() < data.count() / 10  # a scan reads matrices, not rows
+    for got, want in zip(probes.fits, mod.fit_linear(data, mod.specs(views, 2, 4)), strict=True):
+        assert (got.spec, got.n_train, got.n_imputed) == (want.spec, want.n_train, want.n_imputed)
+        for a, b in ((got.mean, want.mean), (got.scale, want.scale), (got.beta, want.beta)):
+            assert a == pytest.approx(b, rel=1e-9, abs=1e-9)
+    auc = {(r["head"], r["repeat"]): r["n_pos"] + r["n_neg"] for r in probes.auc().collect()}
+    absent = u.where("g = '3'").count()
+    assert absent and auc == {(h, r): u.count() - r * absent for h in "ab" for r in (0, 1)}
+
+
+def test_one_frequent_score_and_one_class_on_blocks(spark, units):
+    u = units.withColumn("x", F.transform("x", lambda v, i: F.when(F.col("u") % 3 > 0, 0.0).otherwise(v)))
+    folds = sp.stratified_folds(u, group="g", label="y", n_folds=4, repeats=1)
+    data = materialise(mod.attach_codes(u, folds, group="g").select("x", "y", "codes"))
+    probes = fb.Probes(fb.Blocks(data, [mod.View("a", (0,))], n_folds=4, repeats=1, n=300))
+    want = m.roc_auc(mod.predict_counts(data, probes.fits, repeats=1), score="p", label="y", by=["head"]).first()
+    got = probes.auc().first()
+    assert (got["n_pos"], got["n_neg"]) == (want["n_pos"], want["n_neg"]) and got["auc"] == pytest.approx(want["auc"], abs=1e-12)
+    with pytest.raises(ValueError, match="one training class"):
+        fb.Probes(fb.Blocks(data.withColumn("y", F.lit(1)), [mod.View("a", (0,))], n_folds=4, repeats=1, n=300))
+
+
 def test_every_unit_is_predicted_once_per_repeat_and_head(units, oof):
     per = oof.groupBy("head", "repeat", "unit_id").count()
     assert per.count() == 4 * units.count() and per.where("count <> 1").isEmpty()
