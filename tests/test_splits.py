@@ -67,6 +67,17 @@ def test_leaky_fold_is_refused(spark):
     sp.require_disjoint(clean, group="g")
 
 
+def test_disjointness_is_told_by_one_aggregation_and_no_fold_beside_a_fold_is_a_leak(spark, monkeypatch):
+    rows = lambda *r: spark.createDataFrame(r, "repeat int, g string, fold int")
+    calls, whole = [], sp.disjointness_evidence
+    monkeypatch.setattr(sp, "disjointness_evidence", lambda *a, **k: calls.append(1) or whole(*a, **k))
+    sp.require_disjoint(rows((0, "a", 0), (0, "a", 0), (0, "b", None), (1, "a", 1), (1, None, 2)), group="g")
+    assert not calls
+    for leak in (rows((0, "a", 0), (0, "a", None), (0, "b", 1)), rows((0, "b", 1), (1, "a", 0), (1, "a", 1))):
+        with pytest.raises(ValueError, match="group leakage"):
+            sp.require_disjoint(leak, group="g")
+
+
 def test_proxy_ids_cannot_carry_a_split_claim(spark):
     rows = [(0, 0, "a", "participant"), (0, 1, "b", "recording_proxy")]
     df = spark.createDataFrame(rows, "repeat int, fold int, g string, p string")
